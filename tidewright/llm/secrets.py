@@ -85,10 +85,11 @@ def trigram_query(pattern: str) -> list[frozenset[str]] | None:
 
 def build_index(docs: DataFrame, trigrams: list[str]) -> DataFrame:
     """Postings (trigram, bucket, bitmap) of the given trigrams over whole lower-cased texts."""
-    low = docs.select("doc_id", F.lower("text").alias("low")).where(F.col("doc_id").isNotNull())
-    held = F.array_compact(F.array(*(F.when(F.contains("low", F.lit(t)), F.lit(t)) for t in trigrams)))
+    asked = F.array(*(F.lit(t) for t in trigrams))
+    held = _let(F.lower("text"), lambda low: F.filter(asked, lambda t: F.contains(low, t)))
     return (
-        low.select("doc_id", F.explode(held).alias("trigram"))
+        docs.where(F.col("doc_id").isNotNull())
+        .select("doc_id", F.explode(held).alias("trigram"))
         .groupBy("trigram", F.bitmap_bucket_number("doc_id").alias("bucket"))
         .agg(F.bitmap_construct_agg(F.bitmap_bit_position("doc_id")).alias("bitmap"))
     )
@@ -132,54 +133,65 @@ def candidate_ids(found: DataFrame) -> DataFrame:
     )
 
 
-def _starts(step: Column, lead: Column) -> Column:
+def _let(value: Column, body) -> Column:
+    """body(value) with value computed once: inside a lambda a plain column expression is computed per call."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _total(numbers: Column) -> Column:
+    return F.aggregate(numbers, F.lit(0).cast("long"), lambda x, y: x + y)
+
+
+def _starts(step: Column, lead: Column, width: int = 256) -> Column:
     """start_i = lead_i + the sum of step over all earlier i, by blocks so that long lists stay cheap."""
-    zero = F.lit(0).cast("long")
-    total = lambda a: F.aggregate(a, zero, lambda x, y: x + y)
-    width = 256
-    blocks = F.transform(
-        F.sequence(F.lit(0), ((F.size(step) - 1) / width).cast("int")), lambda b: F.slice(step, b * width + 1, width)
+    last = ((F.size(step) - 1) / width).cast("int")
+    blocks = F.transform(F.sequence(F.lit(0), last), lambda b: F.slice(step, b * width + 1, width))
+
+    def from_blocks(blocks: Column) -> Column:
+        return _let(F.transform(blocks, _total), lambda sums: F.flatten(F.transform(blocks, lambda inside, b: one(inside, _total(F.slice(sums, F.lit(1), b))))))
+
+    def one(inside: Column, base: Column) -> Column:
+        return _let(base, lambda base: F.transform(inside, lambda _, j: base + _total(F.slice(inside, F.lit(1), j))))
+
+    return F.zip_with(_let(blocks, from_blocks), lead, lambda s, p: s + p)
+
+
+def _spans_of(rule: Rule) -> Column:
+    """All matches of a text that has one: array<struct<start, end>>, too short groups dropped."""
+    lengths = lambda a: F.transform(a, lambda x: F.length(x).cast("long"))
+    found = F.struct(
+        lengths(F.regexp_extract_all("text", F.lit(rule.pattern), F.lit(0))).alias("n"),
+        lengths(F.split("text", rule.pattern, -1)).alias("p"),
+        lengths(F.regexp_extract_all("text", F.lit(rule.pattern), F.lit(rule.group))).alias("g"),
     )
-    sums = F.transform(blocks, total)
 
-    def block(inside: Column, b: Column) -> Column:
-        base = total(F.slice(sums, F.lit(1), b))
-        return F.transform(inside, lambda _, j: base + total(F.slice(inside, F.lit(1), j)))
+    def spans(x: Column) -> Column:
+        lead = F.slice(x["p"], F.lit(1), F.size(x["n"]))
+        return _let(F.zip_with(lead, x["n"], lambda a, b: a + b), lambda step: zipped(x, _starts(step, lead)))
+
+    def zipped(x: Column, starts: Column) -> Column:
+        rows = F.arrays_zip(starts.alias("at"), x["n"].alias("n"), x["g"].alias("g"))
+        long_enough = F.filter(rows, _long_enough(rule.least))
+        return F.transform(long_enough, lambda y: F.struct(y["at"].alias("start"), (y["at"] + y["n"]).alias("end")))
+
+    return _let(found, spans)
+
 
-    return F.zip_with(F.flatten(F.transform(blocks, block)), lead, lambda s, p: s + p)
+def _hit(rule: Rule, column: str) -> Column:
+    """Cheap test that a span may exist; for a plain repeated class the least length is asked at once."""
+    pattern = rule.pattern.replace("]+", f"]{{{rule.least},}}") if _maximal_run(rule) else rule.pattern
+    return F.col(column).rlike(pattern)
 
 
 def with_spans(docs: DataFrame, rules: tuple[Rule, ...], admitted: dict[str, Column]) -> DataFrame:
     """Add span_<kind>: array<struct<start long, end long>> of code points, ascending."""
     none = F.expr("cast(array() as array<struct<start:bigint,end:bigint>>)")
-    for rule in rules:
-        one_pass = rule.pattern.replace("]+", f"]{{{rule.least},}}") if _maximal_run(rule) else rule.pattern
-        hit = admitted[rule.kind] & F.col("text").rlike(one_pass)
-        docs = docs.withColumn("_m", F.when(hit, F.regexp_extract_all("text", F.lit(rule.pattern), F.lit(0))))
-        docs = docs.withColumn(
-            "_g",
-            F.col("_m") if rule.group == 0 else F.when(hit, F.regexp_extract_all("text", F.lit(rule.pattern), F.lit(rule.group))),
-        ).withColumn(
-            "_p",
-            F.when(hit, F.transform(F.split("text", rule.pattern, -1), lambda x: F.length(x).cast("long"))),
-        )
-        lead = F.slice("_p", F.lit(1), F.size("_m"))
-        docs = docs.withColumn("_n", F.transform("_m", lambda x: F.length(x).cast("long"))).withColumn("_lead", lead)
-        docs = docs.withColumn("_at", F.when(hit, _starts(F.zip_with("_lead", "_n", lambda a, b: a + b), F.col("_lead"))))
-        spans = F.transform(
-            F.arrays_zip("_at", "_n", "_g"),
-            lambda x: F.struct(x["_at"].alias("start"), (x["_at"] + x["_n"]).alias("end"), F.length(x["_g"]).alias("w")),
-        )
-        kept = F.transform(
-            F.filter(spans, _long_enough(rule.least)),
-            lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end")),
-        )
-        docs = docs.withColumn(f"span_{rule.kind}", F.coalesce(F.when(hit, kept), none)).drop("_m", "_g", "_p", "_n", "_lead", "_at")
-    return docs
+    spans = {r.kind: F.when(admitted[r.kind] & _hit(r, "text"), _spans_of(r)).otherwise(none) for r in rules}
+    return docs.withColumns({f"span_{kind}": column for kind, column in spans.items()})
 
 
 def _long_enough(least: int):
-    return lambda x: x["w"] >= least
+    return lambda x: x["g"] >= least
 
 
 def _maximal_run(rule: Rule) -> bool:
@@ -251,8 +263,7 @@ def redact(docs: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] = RU
     ids = F.broadcast(ids) if n <= BROADCAST_ROWS else ids
     out = spark_docs.join(ids, spark_docs[id_col].cast("long") == ids.cand_id, "left")
     for i, rule in enumerate(rules):
-        one_pass = rule.pattern.replace("]+", f"]{{{rule.least},}}") if _maximal_run(rule) else rule.pattern
-        hit = F.col("__text").rlike(one_pass)
+        hit = _hit(rule, "__text")
         if queries[rule.kind] is not None:
             hit = (F.col(id_col).isNull() | F.coalesce(F.array_contains("__rules", i), F.lit(False))) & hit
         group = lambda g, p=rule.pattern: F.regexp_extract_all("__text", F.lit(p), F.lit(g))
