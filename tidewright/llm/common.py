@@ -6,8 +6,10 @@ import os
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -66,3 +68,27 @@ def text_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
         F.col(id_col).cast("long").alias("doc_id"),
         F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"),
     )
+
+
+_ARROW = {
+    "long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string": pa.string(), "boolean": pa.bool_(), "binary": pa.binary(),
+    "array<long>": pa.list_(pa.int64()), "array<int>": pa.list_(pa.int32()), "array<double>": pa.list_(pa.float64()),
+}
+
+
+def map_rows(df: DataFrame, schema: str, rows: Callable[[Iterator[list[tuple]]], Iterator[list[tuple]]]) -> DataFrame:
+    """Arrow batches in and out as lists of plain tuples: nulls stay None and long integers stay exact.
+
+    `rows` is called once per task with an iterator over batches and yields lists of output tuples.
+    """
+    fields = [(name, _ARROW[kind]) for name, kind in (field.split(" ") for field in schema.split(", "))]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        plain = (list(zip(*(c.to_pylist() for c in batch.columns), strict=True)) for batch in batches)
+        for out in rows(plain):
+            columns = list(zip(*out, strict=True)) if out else [()] * len(fields)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(column, kind) for column, (_, kind) in zip(columns, fields, strict=True)], [name for name, _ in fields]
+            )
+
+    return df.mapInArrow(run, schema)

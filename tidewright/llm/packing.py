@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewright.llm.common import arrow_rows, materialize, ship, text_rows
+from tidewright.llm.common import arrow_rows, map_rows, materialize, ship, text_rows
 from tidewright.llm.tokens import WORD, encoder
 
 CAPACITY = 4096
@@ -37,19 +37,18 @@ def token_pieces(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str = WO
     ship(spark)
     arrow_rows(spark, 512)
 
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def cut(batches: Iterator[list[tuple]]) -> Iterator[list[tuple]]:
         encode = encoder(vocabulary).encode
         for batch in batches:
             rows = []
-            for doc_id, text in zip(batch["doc_id"].array, batch["text"], strict=True):
-                ids = np.append(encode(text).astype("<u4"), np.uint32(END_ID)).astype("<u4")
+            for doc_id, text in batch:
+                ids = np.append(encode(text), END_ID).astype("<u4")
                 for n, at in enumerate(range(0, len(ids), capacity)):
                     part = ids[at : at + capacity]
-                    rows.append((None if pd.isna(doc_id) else int(doc_id), n, at, len(part), zlib.crc32(part.tobytes())))
-            frame = pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
-            yield frame.astype({"doc_id": "Int64"})
+                    rows.append((doc_id, n, at, len(part), zlib.crc32(part.tobytes())))
+            yield rows
 
-    return text_rows(docs).mapInPandas(cut, _PIECES)
+    return map_rows(text_rows(docs), _PIECES, cut)
 
 
 def best_fit_decreasing(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

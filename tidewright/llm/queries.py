@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewright.llm import packing, secrets, simhash, wavelet
+from tidewright.llm import decontaminate, packing, secrets, simhash, wavelet
 from tidewright.llm.common import table
 
 
+def op1_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
@@ -27,7 +31,7 @@ def op10_wavelet_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_best_fit_packing, op4_simhash_near_dedup, op9_secret_scan, op10_wavelet_shards)}
+    return {f.__name__: f for f in (op1_benchmark_decontamination, op3_best_fit_packing, op4_simhash_near_dedup, op9_secret_scan, op10_wavelet_shards)}
 
 
 def oracle_sql() -> dict[str, str]:

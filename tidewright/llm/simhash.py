@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewright.llm.common import arrow_rows, materialize, ship, text_rows
+from tidewright.llm.common import arrow_rows, map_rows, materialize, ship, text_rows
 from tidewright.llm.components import connected_components
 
 RADIUS = 3
@@ -62,10 +62,10 @@ def fingerprint(text: str | None, size: int = 3) -> int:
     return out
 
 
-def _fingerprints(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _fingerprints(batches: Iterator[list[tuple]]) -> Iterator[list[tuple]]:
     for batch in batches:
-        found = np.fromiter(map(fingerprint, batch["text"]), np.uint64, len(batch))
-        yield pd.DataFrame({"doc_id": batch["doc_id"], "fp": found.view(np.int64)})
+        found = np.fromiter((fingerprint(text) for _, text in batch), np.uint64, len(batch)).view(np.int64).tolist()
+        yield [(doc_id, fp) for (doc_id, _), fp in zip(batch, found, strict=True)]
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
@@ -73,8 +73,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     ship(spark)
     arrow_rows(spark, 512)
-    rows = text_rows(docs).where(F.col("doc_id").isNotNull())
-    return rows.mapInPandas(_fingerprints, "doc_id long, fp long")
+    return map_rows(text_rows(docs).where(F.col("doc_id").isNotNull()), "doc_id long, fp long", _fingerprints)
 
 
 def embedding(fp: np.ndarray) -> np.ndarray:

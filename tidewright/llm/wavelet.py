@@ -17,13 +17,12 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewright.llm.common import arrow_rows, materialize, parts, ship, text_rows
+from tidewright.llm.common import arrow_rows, map_rows, materialize, parts, ship, text_rows
 from tidewright.llm.tokens import BYTE, encoder
 
 END_ID = 2
@@ -124,25 +123,23 @@ class WaveletMatrix:
 
 
 def _encode(vocabulary: str, block_tokens: int):
-    def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def encode(batches: Iterator[list[tuple]]) -> Iterator[list[tuple]]:
         shard, tokenizer = TaskContext.get().partitionId(), encoder(vocabulary)
         end = np.array([END_ID], tokenizer.dtype)
         block, held, doc_ids, lengths, size = 0, [], [], [], 0
 
-        def row() -> pd.DataFrame:
+        def row() -> list[tuple]:
             matrix = WaveletMatrix.build(np.concatenate(held))
-            return pd.DataFrame(
-                {"shard": [shard], "block": [block], "n_tokens": [size], "planes": [matrix.to_bytes()], "zeros": [matrix.zeros], "doc_ids": [doc_ids], "lengths": [lengths]}
-            )
+            return [(shard, block, size, matrix.to_bytes(), matrix.zeros, doc_ids, lengths)]
 
         for batch in batches:
-            for doc_id, text in zip(batch["doc_id"].array, batch["text"], strict=True):
+            for doc_id, text in batch:
                 ids = tokenizer.encode(text)
                 if size and size + len(ids) + 1 > block_tokens:
                     yield row()
                     block, held, doc_ids, lengths, size = block + 1, [], [], [], 0
                 held += [ids, end]
-                doc_ids.append(None if pd.isna(doc_id) else int(doc_id))
+                doc_ids.append(doc_id)
                 lengths.append(len(ids) + 1)
                 size += len(ids) + 1
         if size:
@@ -162,24 +159,24 @@ def write_shards(docs: DataFrame, shards: int | None = None, vocabulary: str = B
     rows = text_rows(docs)
     keys = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text")]
     ordered = rows.repartitionByRange(shards or parts(spark), *keys).sortWithinPartitions(*keys)
-    return materialize(ordered.mapInPandas(_encode(vocabulary, block_tokens), _SHARD), "token-shards", "uncompressed")
+    return materialize(map_rows(ordered, _SHARD, _encode(vocabulary, block_tokens)), "token-shards", "uncompressed")
 
 
-def _decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _decode(batches: Iterator[list[tuple]]) -> Iterator[list[tuple]]:
     for batch in batches:
-        for row in batch.itertuples(index=False):
-            ids = WaveletMatrix.from_bytes(row.planes, row.zeros, row.n_tokens).decode().astype("<u4")
-            ends = np.cumsum(row.lengths)
-            crc = [zlib.crc32(ids[a:b].tobytes()) for a, b in zip((ends - row.lengths).tolist(), ends.tolist(), strict=True)]
-            yield pd.DataFrame(
-                {"doc_id": pd.array(row.doc_ids, "Int64"), "at": ends - row.lengths, "n_tokens": row.lengths, "ids_crc32": crc, "shard": row.shard, "block": row.block}
-            )
+        for shard, block, n_tokens, planes, zeros, doc_ids, lengths in batch:
+            ids = WaveletMatrix.from_bytes(planes, zeros, n_tokens).decode().astype("<u4")
+            ends = np.cumsum(lengths).tolist()
+            yield [
+                (doc_id, end - n, n, zlib.crc32(ids[end - n : end].tobytes()), shard, block)
+                for doc_id, n, end in zip(doc_ids, lengths, ends, strict=True)
+            ]
 
 
 def read_documents(shards: DataFrame) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of every document, from the shard files alone."""
     arrow_rows(shards.sparkSession, 8)
-    rows = shards.mapInPandas(_decode, "doc_id long, at long, n_tokens long, ids_crc32 long, shard int, block int")
+    rows = map_rows(shards, "doc_id long, at long, n_tokens long, ids_crc32 long, shard int, block int", _decode)
     # One small row per shard and block: their sums order the whole corpus.
     per_shard = shards.groupBy("shard").agg(F.sum("n_tokens").alias("n"))
     before = F.coalesce(F.sum("n").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
