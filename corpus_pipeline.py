@@ -1,4 +1,7 @@
-"""Corpus preparation: each stage takes (spark, docs, sf_dir) and returns the next stage's documents."""
+"""Corpus preparation: each stage takes (spark, docs, sf_dir) and returns the next stage's documents.
+
+The last stage returns packed pieces; all others return the columns of documents.
+"""
 
 from __future__ import annotations
 
@@ -6,18 +9,45 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewright.llm import secrets
+from tidewright.llm import decontaminate, packing, quality, secrets, simhash
 from tidewright.llm.common import materialize, table
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents of poor quality or toxic content go."""
+    return quality.keep_good(docs, table(spark, sf_dir, "labels"))
+
+
+def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates stays: the one of the smallest id."""
+    return simhash.representatives(docs)
+
+
+def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item within its error budget go."""
+    return decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"))
+
+
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets are replaced in the text; no document goes."""
     return secrets.redact(docs)
 
 
-STAGES: list[tuple[str, Stage]] = [("secret_scan", secret_scan)]
+def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents become token pieces packed into sequences."""
+    return packing.pack_documents(docs)
+
+
+STAGES: list[tuple[str, Stage]] = [
+    ("quality_classifier", quality_classifier),
+    ("simhash_near_dedup", simhash_near_dedup),
+    ("benchmark_decontamination", benchmark_decontamination),
+    ("secret_scan", secret_scan),
+    ("best_fit_packing", best_fit_packing),
+]
+#: Models and fingerprints have no SQL; tests hold the rows against a brute-force run of the stages.
 ORACLE_SQL: str | None = None
 
 
