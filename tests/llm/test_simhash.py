@@ -68,6 +68,7 @@ def test_links_keep_components_of_dense_cells(spark, monkeypatch):
     fps = {base ^ (1 << int(a)) ^ (1 << int(b)) for a, b in rng.integers(0, 62, (300, 2))} | {int(x) for x in rng.integers(1 << 62, size=100)}
     fps = sorted(fps)
     monkeypatch.setattr(simhash, "CELL_ROWS", 40)
+    monkeypatch.setattr(simhash, "PAIR_ROWS", 6)
     frame = spark.createDataFrame([(x,) for x in fps], "fp long")
     found = [(r.src, r.dst) for r in simhash.links(frame).collect()]
     assert all((a ^ b).bit_count() <= 3 for a, b in found)

@@ -7,10 +7,10 @@ six groups; at most three groups can differ, so at least three agree, and the 20
 groups are the grid: two near fingerprints share the cell of at least one choice. Inside a cell,
 distance is bounded by Manhattan first and verified on the bits after.
 
-Only distinct fingerprints meet in the grid (copies share theirs), a cell that holds more than
-CELL_ROWS of them is cut into blocks whose pairs of blocks are separate groups, and a group returns a
-spanning forest of its links instead of all pairs: nothing quadratic leaves a task, and no link
-between components is lost.
+Only distinct fingerprints meet in the grid (copies share theirs). A cell of at most PAIR_ROWS is
+joined in place; a larger one returns a spanning forest of its links instead of all pairs, and one of
+more than CELL_ROWS is cut into blocks whose pairs are separate groups: nothing quadratic leaves a
+task, and no link between components is lost.
 
 Defined cases: null text is an empty text; texts without words have fingerprint zero; null ids are
 left out (a component is named by ids); repeated rows of an id come back once each; an empty table
@@ -36,6 +36,7 @@ RADIUS = 3
 WIDTH = 2
 GROUPS = 6
 CELL_ROWS = 2048
+PAIR_ROWS = 32
 BROADCAST_ROWS = 1_000_000
 _SPLIT = re.compile(rb"[\x20\x09-\x0D]+")
 _LOW = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
@@ -140,10 +141,16 @@ def links(fps: DataFrame) -> DataFrame:
     cells = materialize(fps.mapInPandas(_cells, "cell long, fp long"), "simhash-cells", "zstd")
     sizes = cells.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     shared = cells.join(sizes, "cell")
-    small = shared.where(F.col("n") <= CELL_ROWS).select("cell", "fp", F.lit(0).alias("a"), F.lit(0).alias("b"), F.lit(0).alias("side"))
+    pairs = shared.where(F.col("n") <= PAIR_ROWS).select("cell", "fp")
+    left, right = pairs.withColumnRenamed("fp", "src"), pairs.withColumnRenamed("fp", "dst")
+    weight = F.abs(F.bit_count("src") - F.bit_count("dst"))
+    near = (F.col("src") < F.col("dst")) & (weight <= RADIUS) & (F.bit_count(F.col("src").bitwiseXOR(F.col("dst"))) <= RADIUS)
+    few = left.join(right, "cell").where(near).select("src", "dst")
+    many = shared.where(F.col("n") > PAIR_ROWS)
+    small = many.where(F.col("n") <= CELL_ROWS).select("cell", "fp", F.lit(0).alias("a"), F.lit(0).alias("b"), F.lit(0).alias("side"))
     blocks = F.ceil(F.col("n") / CELL_ROWS).cast("int")
     block = F.pmod(F.xxhash64("fp"), blocks.cast("long")).cast("int")
-    big = shared.where(F.col("n") > CELL_ROWS).select("cell", "fp", blocks.alias("k"), block.alias("own"))
+    big = many.where(F.col("n") > CELL_ROWS).select("cell", "fp", blocks.alias("k"), block.alias("own"))
     big = big.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1))).select(
         "cell",
         "fp",
@@ -151,7 +158,8 @@ def links(fps: DataFrame) -> DataFrame:
         F.greatest("own", "other").alias("b"),
         F.when(F.col("own") == F.col("other"), 0).when(F.col("own") < F.col("other"), 1).otherwise(2).alias("side"),
     )
-    return small.unionByName(big).groupBy("cell", "a", "b").applyInPandas(_cell_links, "src long, dst long").distinct()
+    forests = small.unionByName(big).groupBy("cell", "a", "b").applyInPandas(_cell_links, "src long, dst long")
+    return few.unionByName(forests).distinct()
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
