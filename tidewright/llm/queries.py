@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewright.llm import decontaminate, packing, quality, secrets, simhash, wavelet
+from tidewright.llm import ann, decontaminate, packing, quality, secrets, simhash, wavelet
 from tidewright.llm.common import table
 
 
@@ -22,6 +22,10 @@ def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op7_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(table(spark, sf_dir, "embeddings"))
+
+
 def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     return quality.classify(docs, quality.fit(docs, labels))
@@ -36,7 +40,7 @@ def op10_wavelet_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_benchmark_decontamination, op3_best_fit_packing, op4_simhash_near_dedup, op8_quality_classifier, op9_secret_scan, op10_wavelet_shards)}
+    return {f.__name__: f for f in (op1_benchmark_decontamination, op3_best_fit_packing, op4_simhash_near_dedup, op7_nearest_neighbours, op8_quality_classifier, op9_secret_scan, op10_wavelet_shards)}
 
 
 def oracle_sql() -> dict[str, str]:
