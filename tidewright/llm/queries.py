@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewright.llm import ann, decontaminate, langid, packing, quality, secrets, simhash, wavelet
+from tidewright.llm import ann, decontaminate, html, langid, packing, quality, secrets, simhash, wavelet
 from tidewright.llm.common import table
 
 
@@ -26,6 +26,10 @@ def op5_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
 
+def op6_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(table(spark, sf_dir, "pages"))
+
+
 def op7_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(table(spark, sf_dir, "embeddings"))
 
@@ -44,7 +48,7 @@ def op10_wavelet_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_benchmark_decontamination, op3_best_fit_packing, op4_simhash_near_dedup, op5_language_mixture, op7_nearest_neighbours, op8_quality_classifier, op9_secret_scan, op10_wavelet_shards)}
+    return {f.__name__: f for f in (op1_benchmark_decontamination, op3_best_fit_packing, op4_simhash_near_dedup, op5_language_mixture, op6_main_text, op7_nearest_neighbours, op8_quality_classifier, op9_secret_scan, op10_wavelet_shards)}
 
 
 def oracle_sql() -> dict[str, str]:
