@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewright.llm import ann, decontaminate, html, langid, packing, quality, secrets, simhash, wavelet
+from tidewright.llm import ann, decontaminate, html, langid, packing, quality, secrets, simhash, substrings, wavelet
 from tidewright.llm.common import table
 
 
@@ -14,6 +14,10 @@ def op1_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op2_repeated_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
@@ -48,7 +52,7 @@ def op10_wavelet_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_benchmark_decontamination, op3_best_fit_packing, op4_simhash_near_dedup, op5_language_mixture, op6_main_text, op7_nearest_neighbours, op8_quality_classifier, op9_secret_scan, op10_wavelet_shards)}
+    return {f.__name__: f for f in (op1_benchmark_decontamination, op2_repeated_substrings, op3_best_fit_packing, op4_simhash_near_dedup, op5_language_mixture, op6_main_text, op7_nearest_neighbours, op8_quality_classifier, op9_secret_scan, op10_wavelet_shards)}
 
 
 def oracle_sql() -> dict[str, str]:
