@@ -30,6 +30,8 @@ from tidewright.llm.common import arrow_rows, map_rows, materialize, ship, text_
 SAMPLE = 8_000
 WORDS = 160
 PREFIXES = (3, 4, 5, 6)
+#: Sites are joined to documents by broadcast up to this many, by a shuffle beyond.
+BROADCAST_SITES = 500_000
 _EDGE = "%#*$&|!.,;:?()[]\"'"
 _SHAPES = 13
 
@@ -214,6 +216,7 @@ def classify(docs: DataFrame, model: Model, host: str = "source", path: str = "l
         p = _sigmoid(F.col(f"{target}_evidence"))
         paths = scored.groupBy("host", "path").agg(F.count(F.lit(1)).alias("n"), F.sum(p).alias("s"), F.sum(p * p).alias("ss"))
         paths = materialize(paths, "quality-paths")
+        few = paths.count() <= BROADCAST_SITES
         hosts = paths.groupBy("host").agg(F.sum("n").alias("n"), F.sum("s").alias("s"))
         n, s, ss = paths.agg(F.sum("n"), F.sum("s"), F.sum("ss")).first()
         if not n:
@@ -231,7 +234,7 @@ def classify(docs: DataFrame, model: Model, host: str = "source", path: str = "l
             )
         )
         at = F.col("host").eqNullSafe(F.col("site_host")) & F.col("path").eqNullSafe(F.col("site_path"))
-        out = out.join(sites, at, "left").drop("site_host", "site_path")
+        out = out.join(F.broadcast(sites) if few else sites, at, "left").drop("site_host", "site_path")
         shift = _logit(F.col(f"path_{target}")) - _logit(F.lit(mean))
         out = out.withColumn(f"{target}_score", _sigmoid(F.col(f"{target}_evidence") + shift))
     keep = (F.col("quality_score") >= 0.5) & (F.col("toxic_score") < 0.5)
