@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewright.llm import ann, decontaminate, html, langid, packing, quality, secrets, simhash, substrings, wavelet
+from tidewright.llm import ann, decontaminate, html, langid, oracle, packing, quality, secrets, simhash, substrings, wavelet
 from tidewright.llm.common import table
 
 
@@ -56,4 +56,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_repeated_substrings": oracle.repeated_substrings(), "op9_secret_scan": oracle.secret_scan()}

@@ -259,9 +259,9 @@ def redact(docs: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] = RU
     trigrams = sorted({t for q in queries.values() if q for tris in q for t in tris})
     found = materialize(candidates(build_index(text, trigrams), rules), "trigram-candidates")
     n = found.agg(F.coalesce(F.sum(F.bitmap_count("bitmap")), F.lit(0))).first()[0]
-    ids = candidate_ids(found).select("cand_id", F.col("rules").alias("__rules"))
+    ids = candidate_ids(found).select(F.col("cand_id").alias("__cand"), F.col("rules").alias("__rules"))
     ids = F.broadcast(ids) if n <= BROADCAST_ROWS else ids
-    out = spark_docs.join(ids, spark_docs[id_col].cast("long") == ids.cand_id, "left")
+    out = spark_docs.join(ids, spark_docs[id_col].cast("long") == ids["__cand"], "left")
     for i, rule in enumerate(rules):
         hit = _hit(rule, "__text")
         if queries[rule.kind] is not None:
@@ -269,7 +269,7 @@ def redact(docs: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] = RU
         group = lambda g, p=rule.pattern: F.regexp_extract_all("__text", F.lit(p), F.lit(g))
         zipped = F.arrays_zip(F.split("__text", rule.pattern, -1).alias("p"), group(0).alias("m"), group(rule.group).alias("g"))
         out = out.withColumn("__text", F.when(hit, _rebuilt(zipped, rule.least)).otherwise(F.col("__text")))
-    out = out.withColumnRenamed("__text", text_col).drop("cand_id", "__rules")
+    out = out.withColumnRenamed("__text", text_col).drop("__cand", "__rules")
     if "n_chars" in out.columns:
         out = out.withColumn("n_chars", F.coalesce(F.length(text_col).cast(docs.schema["n_chars"].dataType), F.col("n_chars")))
     return out.select(*docs.columns)
