@@ -36,6 +36,17 @@ def test_anchors_are_the_leftmost_least(values):
     assert sorted(i for a, b in zip(lows, highs, strict=True) for i in range(a, b + 1)) == list(range(len(want)))
 
 
+def test_long_texts_go_block_by_block(monkeypatch):
+    data = np.frombuffer(bytes(random.Random(4).choices(b"abcd ", k=5000)), np.uint8)
+    want = {w for _, a, b in zip(*s.stretches(data), strict=True) for w in range(a, b + 1)}
+    monkeypatch.setattr(s, "BLOCK", 700)
+    keys, lows, highs = s.stretches(data)
+    assert {w for a, b in zip(lows, highs, strict=True) for w in range(a, b + 1)} == want and len(keys) == len(lows)
+    monkeypatch.undo()
+    whole = dict(zip(s.stretches(data)[1].tolist(), s.stretches(data)[0].tolist(), strict=True))
+    assert sum(whole.get(a) == k for a, k in zip(lows.tolist(), keys.tolist(), strict=True)) >= len(whole) - 1
+
+
 def brute(rows, window=200):
     texts = [(i, (t or "").encode()) for i, t in rows]
     count = Counter(t[i : i + window] for _, t in texts for i in range(len(t) - window + 1))

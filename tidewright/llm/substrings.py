@@ -38,7 +38,8 @@ WINDOW = 200
 GRAM = 50
 HALF = (WINDOW - GRAM) // 2
 SHARD = 1 << 18
-GROUP_BYTES = 4 << 20
+GROUP_BYTES = 1 << 20
+BLOCK = 1 << 20
 BROADCAST_ROWS = 4_000_000
 _TABLE = np.random.default_rng(12345).integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
 _STEP = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3)]
@@ -108,6 +109,12 @@ def stretches(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     if len(data) < WINDOW:
         none = np.empty(0, np.int64)
         return none, none, none
+    if len(data) >= BLOCK + WINDOW:  # long texts block by block; a run that a block's end cuts is two runs
+        parts = []
+        for at in range(0, len(data) - WINDOW + 1, BLOCK):
+            keys, lows, highs = stretches(data[at : at + BLOCK + WINDOW - 1])
+            parts.append((keys, lows + at, highs + at))
+        return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
     anchor, low, high = anchors(data)
     pieces = gram_hashes(data, GRAM + HALF)
     middle = anchor - HALF
