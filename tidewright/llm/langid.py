@@ -56,42 +56,43 @@ class Model:
         pairs: dict[str, np.ndarray] = {}
         for g, c in counts.items():
             pairs[g[:2]] = pairs.get(g[:2], np.zeros(k)) + c
-        self.grams = {g: np.log((np.asarray(c) + 0.5) / (pairs[g[:2]] + 0.5 * alphabet)) for g, c in counts.items()}
-        self.pairs = {p: np.log(0.5 / (c + 0.5 * alphabet)) for p, c in pairs.items()}
-        self.unseen = np.full(k, -np.log(alphabet))
+        # One table of log-probabilities: known trigrams, then unseen thirds after known pairs, then the rest.
+        self.grams = {g: i for i, g in enumerate(counts)}
+        self.pairs = {p: len(counts) + i for i, p in enumerate(pairs)}
+        known = [np.log((np.asarray(c) + 0.5) / (pairs[g[:2]] + 0.5 * alphabet)) for g, c in counts.items()]
+        known += [np.log(0.5 / (c + 0.5 * alphabet)) for c in pairs.values()]
+        self.logs = np.array([*known, np.full(k, -np.log(alphabet))])
         self.kept: dict[str, int] = {}
         self.rows = np.empty((1024, k))
 
-    def word(self, word: str) -> np.ndarray:
-        total = np.zeros(len(self.languages))
-        for g in _grams(word):
-            found = self.grams.get(g)
-            if found is None:
-                found = self.pairs.get(g[:2], self.unseen)
-            total = total + found
-        return total
+    def words(self, new: list[str]) -> np.ndarray:
+        """Log-likelihoods of words under every language, one row each."""
+        rows: list[int] = []
+        starts = []
+        grams, pairs, last = self.grams.get, self.pairs.get, len(self.logs) - 1
+        for word in new:
+            starts.append(len(rows))
+            for g in _grams(word):
+                at = grams(g)
+                rows.append(pairs(g[:2], last) if at is None else at)
+        return np.add.reduceat(self.logs[rows], starts, axis=0)
 
     def table(self, distinct: list[str]) -> np.ndarray:
         """Log-likelihoods of words, one row each; common words are kept between calls."""
-        rare: list[np.ndarray] = []
-        at = np.empty(len(distinct), np.int64)
-        for i, w in enumerate(distinct):
-            n = self.kept.get(w)
-            if n is None:
-                value = self.word(w)
-                if len(self.kept) < KEPT_WORDS:
-                    n = len(self.kept)
-                    self.kept[w] = n
-                    if n >= len(self.rows):
-                        self.rows = np.concatenate((self.rows, np.empty_like(self.rows)))
-                    self.rows[n] = value
-                else:
-                    rare.append(value)
-                    n = -len(rare)
-            at[i] = n
+        get = self.kept.get
+        at = np.fromiter((get(w, -1) for w in distinct), np.int64, len(distinct))
+        missing = np.flatnonzero(at < 0)
         out = self.rows[np.maximum(at, 0)]
-        if rare:
-            out[at < 0] = np.array(rare)[-at[at < 0] - 1]
+        if len(missing):
+            new = [distinct[i] for i in missing.tolist()]
+            out[missing] = values = self.words(new)
+            room = KEPT_WORDS - len(self.kept)
+            first = dict(zip(reversed(new[:room]), reversed(range(min(room, len(new)))), strict=True))
+            while len(self.rows) < len(self.kept) + len(first):
+                self.rows = np.concatenate((self.rows, np.empty_like(self.rows)))
+            for w, i in first.items():
+                self.rows[len(self.kept)] = values[i]
+                self.kept[w] = len(self.kept)
         return out
 
     def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
@@ -112,35 +113,38 @@ class Model:
         total = np.add.reduceat(n, starts)
         k = len(self.languages)
 
-        def fit(allowed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        def fit(allowed: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            """Proportions over the allowed languages and their log-likelihood, for some of the documents."""
+            inside = np.isin(owner, docs) if len(docs) < len(some) else slice(None)
+            lengths = (ends - starts)[docs]
+            at, of, m, x = np.cumsum(lengths) - lengths, np.repeat(np.arange(len(docs)), lengths), n[inside], likely[inside]
             share = allowed / allowed.sum(axis=1, keepdims=True)
             for _ in range(ROUNDS):
-                parts = share[owner] * likely
-                parts *= (n / np.maximum(parts.sum(axis=1), 1e-300))[:, None]
-                share = np.add.reduceat(parts, starts, axis=0) / total[:, None]
-            mixed = np.maximum((share[owner] * likely).sum(axis=1), 1e-300)
-            return share, base + np.add.reduceat(n * np.log(mixed), starts)
+                parts = share[of] * x
+                parts *= (m / np.maximum(parts.sum(axis=1), 1e-300))[:, None]
+                share = np.add.reduceat(parts, at, axis=0) / total[docs, None]
+            mixed = np.maximum((share[of] * x).sum(axis=1), 1e-300)
+            return share, base[docs] + np.add.reduceat(m * np.log(mixed), at)
 
-        everything, _ = fit(np.ones((len(some), k)))
+        everything, most = fit(np.ones((len(some), k)), np.arange(len(some)))
         # Ties between proportions go to the smaller name: the languages are in order of names.
         order = np.argsort(-everything, axis=1, kind="stable")
-        best = np.full(len(some), -np.inf)
         chosen = np.zeros((len(some), k))
-        for size in range(1, k + 1):
-            allowed = np.zeros((len(some), k))
-            np.put_along_axis(allowed, order[:, :size], 1.0, axis=1)
-            if size == 1:
-                share = allowed
-                single = np.take_along_axis(np.add.reduceat(n[:, None] * logs, starts, axis=0), order[:, :1], axis=1)[:, 0]
-                value = single
-            else:
-                share, value = fit(allowed)
-            value = value - PENALTY * (size - 1) * np.log(total + 1)
-            better = value > best
-            best = np.where(better, value, best)
-            chosen[better] = share[better]
-            if size > 1 and not better.any():
+        np.put_along_axis(chosen, order[:, :1], 1.0, axis=1)
+        best = np.take_along_axis(np.add.reduceat(n[:, None] * logs, starts, axis=0), order[:, :1], axis=1)[:, 0]
+        step = PENALTY * np.log(total + 1)
+        # All languages together explain a document best; where even they gain less than one step, one language stays.
+        docs = np.flatnonzero(most - best > step)
+        for size in range(2, k + 1):
+            if not len(docs):
                 break
+            allowed = np.zeros((len(docs), k))
+            np.put_along_axis(allowed, order[docs, :size], 1.0, axis=1)
+            share, value = fit(allowed, docs) if size < k else (everything[docs], most[docs])
+            value = value - (size - 1) * step[docs]
+            better = value > best[docs]
+            best[docs] = np.where(better, value, best[docs])
+            chosen[docs[better]] = share[better]
         top = chosen.argmax(axis=1)
         for i, row, t in zip(some.tolist(), chosen, top.tolist(), strict=True):
             out[i] = (self.languages[t], float(min(1.0, row[t])))
