@@ -166,8 +166,12 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> Model:
     arrow_rows(spark, 512)
     learn = docs.where(F.col("doc_id").isNotNull() & ~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull())
     ids = learn.select(F.col("doc_id").alias("__id"), F.col("lang").cast("string").alias("__lang"))
-    order = Window.partitionBy("__lang").orderBy(F.xxhash64("__id"), "__id")
-    chosen = ids.withColumn("n", F.row_number().over(order)).where(F.col("n") <= sample).select("__id").distinct()
+    order = [F.xxhash64("__id"), F.col("__id")]
+    # First within salted parts of a language, so that the last ranking of a large one sees a bounded number of ids.
+    ids = ids.withColumn("__salt", F.pmod(F.xxhash64(F.lit(3), "__id"), F.lit(64)))
+    for spec in (Window.partitionBy("__lang", "__salt"), Window.partitionBy("__lang")):
+        ids = ids.withColumn("n", F.row_number().over(spec.orderBy(*order))).where(F.col("n") <= sample).drop("n")
+    chosen = ids.select("__id").distinct()
     rows = learn.join(F.broadcast(chosen), F.col("doc_id") == F.col("__id"), "left_semi").select(F.col("lang").cast("string").alias("lang"), "text")
 
     def count(batches: Iterator[list[tuple]]) -> Iterator[list[tuple]]:
