@@ -9,15 +9,35 @@ from tidewright.functions import rules
 from tidewright.plans.contracts import FieldSpec, MappingContract, RowRule, SourceContract
 
 
-def field_struct(spec: FieldSpec, raw: Column) -> Column:
-    """raw, normalized, parsed, status and every error of one field."""
-    value, code = rules.normalize(raw, spec.normalizers)
-    parsed, parse_code = rules.PARSERS[spec.type](value)
-    missing = F.when(value.isNull() & code.isNull(), rules.REQUIRED_VALUE_MISSING) if spec.required else rules.none()
-    violations = rules.validate(rules.number(parsed), spec.validators)
-    errors = F.concat(F.array_compact(F.array(missing, F.coalesce(code, parse_code))), F.array_compact(violations))
-    status = F.when(F.size(errors) == 0, "PASSED").otherwise("IGNORED" if spec.ignore_invalid else "FAILED")
-    return F.struct(raw.alias("raw"), value.alias("normalized"), parsed.alias("parsed"), status.alias("status"), errors.alias("errors"))
+def validate_fields(records: DataFrame, fields: tuple[FieldSpec, ...]) -> DataFrame:
+    """Replace each field's text by struct(raw, normalized, parsed, status, errors).
+
+    Every normalizer is a projection of its own over all fields: a rule reads its input several times,
+    and one nested expression would compute all earlier rules again for each reading.
+    """
+    v, c = (lambda f: f"_v_{f.name}"), (lambda f: f"_c_{f.name}")
+    out = records.withColumns({v(f): F.col(f.name) for f in fields} | {c(f): rules.none() for f in fields})
+    for k in range(max(len(f.normalizers) for f in fields)):
+        step: dict[str, Column] = {}
+        for f in fields:
+            if k < len(f.normalizers):
+                value, code = rules.normalize(F.col(v(f)), f.normalizers[k : k + 1])
+                step |= {v(f): value, c(f): F.coalesce(F.col(c(f)), code)}
+        out = out.withColumns(step)
+    step = {}
+    for f in fields:
+        parsed, code = rules.PARSERS[f.type](F.col(v(f)))
+        missing = F.when(F.col(v(f)).isNull() & F.col(c(f)).isNull(), rules.REQUIRED_VALUE_MISSING) if f.required else rules.none()
+        step |= {f"_p_{f.name}": parsed, f"_e_{f.name}": F.array_compact(F.array(missing, F.coalesce(F.col(c(f)), code)))}
+    out = out.withColumns(step)
+    out = out.withColumns({f"_e_{f.name}": F.concat(f"_e_{f.name}", rules.validate(rules.number(F.col(f"_p_{f.name}")), f.validators)) for f in fields})
+    structs = {}
+    for f in fields:
+        status = F.when(F.size(f"_e_{f.name}") == 0, "PASSED").otherwise("IGNORED" if f.ignore_invalid else "FAILED")
+        structs[f.name] = F.struct(
+            F.col(f.name).alias("raw"), F.col(v(f)).alias("normalized"), F.col(f"_p_{f.name}").alias("parsed"), status.alias("status"), F.col(f"_e_{f.name}").alias("errors")
+        )
+    return out.withColumns(structs).drop(*(f"_{x}_{f.name}" for f in fields for x in "vcpe"))
 
 
 def _rule_error(rule: RowRule) -> Column:
@@ -28,7 +48,7 @@ def _rule_error(rule: RowRule) -> Column:
 
 def validate_rows(records: DataFrame, contract: SourceContract) -> DataFrame:
     """Replace each contract field's text by its struct; add row_errors and valid."""
-    out = records.withColumns({f.name: field_struct(f, F.col(f.name)) for f in contract.fields})
+    out = validate_fields(records, contract.fields)
     found = F.array_compact(F.array(*map(_rule_error, contract.rules))) if contract.rules else F.expr("cast(array() as array<string>)")
     out = out.withColumn("row_errors", found)
     failed = [F.col(f"{f.name}.status") == "FAILED" for f in contract.fields]

@@ -58,20 +58,20 @@ VOLUME_SQL = (
 ).format(VOLUME, PRICE_SQL).replace("{{", "{")
 
 
+def _field(rows: DataFrame, f: str) -> DataFrame:
+    return rows.select("l_orderkey", "l_linenumber", F.col(f"{f}.parsed").alias("parsed"), F.array_join(f"{f}.errors", ",").alias("errors"), F.col(f"{f}.status").alias("status"))
+
+
 @query(f"SELECT l_orderkey, l_linenumber, parsed, coalesce(code, '') AS errors, CASE WHEN code IS NULL THEN 'PASSED' ELSE 'FAILED' END AS status FROM ({PRICE_SQL})")
 def csv_field_validation(spark, sf):
-    field = csv_stage.field_struct(PRICE_SPEC, F.expr(PRICE))
-    return t(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", field.alias("f")).select(
-        "l_orderkey", "l_linenumber", F.col("f.parsed").alias("parsed"), F.array_join("f.errors", ",").alias("errors"), F.col("f.status").alias("status")
-    )
+    rows = t(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", F.expr(PRICE).alias("price"))
+    return _field(csv_stage.validate_fields(rows, (PRICE_SPEC,)), "price")
 
 
 @query(f"SELECT l_orderkey, l_linenumber, whole AS parsed, coalesce(wcode, '') AS errors, CASE WHEN wcode IS NULL THEN 'PASSED' ELSE 'IGNORED' END AS status FROM ({VOLUME_SQL})")
 def whole_number_parse(spark, sf):
-    field = csv_stage.field_struct(VOLUME_SPEC, F.expr(VOLUME))
-    return t(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", field.alias("f")).select(
-        "l_orderkey", "l_linenumber", F.col("f.parsed").alias("parsed"), F.array_join("f.errors", ",").alias("errors"), F.col("f.status").alias("status")
-    )
+    rows = t(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", F.expr(VOLUME).alias("volume"))
+    return _field(csv_stage.validate_fields(rows, (VOLUME_SPEC,)), "volume")
 
 
 def _p(part: str, n: int) -> str:

@@ -54,20 +54,27 @@ COLLECTIONS = {
 COVERAGE = ("asset_coverage_basis", "asset_coverage")
 
 
-def typed(value: Column, kind: str) -> tuple[Column, Column]:
-    """(exact text, code) of a JSON value read as text, date, decimal or percent."""
-    if kind == "text":
-        return json_values.text_value(value)
-    number = json_values.kind(value).isin("BIGINT", "DECIMAL", "DOUBLE", "INT")
-    text, wrong = json_values.text_value(value)
-    if kind == "date":
-        parsed, code = rules.strict_date(rules.strip(text))
-        return parsed, F.coalesce(wrong, code)
-    plain = F.when(number, F.try_variant_get(value, "$", "decimal(38,10)").cast("string")).otherwise(text)
-    chain = ("trim", "blankToNull", "normalizeGroupedNumber") if kind == "decimal" else ("keepBeforeFirstPercent", "blankToNull", "normalizeGroupedNumber")
-    clean, code = rules.normalize(plain, chain)
-    negative = rules.non_negative(rules.number(clean)) if kind == "percent" else rules.none()
-    return F.when(negative.isNull(), clean), F.coalesce(F.when(~number, wrong), code, negative)
+def typed(df: DataFrame, kinds: dict[str, str]) -> DataFrame:
+    """Columns v_<name> (JSON values) become <name> (exact text) and <name>_code, in one projection a step."""
+    number = {n: F.col(f"k_{n}").isin("BIGINT", "DECIMAL", "DOUBLE", "INT") & F.lit(k in ("decimal", "percent")) for n, k in kinds.items()}
+    out = df.withColumns({f"k_{n}": json_values.kind(F.col(f"v_{n}")) for n in kinds})
+    out = out.withColumns({
+        f"t_{n}": F.when(F.col(f"k_{n}") == "STRING", F.try_variant_get(f"v_{n}", "$", "string")).when(number[n], F.try_variant_get(f"v_{n}", "$", "decimal(38,10)").cast("string"))
+        for n in kinds
+    })
+    wrong = {n: F.col(f"k_{n}").isNotNull() & ~F.col(f"k_{n}").isin("STRING", "VOID") & ~number[n] for n in kinds}
+    out = out.withColumns({f"{n}_code": F.when(w, rules.INVALID_TYPE) for n, w in wrong.items()})
+    shape = {"text": lambda c: c, "date": rules.strip, "decimal": rules.strip, "percent": lambda c: rules.keep_before_first_percent(c)[0]}
+    out = out.withColumns({f"t_{n}": F.when(~rules.strip(F.col(f"t_{n}")).isin(*json_values.PLACEHOLDERS), shape[k](F.col(f"t_{n}"))) for n, k in kinds.items()})
+    parse = {"text": rules.as_text, "date": rules.strict_date, "decimal": rules.normalize_grouped_number, "percent": rules.normalize_grouped_number}
+    step: dict[str, Column] = {}
+    for n, k in kinds.items():
+        value, code = parse[k](F.nullif(F.col(f"t_{n}"), F.lit("")))
+        step |= {f"p_{n}": value, f"{n}_code": F.coalesce(F.col(f"{n}_code"), code)}
+    out = out.withColumns(step)
+    negative = {n: rules.non_negative(rules.number(F.col(f"p_{n}"))) if k == "percent" else rules.none() for n, k in kinds.items()}
+    out = out.withColumns({n: F.when(negative[n].isNull(), F.col(f"p_{n}")) for n in kinds} | {f"{n}_code": F.coalesce(F.col(f"{n}_code"), negative[n]) for n in kinds})
+    return out.drop(*(f"{x}_{n}" for n in kinds for x in "vktp"))
 
 
 def read(files: DataFrame) -> DataFrame:
@@ -78,12 +85,14 @@ def read(files: DataFrame) -> DataFrame:
 
 def scalars(docs: DataFrame) -> DataFrame:
     """One row per file and contract scalar that is present, rejected or blocked."""
-    cells = []
-    for place, (name, (path, kind)) in enumerate(SCALARS.items()):
-        value, blocked = json_values.scalar(F.col("document"), path)
-        text, code = typed(value, kind)
-        cells.append(F.struct(F.lit(place).alias("place"), F.lit(name).alias("field"), F.lit(path).alias("json_path"), text.alias("value"), code.alias("code"), blocked.alias("blocked")))
-    out = docs.where(F.col("error").isNull()).select("path", "isin", "modified", F.explode(F.array(*cells)).alias("c")).select("path", "isin", "modified", "c.*")
+    found = {n: json_values.scalar(F.col("document"), path) for n, (path, _) in SCALARS.items()}
+    rows = docs.where(F.col("error").isNull()).select("path", "isin", "modified", *(v.alias(f"v_{n}") for n, (v, _) in found.items()), *(b.alias(f"b_{n}") for n, (_, b) in found.items()))
+    rows = typed(rows, {n: kind for n, (_, kind) in SCALARS.items()})
+    cells = [
+        F.struct(F.lit(i).alias("place"), F.lit(n).alias("field"), F.lit(path).alias("json_path"), F.col(n).alias("value"), F.col(f"{n}_code").alias("code"), F.col(f"b_{n}").alias("blocked"))
+        for i, (n, (path, _)) in enumerate(SCALARS.items())
+    ]
+    out = rows.select("path", "isin", "modified", F.explode(F.array(*cells)).alias("c")).select("path", "isin", "modified", "c.*")
     return out.where("value is not null or code is not null or blocked is not null")
 
 
@@ -92,9 +101,10 @@ def entries(docs: DataFrame, name: str) -> DataFrame:
     path, fields, _, category = COLLECTIONS[name]
     good = docs.where(F.col("error").isNull())
     rows = json_values.collection(good, "document", path)
-    cells = {f: typed(F.try_variant_get("value", f"$.{key}", "variant"), kind) for f, (key, kind) in fields.items()}
-    codes = F.array_compact(F.array(*(c for _, c in cells.values())))
-    out = rows.select("path", "isin", "modified", "pos", "element_path", *(v.alias(f) for f, (v, _) in cells.items()), codes.alias("codes"))
+    rows = rows.select("path", "isin", "modified", "pos", "element_path", *(F.try_variant_get("value", f"$.{key}", "variant").alias(f"v_{f}") for f, (key, _) in fields.items()))
+    rows = typed(rows, {f: kind for f, (_, kind) in fields.items()})
+    codes = F.array_compact(F.array(*(F.col(f"{f}_code") for f in fields)))
+    out = rows.select("path", "isin", "modified", "pos", "element_path", *fields, codes.alias("codes"))
     usable = F.coalesce(*(F.col(f) for f in fields)).isNotNull()
     return out.withColumn("usable", usable).withColumn("source_category", F.lit(category).cast("string"))
 
