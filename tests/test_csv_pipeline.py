@@ -50,6 +50,11 @@ def test_issues(out):
     assert sequence == list(range(1, len(sequence) + 1))
 
 
+def test_rejected_records(out):
+    rows = {r.record_number: json.loads(r.record) for r in out["rejected_records"].collect()}
+    assert set(rows) == {3, 4, 7, 8, 9} and rows[8]["traded_volume"] == "14.5" and rows[7]["isin"] == ""
+
+
 def test_rejected_files_give_no_rows(out):
     errors = {r.path.rsplit("/", 1)[1]: r.error for r in out["rejected_files"].collect()}
     assert errors == {"late.csv": "MALFORMED_CSV", "empty.csv": "EMPTY_FILE", "twice.csv": "DUPLICATE_HEADER", "short.csv": "REQUIRED_HEADER_MISSING", "latin.csv": "MALFORMED_CSV"}

@@ -26,10 +26,18 @@ def run_csv(files: DataFrame, source: SourceContract = DAILY_CSV, summary: Mappi
         "coupons": coupons,
         "issues": csv_stage.issues(canonical, source, "path"),
         "counts": csv_stage.counts(canonical, "path"),
+        "rejected_records": rejected_records(canonical),
         "rejected_files": errors,
     }
 
 
+def rejected_records(canonical: DataFrame) -> DataFrame:
+    """Quarantined rows with their raw values as JSON; accepted rows with ignored fields are issues only."""
+    fields = [f.name for f in DAILY_CSV.fields if f.name in canonical.columns]
+    raw = F.to_json(F.struct(*(F.col(f"{f}.raw").alias(f) for f in fields)), {"ignoreNullFields": "false"})
+    return canonical.where("disposition <> 'ACCEPTED'").select("path", "record_number", "disposition", "superseded_by", raw.alias("record"))
+
+
 def evidence(canonical: DataFrame) -> DataFrame:
     """One JSON line per canonical row, nulls written out."""
     return canonical.select("path", F.to_json(F.struct(*canonical.columns), {"ignoreNullFields": "false"}).alias("value"))
