@@ -41,6 +41,7 @@ SHARD = 1 << 18
 GROUP_BYTES = 1 << 20
 BLOCK = 1 << 20
 BROADCAST_ROWS = 4_000_000
+HEAD = 7
 _TABLE = np.random.default_rng(12345).integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
 _STEP = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3)]
 
@@ -127,17 +128,42 @@ def stretches(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return keys[order].view(np.int64), lows[order], highs[order]
 
 
+def _heads(text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first HEAD symbols of every suffix as one number, and whether its string ends within them."""
+    key = text.astype(np.int64)
+    padded = np.append(key, np.zeros(HEAD, np.int64))
+    open_ = key > 0
+    for j in range(1, HEAD):
+        ahead = padded[j : j + len(text)] * open_
+        key = key << 9 | ahead
+        open_ &= ahead > 0
+    return key, ~open_
+
+
 def suffix_order(text: np.ndarray, owner: np.ndarray) -> np.ndarray:
-    """Suffix array of a shard by prefix doubling; terminators (0) are told apart by their string."""
-    rank = np.where(text > 0, text.astype(np.int64) + len(text), owner)
-    span = 1
+    """Suffix array of a shard by prefix doubling, re-sorting only suffixes that are still tied.
+
+    Ends of strings (symbol 0) are told apart by their string.
+    """
+    key, closed = _heads(text)
+    order = np.lexsort((np.where(closed, owner, 0), key))
+    fresh = np.concatenate(([True], (key[order[1:]] != key[order[:-1]]) | closed[order[1:]]))
+    places = np.arange(len(order))
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.maximum.accumulate(np.where(fresh, places, 0))
+    span = HEAD
     while True:
-        ahead = np.full(len(rank), -1, np.int64)
-        ahead[:-span] = rank[span:]
-        _, pair = np.unique(rank * (np.int64(2) * len(text) + 300) + ahead + 1, return_inverse=True)
-        rank, span = pair.astype(np.int64), span * 2
-        if rank.max() == len(rank) - 1:
-            return np.argsort(rank)
+        tied = np.flatnonzero(~(fresh & np.append(fresh[1:], True)))
+        if not len(tied):
+            return order
+        held = order[tied]
+        pair = rank[held] * np.int64(len(order) + 1) + rank[held + span]
+        by = np.argsort(pair, kind="stable")
+        held, pair = held[by], pair[by]
+        order[tied] = held
+        fresh[tied] = first = np.concatenate(([True], pair[1:] != pair[:-1]))
+        rank[held] = tied[np.maximum.accumulate(np.where(first, np.arange(len(tied)), 0))]
+        span *= 2
 
 
 def transform(strings: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -173,12 +199,16 @@ def repeated_windows(strings: list[bytes], window: int = WINDOW, shard: int = SH
     text_symbol = np.zeros(base, np.uint16)
     inside = symbols > 0
     text_symbol[order[follow[inside]]] = symbols[inside]
-    # Depth 1: entries by their first byte, shard after shard; the interleaving starts from there.
-    first = text_symbol[order]
-    now = np.argsort(first, kind="stable")
-    now = now[np.searchsorted(first[now], 1) :]
-    block = first[now].astype(np.int64)
-    for depth in range(1, window + 1):
+    # The interleaving starts from the first bytes of the shards' entries, as many as one number holds.
+    start = min(HEAD, window)
+    key, closed = _heads(text_symbol)
+    if start < HEAD:
+        key, closed = key >> (9 * (HEAD - start)), (key >> (9 * (HEAD - start)) & 511) == 0
+    key, closed = key[order], closed[order]
+    now = np.flatnonzero(~closed)
+    now = now[np.argsort(key[now], kind="stable")]
+    block = key[now]
+    for depth in range(start, window + 1):
         edge = np.concatenate(([True], block[1:] != block[:-1], [True])) if len(block) else np.array([True])
         alone = edge[:-1] & edge[1:]
         now = now[~alone]
@@ -280,13 +310,16 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     some = _pick(texts, wanted.select("key"), n).join(wanted, "key")
     pieces = materialize(map_rows(some.select("key", "text", "names"), "name long, sid long, key long, start long, piece binary", _cut), "repeat-pieces", "zstd")
 
-    distinct = pieces.groupBy("name", "sid").agg(F.first("piece").alias("piece"), F.count(F.lit(1)).alias("n"))
+    known = pieces.groupBy("name", "sid").agg(F.count(F.lit(1)).alias("n"), F.max(F.octet_length("piece")).cast("long").alias("size"))
+    twice = known.where("n > 1").select("name", "sid", F.sequence(F.lit(0).cast("long"), F.col("size") - WINDOW).alias("all"))
+    # A piece whose stretches are all equal is settled by their number; only differing ones are merged.
+    mixed = known.groupBy("name").agg(F.count(F.lit(1)).alias("sids")).where("sids > 1").select("name")
+    distinct = pieces.join(mixed, "name", "left_semi").groupBy("name", "sid").agg(F.first("piece").alias("piece"))
     total = pieces.agg(F.coalesce(F.sum(F.octet_length("piece")), F.lit(0))).first()[0]
     groups = max(1, math.ceil(total / GROUP_BYTES))
     grouped = distinct.withColumn("group", F.pmod(F.xxhash64("name"), F.lit(groups)))
     merged = grouped.select("group", "name", "sid", "piece").groupBy("group").applyInPandas(_merge, "name long, sid long, at array<long>")
     merged = materialize(merged.where(F.size("at") > 0), "repeat-merged", "zstd")
-    twice = distinct.where("n > 1").select("name", "sid", F.sequence(F.lit(0).cast("long"), F.octet_length("piece").cast("long") - WINDOW).alias("all"))
     places = pieces.select("name", "sid", "key", "start").join(merged, ["name", "sid"], "left").join(twice, ["name", "sid"], "left")
     windows = places.select("key", "start", F.coalesce("all", "at").alias("at")).where(F.col("at").isNotNull())
     # Runs of consecutive windows, as (first, last) pairs per text.
