@@ -16,6 +16,28 @@ def test_markup_decides():
     assert html.blocks(None) == [] and html.blocks("") == []
 
 
+@pytest.mark.parametrize(
+    "page",
+    [
+        "<html><head><meta charset=utf-8><title>T</title><body><article><p>The story</p></article>",
+        "<head><title>T</title><article><p>The story</p></article>",
+        "<article><svg viewBox='0 0 1 1'/><iframe src=\"a\" /><video src='b'/><p>The story</p></article>",
+        "<div class='content has-sidebar'><article><p>The story</p></article></div>",
+        "<div id='page-with-comments'><main><p>The story</p></main></div>",
+        "<form id=f action=/x><div class='page search'><article><p>The story</p></article></div></form>",
+        "<main><div class='wide-search'><article class='post comments-open'><p>The story</p></article></div></main>",
+    ],
+)
+def test_markup_slips_lose_no_text(page):
+    assert html.blocks(page) == [("The story", html.KEEP)]
+
+
+def test_wrappers_without_article():
+    assert html.blocks("<head><title>T</title>The story") == [("The story", html.OPEN)]
+    assert html.blocks("<form><div class='content'><p>The story</p></div></form>") == [("The story", html.OPEN)]
+    assert html.blocks("<article><p>A</p><div class=comments><article><p>B</p></article></div><iframe src=a/>x</iframe></article>") == [("A", html.KEEP), ("B", html.DROP)]
+
+
 def brute(streams, depth):
     """positions covered by a depth-long token string that occurs on another page of the host."""
     seen = {}

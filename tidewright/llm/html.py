@@ -32,8 +32,9 @@ from tidewright.llm.common import arrow_rows, map_rows, materialize, ship
 DEPTH = 8
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)/?>|<[!?][^>]*>", re.S)
 # Elements by role.
-_SILENT = {"script", "style", "noscript", "template", "svg", "head", "iframe", "object", "select", "button", "textarea", "canvas", "math", "audio", "video"}
-_RAW = {"script", "style", "textarea"}
+_SILENT = {"script", "style", "noscript", "template", "svg", "head", "iframe", "object", "select", "button", "textarea", "canvas", "math", "audio", "video", "title"}
+_RAW = {"script", "style", "textarea", "title"}
+_IN_HEAD = {"meta", "link", "title", "style", "script", "base", "noscript", "template"}
 _BOILERPLATE = {"nav", "footer", "aside", "form", "menu", "dialog"}
 _MAIN = {"article", "main"}
 _NESTING = {"div", "section", "header", "ul", "ol", "dl", "table", "figure", "fieldset", "details", "blockquote", "body", "span"} | _SILENT | _BOILERPLATE | _MAIN
@@ -47,16 +48,46 @@ _ROLES = re.compile(
     r"|navigation|complementary|contentinfo|dialog|form)(?=$|[\s_-])",
     re.I,
 )
+_WITHOUT = re.compile(r"(?:^|(?<=[\s_-]))(?:has|have|with|without|no)[_-]\S*", re.I)  # says what a wrapper has, not what it is
 KEEP, DROP, OPEN = 1, 0, 2
+_WEAK = 3
+
+
+def _self_closed(attributes: str) -> bool:
+    """A slash ends the tag, and not an unquoted value."""
+    if not attributes.endswith("/"):
+        return False
+    last = (attributes[:-1].split() or [""])[-1]
+    return "=" not in last or last[-1] in "\"'"
+
+
+def _inside(name: str, attributes: str, state: tuple[bool, bool, bool, bool]) -> tuple[bool, bool, bool, bool]:
+    """(boilerplate, boilerplate by words or form, by a whole word, main) within an element opened under `state`.
+
+    Words of an outer wrapper and forms do not reach into an article or main, unless that is part of
+    another and the whole class, id or role is such a word (comments under an article).
+    """
+    bad, soft, firm, main = state
+    roles = _WITHOUT.sub(" ", " ".join(v.strip("\"'") for _, v in _ATTRIBUTE.findall(attributes)))
+    whole = any(_ROLES.fullmatch(r) for r in roles.split())
+    if name != "body":
+        bad |= bool(_HIDDEN.search(attributes))
+    if name in _MAIN:
+        return bad or whole, soft and firm and main, firm and main, True
+    bad |= (name in _BOILERPLATE and name != "form") or (name == "header" and not main)
+    return bad, soft or name == "form" or (name != "body" and bool(_ROLES.search(roles))), firm or (name != "body" and whole), main
 
 
 def blocks(html: str | None) -> list[tuple[str, int]]:
-    """(text, KEEP | DROP | OPEN) of each non-blank block: inside the main part, boilerplate by markup, or neither."""
+    """(text, KEEP | DROP | OPEN) of each non-blank block: inside the main part, boilerplate by markup, or neither.
+
+    Blocks that only words or a form call boilerplate are open where the page has no other text.
+    """
     html = html or ""
     out: list[tuple[str, int]] = []
     held: list[str] = []
-    stack: list[tuple[str, int, int]] = []  # name, is boilerplate, is main
-    bad = main = 0
+    stack: list[tuple[str, tuple[bool, bool, bool, bool]]] = []  # name, state outside it
+    state = (False, False, False, False)
     now = OPEN
 
     def flush() -> None:
@@ -68,14 +99,21 @@ def blocks(html: str | None) -> list[tuple[str, int]]:
     at = 0
     while True:
         m = _TAG.search(html, at)
+        piece = html[at : m.start() if m else len(html)]
+        name, closing = (m[2].lower(), bool(m[1])) if m and m[2] else ("", False)
+        if stack and stack[-1][0] == "head" and piece.strip():
+            state = stack.pop()[1]  # text ends a head without a closing tag
         if not any(s[0] in _SILENT for s in stack):
-            held.append(html[at : m.start() if m else len(html)])
+            held.append(piece)
         if not m:
             break
         at = m.end()
-        if not m[2]:
+        if not name:
             continue
-        name, closing = m[2].lower(), bool(m[1])
+        if not closing and any(s[0] == "head" for s in stack) and (name == "body" or (stack[-1][0] == "head" and name not in _IN_HEAD)):
+            while stack[-1][0] != "head":  # so does the first element of the body
+                stack.pop()
+            state = stack.pop()[1]
         if name not in _INLINE:
             flush()
         elif name == "br":
@@ -84,26 +122,25 @@ def blocks(html: str | None) -> list[tuple[str, int]]:
             if closing:
                 if any(s[0] == name for s in stack):
                     while True:
-                        top, b, a = stack.pop()
-                        bad, main = bad - b, main - a
+                        top, state = stack.pop()
                         if top == name:
                             break
                     if name in _INLINE:
                         flush()
-            else:
-                roles = " ".join(v.strip("\"'") for _, v in _ATTRIBUTE.findall(m[3]))
-                b = int(name in _BOILERPLATE or (name == "header" and not main) or (name != "body" and bool(_ROLES.search(roles) or _HIDDEN.search(m[3]))))
-                if name != "span" or b:
+            elif not _self_closed(m[3]):
+                within = _inside(name, m[3], state)
+                if name != "span" or within[:2] != state[:2]:
                     if name in _INLINE:
                         flush()
-                    a = int(name in _MAIN)
-                    stack.append((name, b, a))
-                    bad, main = bad + b, main + a
+                    stack.append((name, state))
+                    state = within
                     if name in _RAW and (end := re.compile(rf"</{name}\s*>", re.I).search(html, at)):
                         at = end.start()
-        now = DROP if bad else KEEP if main else OPEN
+        bad, soft, _, main = state
+        now = DROP if bad else _WEAK if soft else KEEP if main else OPEN
     flush()
-    return out
+    weak = DROP if any(s in (KEEP, OPEN) for _, s in out) else OPEN
+    return [(text, weak if s == _WEAK else s) for text, s in out]
 
 
 def window_names(tokens: list[str], depth: int = DEPTH) -> np.ndarray:
