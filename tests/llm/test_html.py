@@ -1,3 +1,6 @@
+import random
+from collections import Counter
+
 import pytest
 
 from tidewright.llm import html
@@ -75,6 +78,35 @@ def test_repeats_across_pages_go(pages):
     assert html.extract(frame.limit(0)).count() == 0
 
 
+def test_repeats_inside_articles_go(spark):
+    notice = "you may read this page and share it with friends as long as our name stays on it"
+    short = "write to the desk if you find a mistake"
+    page = "<nav>n</nav><article><h1>Title {0}</h1><p>" + notice + "</p><p>story {0} is told here for the {1} readers of page {0} and others of {1}</p><p>this is the way we say things</p><p>so ends story {0}</p><p>" + short + "</p></article>"
+    rows = [(i, f"https://a.example/{i}", page.format(i, i * 7)) for i in range(4)] + [(9, "https://b.example/9", page.format(9, 63))]
+    out = {r.page_id: r.text.split("\n") for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for i in range(4):
+        assert out[i] == [f"Title {i}", f"story {i} is told here for the {i * 7} readers of page {i} and others of {i * 7}", "this is the way we say things", f"so ends story {i}"]
+    assert len(out[9]) == 6
+
+
+def test_anchors_lose_no_prefix():
+    rng = random.Random(3)
+    words = [f"w{i}" for i in range(500)]
+    shared = rng.choices(words, k=80)
+    texts = []
+    for _ in range(30):
+        at, n = rng.randrange(60), rng.randint(5, 20)
+        texts.append(" ".join(rng.choices(words, k=rng.randint(3, 20)) + shared[at : at + n] + rng.choices(words, k=9)))
+    windows = [[tuple(t.split()[i : i + html.DEPTH]) for i in range(len(t.split()) - html.DEPTH + 1)] for t in texts]
+    count = Counter(w for ws in windows for w in ws)
+    places = [html.anchor_names([t], "h") for t in texts]
+    seen = Counter(n for _, names in places for n in names.tolist())
+    assert sum(n > 1 for n in count.values()) > 20
+    for text, ws, (at, names) in zip(texts, windows, places, strict=True):
+        got, _ = html.prefix_names([text], "h", [p for p, n in zip(at.tolist(), names.tolist(), strict=True) if seen[n] > 1])
+        assert {i for i, w in enumerate(ws) if count[w] > 1} <= set(got.tolist())
+
+
 def test_window_names():
     tokens = "a b c d e a b c d e f".split()
     names = html.window_names(tokens, 5)

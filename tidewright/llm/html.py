@@ -1,19 +1,28 @@
-"""Main text of web pages: markup where it decides, host suffix order where it does not.
+"""Main text of web pages: markup proposes the main part, host suffix runs take boilerplate out of it.
 
-A page becomes blocks in page order. Blocks inside article or main are kept and blocks inside menus,
-headers, footers, sidebars, forms, adverts, notices, comments and the like are dropped, as the markup
-says. Everything outside article and main is also a token stream of its host: the suffixes of all
-streams are ordered by their first DEPTH tokens (prefix doubling), suffixes that agree on them form a
-run, and a run that spans distinct pages of the host is a repeated substring. On pages whose markup
-names no main part, blocks whose tokens are all covered by repeated substrings are removed as
-boilerplate and the unique runs are kept.
+A page becomes blocks in page order. Blocks inside menus, headers, footers, sidebars, forms, adverts,
+notices, comments and the like are dropped, as the markup says. The others are candidates: those inside
+article or main where a page has such blocks, else all. The candidates of a page are a token stream of
+its host, and every page's stream, with article or without, is held against the others of the host:
+suffixes of all streams that agree on their first DEPTH tokens (prefix doubling) form a run, and a run
+that spans distinct stories is a repeated substring; overlapping ones join to maximal runs, each at least
+DEPTH tokens long. A candidate goes if such runs cover all its tokens, or if it has SHORT tokens or more,
+too few for a run, and recurs as a whole block.
 
-Only one row per run and task moves, holding the first and last page, so the largest host is as cheap
-to merge as any other.
+Pages of one host are one story if their candidates are equal or nearly so: they agree in ALIKE or more
+of SKETCH least hashes of their GRAM-token names (two pages that share five eighths of all their names
+mostly do), in one of the pairs of them by which they meet. Chains of such pages are one story too.
+A copy or a reprint under another address so counts once and stays whole; a host whose pages without
+article differ in less than that keeps its boilerplate, for it cannot be told from copies.
+
+Runs are grouped by (host, name) in Spark. To move few rows, the first pass groups only anchors: the
+least of the GRAM-token names within each DEPTH-token prefix, which equal prefixes share. Only
+prefixes with a repeated anchor are grouped in the second pass, so nothing that repeats is lost. Of a
+run only the first and last story moves, so the largest host is as cheap to merge as any other.
 
 Defined cases: null html is empty and gives an empty text; null urls form a host of their own; pages
-that repeat a page_id are extracted each, and count as one page for repetition; an empty table gives
-no rows; other columns are ignored; pages are parsed whole.
+that repeat a page_id are extracted each, and count as one story; an empty table gives
+no rows; other columns are ignored; pages are parsed whole; what dropped blocks say is no evidence.
 """
 
 from __future__ import annotations
@@ -23,13 +32,21 @@ from collections.abc import Iterator
 from html import unescape
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewright.llm.common import arrow_rows, map_rows, materialize, ship
+from tidewright.llm.components import connected_components
 
-DEPTH = 8
+DEPTH = 12
+SHORT = 8
+GRAM = 5
+SKETCH = 16
+ALIKE = 10
+_TURNS = np.random.default_rng(61).integers(1, 1 << 63, (2, SKETCH, 1), dtype=np.uint64) | np.uint64(1)
+BROADCAST_ROWS = 1_000_000
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)/?>|<[!?][^>]*>", re.S)
 # Elements by role.
 _SILENT = {"script", "style", "noscript", "template", "svg", "head", "iframe", "object", "select", "button", "textarea", "canvas", "math", "audio", "video", "title"}
@@ -159,13 +176,59 @@ def window_names(tokens: list[str], depth: int = DEPTH) -> np.ndarray:
     return names
 
 
-def suffix_runs(pages: np.ndarray, names: np.ndarray) -> list[tuple[int, int, int]]:
-    """(name, first page, last page) of each run of the suffix order by depth-long prefixes."""
+def suffix_runs(pages: np.ndarray, names: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(names, first pages, last pages) of the runs of the suffix order by equal prefixes."""
     order = np.lexsort((pages, names))
     names, pages = names[order], pages[order]
     starts = np.flatnonzero(np.concatenate(([True], names[1:] != names[:-1]))) if len(names) else np.empty(0, int)
     ends = np.append(starts[1:], len(names)) - 1 if len(names) else starts
-    return list(zip(names[starts].view(np.int64).tolist(), pages[starts].tolist(), pages[ends].tolist(), strict=True))
+    return names[starts], pages[starts], pages[ends]
+
+
+def _anchors(names: np.ndarray) -> np.ndarray:
+    """The place of the leftmost least GRAM-token name within each DEPTH-token prefix."""
+    span = DEPTH - GRAM + 1
+    if len(names) < span:
+        return np.empty(0, np.int64)
+    return np.lib.stride_tricks.sliding_window_view(names, span).argmin(axis=1) + np.arange(len(names) - span + 1)
+
+
+def _of_host(names: np.ndarray, host: str) -> np.ndarray:
+    return (names ^ np.uint64(xxhash.xxh64_intdigest(host, 1))).view(np.int64)
+
+
+def _blocks_of_host(texts: list[str], host: str) -> tuple[np.ndarray, np.ndarray]:
+    """(-1 - i, name) of each block i that is too short for a run."""
+    found = [(-1 - i, xxhash.xxh64_intdigest(f"{host}\n{text}", 2)) for i, text in enumerate(texts) if SHORT <= text.count(" ") + 1 < DEPTH]
+    return np.array([i for i, _ in found], np.int64), np.array([n for _, n in found], np.uint64).view(np.int64)
+
+
+def anchor_names(texts: list[str], host: str) -> tuple[np.ndarray, np.ndarray]:
+    """(place, name) of a page's anchors and short blocks."""
+    names = window_names([t for text in texts for t in text.split(" ")], GRAM)
+    at = np.unique(_anchors(names))
+    return tuple(np.concatenate(x) for x in zip((at, _of_host(names[at], host)), _blocks_of_host(texts, host), strict=True))
+
+
+def prefix_names(texts: list[str], host: str, places: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """(place, name) of a page's DEPTH-token prefixes whose anchor is in `places`, and of its short blocks there."""
+    tokens = [t for text in texts for t in text.split(" ")]
+    at = np.flatnonzero(np.isin(_anchors(window_names(tokens, GRAM)), places))
+    short, names = _blocks_of_host(texts, host)
+    hit = np.isin(short, places)
+    return np.concatenate((at, short[hit])), np.concatenate((_of_host(window_names(tokens, DEPTH)[at], host), names[hit]))
+
+
+def sketch(texts: list[str], host: str) -> tuple[int, list[int]]:
+    """(hash of the host and all tokens, least hashes of the GRAM-token names) of a page; pages of fewer tokens differ if their texts do."""
+    stream = " ".join(texts)
+    content = xxhash.xxh64_intdigest(f"{host}\n{stream}")
+    names = window_names(stream.split(" "), GRAM)
+    if not len(names):
+        names = np.array([content], np.uint64)
+    mixed = (names ^ (names >> np.uint64(32))) * _TURNS[0]
+    least = ((mixed ^ (mixed >> np.uint64(29))) * _TURNS[1]).min(axis=1) >> np.uint64(32)
+    return content - (1 << 63), least.astype(np.uint32).view(np.int32).tolist()
 
 
 def _parse(batches: Iterator[list[tuple]]) -> Iterator[list[tuple]]:
@@ -173,43 +236,104 @@ def _parse(batches: Iterator[list[tuple]]) -> Iterator[list[tuple]]:
         rows = []
         for row, page_id, url, html in batch:
             found = blocks(html)
-            stream = [t for text, state in found if state != KEEP for t in text.split(" ")]
-            marked = any(state == KEEP for _, state in found)
-            wanted = [(text, OPEN) for text, state in found if state == OPEN] if not marked else []
+            wanted = KEEP if any(state == KEEP for _, state in found) else OPEN
             host = re.match(r"[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)", url or "")
-            rows.append((row, page_id, url, host[1].lower() if host else "", "\n".join(text for text, state in found if state == KEEP),
-                         [text for text, _ in wanted], [i for i, (_, state) in enumerate(f for f in found if f[1] != KEEP) if state == OPEN] if wanted else [],
-                         [len(text.split(" ")) for text, state in found if state != KEEP], window_names(stream).view(np.int64).tolist()))
+            host = host[1].lower() if host else ""
+            texts = [text for text, state in found if state == wanted]
+            rows.append((row, page_id, url, host, texts, *sketch(texts, host)))
         yield rows
 
 
-def _runs(batches: Iterator[list[tuple]]) -> Iterator[list[tuple]]:
+def _record(*columns: tuple[str, np.ndarray]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for _, x in columns], [name for name, _ in columns])
+
+
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The runs of a batch's anchors and short blocks."""
     for batch in batches:
-        hosts: dict[str, list[tuple[int, list[int]]]] = {}
-        for host, page, names in batch:
-            hosts.setdefault(host, []).append((page, names))
-        out = []
-        for host, streams in hosts.items():
-            pages = np.repeat(np.array([p for p, _ in streams], np.int64), [len(n) for _, n in streams])
-            names = np.concatenate([np.array(n, np.int64).view(np.uint64) for _, n in streams])
-            out += [(host, *run) for run in suffix_runs(pages, names)]
-        yield out
+        host, story, texts = (c.to_pylist() for c in batch.columns)
+        found = [anchor_names(t, h)[1] for t, h in zip(texts, host, strict=True)]
+        pages = np.repeat(np.array(story, np.int64), [len(n) for n in found])
+        name, low, high = suffix_runs(pages, np.concatenate(found) if found else np.empty(0, np.int64))
+        yield _record(("name", name), ("low", low), ("high", high))
+
+
+def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        row, host, texts = (c.to_pylist() for c in batch.columns)
+        found = [anchor_names(t, h) for t, h in zip(texts, host, strict=True)]
+        if found:
+            rows = np.repeat(np.array(row, np.int64), [len(n) for n, _ in found])
+            yield _record(("row", rows), ("at", np.concatenate([p for p, _ in found])), ("name", np.concatenate([n for _, n in found])))
+
+
+def _prefixes(batches: Iterator[list[tuple]]) -> Iterator[list[tuple]]:
+    for batch in batches:
+        rows = []
+        for row, host, story, texts, places in batch:
+            at, names = prefix_names(texts, host, places)
+            rows.append((row, story, at.tolist(), names.tolist()))
+        yield rows
 
 
 def _assemble(batches: Iterator[list[tuple]]) -> Iterator[list[tuple]]:
     for batch in batches:
         rows = []
-        for page_id, url, texts, places, sizes, covered in batch:
-            hit = np.zeros(sum(sizes) + DEPTH, bool)
-            for at in covered or ():
-                hit[at : at + DEPTH] = True
-            ends = np.cumsum(sizes)
-            kept = [text for text, i in zip(texts, places, strict=True) if not hit[ends[i] - sizes[i] : ends[i]].all()]
-            text = "\n".join(kept)
+        for page_id, url, texts, covered in batch:
+            if covered:
+                sizes = [text.count(" ") + 1 for text in texts]
+                ends = np.cumsum(sizes)
+                hit = np.zeros(int(ends[-1]), bool)
+                for at in covered:
+                    if at >= 0:
+                        hit[at : at + DEPTH] = True
+                    else:
+                        hit[ends[-1 - at] - sizes[-1 - at] : ends[-1 - at]] = True
+                texts = [text for text, end, size in zip(texts, ends, sizes, strict=True) if not hit[end - size : end].all()]
+            text = "\n".join(texts)
             rows.append((page_id, url, text, len(text)))
         yield rows
 
 
+def _few(df: DataFrame, rows: int) -> DataFrame:
+    """A join side of so many rows: broadcast up to BROADCAST_ROWS, joined by a shuffle beyond."""
+    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+
+
+def _repeats(names: DataFrame, tag: str) -> DataFrame:
+    """The names of runs that span distinct stories."""
+    spans = names.groupBy("name").agg(F.min("low").alias("low"), F.max("high").alias("high"))
+    found = materialize(spans.where("low <> high").select("name"), tag, "zstd")
+    return _few(found, found.count())
+
+
+def _per_row(places: DataFrame, names: DataFrame, tag: str) -> DataFrame:
+    """(row, places): the places of each row whose name is among `names`."""
+    found = places.join(names, "name", "left_semi").groupBy("row").agg(F.collect_list("at").alias("places"))
+    found = materialize(found, tag, "zstd")
+    return _few(found, found.agg(F.coalesce(F.sum(F.size("places")), F.lit(0))).first()[0])
+
+
+def _meet(places: DataFrame, key: str) -> DataFrame:
+    """(content, low, sketch) of rows that share the key with a smaller content, the least of which is low."""
+    low = places.groupBy(key).agg(F.min("content").alias("low"), F.max("content").alias("high")).where("low <> high").select(key, "low")
+    low = materialize(low, "html-meetings", "zstd")
+    return places.join(_few(low, low.count()), key).where("content <> low").select("content", "low", "sketch").distinct()
+
+
+def stories(streams: DataFrame) -> DataFrame:
+    """(content, story) of contents that are one story with others: near copies within a host, and rows of one page_id."""
+    pairs = F.transform(F.sequence(F.lit(0), F.lit(SKETCH - 2), F.lit(2)), lambda i: F.xxhash64("host", i, F.get("sketch", i), F.get("sketch", i + 1)))
+    near = materialize(_meet(streams.select("content", "sketch", F.explode(pairs).alias("pair")), "pair"), "html-near", "zstd")
+    firsts = near.select(F.col("low").alias("content")).distinct()
+    others = streams.join(_few(firsts, firsts.count()), "content", "left_semi").groupBy(F.col("content").alias("low")).agg(F.first("sketch").alias("other"))
+    alike = F.aggregate(F.zip_with("sketch", "other", lambda a, b: (a == b).cast("int")), F.lit(0), lambda a, b: a + b)
+    same = _meet(streams.where("page_id is not null"), "page_id").select("content", "low")
+    edges = near.join(others, "low").where(alike >= ALIKE).select("content", "low").unionByName(same)
+    found = connected_components(edges.select(F.col("content").alias("a"), F.col("low").alias("b")))
+    return found.select(F.col("node").alias("content"), F.col("component").alias("story"))
+
+
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars of every page."""
     spark = pages.sparkSession
@@ -219,19 +343,18 @@ def extract(pages: DataFrame) -> DataFrame:
         F.monotonically_increasing_id().alias("row"), F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"),
         F.col("html").cast("string").alias("html"),
     )
-    schema = "row long, page_id long, url string, host string, text string, texts array<string>, places array<int>, sizes array<int>, names array<long>"
-    parsed = materialize(map_rows(rows, schema, _parse), "html-blocks")
-    page = F.coalesce("page_id", F.lit(-1) - F.col("row"))
-    runs = map_rows(parsed.where(F.size("names") > 0).select("host", page, "names"), "host string, name long, low long, high long", _runs)
-    spans = runs.groupBy("host", "name").agg(F.min("low").alias("low"), F.max("high").alias("high"))
-    repeated = materialize(spans.where("low <> high").select("host", "name"), "html-repeats")
-    unmarked = parsed.where(F.size("texts") > 0)
-    covered = (
-        unmarked.select("row", "host", F.posexplode("names").alias("at", "name"))
-        .join(repeated, ["host", "name"], "left_semi")
-        .groupBy("row")
-        .agg(F.collect_list("at").alias("covered"))
-    )
-    opened = unmarked.join(covered, "row", "left").select("page_id", "url", "texts", "places", "sizes", "covered")
-    marked = parsed.where(F.size("texts") == 0).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
-    return marked.unionByName(map_rows(opened, "page_id long, url string, text string, n_chars long", _assemble))
+    schema = "row long, page_id long, url string, host string, texts array<string>, content long, sketch array<int>"
+    parsed = materialize(map_rows(rows, schema, _parse), "html-blocks", "zstd")
+    streams = parsed.where(F.size("texts") > 0)
+    known = materialize(stories(streams), "html-stories", "zstd")
+    streams = streams.join(_few(known, known.count()), "content", "left").withColumn("story", F.coalesce("story", "content"))
+    runs = streams.select("host", "story", "texts").mapInArrow(_runs, "name long, low long, high long")
+    places = streams.select("row", "host", "texts").mapInArrow(_places, "row long, at long, name long")
+    anchored = _per_row(places, _repeats(runs, "html-anchors"), "html-anchored")
+    prefixes = map_rows(streams.join(anchored, "row").select("row", "host", "story", "texts", "places"), "row long, story long, at array<long>, names array<long>", _prefixes)
+    prefixes = materialize(prefixes, "html-prefixes", "zstd")
+    found = prefixes.select("row", "story", F.explode(F.arrays_zip("at", "names")).alias("x")).select("row", "story", "x.at", F.col("x.names").alias("name"))
+    repeated = _repeats(found.select("name", F.col("story").alias("low"), F.col("story").alias("high")), "html-repeats")
+    covered = _per_row(found.select("row", "at", "name"), repeated, "html-covered")
+    out = parsed.join(covered, "row", "left").select("page_id", "url", "texts", "places")
+    return map_rows(out, "page_id long, url string, text string, n_chars long", _assemble)
