@@ -89,6 +89,23 @@ def test_repeats_inside_articles_go(spark):
     assert len(out[9]) == 6
 
 
+def test_copies_keep_their_text(spark):
+    menu = "home news about us contact the team today and more links here"
+    rng = random.Random(8)
+    story = [" ".join(rng.choices([f"w{i}" for i in range(900)], k=120)) for _ in range(3)]
+    plain = "<p>" + menu + "</p><p>{}</p><p>read at {}</p>"
+    rows = [(1, "https://a.example/1", plain.format(story[0], 1)), (2, "https://a.example/1?utm_source=x", plain.format(story[0], 1)), (3, "https://a.example/1?utm_source=y", plain.format(story[0], "noon"))]
+    alone = [(page + 10, url.replace("a.", "b."), page_html) for page, url, page_html in rows]
+    rows += [(4, "https://a.example/4", plain.format(story[1], 4)), (None, "https://a.example/5", plain.format(story[2], 5)), *alone]
+    rows += [(20, "https://c.example/1", f"<article><p>{story[0]}</p></article>"), (21, "https://c.example/1?utm_source=x", f"<article><p>{story[0]}</p></article>")]
+    out = {r.page_id: r.text.split("\n") for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for page, n, at in ((1, 0, 1), (2, 0, 1), (3, 0, "noon"), (4, 1, 4), (None, 2, 5)):
+        assert out[page] == [story[n], f"read at {at}"]
+    for page, at in ((11, 1), (12, 1), (13, "noon")):
+        assert out[page] == [menu, story[0], f"read at {at}"]
+    assert out[20] == out[21] == [story[0]]
+
+
 def test_anchors_lose_no_prefix():
     rng = random.Random(3)
     words = [f"w{i}" for i in range(500)]
