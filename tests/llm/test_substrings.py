@@ -79,6 +79,28 @@ def test_remove_repeats(spark):
     assert s.remove_repeats(docs.limit(0)).count() == 0
 
 
+def test_frequent_pieces_make_no_large_group(spark, monkeypatch):
+    rng = random.Random(5)
+    text = lambda n: "".join(rng.choices("abcdefgh ", k=n))
+    passage, wider, bound = text(190), text(60), 8000
+    rows = [(i, text(300) + (wider if i % 10 == 0 else text(60)) + passage + text(300)) for i in range(80)] + [(90, "ab" * 150), (91, "ab" * 160 + text(50))]
+
+    def merge(group):
+        from tidewright.llm import substrings
+
+        found = substrings.repeated_windows(list(group["piece"]))
+        assert group["piece"].map(len).sum() <= bound, "large group"
+        return group[["name", "sid"]].assign(at=[np.flatnonzero(m) for m in found])
+
+    monkeypatch.setattr(s, "_merge", merge)
+    monkeypatch.setattr(s, "HOT_BYTES", 2000, raising=False)
+    monkeypatch.setattr(s, "GROUP_BYTES", 2000)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert got(s.remove_repeats(docs)) == brute(rows)
+    monkeypatch.setattr(s, "HOT_BYTES", 0)
+    assert got(s.remove_repeats(docs)) == brute(rows)
+
+
 def test_on_the_table(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     assert got(s.remove_repeats(docs)) == brute([(r.doc_id, r.text) for r in docs.collect()])

@@ -39,6 +39,7 @@ GRAM = 50
 HALF = (WINDOW - GRAM) // 2
 SHARD = 1 << 18
 GROUP_BYTES = 1 << 20
+HOT_BYTES = 1 << 18
 BLOCK = 1 << 20
 BROADCAST_ROWS = 4_000_000
 HEAD = 7
@@ -260,6 +261,19 @@ def _merge(group: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"name": group["name"], "sid": group["sid"], "at": [np.flatnonzero(m) for m in found]})
 
 
+def _windows(batches: Iterator[list[tuple]]) -> Iterator[list[tuple]]:
+    """Every window of a stretch by its hash."""
+    for batch in batches:
+        yield [(name, sid, at, xxhash.xxh3_128_digest(piece[at : at + WINDOW])) for name, sid, piece in batch for at in range(len(piece) - WINDOW + 1)]
+
+
+def _counted(stretches: DataFrame) -> DataFrame:
+    """name, sid and the sorted places of the windows that recur among the stretches of the name."""
+    windows = map_rows(stretches.select("name", "sid", "piece"), "name long, sid long, at long, window binary", _windows)
+    repeated = windows.groupBy("name", "window").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("name", "window")
+    return windows.join(repeated, ["name", "window"], "left_semi").groupBy("name", "sid").agg(F.array_sort(F.collect_list("at")).alias("at"))
+
+
 def _runs(at: np.ndarray, size: int) -> np.ndarray:
     """Maximal runs [start, end) of bytes covered by windows that start at the sorted places `at`."""
     breaks = np.flatnonzero(np.diff(at) > size)
@@ -313,13 +327,21 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     known = pieces.groupBy("name", "sid").agg(F.count(F.lit(1)).alias("n"), F.max(F.octet_length("piece")).cast("long").alias("size"))
     twice = known.where("n > 1").select("name", "sid", F.sequence(F.lit(0).cast("long"), F.col("size") - WINDOW).alias("all"))
     # A piece whose stretches are all equal is settled by their number; only differing ones are merged.
-    mixed = known.groupBy("name").agg(F.count(F.lit(1)).alias("sids")).where("sids > 1").select("name")
-    distinct = pieces.join(mixed, "name", "left_semi").groupBy("name", "sid").agg(F.first("piece").alias("piece"))
+    mixed = known.groupBy("name").agg(F.count(F.lit(1)).alias("sids"), F.sum("size").alias("bytes")).where("sids > 1").select("name", "bytes")
+    mixed = materialize(mixed, "repeat-mixed", "zstd")
+    cold, hot = mixed.where(F.col("bytes") <= HOT_BYTES).select("name"), mixed.where(F.col("bytes") > HOT_BYTES).select("name")
+    n_hot = hot.count()
+    hot = F.broadcast(hot) if n_hot <= BROADCAST_ROWS else hot
+    distinct = pieces.join(cold, "name", "left_semi").groupBy("name", "sid").agg(F.first("piece").alias("piece"))
     total = pieces.agg(F.coalesce(F.sum(F.octet_length("piece")), F.lit(0))).first()[0]
     groups = max(1, math.ceil(total / GROUP_BYTES))
     grouped = distinct.withColumn("group", F.pmod(F.xxhash64("name"), F.lit(groups)))
     merged = grouped.select("group", "name", "sid", "piece").groupBy("group").applyInPandas(_merge, "name long, sid long, at array<long>")
-    merged = materialize(merged.where(F.size("at") > 0), "repeat-merged", "zstd")
+    merged = merged.where(F.size("at") > 0)
+    if n_hot:
+        crowd = pieces.join(hot, "name", "left_semi").groupBy("name", "sid").agg(F.first("piece").alias("piece"))
+        merged = merged.unionByName(_counted(crowd))
+    merged = materialize(merged, "repeat-merged", "zstd")
     places = pieces.select("name", "sid", "key", "start").join(merged, ["name", "sid"], "left").join(twice, ["name", "sid"], "left")
     windows = places.select("key", "start", F.coalesce("all", "at").alias("at")).where(F.col("at").isNotNull())
     # Runs of consecutive windows, as (first, last) pairs per text.
