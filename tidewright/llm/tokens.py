@@ -17,7 +17,7 @@ import numpy as np
 import public_tokenizers
 from tokenizers import Tokenizer
 
-KEPT_PIECES = 200_000
+KEPT_PIECES = 400_000
 KEPT_PARTS = 400_000
 WORD = "word_bpe_49k.json"
 BYTE = "byte_bpe_50k.json"
@@ -27,13 +27,14 @@ _PLAIN = re.compile("[\t-\r\x20-\x7e\xa1-\xb1\xb4-\xb8\xba\xbb\xbf-į]*")
 _LETTERS = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-į"
 _WORD_SPLIT = re.compile(rf"[{_LETTERS}]+|[0-9]|'(?:s|t|re|ve|m|ll|d)|(?:[^\w\s]|_)+")
 _BYTE_SPLIT = re.compile(rf" ?[{_LETTERS}]+|'(?:s|t|re|ve|m|ll|d)| ?[0-9]+| ?(?:[^\w\s]|_)+|\s+(?!\S)|\s+")
-_RUN = re.compile(r"\s\s")
+_SPACES_AFTER = [f"{c} " for c in "\t\n\x0b\x0c\r "]  # a run of white space that such a pair ends is not cut at its spaces
 
 
-def _byte_alphabet() -> dict[int, str]:
+def _byte_alphabet() -> list[str]:
     """Byte-level vocabularies write bytes without a visible Latin-1 form as U+0100 onwards, in order."""
     visible = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
-    return {b: chr(0x100 + i) for i, b in enumerate(b for b in range(256) if b not in visible)}
+    hidden = {b: chr(0x100 + i) for i, b in enumerate(b for b in range(256) if b not in visible)}
+    return [hidden.get(b, chr(b)) for b in range(256)]
 
 
 class _Parts(dict):
@@ -41,10 +42,10 @@ class _Parts(dict):
 
     def __init__(self, tokenize, code: str):
         super().__init__()
-        self.tokenize, self.code, self.alphabet = tokenize, code, _byte_alphabet()
+        self.tokenize, self.code, self.visible = tokenize, code, _byte_alphabet().__getitem__
 
     def __missing__(self, part: str) -> bytes:
-        seen = part.encode().decode("latin-1").translate(self.alphabet)
+        seen = "".join(map(self.visible, part.encode()))
         found = array(self.code, [t.id for t in self.tokenize(seen)]).tobytes()
         if len(self) < KEPT_PARTS:
             self[part] = found
@@ -88,7 +89,7 @@ class Encoder:
             return self.whole(text)
         if self.words:
             found = map(self.pieces.__getitem__, text.lower().split())
-        elif _RUN.search(text):
+        elif any(pair in text for pair in _SPACES_AFTER):
             found = map(self.parts.__getitem__, self.split.findall(text))
         else:
             first, *rest = text.split(" ")
