@@ -11,14 +11,60 @@ from tidewright.llm import substrings as s
 from tidewright.llm.common import table
 
 
+def stretches_of(draw_pieces, window):
+    """Named stretches all of whose windows hold the byte at the base."""
+    rows = []
+    for piece, base, name in draw_pieces:
+        base %= len(piece)
+        piece, base = piece[max(0, base - window + 1) :], min(base, window - 1)
+        last = min(base, len(piece) - window) if len(piece) >= window else -1
+        if last >= 0:
+            rows.append((piece[: last + window], base, name))
+    return rows
+
+
+PIECES = st.lists(st.tuples(st.binary(min_size=1, max_size=30).map(lambda b: bytes(x % 2 + 97 for x in b)), st.integers(0, 30), st.integers(0, 1)), min_size=1, max_size=12)
+
+
+def by_counting(rows, window):
+    count = Counter((name, base - i, p[i : i + window]) for p, base, name in rows for i in range(len(p) - window + 1))
+    return [[n, i] for n, (p, base, name) in enumerate(rows) for i in range(len(p) - window + 1) if count[name, base - i, p[i : i + window]] > 1]
+
+
+def by_merging(rows, window, shard=25):
+    pieces, base, names = zip(*rows, strict=True)
+    return s.repeated_windows(list(pieces), np.array(base), np.array(names), window, shard=shard).tolist()
+
+
+@settings(max_examples=300, deadline=None)
+@given(PIECES, st.integers(1, 9))
+def test_merge_equals_counting(pieces, window):
+    rows = stretches_of(pieces, window)
+    if rows:
+        assert by_merging(rows, window) == by_counting(rows, window)
+
+
 @settings(max_examples=150, deadline=None)
-@given(st.lists(st.binary(max_size=40).map(lambda b: bytes(x % 3 + 97 for x in b)), min_size=1, max_size=8), st.integers(1, 6))
-def test_merge_equals_counting(strings, window):
-    count = Counter(x[i : i + window] for x in strings for i in range(len(x) - window + 1))
-    got = s.repeated_windows(strings, window, shard=30)
-    for x, mask in zip(strings, got, strict=True):
-        want = [i + window <= len(x) and count[x[i : i + window]] > 1 for i in range(len(x))]
-        assert mask.tolist() == want
+@given(st.lists(st.binary(min_size=1, max_size=30).map(lambda b: bytes(x % 2 + 97 for x in b)), min_size=1, max_size=20))
+def test_merged_order_and_prefixes(pieces):
+    shards = [s.Shard(pieces[i : i + 4], np.zeros(len(pieces[i : i + 4]), np.int64), 28) for i in range(0, len(pieces), 4)]
+    order, lcp = s.merge_shards(shards)
+    rows = [pieces[i][:28] for i in order]
+    assert sorted(order.tolist()) == list(range(len(pieces))) and rows == sorted(rows)
+    for a, b, n in zip(rows[:-1], rows[1:], lcp[1:].tolist(), strict=True):
+        same = next((i for i, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
+        assert n == (28 if a == b else same)
+
+
+def test_the_shards_order_carries_the_result(monkeypatch):
+    """A shard in a wrong order is merged to a wrong result: what recurs comes out of the sorted shards."""
+    rng = random.Random(8)
+    pick = lambda n: bytes(rng.choices(b"ab", k=n))
+    rows = [(pick(4) + b"piece" + (b"x" if i < 30 else b"y") * 14 + pick(3), 4, 0) for i in range(60)]
+    assert by_merging(rows, 22, 30 * 26) == by_counting(rows, 22)
+    right = s.sort_suffixes
+    monkeypatch.setattr(s, "sort_suffixes", lambda follow: np.random.default_rng(1).permutation(right(follow)))
+    assert by_merging(rows, 22, 30 * 26) != by_counting(rows, 22)
 
 
 @settings(max_examples=60, deadline=None)
@@ -32,19 +78,30 @@ def test_anchors_are_the_leftmost_least(values):
     want = [i + int(np.argmin(h[i : i + span])) for i in range(len(data) - s.WINDOW + 1)]
     got = np.concatenate([np.full(b - a + 1, x) for x, a, b in zip(anchor, low, high, strict=True)]).tolist()
     assert got == want
-    _, lows, highs = s.stretches(data)
+    _, bases, lows, highs = s.stretches(data)
     assert sorted(i for a, b in zip(lows, highs, strict=True) for i in range(a, b + 1)) == list(range(len(want)))
+    assert all(a <= b <= at and b - a <= s.HALF and at + s.PIECE <= a + s.WINDOW for at, a, b in zip(bases, lows, highs, strict=True))
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.integers(0, 520), max_size=7), st.integers(0, 99))
+def test_texts_of_a_batch_together(sizes, seed):
+    rng = np.random.default_rng(seed)
+    texts = [rng.integers(97, 100, n).astype(np.uint8) for n in sizes]
+    ends = np.cumsum([0, *sizes])
+    together = s._batch_stretches(np.concatenate([np.empty(0, np.uint8), *texts]), ends)
+    alone = [(int(k), int(b + e), int(lo + e), int(hi + e), i) for i, (t, e) in enumerate(zip(texts, ends[:-1], strict=True)) for k, b, lo, hi in zip(*s.stretches(t), strict=True)]
+    assert sorted(zip(*(x.tolist() for x in together), strict=True)) == sorted(alone)
 
 
 def test_long_texts_go_block_by_block(monkeypatch):
     data = np.frombuffer(bytes(random.Random(4).choices(b"abcd ", k=5000)), np.uint8)
-    want = {w for _, a, b in zip(*s.stretches(data), strict=True) for w in range(a, b + 1)}
+    want = {w for _, _, a, b in zip(*s.stretches(data), strict=True) for w in range(a, b + 1)}
+    whole = {(lo, k) for k, _, lo, _ in zip(*s.stretches(data), strict=True)}
     monkeypatch.setattr(s, "BLOCK", 700)
-    keys, lows, highs = s.stretches(data)
-    assert {w for a, b in zip(lows, highs, strict=True) for w in range(a, b + 1)} == want and len(keys) == len(lows)
-    monkeypatch.undo()
-    whole = dict(zip(s.stretches(data)[1].tolist(), s.stretches(data)[0].tolist(), strict=True))
-    assert sum(whole.get(a) == k for a, k in zip(lows.tolist(), keys.tolist(), strict=True)) >= len(whole) - 1
+    keys, bases, lows, highs = s.stretches(data)
+    assert {w for a, b in zip(lows, highs, strict=True) for w in range(a, b + 1)} == want and len(keys) == len(lows) == len(bases)
+    assert len(whole - {(lo, k) for lo, k in zip(lows, keys, strict=True)}) <= 1
 
 
 def brute(rows, window=200):
@@ -84,21 +141,22 @@ def test_frequent_pieces_make_no_large_group(spark, monkeypatch):
     text = lambda n: "".join(rng.choices("abcdefgh ", k=n))
     passage, wider, bound = text(190), text(60), 8000
     rows = [(i, text(300) + (wider if i % 10 == 0 else text(60)) + passage + text(300)) for i in range(80)] + [(90, "ab" * 150), (91, "ab" * 160 + text(50))]
+    rows += [(100 + i, text(250) + passage + passage[:30] + text(250)) for i in range(30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want, merge = brute(rows), s._merge
 
-    def merge(group):
-        from tidewright.llm import substrings
-
-        found = substrings.repeated_windows(list(group["piece"]))
+    def bounded(group):
         assert group["piece"].map(len).sum() <= bound, "large group"
-        return group[["name", "sid"]].assign(at=[np.flatnonzero(m) for m in found])
-
-    monkeypatch.setattr(s, "_merge", merge)
-    monkeypatch.setattr(s, "HOT_BYTES", 2000, raising=False)
-    monkeypatch.setattr(s, "GROUP_BYTES", 2000)
-    docs = spark.createDataFrame(rows, "doc_id long, text string")
-    assert got(s.remove_repeats(docs)) == brute(rows)
-    monkeypatch.setattr(s, "HOT_BYTES", 0)
-    assert got(s.remove_repeats(docs)) == brute(rows)
+        return merge(group)
+
+    monkeypatch.setattr(s, "_merge", bounded)
+    for hot, frequent in ((2000, 20_000), (0, 1)):
+        monkeypatch.setattr(s, "HOT_BYTES", hot)
+        monkeypatch.setattr(s, "HOT_ROWS", frequent)
+        monkeypatch.setattr(s, "GROUP_BYTES", 2000)
+        assert got(s.remove_repeats(docs)) == want
+    monkeypatch.setattr(s, "BROADCAST_ROWS", 0)
+    assert got(s.remove_repeats(docs)) == want
 
 
 def test_on_the_table(spark, sf_dir):
