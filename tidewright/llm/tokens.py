@@ -43,9 +43,10 @@ class _Parts(dict):
     def __init__(self, tokenize, code: str):
         super().__init__()
         self.tokenize, self.code, self.visible = tokenize, code, _byte_alphabet().__getitem__
+        self.space = self.visible(32)
 
     def __missing__(self, part: str) -> bytes:
-        seen = "".join(map(self.visible, part.encode()))
+        seen = part.replace(" ", self.space) if part.isascii() and part.isprintable() else "".join(map(self.visible, part.encode()))
         found = array(self.code, [t.id for t in self.tokenize(seen)]).tobytes()
         if len(self) < KEPT_PARTS:
             self[part] = found
@@ -60,7 +61,7 @@ class _Pieces(dict):
         self.part, self.findall, self.lead = parts.__getitem__, split.findall, lead
 
     def __missing__(self, piece: str) -> bytes:
-        found = b"".join(map(self.part, self.findall(self.lead + piece)))
+        found = self.part(self.lead + piece) if piece.isalpha() else b"".join(map(self.part, self.findall(self.lead + piece)))
         if len(self) < KEPT_PIECES:
             self[piece] = found
         return found
