@@ -1,7 +1,8 @@
 """Quality classifier: document evidence, host and path posteriors, hierarchical empirical Bayes.
 
 Evidence. Two logistic models (good quality, toxicity) over shape features of the text and the
-presence of the words and word beginnings that best separate the labelled classes. They are fitted on at most SAMPLE
+logarithms of the counts of the words and word beginnings that best separate the labelled classes, at most WORDS of
+either kind for each class, and no more than one for three labelled rows. They are fitted on at most SAMPLE
 labelled rows, chosen by a hash of the id; everything else covers all documents.
 
 Site posteriors. Every document is scored; grouped sums per host and per (host, path) give each site
@@ -19,6 +20,7 @@ other columns are ignored.
 from __future__ import annotations
 
 import math
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,6 +32,9 @@ from tidewright.llm.common import arrow_rows, map_rows, materialize, ship, text_
 SAMPLE = 8_000
 WORDS = 160
 PREFIXES = (3, 4, 5, 6)
+LEAST_ROWS = 3
+RIDGE = 0.3
+KEPT_WORDS = 300_000
 #: Sites are joined to documents by broadcast up to this many, by a shuffle beyond.
 BROADCAST_SITES = 500_000
 _EDGE = "%#*$&|!.,;:?()[]\"'"
@@ -60,14 +65,31 @@ def shape(text: str, words: list[str]) -> list[float]:
     ]
 
 
-def features(text: str, vocabulary: dict[str, int]) -> tuple[list[float], list[int]]:
-    """Shape values and the numbers of the vocabulary's words and word beginnings (^...) present."""
+class Vocabulary(dict):
+    """A word as it stands in a lower-cased text -> the numbers of the chosen words and beginnings (^...) that it counts for."""
+
+    def __init__(self, chosen: list[str]):
+        super().__init__()
+        self.chosen = {w: i for i, w in enumerate(chosen)}
+
+    def __missing__(self, word: str) -> tuple[int, ...]:
+        bare = word.strip(_EDGE)
+        forms = [bare, *("^" + bare[:n] for n in PREFIXES)] if bare else []
+        found = tuple(self.chosen[f] for f in forms if f in self.chosen)
+        if len(self) < KEPT_WORDS:
+            self[word] = found
+        return found
+
+
+def features(text: str, vocabulary: Vocabulary) -> tuple[list[float], list[int], list[float]]:
+    """Shape values, the numbers of the chosen words and beginnings present, and log2(1 + count) of each."""
     words = text.lower().split()
-    present = {w.strip(_EDGE) for w in set(words)}
-    for n in PREFIXES:
-        present |= {"^" + w[:n] for w in present if w[:1] != "^"}
-    found = [vocabulary[w] for w in vocabulary.keys() & present]
-    return shape(text, words), sorted(found)
+    counts: dict[int, int] = {}
+    for word, n in Counter(words).items():
+        for i in vocabulary[word]:
+            counts[i] = counts.get(i, 0) + n
+    found = sorted(counts)
+    return shape(text, words), found, [math.log2(1 + counts[i]) for i in found]
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 30) -> np.ndarray:
@@ -90,13 +112,13 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int =
 class Model:
     """Vocabulary, feature scaling and one weight vector per target."""
 
-    def __init__(self, vocabulary: dict[str, int], rows: list[tuple[str, int, int]]):
-        self.vocabulary = vocabulary
-        x = np.zeros((len(rows), _SHAPES + len(vocabulary)))
+    def __init__(self, chosen: list[str], rows: list[tuple[str, int, int]]):
+        self.vocabulary = vocabulary = Vocabulary(chosen)
+        x = np.zeros((len(rows), _SHAPES + len(chosen)))
         for i, (text, _, _) in enumerate(rows):
-            values, found = features(text, vocabulary)
+            values, found, logs = features(text, vocabulary)
             x[i, :_SHAPES] = values
-            x[i, [_SHAPES + j for j in found]] = 1
+            x[i, [_SHAPES + j for j in found]] = logs
         self.mean = x.mean(axis=0) if len(x) else np.zeros(x.shape[1])
         self.mean[_SHAPES:] = 0
         scale = x.std(axis=0) if len(x) else np.ones(x.shape[1])
@@ -106,17 +128,16 @@ class Model:
         for target in (1, 2):
             y = np.array([r[target] for r in rows], float)
             if len(y) and 0 < y.sum() < len(y):
-                w = fit_logistic((x - self.mean) / self.scale, y)
+                w = fit_logistic((x - self.mean) / self.scale, y, RIDGE)
             else:
                 w = np.zeros(x.shape[1] + 1)
                 w[-1] = math.log((y.sum() + 0.5) / (len(y) - y.sum() + 0.5))
             self.weights.append((w[:-1] / self.scale, float(w[-1] - (w[:-1] * self.mean / self.scale).sum())))
 
     def log_odds(self, text: str) -> tuple[float, float]:
-        values, found = features(text, self.vocabulary)
-        return tuple(
-            max(-30.0, min(30.0, float(w[:_SHAPES] @ values + w[[_SHAPES + j for j in found]].sum() + b))) for w, b in self.weights
-        )
+        values, found, logs = features(text, self.vocabulary)
+        at = [_SHAPES + j for j in found]
+        return tuple(max(-30.0, min(30.0, float(w[:_SHAPES] @ values + w[at] @ logs + b))) for w, b in self.weights)
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
@@ -144,7 +165,7 @@ def choose_words(sample: DataFrame, words: int = WORDS) -> list[str]:
         .distinct()
         .groupBy("word")
         .agg(F.count(F.lit(1)).alias("df"), F.sum("quality").alias("good"), F.sum("toxic").alias("toxic"))
-        .where("df >= 5")
+        .where(F.col("df") >= LEAST_ROWS)
     )
 
     def z2(hits: Column, total: int) -> Column:
@@ -154,15 +175,14 @@ def choose_words(sample: DataFrame, words: int = WORDS) -> list[str]:
     present = materialize(present.select("word", z2(F.col("good"), good).alias("z_good"), z2(F.col("toxic"), toxic).alias("z_toxic")), "quality-words")
     chosen: dict[str, None] = {}
     for z in ("z_toxic", "z_good"):
-        chosen |= dict.fromkeys(r.word for r in present.orderBy(F.desc(z), "word").limit(words).collect())
+        chosen |= dict.fromkeys(r.word for r in present.orderBy(F.desc(z), "word").limit(min(words, n // 3)).collect())
     return list(chosen)
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     """The two models, from the bounded labelled sample."""
     rows = materialize(labelled_sample(docs, labels, sample), "quality-sample")
-    vocabulary = {w: i for i, w in enumerate(choose_words(rows))}
-    return Model(vocabulary, [(r.text, r.quality, r.toxic) for r in rows.toLocalIterator()])
+    return Model(choose_words(rows), [(r.text, r.quality, r.toxic) for r in rows.toLocalIterator()])
 
 
 def score(docs: DataFrame, model: Model, host: str = "source", path: str = "lang") -> DataFrame:
