@@ -116,19 +116,68 @@ def test_anchors_lose_no_prefix():
         texts.append(" ".join(rng.choices(words, k=rng.randint(3, 20)) + shared[at : at + n] + rng.choices(words, k=9)))
     windows = [[tuple(t.split()[i : i + html.DEPTH]) for i in range(len(t.split()) - html.DEPTH + 1)] for t in texts]
     count = Counter(w for ws in windows for w in ws)
-    places = [html.anchor_names([t], "h") for t in texts]
-    seen = Counter(n for _, names in places for n in names.tolist())
+    pages, hosts = [[t] for t in texts], ["h"] * len(texts)
+    found = list(zip(*(x.tolist() for x in html.anchor_names(pages, hosts)), strict=True))
+    seen = Counter(n for _, _, n in found)
     assert sum(n > 1 for n in count.values()) > 20
-    for text, ws, (at, names) in zip(texts, windows, places, strict=True):
-        got, _ = html.prefix_names([text], "h", [p for p, n in zip(at.tolist(), names.tolist(), strict=True) if seen[n] > 1])
-        assert {i for i, w in enumerate(ws) if count[w] > 1} <= set(got.tolist())
+    page, at, names = html.prefix_names(pages, hosts, [[p for q, p, n in found if q == i and seen[n] > 1] for i in range(len(texts))])
+    got = set(zip(page.tolist(), at.tolist(), strict=True))
+    assert {(i, j) for i, ws in enumerate(windows) for j, w in enumerate(ws) if count[w] > 1} <= got
+    named = dict(zip(zip(page.tolist(), at.tolist(), strict=True), names.tolist(), strict=True))
+    by_window = {}
+    for (i, j), n in named.items():
+        assert by_window.setdefault(windows[i][j], n) == n
+    assert len(set(by_window.values())) == len(by_window)
+
+
+def test_pages_of_a_batch_together():
+    """Names, places and sketches of pages do not depend on the pages beside them."""
+    rng = random.Random(4)
+    pages = [[" ".join(rng.choices("a bb ccc é d".split(), k=n)) for n in sizes] for sizes in ((30, 9), (), (3,), (8,), (40, 2, 11), (13,))]
+    hosts = ["h", "", "h", "i", "h", "j"]
+    together = list(zip(*(x.tolist() for x in html.anchor_names([p for p in pages if p], [h for p, h in zip(pages, hosts, strict=True) if p])), strict=True))
+    some = [(p, h) for p, h in zip(pages, hosts, strict=True) if p]
+    alone = [(n, a, b) for n, (p, h) in enumerate(some) for _, a, b in zip(*(x.tolist() for x in html.anchor_names([p], [h])), strict=True)]
+    assert together == alone
+    assert html.sketches(pages, hosts) == [html.sketches([p], [h])[0] for p, h in zip(pages, hosts, strict=True)]
+
+
+@pytest.mark.parametrize(
+    "page, want",
+    [
+        ("<article><p>A<p class='advert'>Buy<p>B</article>", ["A", "B"]),
+        ("<article><p>A</p><ul><li>one<li class=comment>First!<li>two</ul><p>B</p></article>", ["A", "one", "two", "B"]),
+        ("<article><table><tr><td>x</td><td class=sidebar>side</td><td>y</td></tr></table></article>", ["x", "y"]),
+        ("<article><p>A <a class='share' href=#>Share</a> and <a href=#>a link</a> B</p></article>", ["A and a link B"]),
+        ("<article><h2 class='related'>See also</h2><p class='intro'>A</p><label class=newsletter>Mail</label></article>", ["A"]),
+        ("<article><li class=comments><ul><li>deep</ul>still</li><p>A</p></article>", ["A"]),
+    ],
+)
+def test_role_words_on_every_element(page, want):
+    assert [t for t, s in html.blocks(page) if s == html.KEEP] == want
+
+
+def test_deep_nesting_is_linear():
+    import time
+
+    def seconds(n):
+        start = time.process_time()
+        assert html.blocks("<div>" * n + "story")[0][0] == "story"
+        return time.process_time() - start
+
+    seconds(1000)
+    assert seconds(40_000) < 20 * max(seconds(4_000), 0.01)
 
 
 def test_window_names():
-    tokens = "a b c d e a b c d e f".split()
+    tokens, owner = html.token_names(["a b c d e a b c d e f"])
     names = html.window_names(tokens, 5)
-    assert len(names) == 7 and names[0] == names[5] and len(set(names.tolist())) == 6
+    assert len(names) == 7 and names[0] == names[5] and len(set(names.tolist())) == 6 and not owner.any()
     assert len(html.window_names(tokens[:4], 5)) == 0
+    words = [f"{a}{b}{c}" for a in "ab0é" for b in "xyz" for c in "q1ü日"]
+    names, owner = html.token_names([" ".join(words), words[3], " ".join(words[::-1])])
+    n = len(words)
+    assert len(set(names.tolist())) == n and names[n] == names[3] and names[n + 1 :].tolist() == names[:n][::-1].tolist() and owner.tolist() == [0] * n + [1] + [2] * n
 
 
 def test_table(spark, sf_dir):

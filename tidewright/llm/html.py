@@ -28,7 +28,9 @@ no rows; other columns are ignored; pages are parsed whole; what dropped blocks
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 from html import unescape
 
 import numpy as np
@@ -57,6 +59,9 @@ _MAIN = {"article", "main"}
 _NESTING = {"div", "section", "header", "ul", "ol", "dl", "table", "figure", "fieldset", "details", "blockquote", "body", "span"} | _SILENT | _BOILERPLATE | _MAIN
 _INLINE = {"a", "abbr", "b", "bdi", "bdo", "big", "br", "cite", "code", "data", "del", "dfn", "em", "font", "i", "img", "ins", "kbd", "label", "mark", "q", "s", "samp",
            "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr"}
+_LEAVES = {"p", "li", "td", "th", "tr", "dd", "dt", "a", "label", "h1", "h2", "h3", "h4", "h5", "h6", "figcaption", "caption", "summary", "address"}
+_MUTED = {"a*", "label*"}
+_ENDED_BY = {"li": {"li"}, "dd": {"dd", "dt"}, "dt": {"dd", "dt"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "tr": {"tr"}}
 _ATTRIBUTE = re.compile(r"""(?:^|\s)(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
 _HIDDEN = re.compile(r"""(?:^|\s)(?:hidden(?=[\s=/]|$)|aria-hidden\s*=\s*["']?true)|display\s*:\s*none""", re.I)
 _ROLES = re.compile(
@@ -78,6 +83,7 @@ def _self_closed(attributes: str) -> bool:
     return "=" not in last or last[-1] in "\"'"
 
 
+@lru_cache(maxsize=1 << 15)
 def _inside(name: str, attributes: str, state: tuple[bool, bool, bool, bool]) -> tuple[bool, bool, bool, bool]:
     """(boilerplate, boilerplate by words or form, by a whole word, main) within an element opened under `state`.
 
@@ -104,6 +110,8 @@ def blocks(html: str | None) -> list[tuple[str, int]]:
     out: list[tuple[str, int]] = []
     held: list[str] = []
     stack: list[tuple[str, tuple[bool, bool, bool, bool]]] = []  # name, state outside it
+    opened: Counter[str] = Counter()  # names on the stack
+    silent = 0  # elements on the stack without text of their own
     state = (False, False, False, False)
     now = OPEN
 
@@ -113,46 +121,75 @@ def blocks(html: str | None) -> list[tuple[str, int]]:
         if text:
             out.append((text, now))
 
+    def push(name: str) -> None:
+        nonlocal silent
+        stack.append((name, state))
+        opened[name] += 1
+        silent += name in _SILENT or name in _MUTED
+
+    def pop() -> str:
+        nonlocal state, silent
+        name, state = stack.pop()
+        opened[name] -= 1
+        silent -= name in _SILENT or name in _MUTED
+        return name
+
     at = 0
     while True:
         m = _TAG.search(html, at)
         piece = html[at : m.start() if m else len(html)]
         name, closing = (m[2].lower(), bool(m[1])) if m and m[2] else ("", False)
         if stack and stack[-1][0] == "head" and piece.strip():
-            state = stack.pop()[1]  # text ends a head without a closing tag
-        if not any(s[0] in _SILENT for s in stack):
+            pop()  # text ends a head without a closing tag
+        if not silent:
             held.append(piece)
         if not m:
             break
         at = m.end()
         if not name:
             continue
-        if not closing and any(s[0] == "head" for s in stack) and (name == "body" or (stack[-1][0] == "head" and name not in _IN_HEAD)):
-            while stack[-1][0] != "head":  # so does the first element of the body
-                stack.pop()
-            state = stack.pop()[1]
+        if not closing and opened["head"] and (name == "body" or (stack[-1][0] == "head" and name not in _IN_HEAD)):
+            while pop() != "head":  # so does the first element of the body
+                pass
         if name not in _INLINE:
             flush()
         elif name == "br":
             held.append(" ")
         if name in _NESTING:
             if closing:
-                if any(s[0] == name for s in stack):
-                    while True:
-                        top, state = stack.pop()
-                        if top == name:
-                            break
+                if opened[name]:
+                    while pop() != name:
+                        pass
                     if name in _INLINE:
                         flush()
             elif not _self_closed(m[3]):
+                if stack and stack[-1][0] == "p" and name not in _INLINE:
+                    pop()  # a block ends a paragraph without a closing tag
                 within = _inside(name, m[3], state)
                 if name != "span" or within[:2] != state[:2]:
                     if name in _INLINE:
                         flush()
-                    stack.append((name, state))
+                    push(name)
                     state = within
                     if name in _RAW and (end := re.compile(rf"</{name}\s*>", re.I).search(html, at)):
                         at = end.start()
+        elif name in _LEAVES:
+            # Only leaves whose words make them boilerplate are on the stack; a link or label of such a word is muted in its line.
+            inline = name in _INLINE
+            top = stack[-1][0] if stack else ""
+            if closing:
+                if top == (f"{name}*" if inline else name):
+                    pop()
+            else:
+                if not inline and (top == "p" or name in _ENDED_BY.get(top, ())):
+                    pop()
+                if m[3] and not _self_closed(m[3]):
+                    within = _inside(name, m[3], state)
+                    if inline and (within[2] and not state[2] or within[0] and not state[0]):
+                        push(f"{name}*")
+                    elif not inline and within[:2] != state[:2]:
+                        push(name)
+                        state = within
         bad, soft, _, main = state
         now = DROP if bad else _WEAK if soft else KEEP if main else OPEN
     flush()
@@ -160,19 +197,47 @@ def blocks(html: str | None) -> list[tuple[str, int]]:
     return [(text, weak if s == _WEAK else s) for text, s in out]
 
 
-def window_names(tokens: list[str], depth: int = DEPTH) -> np.ndarray:
-    """A 64-bit name of the first `depth` tokens of each suffix that has as many, by prefix doubling."""
-    names = np.fromiter((xxhash.xxh64_intdigest(t) for t in tokens), np.uint64, len(tokens))
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of an odd number and of its inverse modulo 2 ** 64, for n places; kept between calls."""
+    global _KEPT_POWERS
+    if len(_KEPT_POWERS[0]) < n:
+        size = 1 << max(16, n.bit_length())
+        base = 0xD1B54A32D192ED03
+        _KEPT_POWERS = tuple(np.multiply.accumulate(np.concatenate(([np.uint64(1)], np.full(size - 1, b, np.uint64)))) for b in (base, pow(base, -1, 1 << 64)))
+    return _KEPT_POWERS[0][:n], _KEPT_POWERS[1][:n]
+
+
+_KEPT_POWERS = (np.empty(0, np.uint64), np.empty(0, np.uint64))
+
+
+def _mixed(names: np.ndarray) -> np.ndarray:
+    names = (names ^ (names >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return names ^ (names >> np.uint64(32))
+
+
+def token_names(streams: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(a 64-bit name of every token, the stream it is in); streams are not empty and hold single spaces between tokens."""
+    data = np.frombuffer("\n".join(streams).encode("utf-8", "surrogatepass"), np.uint8)
+    if not len(data):
+        return np.empty(0, np.uint64), np.empty(0, np.int64)
+    gaps = np.flatnonzero((data == 32) | (data == 10))
+    starts, ends = np.concatenate(([0], gaps + 1)), np.append(gaps, len(data))
+    up, down = _powers(len(data))
+    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum((data + np.uint64(1)) * up)))
+    names = _mixed((sums[ends] - sums[starts]) * down[np.minimum(starts, len(data) - 1)] + (ends - starts).astype(np.uint64))
+    return names, np.concatenate(([0], np.cumsum(data[gaps] == 10)))
+
+
+def window_names(names: np.ndarray, depth: int = DEPTH) -> np.ndarray:
+    """A name of the first `depth` tokens of each suffix that has as many, by prefix doubling."""
     span = 1
-    with np.errstate(over="ignore"):
-        while span < depth:
-            step = min(span, depth - span)
-            if len(names) <= step:
-                return np.empty(0, np.uint64)
-            left, right = names[: len(names) - step], names[step:]
-            names = (left * np.uint64(0x9E3779B97F4A7C15)) ^ ((right << np.uint64(31)) | (right >> np.uint64(33)))
-            names = (names ^ (names >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-            span += step
+    while span < depth:
+        step = min(span, depth - span)
+        if len(names) <= step:
+            return np.empty(0, np.uint64)
+        left, right = names[: len(names) - step], names[step:]
+        names = _mixed((left * np.uint64(0x9E3779B97F4A7C15)) ^ ((right << np.uint64(31)) | (right >> np.uint64(33))))
+        span += step
     return names
 
 
@@ -185,63 +250,104 @@ def suffix_runs(pages: np.ndarray, names: np.ndarray) -> tuple[np.ndarray, np.nd
     return names[starts], pages[starts], pages[ends]
 
 
-def _anchors(names: np.ndarray) -> np.ndarray:
-    """The place of the leftmost least GRAM-token name within each DEPTH-token prefix."""
-    span = DEPTH - GRAM + 1
-    if len(names) < span:
-        return np.empty(0, np.int64)
-    return np.lib.stride_tricks.sliding_window_view(names, span).argmin(axis=1) + np.arange(len(names) - span + 1)
-
+SPAN = DEPTH - GRAM + 1
 
-def _of_host(names: np.ndarray, host: str) -> np.ndarray:
-    return (names ^ np.uint64(xxhash.xxh64_intdigest(host, 1))).view(np.int64)
 
+def _whole(owner: np.ndarray, depth: int) -> np.ndarray:
+    """Which suffixes have `depth` tokens within their stream."""
+    return owner[depth - 1 :] == owner[: len(owner) - depth + 1] if len(owner) >= depth else np.empty(0, bool)
 
-def _blocks_of_host(texts: list[str], host: str) -> tuple[np.ndarray, np.ndarray]:
-    """(-1 - i, name) of each block i that is too short for a run."""
-    found = [(-1 - i, xxhash.xxh64_intdigest(f"{host}\n{text}", 2)) for i, text in enumerate(texts) if SHORT <= text.count(" ") + 1 < DEPTH]
-    return np.array([i for i, _ in found], np.int64), np.array([n for _, n in found], np.uint64).view(np.int64)
 
+def _host_names(hosts: list[str]) -> np.ndarray:
+    return np.fromiter((xxhash.xxh64_intdigest(h, 1) for h in hosts), np.uint64, len(hosts))
 
-def anchor_names(texts: list[str], host: str) -> tuple[np.ndarray, np.ndarray]:
-    """(place, name) of a page's anchors and short blocks."""
-    names = window_names([t for text in texts for t in text.split(" ")], GRAM)
-    at = np.unique(_anchors(names))
-    return tuple(np.concatenate(x) for x in zip((at, _of_host(names[at], host)), _blocks_of_host(texts, host), strict=True))
 
+def _short_blocks(pages: list[list[str]], hosts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(page, -1 - i, name) of each block i that is too short for a run."""
+    found = [
+        (n, -1 - i, xxhash.xxh64_intdigest(f"{host}\n{text}", 2) - (1 << 63))
+        for n, (texts, host) in enumerate(zip(pages, hosts, strict=True))
+        for i, text in enumerate(texts)
+        if SHORT <= text.count(" ") + 1 < DEPTH
+    ]
+    return tuple(np.array(x, np.int64) for x in zip(*found, strict=True)) if found else (np.empty(0, np.int64),) * 3
 
-def prefix_names(texts: list[str], host: str, places: list[int]) -> tuple[np.ndarray, np.ndarray]:
-    """(place, name) of a page's DEPTH-token prefixes whose anchor is in `places`, and of its short blocks there."""
-    tokens = [t for text in texts for t in text.split(" ")]
-    at = np.flatnonzero(np.isin(_anchors(window_names(tokens, GRAM)), places))
-    short, names = _blocks_of_host(texts, host)
-    hit = np.isin(short, places)
-    return np.concatenate((at, short[hit])), np.concatenate((_of_host(window_names(tokens, DEPTH)[at], host), names[hit]))
 
+def anchor_names(pages: list[list[str]], hosts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(page, place, name) of the anchors and short blocks of some pages, in order of pages.
 
-def sketch(texts: list[str], host: str) -> tuple[int, list[int]]:
-    """(hash of the host and all tokens, least hashes of the GRAM-token names) of a page; pages of fewer tokens differ if their texts do."""
-    stream = " ".join(texts)
-    content = xxhash.xxh64_intdigest(f"{host}\n{stream}")
-    names = window_names(stream.split(" "), GRAM)
-    if not len(names):
-        names = np.array([content], np.uint64)
-    mixed = (names ^ (names >> np.uint64(32))) * _TURNS[0]
-    least = ((mixed ^ (mixed >> np.uint64(29))) * _TURNS[1]).min(axis=1) >> np.uint64(32)
-    return content - (1 << 63), least.astype(np.uint32).view(np.int32).tolist()
+    An anchor is a GRAM-token name that is the least within some DEPTH-token prefix.
+    """
+    tokens, owner = token_names([" ".join(texts) for texts in pages])
+    names = window_names(tokens, GRAM)
+    at = np.empty(0, np.int64)
+    if len(names) >= SPAN:
+        view = np.lib.stride_tricks.sliding_window_view
+        least = np.where(_whole(owner, DEPTH), view(names, SPAN).min(axis=1), np.uint64(0))
+        pad = np.zeros(SPAN - 1, np.uint64)
+        at = np.flatnonzero(view(np.concatenate((pad, least, pad)), SPAN).max(axis=1) == names)
+    page = owner[at]
+    place = at - np.searchsorted(owner, page)
+    named = (names[at] ^ _host_names(hosts)[page]).view(np.int64) if len(at) else at
+    page, place, named = (np.concatenate(x) for x in zip((page, place, named), _short_blocks(pages, hosts), strict=True))
+    order = np.argsort(page, kind="stable")
+    return page[order], place[order], named[order]
+
+
+def prefix_names(pages: list[list[str]], hosts: list[str], places: list[list[int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(page, place, name) of the DEPTH-token prefixes with an anchor among the page's places, and of its short blocks there."""
+    tokens, owner = token_names([" ".join(texts) for texts in pages])
+    names = window_names(tokens, GRAM)
+    first = np.searchsorted(owner, np.arange(len(pages)))
+    wanted = np.array([first[n] + p for n, ps in enumerate(places) for p in ps if p >= 0], np.int64)
+    at = np.empty(0, np.int64)
+    if len(names) >= SPAN:
+        known = np.zeros(len(names), bool)
+        known[wanted] = True
+        view = np.lib.stride_tricks.sliding_window_view
+        windows = view(names, SPAN)
+        at = np.flatnonzero((view(known, SPAN) & (windows == windows.min(axis=1)[:, None])).any(axis=1) & _whole(owner, DEPTH))
+    page = owner[at]
+    named = (window_names(tokens, DEPTH)[at] ^ _host_names(hosts)[page]).view(np.int64) if len(at) else at
+    of, block, short = _short_blocks(pages, hosts)
+    asked = {(n, p) for n, ps in enumerate(places) for p in ps if p < 0}
+    hit = np.array([x in asked for x in zip(of.tolist(), block.tolist(), strict=True)], bool)
+    page, place, named = (np.concatenate(x) for x in zip((page, at - first[page] if len(at) else at, named), (of[hit], block[hit], short[hit]), strict=True))
+    order = np.argsort(page, kind="stable")
+    return page[order], place[order], named[order]
+
+
+def sketches(pages: list[list[str]], hosts: list[str]) -> list[tuple[int, list[int]]]:
+    """(hash of the host and all tokens, least hashes of the GRAM-token names) of each page; pages of fewer tokens differ if their texts do."""
+    streams = [" ".join(texts) for texts in pages]
+    content = np.fromiter((xxhash.xxh64_intdigest(f"{h}\n{s}") for h, s in zip(hosts, streams, strict=True)), np.uint64, len(pages))
+    some = [n for n, s in enumerate(streams) if s]
+    tokens, owner = token_names([streams[n] for n in some])
+    names, whole = window_names(tokens, GRAM), _whole(owner, GRAM)
+    names, page = names[whole], np.array(some, np.int64)[owner[: len(whole)][whole]]
+    few = np.setdiff1d(np.arange(len(pages)), page)
+    page = np.concatenate((page, few))
+    order = np.argsort(page, kind="stable")
+    names, page = np.concatenate((names, content[few]))[order], page[order]
+    starts = np.searchsorted(page, np.arange(len(pages)))
+    least = np.empty((SKETCH, len(pages)), np.int32)
+    for i, (a, b) in enumerate(_TURNS[:, :, 0].T):
+        mixed = (names ^ (names >> np.uint64(32))) * a
+        least[i] = (np.minimum.reduceat((mixed ^ (mixed >> np.uint64(29))) * b, starts) >> np.uint64(32)).astype(np.uint32).view(np.int32)
+    return list(zip((content - np.uint64(1 << 63)).view(np.int64).tolist(), least.T.tolist(), strict=True))
 
 
 def _parse(batches: Iterator[list[tuple]]) -> Iterator[list[tuple]]:
     for batch in batches:
-        rows = []
-        for row, page_id, url, html in batch:
+        pages, hosts = [], []
+        for _, _, url, html in batch:
             found = blocks(html)
             wanted = KEEP if any(state == KEEP for _, state in found) else OPEN
             host = re.match(r"[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)", url or "")
-            host = host[1].lower() if host else ""
-            texts = [text for text, state in found if state == wanted]
-            rows.append((row, page_id, url, host, texts, *sketch(texts, host)))
-        yield rows
+            hosts.append(host[1].lower() if host else "")
+            pages.append([text for text, state in found if state == wanted])
+        known = sketches(pages, hosts) if batch else []
+        yield [(row, page_id, url, h, t, *k) for (row, page_id, url, _), h, t, k in zip(batch, hosts, pages, known, strict=True)]
 
 
 def _record(*columns: tuple[str, np.ndarray]) -> pa.RecordBatch:
@@ -252,28 +358,26 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The runs of a batch's anchors and short blocks."""
     for batch in batches:
         host, story, texts = (c.to_pylist() for c in batch.columns)
-        found = [anchor_names(t, h)[1] for t, h in zip(texts, host, strict=True)]
-        pages = np.repeat(np.array(story, np.int64), [len(n) for n in found])
-        name, low, high = suffix_runs(pages, np.concatenate(found) if found else np.empty(0, np.int64))
+        page, _, names = anchor_names(texts, host)
+        name, low, high = suffix_runs(np.array(story, np.int64)[page], names)
         yield _record(("name", name), ("low", low), ("high", high))
 
 
 def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         row, host, texts = (c.to_pylist() for c in batch.columns)
-        found = [anchor_names(t, h) for t, h in zip(texts, host, strict=True)]
-        if found:
-            rows = np.repeat(np.array(row, np.int64), [len(n) for n, _ in found])
-            yield _record(("row", rows), ("at", np.concatenate([p for p, _ in found])), ("name", np.concatenate([n for _, n in found])))
+        page, places, names = anchor_names(texts, host)
+        yield _record(("row", np.array(row, np.int64)[page]), ("at", places), ("name", names))
 
 
 def _prefixes(batches: Iterator[list[tuple]]) -> Iterator[list[tuple]]:
     for batch in batches:
-        rows = []
-        for row, host, story, texts, places in batch:
-            at, names = prefix_names(texts, host, places)
-            rows.append((row, story, at.tolist(), names.tolist()))
-        yield rows
+        if not batch:
+            continue
+        row, host, story, texts, places = zip(*batch, strict=True)
+        page, at, names = prefix_names(list(texts), list(host), list(places))
+        edges = np.searchsorted(page, np.arange(1, len(row)))
+        yield list(zip(row, story, (x.tolist() for x in np.split(at, edges)), (x.tolist() for x in np.split(names, edges)), strict=True))
 
 
 def _assemble(batches: Iterator[list[tuple]]) -> Iterator[list[tuple]]:
