@@ -33,7 +33,6 @@ def test_ids_equal_the_full_encoder_on_any_text(text):
 @given(st.lists(st.integers(1, 20), max_size=9))
 def test_bound_is_sound_and_packing_valid(sizes):
     lengths = np.array(sizes, np.int64)
-    bins, offsets, fill = packing.best_fit_decreasing(lengths, 20)
 
     def optimum(rest, rooms):
         if not rest:
@@ -43,10 +42,12 @@ def test_bound_is_sound_and_packing_valid(sizes):
             tried.append(optimum(rest[1:], [*rooms[:i], rooms[i] - rest[0], *rooms[i + 1 :]]))
         return min(tried)
 
-    assert packing.lower_bound(lengths, 20) <= optimum(sorted(sizes, reverse=True), []) <= len(fill)
-    for b in range(len(fill)):
-        inside = sorted((offsets[i], lengths[i]) for i in np.flatnonzero(bins == b))
-        assert [o for o, _ in inside] == list(np.cumsum([0] + [n for _, n in inside])[:-1]) and fill[b] <= 20
+    for way in (packing.best_fit_decreasing, packing.fill_by_pairs, lambda x, c: packing.two_ways(x, c, 0.4)):
+        bins, offsets, fill = way(lengths, 20)
+        assert packing.lower_bound(lengths, 20) <= optimum(sorted(sizes, reverse=True), []) <= len(fill)
+        for b in range(len(fill)):
+            inside = sorted((offsets[i], lengths[i]) for i in np.flatnonzero(bins == b))
+            assert [o for o, _ in inside] == list(np.cumsum([0] + [n for _, n in inside])[:-1]) and fill[b] <= 20
 
 
 def check(rows, texts, capacity):
@@ -86,3 +87,28 @@ def test_partitions_exchange(spark):
         bins[r.sequence_id] += r.length
     total = sum(r[3] for r in rows)
     assert len(got) == 2000 and max(bins.values()) <= 41 and len(bins) <= -(-total // 41) * 1.05 + 1
+
+
+def test_mid_sized_items_stay_in_bounded_groups(spark, monkeypatch):
+    """Items of a quarter to a half of a bin: no group outgrows a partition, and gaps to the bound are few and told."""
+    rng = np.random.default_rng(4)
+    lengths = rng.integers(1000, 2000, 6000).tolist()
+    pieces = spark.createDataFrame([(i, 0, 0, n, 0) for i, n in enumerate(lengths)], packing._PIECES)
+    inner = packing._pack
+
+    def bounded(capacity):
+        pack = inner(capacity)
+
+        def run(group):
+            assert len(group) <= 1100, "large group"
+            return pack(group)
+
+        return run
+
+    monkeypatch.setattr(packing, "_pack", bounded)
+    rows = packing.pack_sequences(pieces, 4096, per_partition=1000).collect()
+    bins = defaultdict(int)
+    for r in rows:
+        bins[r.sequence_id] += r.length
+    bound = packing.lower_bound(np.array(lengths), 4096)
+    assert len(rows) == 6000 and max(bins.values()) <= 4096 and len(bins) <= 1.06 * bound and all(r.gap >= 0 for r in rows)

@@ -35,7 +35,7 @@ TEXTS = [
 
 @pytest.fixture(scope="module")
 def docs(spark):
-    rows = [(i, t, "x") for i, t in enumerate(TEXTS)] + [(4, TEXTS[4], "again"), (None, TEXTS[6], "no id"), (-7, TEXTS[6], "neg"), (40000, TEXTS[4], "b2")]
+    rows = [(i, t, "x") for i, t in enumerate(TEXTS)] + [(4, TEXTS[4], "again"), (None, TEXTS[6], "no id"), (-7, TEXTS[6], "neg"), (40000, TEXTS[4], "b2"), (1 << 61, TEXTS[6], "far"), (-(1 << 62), TEXTS[3], "far")]
     return spark.createDataFrame(rows, "doc_id long, text string, start string")
 
 
@@ -64,3 +64,19 @@ def test_trigram_queries():
     assert secrets.trigram_query(r"[0-9a-f]+") is None
     assert secrets.trigram_query(r"AKIA[A-Z0-9]+") == [frozenset({"aki", "kia"})]
     assert len(secrets.trigram_query(secrets.RULES[0].pattern)) == 6
+
+
+def test_postings_of_sparse_ids_stay_small(spark):
+    """Any ids: postings hold one entry per document and trigram, and lookups give those documents alone."""
+    from pyspark.sql import functions as F
+
+    rows = [(hash((i, "x")) % (1 << 62), "token = abcdefghijklmn" if i % 10 == 0 else "plain text with a secret word") for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    query = secrets.trigram_query(secrets.RULES[0].pattern)
+    index = secrets.build_index(docs, sorted({t for tris in query for t in tris}))
+    held = index.agg(F.sum(F.size("ids"))).first()[0]
+    low = [t for _, t in rows]
+    assert held == sum(t in text for text in low for t in {t for tris in query for t in tris})
+    found = secrets.candidate_ids(secrets.candidates(index, secrets.RULES[:1])).collect()
+    want = {i for i, text in rows if any(all(t in text for t in tris) for tris in query)}
+    assert {r.cand_id for r in found} == want and len(found) == len(want)

@@ -62,6 +62,36 @@ def test_components_equal_brute_force(spark, rows):
     assert simhash.near_duplicates(docs.limit(0)).count() == 0
 
 
+def test_manhattan_equals_the_embedding(spark):
+    from pyspark.sql import functions as F
+
+    rng = np.random.default_rng(5)
+    fps = np.concatenate((rng.integers(0, 1 << 64, (40, 2), dtype=np.uint64), np.array([[0, (1 << 64) - 1], [1, 2], [3, 0]], np.uint64)))
+    want = [int(np.abs(a.astype(int) - b.astype(int)).sum()) for a, b in zip(simhash.embedding(fps[:, 0]), simhash.embedding(fps[:, 1]), strict=True)]
+    rows = [(i, *map(int, r)) for i, r in enumerate(fps.view(np.int64).tolist())]
+    out = spark.createDataFrame(rows, "i long, a long, b long").select("i", simhash.manhattan(F.col("a"), F.col("b")).alias("d")).orderBy("i").collect()
+    assert [r.d for r in out] == want
+
+
+@pytest.mark.parametrize("groups", [6, 7, 9])
+def test_near_fingerprints_share_a_cell(groups):
+    import pandas as pd
+
+    rng = np.random.default_rng(groups)
+    for _ in range(20):
+        fp = int(rng.integers(1 << 62))
+        near = fp
+        for b in rng.choice(63, 3, replace=False):
+            near ^= 1 << int(b)
+        rows = pd.concat(simhash._cells(groups)([pd.DataFrame({"fp": np.array([fp, near])})]))
+        shared = rows.groupby("cell")["fp"].nunique()
+        assert shared.max() == 2
+        large = rows[rows["cell"] == shared.idxmax()]
+        small = pd.concat(simhash._smaller_cells(groups)([large]))
+        assert small.groupby(["cell", "part"])["fp"].nunique().max() == 2
+    assert simhash.groups_for(10**5) == 6 < simhash.groups_for(10**7) <= 8 <= simhash.groups_for(10**9) <= 11
+
+
 def test_links_keep_components_of_dense_cells(spark, monkeypatch):
     rng = np.random.default_rng(3)
     base = int(rng.integers(1 << 62))

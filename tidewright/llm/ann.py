@@ -5,8 +5,9 @@ work. Largest inner product becomes least distance by one more coordinate that b
 the greatest norm. The tree is fitted on at most SAMPLE distinct vectors; every vector is then put
 into its leaf. A query walks the tree through a priority queue of cells, nearest first. The number of
 leaves it opens is calibrated: PROBES queries are answered by brute force, and visits widen until
-their recall reaches RECALL. Leaves are cut into chunks and queries into blocks, so that no group
-grows with a hot leaf; each (block, chunk) is one matrix product whose scores are double precision
+their recall reaches RECALL. A leaf is cut into chunks, and the queries that visit it into blocks, so that
+no group grows with a hot leaf and a vector moves once per block of its own leaf's visitors; each
+(block, chunk) is one matrix product whose scores are double precision
 inner products of the original vectors.
 
 Defined cases: vectors that are null, zero, of another length than most, or hold null or non-finite
@@ -147,7 +148,6 @@ def search(vectors: DataFrame, every: int = 20, k: int = K, recall: float = RECA
     asked = rows.where(F.pmod("vec_id", F.lit(every)) == 0).select("key", "vec_id").distinct()
     asked = materialize(asked, "ann-asked")
     queries = materialize(entries.join(asked.select("key").distinct(), "key", "left_semi").select("key", "v"), "ann-queries")
-    n_queries = queries.count()
 
     sample = np.array([r.v for r in entries.orderBy(F.xxhash64(F.lit(1), "key"), "key").select("v").limit(SAMPLE).collect()])
     tree = Tree(sample, max(1, min(math.ceil((n or 0) / leaf), len(sample) // 8)), float(top or 1.0))
@@ -165,15 +165,16 @@ def search(vectors: DataFrame, every: int = 20, k: int = K, recall: float = RECA
 
     def walk(batches: Iterator[list[tuple]]) -> Iterator[list[tuple]]:
         for batch in batches:
-            yield [(key, v, at) for key, v in batch for at in sent.value.visit(np.array(v), visits)]
-
-    chunks = placed.groupBy("leaf").agg(F.ceil(F.count(F.lit(1)) / CHUNK).cast("int").alias("chunks"))
-    blocks = max(1, math.ceil(n_queries / BLOCK))
-    block = F.pmod(F.xxhash64("key"), F.lit(blocks)).cast("int")
-    walked = map_rows(queries.select("key", "v"), "key string, v array<double>, leaf long", walk).join(chunks, "leaf")
-    walked = walked.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).withColumn("block", block)
-    stored = placed.join(chunks, "leaf").withColumn("chunk", F.pmod(F.xxhash64(F.col("ids")[0]), F.col("chunks").cast("long")).cast("int"))
-    stored = stored.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+            yield [(key, at) for key, v in batch for at in sent.value.visit(np.array(v), visits)]
+
+    opened = materialize(map_rows(queries.select("key", "v"), "key string, leaf long", walk), "ann-visits")
+    pieces = lambda rows, size, name: rows.groupBy("leaf").agg(F.ceil(F.count(F.lit(1)) / size).cast("int").alias(name))
+    leaves = pieces(placed, CHUNK, "chunks").join(pieces(opened, BLOCK, "blocks"), "leaf")  # one small row for each visited leaf
+    deal = lambda key, n: F.pmod(F.xxhash64(key), F.col(n).cast("long")).cast("int")
+    walked = opened.join(queries.select("key", "v"), "key").join(leaves, "leaf").withColumn("block", deal("key", "blocks"))
+    walked = walked.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    stored = placed.join(leaves, "leaf").withColumn("chunk", deal(F.col("ids")[0], "chunks"))
+    stored = stored.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
 
     def score(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):

@@ -10,6 +10,7 @@ from collections.abc import Callable, Iterator
 from pathlib import Path
 
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,9 +18,11 @@ _SHIPPED = "tidewright.llm.shipped"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor can reach; a temporary one only where the session names none."""
+    """The folder every executor can reach; a temporary one only in local mode, where the session names none."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
@@ -31,9 +34,20 @@ def materialize(df: DataFrame, tag: str, compression: str | None = None) -> Data
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
     writer = df.write if compression is None else df.write.option("compression", compression)
     writer.parquet(path)
+    _WRITTEN.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+_WRITTEN: list[str] = []
+
+
+def clear() -> None:
+    """Delete the cut points written so far; call it when the results that read them have been used."""
+    while _WRITTEN:
+        files, path = fs.FileSystem.from_uri(_WRITTEN.pop())
+        files.delete_dir(path)
+
+
 def ship(spark: SparkSession) -> None:
     """Send this package to the executors once per application (they may not have it installed)."""
     context = spark.sparkContext

@@ -3,7 +3,8 @@
 Each language is a character trigram model of words (lower-cased letter runs between word edges), with
 add-half smoothing, fitted on at most SAMPLE documents per language. A document is a bag of words; the
 likelihood of its words under every language is fixed, and expectation-maximisation finds the
-proportions. Languages are ranked by their proportion under all of them; of the nested sets of the
+proportions, in rounds until none moves by more than TOLERANCE (the likelihood has one maximum, so
+rounds end). Languages are ranked by their proportion under all of them; of the nested sets of the
 first one, two, ... the one with the largest log-likelihood less PENALTY log(words) per further
 language is selected and refitted. The prediction is the largest proportion of that set, and the score
 is that proportion.
@@ -11,7 +12,8 @@ is that proportion.
 Defined cases: null texts and texts without a letter are `und` with score 0; equal proportions take
 the smaller language name; null ids are predicted, never learned from and not held out; repeated rows
 are predicted row by row; no learned language makes every document `und`; an empty table gives no
-rows; other columns are ignored; texts are read whole, letter runs over RUN letters in pieces of it.
+rows; other columns are ignored; texts and words of any length are read whole. Letters are Unicode letters
+and the marks that follow them; other numbers and signs are none.
 """
 
 from __future__ import annotations
@@ -21,6 +23,7 @@ from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
+import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,17 +31,19 @@ from tidewright.llm.common import arrow_rows, map_rows, materialize, ship
 
 SAMPLE = 1_500
 PENALTY = 2.0
-RUN = 24
+TOLERANCE = 1e-4
 KEPT_WORDS = 300_000
-ROUNDS = 25
-_WORD = re.compile(r"[^\W\d_]+")
+KEPT_LETTERS = 40
+BROADCAST_ROWS = 1_000_000
+# Below U+02B0 the word characters but these and the decimal digits are letters, and there are no marks.
+_NEAR = re.compile("[\0-\u02af]*")
+_WORD = re.compile(r"[^\W\d_²³¹¼½¾]+")
+_LETTERS = regex.compile(r"\p{L}[\p{L}\p{M}]*")
 
 
 def words(text: str) -> list[str]:
-    found = _WORD.findall(text.lower())
-    if len(text) > RUN and any(len(w) > RUN for w in found):
-        return [w[i : i + RUN] for w in found for i in range(0, len(w), RUN)]
-    return found
+    low = text.lower()
+    return (_WORD if _NEAR.fullmatch(low) else _LETTERS).findall(low)
 
 
 def _grams(word: str) -> list[str]:
@@ -86,8 +91,10 @@ class Model:
         if len(missing):
             new = [distinct[i] for i in missing.tolist()]
             out[missing] = values = self.words(new)
-            room = KEPT_WORDS - len(self.kept)
-            first = dict(zip(reversed(new[:room]), reversed(range(min(room, len(new)))), strict=True))
+            first: dict[str, int] = {}
+            for i, w in enumerate(new[: KEPT_WORDS - len(self.kept)]):
+                if len(w) <= KEPT_LETTERS:
+                    first.setdefault(w, i)
             while len(self.rows) < len(self.kept) + len(first):
                 self.rows = np.concatenate((self.rows, np.empty_like(self.rows)))
             for w, i in first.items():
@@ -119,10 +126,18 @@ class Model:
             lengths = (ends - starts)[docs]
             at, of, m, x = np.cumsum(lengths) - lengths, np.repeat(np.arange(len(docs)), lengths), n[inside], likely[inside]
             share = allowed / allowed.sum(axis=1, keepdims=True)
-            for _ in range(ROUNDS):
-                parts = share[of] * x
-                parts *= (m / np.maximum(parts.sum(axis=1), 1e-300))[:, None]
-                share = np.add.reduceat(parts, at, axis=0) / total[docs, None]
+            live, begin, who, much, rows = np.arange(len(docs)), at, of, m, x
+            while len(live):
+                parts = share[live][who] * rows
+                parts *= (much / np.maximum(parts.sum(axis=1), 1e-300))[:, None]
+                now = np.add.reduceat(parts, begin, axis=0) / total[docs[live], None]
+                moves = np.abs(now - share[live]).max(axis=1) > TOLERANCE
+                share[live] = now
+                if not moves.all():  # a document is done for itself, whatever the others of its batch do
+                    kept = moves[who]
+                    live, much, rows = live[moves], much[kept], rows[kept]
+                    lengths = np.bincount(who[kept], minlength=len(moves))[moves]
+                    begin, who = np.cumsum(lengths) - lengths, np.repeat(np.arange(len(live)), lengths)
             mixed = np.maximum((share[of] * x).sum(axis=1), 1e-300)
             return share, base[docs] + np.add.reduceat(m * np.log(mixed), at)
 
@@ -171,8 +186,9 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> Model:
     ids = ids.withColumn("__salt", F.pmod(F.xxhash64(F.lit(3), "__id"), F.lit(64)))
     for spec in (Window.partitionBy("__lang", "__salt"), Window.partitionBy("__lang")):
         ids = ids.withColumn("n", F.row_number().over(spec.orderBy(*order))).where(F.col("n") <= sample).drop("n")
-    chosen = ids.select("__id").distinct()
-    rows = learn.join(F.broadcast(chosen), F.col("doc_id") == F.col("__id"), "left_semi").select(F.col("lang").cast("string").alias("lang"), "text")
+    chosen = materialize(ids.select("__id").distinct(), "langid-sample")
+    chosen = F.broadcast(chosen) if chosen.count() <= BROADCAST_ROWS else chosen
+    rows = learn.join(chosen, F.col("doc_id") == F.col("__id"), "left_semi").select(F.col("lang").cast("string").alias("lang"), "text")
 
     def count(batches: Iterator[list[tuple]]) -> Iterator[list[tuple]]:
         found: dict[str, Counter] = {}

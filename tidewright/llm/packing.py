@@ -3,8 +3,12 @@
 Documents are tokenized once; the pieces (lengths and checksums only) are written, dealt evenly into
 partitions of about PER_PARTITION rows and packed there by best-fit decreasing. Dual feasible
 functions give each partition a lower bound; a partition that meets its bound is certified and keeps
-its bins. The others keep their full bins and hand the documents of the rest to a common pool, which
-is dealt into fewer partitions and packed again, until one partition is left or all are certified.
+its bins. One that does not is packed a second way, each bin's room filled by the best pair of what is
+left, also with shares of its largest pieces kept apart where it is over 1 % from its bound, and takes the best. If gaps remain, it keeps the bins that no piece of it fits into and hands the
+documents of the rest to a common pool, which is dealt into partitions of the same size, so that
+documents are exchanged, and packed again. Rounds end when all is certified, one partition is left, or a
+round settles less than a quarter of its rows; then every partition's bins stand as they are, and
+`gap` tells how many bins its partition has over its bound. No partition outgrows PER_PARTITION.
 
 Defined cases: null text is empty and packs as its end id alone; null and repeated ids are packed row
 by row; an empty table gives no pieces; other columns are ignored; texts are tokenized whole.
@@ -27,8 +31,9 @@ from tidewright.llm.tokens import WORD, encoder
 CAPACITY = 4096
 END_ID = 1
 PER_PARTITION = 40_000
+APART = (0.12, 0.2, 0.28, 0.36)
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
-_PACKED = f"{_PIECES}, bin long, offset long, settled boolean"
+_PACKED = f"{_PIECES}, bin long, offset long, settled boolean, gap long"
 
 
 def token_pieces(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str = WORD) -> DataFrame:
@@ -106,38 +111,103 @@ def lower_bound(lengths: np.ndarray, capacity: int) -> int:
     return best
 
 
-def _pack(capacity: int, last: bool):
+def fill_by_pairs(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(bin, offset) of each item and the fill of each bin: the largest item left opens a bin, and the one or two
+    items left that fill its room best follow, as long as any fits.
+    """
+    bins, offsets = np.empty(len(lengths), np.int64), np.empty(len(lengths), np.int64)
+    left: dict[int, list[int]] = {}
+    for i, size in enumerate(lengths.tolist()):
+        left.setdefault(size, []).append(i)
+    sizes = sum(1 << size for size in left)  # a bit set of the sizes left
+    fill: list[int] = []
+
+    def take(size: int) -> None:
+        nonlocal sizes
+        i = left[size].pop()
+        if not left[size]:
+            sizes ^= 1 << size
+        bins[i], offsets[i] = len(fill) - 1, fill[-1]
+        fill[-1] += size
+
+    def up_to(room: int) -> int:
+        """The largest size left within the room, 0 if none."""
+        return max(0, (sizes & (2 << room) - 1).bit_length() - 1)
+
+    while sizes:
+        fill.append(0)
+        take(sizes.bit_length() - 1)
+        while one := up_to(capacity - fill[-1]):
+            room = capacity - fill[-1]
+            best, first = one, one
+            at = one
+            while at and best < room and 2 * at > best:  # the larger of the two is at least half of what they fill
+                one_left = len(left[at]) == 1
+                other = up_to(min(at, room - at))
+                if other == at and one_left:
+                    other = up_to(at - 1)
+                if at + other > best:
+                    best, first = at + other, at
+                at = up_to(at - 1)
+            take(first)
+            if best > first:
+                take(best - first)
+    return bins, offsets, np.asarray(fill, np.int64)
+
+
+def two_ways(lengths: np.ndarray, capacity: int, apart: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The share `apart` of the largest items by best-fit decreasing among themselves, the others by pairs.
+
+    Large items that take two small ones each leave none for the middle; kept apart, they pair with each other.
+    """
+    order = np.argsort(-lengths, kind="stable")
+    cut = int(apart * len(order))
+    bins, offsets = np.empty(len(lengths), np.int64), np.empty(len(lengths), np.int64)
+    fills, begun = [], 0
+    for items, way in ((order[:cut], best_fit_decreasing), (order[cut:], fill_by_pairs)):
+        inner, offsets[items], fill = way(lengths[items], capacity)
+        bins[items] = inner + begun
+        fills.append(fill)
+        begun += len(fill)
+    return bins, offsets, np.concatenate(fills)
+
+
+def _pack(capacity: int):
     def pack(group: pd.DataFrame) -> pd.DataFrame:
         lengths = group["length"].to_numpy()
+        bound = lower_bound(lengths, capacity)
         bins, offsets, fill = best_fit_decreasing(lengths, capacity)
-        certified = last or len(fill) == lower_bound(lengths, capacity)
-        settled = np.ones(len(lengths), bool) if certified else fill[bins] == capacity
+        if len(fill) > bound:
+            ways = [fill_by_pairs(lengths, capacity), *(two_ways(lengths, capacity, x) for x in APART if len(fill) > 1.01 * bound)]
+            bins, offsets, fill = min((bins, offsets, fill), *ways, key=lambda packed: len(packed[2]))
+        gap = len(fill) - bound
+        settled = np.ones(len(lengths), bool) if not gap else (capacity - fill < lengths.min())[bins]
         ids = int(group["part"].iloc[0]) * (1 << 32) + bins
-        return group.drop(columns="part").assign(bin=ids, offset=offsets, settled=settled)
+        return group.drop(columns="part").assign(bin=ids, offset=offsets, settled=settled, gap=gap)
 
     return pack
 
 
 def pack_sequences(pieces: DataFrame, capacity: int = CAPACITY, per_partition: int = PER_PARTITION) -> DataFrame:
-    """pieces with sequence_id and offset; each sequence is gapless from 0 and holds at most capacity."""
+    """pieces with sequence_id, offset and gap; each sequence is gapless from 0 and holds at most capacity."""
     rows = pieces.count()
     round_no, done = 0, None
     while True:
         width = max(1, math.ceil(rows / per_partition))
         deal = F.pmod(F.monotonically_increasing_id() + F.spark_partition_id(), F.lit(width)).alias("part")
-        packed = pieces.select("*", deal).groupBy("part").applyInPandas(_pack(capacity, width == 1), _PACKED)
+        packed = pieces.select("*", deal).groupBy("part").applyInPandas(_pack(capacity), _PACKED)
         packed = materialize(packed.withColumn("round", F.lit(round_no)), "packing")
-        kept = packed.where("settled")
-        done = kept if done is None else done.unionByName(kept)
         pool = packed.where(~F.col("settled"))
         left = pool.count()
-        if not left:
+        last = not left or width == 1 or left > 0.75 * rows
+        kept = packed if last else packed.where("settled")
+        done = kept if done is None else done.unionByName(kept)
+        if last:
             return done.select(
                 "doc_id", "piece", "start", "length", "ids_crc32",
-                (F.col("round").cast("long") * (1 << 56) + F.col("bin")).alias("sequence_id"), "offset",
+                (F.col("round").cast("long") * (1 << 56) + F.col("bin")).alias("sequence_id"), "offset", "gap",
             )
-        # A round that settles little still at least halves the partitions, so rounds end.
-        rows, round_no = min(left, rows // 2), round_no + 1
+        rows, round_no = left, round_no + 1
         pieces = pool.select(*[c.split(" ")[0] for c in _PIECES.split(", ")])
 
 

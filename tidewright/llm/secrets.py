@@ -1,8 +1,9 @@
 """Secret scans over a trigram inverted index, in DataFrame functions only.
 
 Each rule's regular expression is turned into a Boolean trigram query (an OR of ANDs). Postings are
-bitmaps of document ids per (trigram, id bucket); a query intersects and unites them. Documents that
-the postings admit are verified with the rule itself; a rule without mandatory trigrams scans all.
+sets of document ids per (trigram, hash bucket of the id), so ids may be any numbers and a bucket stays
+near BUCKET_IDS ids; a query intersects and unites them. Documents that the postings admit are verified
+with the rule itself; a rule without mandatory trigrams scans all.
 
 Defined cases: null text is empty; a null document id is scanned in full, because postings cannot
 name it; repeated ids and rows each get their own result; an empty table gives an empty result; all
@@ -11,6 +12,7 @@ other columns are ignored, whatever their names. Texts of any length are scanned
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterable
 from dataclasses import dataclass
@@ -44,6 +46,8 @@ RULES = (
 #: The widest candidate list that is broadcast; a longer one is joined by a shuffle on the id.
 BROADCAST_ROWS = 1_000_000
 _STATES = 64
+#: Document ids per bucket of the postings, on average.
+BUCKET_IDS = 32_768
 
 
 def trigram_query(pattern: str) -> list[frozenset[str]] | None:
@@ -84,19 +88,16 @@ def trigram_query(pattern: str) -> list[frozenset[str]] | None:
 
 
 def build_index(docs: DataFrame, trigrams: list[str]) -> DataFrame:
-    """Postings (trigram, bucket, bitmap) of the given trigrams over whole lower-cased texts."""
+    """Postings (trigram, bucket, ids) of the given trigrams over whole lower-cased texts."""
     asked = F.array(*(F.lit(t) for t in trigrams))
     held = _let(F.lower("text"), lambda low: F.filter(asked, lambda t: F.contains(low, t)))
-    return (
-        docs.where(F.col("doc_id").isNotNull())
-        .select("doc_id", F.explode(held).alias("trigram"))
-        .groupBy("trigram", F.bitmap_bucket_number("doc_id").alias("bucket"))
-        .agg(F.bitmap_construct_agg(F.bitmap_bit_position("doc_id")).alias("bitmap"))
-    )
+    buckets = max(1, math.ceil(docs.count() / BUCKET_IDS))
+    bucket = F.pmod(F.xxhash64("doc_id"), F.lit(buckets)).alias("bucket")
+    return docs.where(F.col("doc_id").isNotNull()).select("doc_id", F.explode(held).alias("trigram")).groupBy("trigram", bucket).agg(F.collect_set("doc_id").alias("ids"))
 
 
 def candidates(index: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
-    """(rule_no, bucket, bitmap): ids whose postings satisfy the rule's query."""
+    """(rule_no, bucket, ids): documents whose postings satisfy the rule's query."""
     rows = [
         (i, j, len(tris), t)
         for i, rule in enumerate(rules)
@@ -107,30 +108,19 @@ def candidates(index: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
     asked = index.sparkSession.range(1).select(
         F.inline(F.array(*(F.struct(*(F.lit(v).alias(n) for n, v in zip(names, row, strict=True))) for row in rows)))
     )
+    lists = index.join(F.broadcast(asked), "trigram").groupBy("rule_no", "branch", "needed", "bucket").agg(F.collect_list("ids").alias("lists"))
+    common = F.aggregate(F.slice("lists", F.lit(2), F.size("lists")), F.col("lists")[0], F.array_intersect)
     return (
-        index.join(F.broadcast(asked), "trigram")
-        .groupBy("rule_no", "branch", "needed", "bucket")
-        .agg(F.bitmap_and_agg("bitmap").alias("bitmap"), F.count(F.lit(1)).alias("n"))
-        .where("n = needed")
+        lists.where(F.size("lists") == F.col("needed"))
+        .select("rule_no", "bucket", common.alias("ids"))
         .groupBy("rule_no", "bucket")
-        .agg(F.bitmap_or_agg("bitmap").alias("bitmap"))
+        .agg(F.array_distinct(F.flatten(F.collect_list("ids"))).alias("ids"))
     )
 
 
 def candidate_ids(found: DataFrame) -> DataFrame:
-    """(cand_id, rules array<int>) from candidate bitmaps: one row per candidate document."""
-    byte = F.expr("conv(hex(substring(bitmap, cast(at div 8 as int) + 1, 1)), 16, 10)").cast("int")
-    at = F.explode(F.sequence(F.lit(0), F.lit(32767)))
-    # Position p of bucket b is id 32768 (b - 1) + p + 1 for positive ids and -p in bucket 0 and below.
-    ident = F.when(F.col("bucket") > 0, (F.col("bucket") - 1) * 32768 + F.col("at") + 1).otherwise(
-        F.col("bucket") * 32768 - F.col("at")
-    )
-    return (
-        found.withColumn("at", at)
-        .where(F.getbit(byte, F.col("at") % 8) == 1)
-        .groupBy(ident.cast("long").alias("cand_id"))
-        .agg(F.collect_set("rule_no").alias("rules"))
-    )
+    """(cand_id, rules array<int>): one row per candidate document."""
+    return found.select("rule_no", F.explode("ids").alias("cand_id")).groupBy("cand_id").agg(F.collect_set("rule_no").alias("rules"))
 
 
 def _let(value: Column, body) -> Column:
@@ -206,7 +196,7 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     trigrams = sorted({t for q in queries.values() if q for tris in q for t in tris})
     index = materialize(build_index(docs, trigrams), "trigram-postings")
     found = materialize(candidates(index, rules), "trigram-candidates")
-    n = found.agg(F.coalesce(F.sum(F.bitmap_count("bitmap")), F.lit(0))).first()[0]
+    n = found.agg(F.coalesce(F.sum(F.size("ids")), F.lit(0))).first()[0]
     ids = candidate_ids(found)
     ids = F.broadcast(ids) if n <= BROADCAST_ROWS else ids
     joined = docs.join(ids, docs.doc_id == ids.cand_id, "left")
@@ -258,7 +248,7 @@ def redact(docs: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] = RU
     queries = {rule.kind: trigram_query(rule.pattern) for rule in rules}
     trigrams = sorted({t for q in queries.values() if q for tris in q for t in tris})
     found = materialize(candidates(build_index(text, trigrams), rules), "trigram-candidates")
-    n = found.agg(F.coalesce(F.sum(F.bitmap_count("bitmap")), F.lit(0))).first()[0]
+    n = found.agg(F.coalesce(F.sum(F.size("ids")), F.lit(0))).first()[0]
     ids = candidate_ids(found).select(F.col("cand_id").alias("__cand"), F.col("rules").alias("__rules"))
     ids = F.broadcast(ids) if n <= BROADCAST_ROWS else ids
     out = spark_docs.join(ids, spark_docs[id_col].cast("long") == ids["__cand"], "left")

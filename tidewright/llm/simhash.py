@@ -3,14 +3,16 @@
 A fingerprint's 64 bits are cut into 32 segments of 2 bits; the embedding is the vector of their bit
 counts. Manhattan distance between two embeddings never exceeds the Hamming distance of the
 fingerprints, so fingerprints within 3 bits lie within Manhattan distance 3. The 32 coordinates form
-six groups; at most three groups can differ, so at least three agree, and the 20 choices of three
-groups are the grid: two near fingerprints share the cell of at least one choice. Inside a cell,
-distance is bounded by Manhattan first and verified on the bits after.
+groups; at most three groups can differ, so all but three agree, and the choices of all but three
+groups are the grid: two near fingerprints share the cell of at least one choice. There are six groups
+or more, so many that a cell holds few fingerprints by chance however many there are. Inside a cell a
+range join keeps pairs within Manhattan distance 3, and the bits verify them after.
 
 Only distinct fingerprints meet in the grid (copies share theirs). A cell of at most PAIR_ROWS is
-joined in place; a larger one returns a spanning forest of its links instead of all pairs, and one of
-more than CELL_ROWS is cut into blocks whose pairs are separate groups: nothing quadratic leaves a
-task, and no link between components is lost.
+joined in place; a larger one returns a spanning forest of its links instead of all pairs. A cell of
+more than CELL_ROWS is split once more: of four groups of its other coordinates one at least agrees, so
+near fingerprints meet again in a smaller cell. What is still larger is cut into blocks whose pairs are
+separate groups: nothing quadratic leaves a task, and no link between components is lost.
 
 Defined cases: null text is an empty text; texts without words have fingerprint zero; null ids are
 left out (a component is named by ids); repeated rows of an id come back once each; an empty table
@@ -19,6 +21,7 @@ gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 from itertools import combinations, repeat
@@ -26,7 +29,7 @@ from itertools import combinations, repeat
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewright.llm.common import arrow_rows, map_rows, materialize, ship, text_rows
@@ -34,7 +37,7 @@ from tidewright.llm.components import connected_components
 
 RADIUS = 3
 WIDTH = 2
-GROUPS = 6
+LEAST_GROUPS = 6
 CELL_ROWS = 2048
 PAIR_ROWS = 32
 BROADCAST_ROWS = 1_000_000
@@ -83,21 +86,61 @@ def embedding(fp: np.ndarray) -> np.ndarray:
     return (pairs & np.uint64(1)).astype(np.uint8) + (pairs >> np.uint64(1)).astype(np.uint8)
 
 
-_COORDINATES = np.array_split(np.arange(64 // WIDTH), GROUPS)
-_CHOICES = list(combinations(range(GROUPS), GROUPS - RADIUS))
+def groups_for(n: int) -> int:
+    """The least number of groups whose cells (1.5 bits a coordinate) number 16 times the fingerprints or more."""
+    wanted = math.log2(max(2, n)) + 4
+    return next((g for g in range(LEAST_GROUPS, 16) if 1.5 * (64 // WIDTH) * (g - RADIUS) / g >= wanted), 16)
 
 
-def _cells(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """The grid cells of each fingerprint: for each choice of groups, their coordinates in base 3."""
-    for batch in batches:
-        fp = batch["fp"].to_numpy()
-        counts = embedding(fp.view(np.uint64)).astype(np.int64)
-        keys = [counts[:, c] @ (3 ** np.arange(len(c), dtype=np.int64)) for c in _COORDINATES]
-        for n, choice in enumerate(_CHOICES):
-            cell = np.zeros(len(fp), np.int64)
-            for g in choice:
-                cell = cell * 3 ** len(_COORDINATES[g]) + keys[g]
-            yield pd.DataFrame({"cell": cell * len(_CHOICES) + n, "fp": fp})
+def _keys(counts: np.ndarray, columns: np.ndarray) -> np.ndarray:
+    """The given coordinates in base 3."""
+    return counts[:, columns] @ (3 ** np.arange(len(columns), dtype=np.int64))
+
+
+def _grid(groups: int) -> tuple[list[np.ndarray], list[tuple[int, ...]]]:
+    return np.array_split(np.arange(64 // WIDTH), groups), list(combinations(range(groups), groups - RADIUS))
+
+
+def _cells(groups: int):
+    """The grid cells of each fingerprint: for each choice of groups, their coordinates."""
+    coordinates, choices = _grid(groups)
+
+    def cells(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            fp = batch["fp"].to_numpy()
+            counts = embedding(fp.view(np.uint64)).astype(np.int64)
+            for n, choice in enumerate(choices):
+                cell = _keys(counts, np.concatenate([coordinates[g] for g in choice]))
+                yield pd.DataFrame({"cell": cell * len(choices) + n, "fp": fp})
+
+    return cells
+
+
+def _smaller_cells(groups: int):
+    """The cells that a fingerprint of a large cell is split to: by each of RADIUS + 1 groups of the cell's other coordinates."""
+    coordinates, choices = _grid(groups)
+
+    def cells(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            of = batch["cell"].to_numpy() % len(choices)
+            for n in np.unique(of).tolist():
+                rows = batch[of == n]
+                counts = embedding(rows["fp"].to_numpy().view(np.uint64)).astype(np.int64)
+                other = np.concatenate([coordinates[g] for g in range(groups) if g not in choices[n]])
+                for i, columns in enumerate(np.array_split(other, RADIUS + 1)):
+                    yield pd.DataFrame({"cell": rows["cell"], "part": _keys(counts, columns) * (RADIUS + 1) + i, "fp": rows["fp"]})
+
+    return cells
+
+
+def manhattan(a: Column, b: Column) -> Column:
+    """Distance of the embeddings: per segment one bit says that its count is odd, the other that it is two."""
+    low = F.lit(0x5555555555555555)
+    counts = [(x.bitwiseAND(low), F.shiftrightunsigned(x, 1).bitwiseAND(low)) for x in (a, b)]
+    odd, two = (counts[0][0].bitwiseXOR(counts[0][1]), counts[0][0].bitwiseAND(counts[0][1]))
+    odd2, two2 = (counts[1][0].bitwiseXOR(counts[1][1]), counts[1][0].bitwiseAND(counts[1][1]))
+    odd, two = odd.bitwiseXOR(odd2), two.bitwiseXOR(two2)
+    return F.bit_count(odd) + 2 * F.bit_count(two.bitwiseAND(F.bitwise_not(odd)))
 
 
 def forest(left: np.ndarray, right: np.ndarray | None = None) -> list[tuple[int, int]]:
@@ -136,30 +179,43 @@ def _cell_links(group: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(links, columns=["src", "dst"], dtype="int64")
 
 
+def _pairs(shared: DataFrame, key: list[str]) -> DataFrame:
+    """(src, dst) of the links in cells of at most PAIR_ROWS, joined in place."""
+    rows = shared.where(F.col("n") <= PAIR_ROWS).select(*key, "fp")
+    left, right = rows.withColumnRenamed("fp", "src"), rows.withColumnRenamed("fp", "dst")
+    src, dst = F.col("src"), F.col("dst")
+    return left.join(right, key).where((src < dst) & (manhattan(src, dst) <= RADIUS) & (F.bit_count(src.bitwiseXOR(dst)) <= RADIUS)).select("src", "dst")
+
+
+def _counted(cells: DataFrame, key: list[str]) -> DataFrame:
+    return cells.join(cells.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).where("n > 1"), key)
+
+
 def links(fps: DataFrame) -> DataFrame:
     """(src, dst): links between distinct fingerprints, enough to keep every component together."""
-    cells = materialize(fps.mapInPandas(_cells, "cell long, fp long"), "simhash-cells", "zstd")
-    sizes = cells.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    shared = cells.join(sizes, "cell")
-    pairs = shared.where(F.col("n") <= PAIR_ROWS).select("cell", "fp")
-    left, right = pairs.withColumnRenamed("fp", "src"), pairs.withColumnRenamed("fp", "dst")
-    weight = F.abs(F.bit_count("src") - F.bit_count("dst"))
-    near = (F.col("src") < F.col("dst")) & (weight <= RADIUS) & (F.bit_count(F.col("src").bitwiseXOR(F.col("dst"))) <= RADIUS)
-    few = left.join(right, "cell").where(near).select("src", "dst")
-    many = shared.where(F.col("n") > PAIR_ROWS)
-    small = many.where(F.col("n") <= CELL_ROWS).select("cell", "fp", F.lit(0).alias("a"), F.lit(0).alias("b"), F.lit(0).alias("side"))
+    groups = groups_for(fps.count())
+    cells = materialize(fps.mapInPandas(_cells(groups), "cell long, fp long"), "simhash-cells", "zstd")
+    shared = _counted(cells, ["cell"])
+    part, none = F.lit(0).cast("long").alias("part"), [F.lit(0).alias(x) for x in ("a", "b", "side")]
+    large = shared.where(F.col("n") > CELL_ROWS).select("cell", "fp").mapInPandas(_smaller_cells(groups), "cell long, part long, fp long")
+    large = materialize(large, "simhash-large-cells", "zstd")
+    again = _counted(large, ["cell", "part"])
+    small = shared.where((F.col("n") > PAIR_ROWS) & (F.col("n") <= CELL_ROWS)).select("cell", part, "fp", *none)
+    small = small.unionByName(again.where((F.col("n") > PAIR_ROWS) & (F.col("n") <= CELL_ROWS)).select("cell", "part", "fp", *none))
     blocks = F.ceil(F.col("n") / CELL_ROWS).cast("int")
     block = F.pmod(F.xxhash64("fp"), blocks.cast("long")).cast("int")
-    big = many.where(F.col("n") > CELL_ROWS).select("cell", "fp", blocks.alias("k"), block.alias("own"))
+    big = again.where(F.col("n") > CELL_ROWS).select("cell", "part", "fp", blocks.alias("k"), block.alias("own"))
     big = big.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1))).select(
         "cell",
+        "part",
         "fp",
         F.least("own", "other").alias("a"),
         F.greatest("own", "other").alias("b"),
         F.when(F.col("own") == F.col("other"), 0).when(F.col("own") < F.col("other"), 1).otherwise(2).alias("side"),
     )
-    forests = small.unionByName(big).groupBy("cell", "a", "b").applyInPandas(_cell_links, "src long, dst long")
-    return few.unionByName(forests).distinct()
+    forests = small.unionByName(big).groupBy("cell", "part", "a", "b").applyInPandas(_cell_links, "src long, dst long")
+    found = _pairs(shared, ["cell"]).unionByName(_pairs(again, ["cell", "part"])).unionByName(forests)
+    return found.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct()
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
