@@ -80,20 +80,55 @@ def test_snapshots_and_evidence(spark, out, tmp_path):
 
 
 def test_manifest_and_verification(spark, tmp_path):
-    (tmp_path / "data").mkdir()
-    (tmp_path / "data" / "BSE_x01012026.csv").write_text("a")
+    (tmp_path / "data" / "b" / "k").mkdir(parents=True)
+    (tmp_path / "data" / "b" / "k" / "BSE_x01012026.csv").write_text("a")
     digest = "ca978112ca1bbdcafac231b39a23dc4da786eff8147c4e72b9807785afee48bb"
     file = {"bucket": "b", "key": "k/BSE_x01012026.csv", "format": "CSV", "sha256": digest, "size_bytes": 1, "job_id": "j", "source_url": "u"}
-    manifest = {"specversion": "1.0", "id": "1", "source": "s", "type": "t", "data": {"event_id": "e", "run_id": "r", "dataset_fingerprint": "f", "inputs": {"tradeDate": "2026-01-01"}, "files": [file]}}
+    manifest = {**sources.CONSTANTS, "id": "1", "dataschema": "d", "subject": "s", "data": {"schema_version": 1, "event_type": "x", "event_id": "e", "run_id": "r", "dataset_fingerprint": "f", "inputs": {"tradeDate": "2026-01-01"}, "files": [file]}}
     (tmp_path / "m1.json").write_text(json.dumps(manifest))
     manifest["data"] |= {"run_id": " ", "files": [file, file | {"sha256": "x", "size_bytes": 0}]}
     (tmp_path / "m2.json").write_text(json.dumps(manifest))
     read = {r.manifest[-7:]: r.problems for r in sources.read_manifests(spark, str(tmp_path / "m*.json")).collect()}
+    other = manifest | {"source": "me", "type": None, "data": manifest["data"] | {"schema_version": 2, "run_id": "r", "inputs": None, "files": [file | {"key": " "}]}}
+    (tmp_path / "m3.json").write_text(json.dumps(other))
+    wrong = sources.read_manifests(spark, str(tmp_path / "m3.json")).first().problems
+    assert {"type is required", f"source must be {sources.CONSTANTS['source']}", "data.schema_version must be 1", "data.inputs is required", "files need a bucket and a key"} == set(wrong)
     assert read["m1.json"] == [] and read["m2.json"] == ["data.run_id is required", "files hold an invalid sha256", "files hold an invalid size", "files list an object twice"]
     listed = sources.listed_files(sources.read_manifests(spark, str(tmp_path / "m1.json")))
-    have = sources.read_bytes(spark, str(tmp_path / "data"))
+    have = sources.read_bytes(spark, str(tmp_path / "data" / "b" / "k"))
     assert sources.verify(have, listed).first().problem is None
     assert sources.verify(have, listed.withColumn("size_bytes", F.lit(2).cast("long"))).first().problem == "CHECKSUM_MISMATCH"
     exchange, day = sources.csv_name(F.lit("bse_fgroup01012026.csv"))
     row = spark.range(1).select(exchange.alias("e"), day.cast("string").alias("d"), sources.json_name(F.lit("ine0_details.json")).alias("i")).first()
     assert (row.e, row.d, row.i) == ("BSE", "2026-01-01", "INE0")
+
+
+def test_objects_of_one_name_are_told_apart(spark, tmp_path):
+    for folder, text in (("a", "x"), ("c", "y")):
+        (tmp_path / "b" / folder).mkdir(parents=True)
+        (tmp_path / "b" / folder / "f.csv").write_text(text)
+    import hashlib
+
+    digest = hashlib.sha256(b"x").hexdigest()
+    listed = spark.createDataFrame([("b", "a/f.csv", "sha256:" + digest.upper(), 1, "r1"), ("b", "c/f.csv", digest, 1, "r2")], "bucket string, key string, sha256 string, size_bytes long, run_id string")
+    found = {r.run_id: r.problem for r in sources.verify(sources.read_bytes(spark, str(tmp_path / "b" / "*")), listed).collect()}
+    assert found == {"r1": None, "r2": "CHECKSUM_MISMATCH"}
+
+
+def test_run_dataset(spark, tmp_path):
+    import hashlib
+
+    (tmp_path / "in" / "b").mkdir(parents=True)
+    header = ",".join(f.header for f in datasets.DAILY_CSV.fields)
+    files = {}
+    for name, ok in (("BSE_one01012026.csv", True), ("BSE_two02012026.csv", False)):
+        body = header + "\n" + ",".join("INE001A07AB1" if f.name == "isin" else "" for f in datasets.DAILY_CSV.fields) + "\n"
+        (tmp_path / "in" / "b" / name).write_text(body)
+        files[name] = {"bucket": "b", "key": name, "format": "CSV", "sha256": hashlib.sha256(body.encode()).hexdigest() if ok else "0" * 64, "size_bytes": len(body)}
+    for i, listed in enumerate(([files["BSE_one01012026.csv"]], [files["BSE_two02012026.csv"]], list(files.values()))):
+        manifest = {**sources.CONSTANTS, "id": "1", "dataschema": "d", "subject": "s", "data": {"schema_version": 1, "event_type": "x", "event_id": "e", "run_id": f"r{i}", "dataset_fingerprint": "f", "inputs": {}, "files": listed}}
+        (tmp_path / f"m{i}.json").write_text(json.dumps(manifest))
+    out = datasets.run_dataset(spark, str(tmp_path / "in" / "b"), str(tmp_path / "m*.json"))
+    assert out["canonical"].select("path").distinct().count() == 1 and out["summaries"].first().isin == "INE001A07AB1"
+    assert [r.problem for r in out["rejected_manifests"].collect()] == ["INVALID_MANIFEST"]
+    assert [(r.path[-19:], r.problem) for r in out["unverified"].collect()] == [("BSE_two02012026.csv", "CHECKSUM_MISMATCH")]

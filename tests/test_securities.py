@@ -59,3 +59,52 @@ def test_apply_changes(spark, out):
     merged = {r.isin: r for r in securities.apply_changes(stored, out["security"], spark.createDataFrame([("INE1",)], "isin string"), F.lit("t1")).collect()}
     assert merged["INE1"].issuer_name == "Newer" and merged["INE1"].asset_coverage is None and merged["INE1"].updated_at == "t1"
     assert merged["INE9"].issuer_name == "Kept" and merged["INE9"].fields_changed == 0 and merged["INE9"].updated_at == "t0"
+
+
+def test_rejected_parts(out):
+    rows = [(r.path[-11:], r.kind, r.json_path, r.sequence) for r in out["rejections"].where("isin = 'INE1'").orderBy("sequence").collect()]
+    kinds = [(p, k, j) for p, k, j, _ in rows]
+    cover = "$.instrumentsVo.assetCover."
+    assert [n for *_, n in rows] == list(range(1, len(rows) + 1))
+    assert kinds == [
+        ("INE1_b.json", "VALUE_IGNORED", f"{cover}assetCvge"), ("INE1_b.json", "VALUE_IGNORED", f"{cover}assetCvrPercent"),
+        ("INE1_c.json", "FIELD_REJECTED", "$.coupensVo.couponDetails.couponType"),
+        ("INE1_c.json", "ENTRY_FIELDS_REJECTED", "$.coupensVo.cashFlowScheduleDetails.cashFlowSchedule[2]"),
+        ("INE1_d.json", "SECTION_REJECTED", "$.listingDetails"), ("INE1_e.json", "SECTION_REJECTED", "$.instrumentsVo"),
+    ]
+    assert [r.kind for r in out["rejections"].where("isin = 'INE2'").collect()] == ["FILE_SKIPPED"]
+    assert out["warnings"].count() == 0
+
+
+def test_strict_documents(spark):
+    from tidewright.functions import json_values
+
+    texts = ['{"a":"\\\\u0000"}', '{"a":"\\u0000"}', "[" * 32 + "]" * 32, "[" * 33 + "]" * 33, '"' + "[" * 90 + '"', '{"a":1} x', "\ufeff[1]"]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", json_values.strict_document(F.col("t")).isNotNull().alias("ok")).orderBy("i").collect()
+    assert [r.ok for r in rows] == [True, False, True, False, True, False, True]
+
+
+def test_admission_keeps_only_what_is_accepted(spark):
+    from tidewright.streaming import admission
+
+    schema = "sequence int, idempotency_key string, event_key string, payload_hash string"
+    old = spark.createDataFrame([(0, "k0", "e0", "h0")], schema)
+    new = spark.createDataFrame([(1, "k0", "e2", "hX"), (2, "k9", "e2", "h9"), (3, "k9", "e2", "h9"), (4, "k9", "e3", "h9"), (5, "k5", "e3", "h"), (6, "k0", "e0", "h0"), (7, "k0", "e0", "h1"), (8, None, "e9", "h"), (9, "k6", "e9", "h")], schema)
+    got = {r.sequence: r.outcome for r in admission.admit(old, new).collect()}
+    assert got == {1: "CONFLICT", 2: "ACCEPTED", 3: "REPLAY", 4: "CONFLICT", 5: "ACCEPTED", 6: "REPLAY", 7: "CONFLICT", 8: "INVALID", 9: "ACCEPTED"}
+    assert admission.admit(old, new.limit(0)).count() == 0
+
+
+def test_events_are_applied_in_order(spark):
+    from tidewright.streaming import admission
+
+    events = spark.createDataFrame([("a", 1), ("a", 2), ("b", 3), ("a", 4), ("b", 5), ("c", 6)], "g string, n int")
+    seen = []
+
+    def apply(heads):
+        rows = [(r.g, r.n) for r in heads.collect()]
+        seen.extend(rows)
+        return heads.where("n <> 3")
+
+    assert admission.apply_in_order(events, ["g"], "n", apply) == 3
+    assert sorted(seen) == [("a", 1), ("a", 2), ("a", 4), ("b", 3), ("c", 6)] and [n for g, n in seen if g == "a"] == [1, 2, 4]

@@ -9,15 +9,29 @@ from tidewright.functions.rules import INVALID_TYPE, none, strip
 
 #: Texts that mean "no update".
 PLACEHOLDERS = ("", "-", "N.A.")
+#: Fixed value: how deep objects and arrays may nest.
+MAX_DEPTH = 32
 _END = "end-of-document-5f0c"
+_NUL = r"(?<!\\)(?:\\\\)*\\u0000"  # the escape itself, not a backslash followed by u0000
+_STRING = r'"(?:[^"\\]|\\.)*"'
+
+
+def depth(text: Column) -> Column:
+    """How deep the brackets of a JSON text nest, those inside strings left out."""
+    marks = F.regexp_replace(F.regexp_replace(text, _STRING, ""), r"[^\[\]{}]", "")
+    level = lambda acc, m: acc["now"] + F.when(m.isin("[", "{"), 1).otherwise(-1)
+    start = F.struct(F.lit(0).alias("now"), F.lit(0).alias("most"))
+    step = lambda acc, m: F.struct(level(acc, m).alias("now"), F.greatest(acc["most"], level(acc, m)).alias("most"))
+    return F.aggregate(F.filter(F.split(marks, ""), lambda m: m != ""), start, step, lambda acc: acc["most"])
 
 
 def strict_document(text: Column) -> Column:
-    """The variant of a strict JSON document, null if malformed: trailing content, duplicate names and NUL fail."""
-    clean = F.regexp_replace(text, "^﻿", "")
+    """The variant of a strict JSON document, null if malformed: trailing content, duplicate names, NUL and too deep nesting fail."""
+    clean = F.regexp_replace(text, "^\ufeff", "")
     wrapped = F.try_parse_json(F.concat(F.lit("["), clean, F.lit(f',"{_END}"]')))
     complete = (F.try_variant_get(wrapped, "$[1]", "string") == _END) & F.try_variant_get(wrapped, "$[2]", "string").isNull()
-    return F.when(complete & ~clean.contains("\\u0000") & ~clean.contains("\0"), F.try_parse_json(clean))
+    shallow = (F.length(F.regexp_replace(clean, r"[^\[{]", "")) <= MAX_DEPTH) | (depth(clean) <= MAX_DEPTH)
+    return F.when(complete & ~clean.rlike(_NUL) & ~clean.contains("\0") & shallow, F.try_parse_json(clean))
 
 
 def kind(value: Column) -> Column:

@@ -25,10 +25,13 @@ PRICE_INCONSISTENT = "PRICE_INCONSISTENT"
 DUPLICATE_SUPERSEDED = "DUPLICATE_ISIN_SUPERSEDED"
 CONFLICTING_COLLATERAL = "CONFLICTING_COLLATERAL_DATA"
 
+# The grammar of numbers; a grouped number does not begin with a zero group.
 _PLAIN = r"^-?[0-9]+(\.[0-9]+)?$"
-_WESTERN = r"^-?[0-9]{1,3}(,[0-9]{3})+(\.[0-9]+)?$"
-_INDIAN = r"^-?[0-9]{1,2}(,[0-9]{2})*,[0-9]{3}(\.[0-9]+)?$"
+_WESTERN = r"^-?[1-9][0-9]{0,2}(,[0-9]{3})+(\.[0-9]+)?$"
+_INDIAN = r"^-?[1-9][0-9]?(,[0-9]{2})*,[0-9]{3}(\.[0-9]+)?$"
 _GROUPED_SHAPE = r"^-?[0-9,]+(\.[0-9]+)?$"
+# White space, without the no-break spaces.
+_WHITE = "\t\n\v\f\r\x1c\x1d\x1e\x1f \u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2008\u2009\u200a\u2028\u2029\u205f\u3000"
 _NO_CODE = "cast(null as string)"
 
 
@@ -38,7 +41,7 @@ def none() -> Column:
 
 def strip(c: Column) -> Column:
     """Drop surrounding white space as Unicode defines it (a no-break space stays)."""
-    return F.regexp_replace(c, r"^\p{javaWhitespace}+|\p{javaWhitespace}+$", "")
+    return F.btrim(c, F.lit(_WHITE))
 
 
 def trim(c: Column) -> Step:
@@ -118,6 +121,12 @@ def register_normalizer(name: str, rule: Callable[[Column], Step]) -> None:
     NORMALIZERS[name] = rule
 
 
+def register_validator(name: str, rule: Callable[[Column], Column]) -> None:
+    if name in VALIDATORS:
+        raise KeyError(f"rule exists: {name}")
+    VALIDATORS[name] = rule
+
+
 def exact_decimal(c: Column) -> Step:
     """Exact decimal text of at most 1000 characters; exponents are not numbers here."""
     good = c.rlike(_PLAIN) & (F.length(c) <= 1000)
@@ -139,6 +148,13 @@ def strict_date(c: Column) -> Step:
     return F.when(good, F.date_format(day, "yyyy-MM-dd")), F.when(c.isNotNull() & ~F.coalesce(good, F.lit(False)), INVALID_DATE)
 
 
+def trade_date(c: Column) -> Step:
+    """An ISO day of the years 1900 to 9999, as the inputs of a run name it; the value is ISO text."""
+    day = F.when(c.rlike(r"^\d{4}-\d{2}-\d{2}$"), F.try_to_date(c, "yyyy-MM-dd"))
+    good = F.coalesce(F.year(day).between(1900, 9999), F.lit(False))
+    return F.when(good, F.date_format(day, "yyyy-MM-dd")), F.when(c.isNotNull() & ~good, INVALID_DATE)
+
+
 def percent(c: Column) -> Step:
     """A decimal with at most 30 digits on each side."""
     text, code = exact_decimal(c)

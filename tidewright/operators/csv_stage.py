@@ -89,7 +89,7 @@ def issues(rows: DataFrame, contract: SourceContract, *by: str) -> DataFrame:
     ] + [F.transform("row_errors", _issue(len(contract.fields), None))]
     superseded = F.when(F.col("disposition") == "QUARANTINED_SUPERSEDED", F.array(_named(len(contract.fields) + 1, None, F.lit(rules.DUPLICATE_SUPERSEDED))))
     none = F.expr("cast(array() as array<struct<place:int,field:string,code:string>>)")
-    out = rows.select(*by, "record_number", F.posexplode(F.concat(*listed, F.coalesce(superseded, none))).alias("pos", "issue"))
+    out = rows.select(*by, "record_number", F.explode(F.concat(*listed, F.coalesce(superseded, none))).alias("issue"))
     order = Window.partitionBy(*by).orderBy("record_number", "issue.place", "issue.code")
     return out.select(*by, F.row_number().over(order).alias("sequence"), "record_number", "issue.field", "issue.code")
 

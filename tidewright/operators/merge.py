@@ -14,12 +14,16 @@ def insert_missing(stored: DataFrame, incoming: DataFrame, keys: list[str]) -> D
 def append_only(stored: DataFrame, incoming: DataFrame, identity: list[str], order: list[Column]) -> DataFrame:
     """Incoming rows new by null-safe identity; within the batch the first by `order` wins.
 
-    One grouped pass over both sides: a null-safe join on every column would neither hash nor spread nulls.
+    Incoming rows come down to one per identity first. Both sides meet by a hash of the identity, read in the
+    stored types, that takes nulls as values; the stored table is narrowed to the batch's hashes first, so it
+    is neither sorted nor moved while Spark can broadcast those.
     """
-    tagged = stored.select(*identity).withColumn("_stored", F.lit(1)).unionByName(incoming.withColumn("_stored", F.lit(0)), allowMissingColumns=True)
-    spec = Window.partitionBy(*identity)
-    ranked = tagged.withColumn("_known", F.max("_stored").over(spec)).withColumn("_n", F.row_number().over(spec.orderBy("_stored", *order)))
-    return ranked.where("_known = 0 and _n = 1").drop("_known", "_n", "_stored")
+    first = incoming.withColumn("_n", F.row_number().over(Window.partitionBy(*identity).orderBy(*order))).where("_n = 1").drop("_n")
+    typed = [F.col(c).cast(stored.schema[c].dataType).cast("string") for c in identity]
+    name = F.sha2(F.concat_ws(",", *(F.coalesce(F.concat(F.length(c).cast("string"), F.lit(":"), c), F.lit("-")) for c in typed)), 256)
+    first = first.withColumn("_name", name)
+    hits = stored.select(name.alias("_name")).join(first.select("_name"), "_name", "left_semi")
+    return first.join(hits, "_name", "left_anti").drop("_name")
 
 
 def upsert(stored: DataFrame, incoming: DataFrame, keys: list[str], values: list[str], now: Column) -> DataFrame:
@@ -55,6 +59,11 @@ def coupon_change(stored_rate: Column, stored_date: Column, stored_source: Colum
     )
 
 
+def coupon_disagrees(stored_rate: Column, stored_source: Column, rate: Column, exchange: str = "BSE") -> Column:
+    """True where an exchange's rate is stored and a backup's rate differs; the exchange's stays."""
+    return (stored_source == exchange) & stored_rate.isNotNull() & rate.isNotNull() & (stored_rate != rate)
+
+
 def scalar_change(stored: Column, new: Column) -> Column:
     """True where a value arrives and differs; a missing value never erases."""
     return new.isNotNull() & ~new.eqNullSafe(stored)

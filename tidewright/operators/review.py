@@ -52,3 +52,113 @@ def backoff_seconds(attempts: Column) -> Column:
 def stuck(last_progress: Column, now: Column, final_attempt_started: Column) -> Column:
     """No progress for an hour, or the final attempt running for over 16 minutes."""
     return (last_progress < now - F.expr("interval 1 hour")) | (final_attempt_started < now - F.expr("interval 16 minutes"))
+
+
+# The counts a finished job of a data set shows, in order.
+AGREED_COUNTS = {
+    "urn:bond-platform:dataset:bse-debt-trades": ("sourceRecords", "acceptedRows", "invalidRows", "supersededRows"),
+    "urn:bond-platform:dataset:nsdl-security": ("filesListed", "filesProcessed", "filesSkipped", "scalarFieldsChanged", "collectionEntriesAppended", "fieldsRejected"),
+}
+
+
+def job_counts(dataset: Column, stored: Column) -> Column:
+    """A finished job's agreed counts as JSON, absent ones null; null for a data set without agreed counts."""
+    out = F.lit(None).cast("string")
+    for name, counts in AGREED_COUNTS.items():
+        read = F.from_json(stored, ", ".join(f"{c} bigint" for c in counts))
+        shown = F.struct(*(read[c].alias(c) for c in counts))
+        out = F.when(dataset == name, F.to_json(shown, {"ignoreNullFields": "false"})).otherwise(out)
+    return out
+
+
+def union_errors(failures: DataFrame, issues: DataFrame, jobs: DataFrame, key: str = "job") -> DataFrame:
+    """A job's errors: the final run's failure at sequence 0, then the run's issues; issues of unknown jobs are left out."""
+    return failures.unionByName(issues.join(jobs.select(key).distinct(), key, "left_semi"))
+
+
+def first_pages(errors: DataFrame, key: str = "job", after: Column | None = None, size: int = 50, order: tuple[str, ...] = ("sequence",)) -> DataFrame:
+    """Every job's page and one row more, all jobs side by side; ranking stops at the page's end."""
+    rows = errors if after is None else errors.where(after)
+    spec = Window.partitionBy(key).orderBy(*order)
+    return rows.withColumn("_n", F.row_number().over(spec)).where(F.col("_n") <= size + 1).drop("_n")
+
+
+def job_status(jobs: DataFrame, errors: DataFrame, stored_count: str, failure: Column, finished: Column, key: str = "job", shown: int = 5) -> DataFrame:
+    """jobs with error_count, first_errors and has_more where finished; errors need only be grouped once.
+
+    The codes of a job are kept up to `shown` + 1 in one pass: the smallest (sequence, code) pairs.
+    """
+    ranked = first_pages(errors, key, None, shown, ("sequence", "code"))
+    first = ranked.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("sequence", "code"))).alias("_first"))
+    per = errors.groupBy(key).agg(F.count_if(F.col("sequence") > 0).alias("_n")).join(first, key)
+    out = jobs.join(per, key, "left")
+    number = error_count(F.col(stored_count), F.coalesce("_n", F.lit(0)), failure)
+    codes = F.transform(F.slice("_first", 1, shown), lambda x: x["code"])
+    more = F.coalesce(F.size("_first") > shown, F.lit(False))
+    return out.select(
+        *jobs.columns, F.when(finished, number).alias("error_count"), F.when(finished, F.coalesce(F.array_join(codes, ","), F.lit(""))).alias("first_errors"), F.when(finished, more).alias("has_more")
+    )
+
+
+def summaries(rows: DataFrame, dated: str, key: str, start: str | None = None, end: str | None = None, only: object | None = None) -> DataFrame:
+    """Rows of an optional key within an optional range of dates (years 1900 to 9999, start not after end)."""
+    for day in (start, end):
+        if day is not None and not "1900-01-01" <= day <= "9999-12-31":
+            raise ValueError(f"not a date from 1900 to 9999: {day}")
+    if start is not None and end is not None and start > end:
+        raise ValueError("the range ends before it begins")
+    day = F.col(dated).cast("date")
+    out = rows if only is None else rows.where(F.col(key) == only)
+    out = out if start is None else out.where(day >= F.lit(start).cast("date"))
+    return out if end is None else out.where(day <= F.lit(end).cast("date"))
+
+
+def nested_view(entities: DataFrame, key: str, lists: dict[str, tuple[DataFrame, list[Column]]], limit: int = 1000) -> DataFrame:
+    """entities with one sorted array per list table: at most `limit` rows a key, and n_<list> tells of all.
+
+    Each list is (rows with the key, sort columns); a bound keeps one frequent key from filling a task.
+    """
+    out = entities
+    for name, (rows, order) in lists.items():
+        values = [c for c in rows.columns if c != key]
+        ranked = rows.withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy(*order)))
+        kept = ranked.where(F.col("_n") <= limit).groupBy(key).agg(F.array_sort(F.collect_list(F.struct("_n", *values))).alias(name))
+        n = rows.groupBy(key).agg(F.count(F.lit(1)).alias(f"n_{name}"))
+        out = out.join(kept, key, "left").join(n, key, "left")
+        out = out.withColumn(name, F.transform(name, lambda x: F.struct(*(x[v].alias(v) for v in values)))).withColumn(f"n_{name}", F.coalesce(f"n_{name}", F.lit(0)))
+    return out
+
+
+def sweep(jobs: DataFrame, is_stuck: Column, order: str, now: Column, limit: int = 100) -> DataFrame:
+    """The oldest stuck jobs, at most `limit`, with the state they go to: FAILED; a run still running ends as abandoned."""
+    running = F.col("run_state") == "RUNNING"
+    return jobs.where(is_stuck).orderBy(order).limit(limit).select(
+        *jobs.columns, F.lit("FAILED").alias("next_state"), F.when(running, "TEMPORARY_FAILURE").otherwise(F.col("run_state")).alias("next_run_state"),
+        F.when(running, "ATTEMPT_ABANDONED").alias("run_code"), now.alias("failed_at"),
+    )
+
+
+def retained(requests: DataFrame, children: dict[str, DataFrame], key: str, finished: str, now: Column, days: int) -> tuple[DataFrame, dict[str, DataFrame]]:
+    """(requests, children) without the requests that finished over `days` ago; their children go with them."""
+    old = requests.where(F.col(finished) < now - F.make_interval(days=F.lit(days))).select(key)
+    return requests.join(old, key, "left_anti"), {name: rows.join(old, key, "left_anti") for name, rows in children.items()}
+
+
+def delivered(events: DataFrame, ok: Column, error: Column, now: Column, limit: int = 1000) -> DataFrame:
+    """Bookkeeping after a delivery attempt: status, attempts, next time and the error's first code points."""
+    attempts = F.when(ok, F.col("attempts")).otherwise(F.col("attempts") + 1)
+    wait = F.make_interval(secs=backoff_seconds(F.col("attempts") + 1).cast("decimal(18,6)"))
+    return events.withColumns({
+        "status": F.when(ok, "DELIVERED").otherwise("PENDING"), "attempts": attempts, "next_attempt_at": F.when(~ok, now + wait),
+        "last_error": F.when(~ok, F.substring(error, 1, limit)),
+    })
+
+
+def audit(rows: DataFrame, checks: dict[str, Column], keys: dict[str, tuple[str, DataFrame]]) -> DataFrame:
+    """(rule, violations): rows that break a check (unknown is no violation), and rows whose key another table lacks."""
+    one = rows.agg(*(F.count_if(~c).alias(k) for k, c in checks.items())).select(F.posexplode(F.array(*(F.col(k) for k in checks))).alias("i", "violations"))
+    out = one.select(F.element_at(F.array(*map(F.lit, checks)), F.col("i") + 1).alias("rule"), "violations")
+    for rule, (key, known) in keys.items():
+        lost = rows.where(F.col(key).isNotNull()).join(known, key, "left_anti").agg(F.count(F.lit(1)).alias("violations"))
+        out = out.unionByName(lost.select(F.lit(rule).alias("rule"), "violations"))
+    return out

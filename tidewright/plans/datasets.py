@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import json
-import os
+import time
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewright.operators import csv_stage
+from tidewright.plans import securities
 from tidewright.plans.contracts import DAILY_COUPON, DAILY_CSV, DAILY_SUMMARY, MappingContract, SourceContract
 from tidewright.sources import files as sources
 
@@ -26,14 +27,34 @@ def run_csv(files: DataFrame, source: SourceContract = DAILY_CSV, summary: Mappi
         "coupons": coupons,
         "issues": csv_stage.issues(canonical, source, "path"),
         "counts": csv_stage.counts(canonical, "path"),
-        "rejected_records": rejected_records(canonical),
+        "rejected_records": rejected_records(canonical, source),
         "rejected_files": errors,
     }
 
 
-def rejected_records(canonical: DataFrame) -> DataFrame:
+def run_dataset(spark: SparkSession, root: str, manifests: str, source: SourceContract | None = DAILY_CSV, summary: MappingContract = DAILY_SUMMARY) -> dict[str, DataFrame]:
+    """All files that the manifests list under root, through the pipeline of their data set: a source contract's, or the JSON one (None).
+
+    Manifests with problems, file sets that break the format's limits and JSON names of other securities are
+    left out and listed in `rejected_manifests`; files whose bytes differ from their listing in `unverified`.
+    """
+    read = sources.read_manifests(spark, manifests)
+    listed = sources.listed_files(read.where(F.size("problems") == 0))
+    bad = read.where(F.size("problems") > 0).select("manifest", F.array_join("problems", "; ").alias("problem"))
+    sets = sources.file_set_problems(listed, "manifest", "JSON" if source is None else "CSV", 10_485_760 if source is None else source.max_bytes)
+    bad = bad.unionByName(sets.where(F.size("problems") > 0).select("manifest", F.array_join("problems", "; ").alias("problem")))
+    if source is None:
+        bad = bad.unionByName(sources.json_name_problems(listed).where(F.col("problem").isNotNull()))
+    listed = listed.join(bad.select("manifest").distinct(), "manifest", "left_anti")
+    checked = sources.verify(sources.read_bytes(spark, root), listed)
+    good = checked.where(F.col("problem").isNull()).dropDuplicates(["path"])
+    out = securities.run_json(good) if source is None else run_csv(good, source, summary)
+    return out | {"rejected_manifests": bad, "unverified": checked.where(F.col("problem").isNotNull()).select("path", "run_id", "problem")}
+
+
+def rejected_records(canonical: DataFrame, source: SourceContract = DAILY_CSV) -> DataFrame:
     """Quarantined rows with their raw values as JSON; accepted rows with ignored fields are issues only."""
-    fields = [f.name for f in DAILY_CSV.fields if f.name in canonical.columns]
+    fields = [f.name for f in source.fields]
     raw = F.to_json(F.struct(*(F.col(f"{f}.raw").alias(f) for f in fields)), {"ignoreNullFields": "false"})
     return canonical.where("disposition <> 'ACCEPTED'").select("path", "record_number", "disposition", "superseded_by", raw.alias("record"))
 
@@ -44,17 +65,23 @@ def evidence(canonical: DataFrame) -> DataFrame:
 
 
 def publish(spark: SparkSession, root: str, tables: dict[str, DataFrame]) -> str:
-    """All tables of a batch or none: write a new snapshot of each, then one pointer file."""
-    version = uuid.uuid4().hex
+    """All tables of a batch or none: write a new snapshot of each, then one new pointer row.
+
+    Pointers are only ever added: a crash before the last write leaves the earlier batch current, and a
+    reader always finds one whole pointer, for Spark shows a file once it is committed.
+    """
+    version = f"{time.time_ns():020d}-{uuid.uuid4().hex}"
     for name, df in tables.items():
         df.write.parquet(f"{root}/{name}/{version}")
-    pointer = spark.createDataFrame([(json.dumps({"version": version, "tables": sorted(tables)}),)], "value string")
-    pointer.coalesce(1).write.mode("overwrite").text(os.path.join(root, "current"))
+    pointer = spark.createDataFrame([(version, json.dumps(sorted(tables)))], "version string, tables string")
+    pointer.coalesce(1).write.mode("append").parquet(f"{root}/pointers")
     return version
 
 
 def current(spark: SparkSession, root: str, name: str) -> DataFrame:
-    version = json.loads(spark.read.text(os.path.join(root, "current")).first()[0])["version"]
+    """The newest published snapshot that holds the table."""
+    pointers = spark.read.schema("version string, tables string").parquet(f"{root}/pointers")
+    version = pointers.where(F.array_contains(F.from_json("tables", "array<string>"), name)).agg(F.max("version")).first()[0]
     return spark.read.parquet(f"{root}/{name}/{version}")
 
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from tidewright.functions import json_values, rules
 from tidewright.operators import csv_stage, merge, review
+from tidewright.plans import securities
 from tidewright.plans.contracts import FieldSpec, MappingContract, RowRule, SourceContract
 from tidewright.sources import files
 from tidewright.streaming import admission
@@ -38,13 +39,13 @@ CENTS = "CAST(round(l_extendedprice * 100) AS BIGINT)"
 PRICE = (
     f"CASE WHEN l_orderkey % 7 = 0 THEN '1,2,34' WHEN l_orderkey % 11 = 0 THEN '  ' WHEN l_orderkey % 13 = 0 THEN concat('-', CAST({CENTS} AS STRING)) "
     f"WHEN l_orderkey % 17 = 0 THEN concat(' ', CAST({CENTS} AS STRING), ' ') WHEN l_orderkey % 19 = 0 THEN '12,34,567.50' "
-    f"WHEN l_orderkey % 23 = 0 THEN '1,234,567.25' WHEN l_orderkey % 29 = 0 THEN 'abc' ELSE CAST({CENTS} AS STRING) END"
+    f"WHEN l_orderkey % 23 = 0 THEN '1,234,567.25' WHEN l_orderkey % 29 = 0 THEN 'abc' WHEN l_orderkey % 31 = 0 THEN CASE l_linenumber % 4 WHEN 0 THEN '0,123' WHEN 1 THEN '012,345' WHEN 2 THEN '-01,23,456.5' ELSE '-1,234' END ELSE CAST({CENTS} AS STRING) END"
 )
 QTY = "CAST(CAST(l_quantity AS BIGINT) AS STRING)"
 VOLUME = f"CASE WHEN l_linenumber % 4 = 0 THEN concat({QTY}, '.00') WHEN l_linenumber % 4 = 1 THEN concat({QTY}, '.5') WHEN l_linenumber % 4 = 2 THEN {QTY} ELSE 'x' END"
 PRICE_SPEC = FieldSpec("price", "price", "DECIMAL", ("trim", "blankToNull", "normalizeGroupedNumber"), ("nonNegative",))
 VOLUME_SPEC = FieldSpec("volume", "volume", "INTEGER", ("trim", "blankToNull"), ("nonNegative",), ignore_invalid=True)
-_G = r"(regexp_matches(v, '^-?[0-9]+(\.[0-9]+)?$') OR regexp_matches(v, '^-?[0-9]{1,3}(,[0-9]{3})+(\.[0-9]+)?$') OR regexp_matches(v, '^-?[0-9]{1,2}(,[0-9]{2})*,[0-9]{3}(\.[0-9]+)?$'))"
+_G = r"(regexp_matches(v, '^-?[0-9]+(\.[0-9]+)?$') OR regexp_matches(v, '^-?[1-9][0-9]{0,2}(,[0-9]{3})+(\.[0-9]+)?$') OR regexp_matches(v, '^-?[1-9][0-9]?(,[0-9]{2})*,[0-9]{3}(\.[0-9]+)?$'))"
 PRICE_SQL = (
     f"SELECT *, CASE WHEN v IS NOT NULL AND {_G} THEN replace(v, ',', '') END AS parsed, "
     rf"CASE WHEN v IS NULL THEN NULL WHEN {_G} THEN CASE WHEN v LIKE '-%' AND CAST(replace(v, ',', '') AS DOUBLE) < 0 THEN 'NEGATIVE_VALUE' END "
@@ -298,7 +299,7 @@ def _errors(spark, sf):
     failed = orders.where("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("job"), F.lit(0).alias("sequence"), F.lit("RUN_FAILED").alias("code"))
     order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_linestatus")
     issues = lines.where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("job"), F.row_number().over(order).alias("sequence"), F.col("l_linestatus").alias("code"))
-    return failed.unionByName(issues.join(orders.select(F.col("o_orderkey").alias("job")), "job", "left_semi"))
+    return review.union_errors(failed, issues, orders.select(F.col("o_orderkey").alias("job")))
 
 
 _ERRORS = """(SELECT o_orderkey AS job, 0 AS sequence, 'RUN_FAILED' AS code FROM orders WHERE o_orderstatus = 'F' UNION ALL
@@ -310,9 +311,9 @@ def error_union(spark, sf):
     return _errors(spark, sf)
 
 
-@query(f"SELECT * FROM {_ERRORS} WHERE job % 7 = 3 AND sequence > 0 ORDER BY job, sequence LIMIT 51")
+@query(f"SELECT job, sequence, code FROM (SELECT *, row_number() OVER (PARTITION BY job ORDER BY sequence) AS n FROM {_ERRORS} WHERE sequence > 0) WHERE n <= 3")
 def job_errors(spark, sf):
-    return review.keyset_page(_errors(spark, sf).where("job % 7 = 3"), [F.col("job"), F.col("sequence")], F.col("sequence") > 0)
+    return review.first_pages(_errors(spark, sf), "job", F.col("sequence") > 0, 2)
 
 
 @query(
@@ -322,16 +323,9 @@ def job_errors(spark, sf):
     FROM (SELECT *, row_number() OVER (PARTITION BY job ORDER BY sequence, code) AS sequence_no FROM {_ERRORS}) GROUP BY job) ON o_orderkey = job"""
 )
 def job_status_view(spark, sf):
-    errors = _errors(spark, sf).withColumn("no", F.row_number().over(Window.partitionBy("job").orderBy("sequence", "code")))
-    per_job = errors.groupBy("job").agg(
-        F.count_if(F.col("sequence") > 0).alias("n"), F.count(F.lit(1)).alias("total"), F.array_sort(F.collect_list(F.when(F.col("no") <= 5, F.struct("sequence", "code")))).alias("first")
-    )
-    out = t(spark, sf, "orders").select(F.col("o_orderkey").alias("job"), F.col("o_orderstatus").alias("status")).join(per_job, "job", "left")
-    over = F.col("status") != "O"
+    jobs = t(spark, sf, "orders").select(F.col("o_orderkey").alias("job"), F.col("o_orderstatus").alias("status"), (F.col("o_orderkey") % 3).alias("stored"))
     failure = F.when(F.col("status") == "F", F.lit("RUN_FAILED"))
-    number = review.error_count(F.col("job") % 3, F.coalesce("n", F.lit(0)), failure)
-    first = F.coalesce(F.array_join(F.transform("first", lambda x: x["code"]), ","), F.lit(""))
-    return out.select("job", "status", F.when(over, number).alias("error_count"), F.when(over, first).alias("first_errors"), F.when(over, F.coalesce("total", F.lit(0)) > 5).alias("has_more"))
+    return review.job_status(jobs, _errors(spark, sf), "stored", failure, F.col("status") != "O").drop("stored")
 
 
 @query("SELECT o_custkey, o_orderkey FROM (SELECT *, min(o_orderkey) OVER (PARTITION BY o_custkey) AS low FROM orders WHERE o_orderstatus = 'O') WHERE o_orderkey = low AND o_orderkey % 2 = 0")
@@ -486,7 +480,7 @@ def keyset_page_isin(spark, sf):
 @query("SELECT o_orderkey, o_custkey FROM orders WHERE o_orderdate BETWEEN TIMESTAMP '1994-01-01' AND TIMESTAMP '1997-12-31' AND (o_orderdate < TIMESTAMP '1997-06-01' OR (o_orderdate = TIMESTAMP '1997-06-01' AND o_orderkey > 100)) ORDER BY o_orderdate DESC, o_orderkey LIMIT 51")
 def keyset_page_summary(spark, sf):
     day = F.lit("1997-06-01").cast("timestamp")
-    ranged = t(spark, sf, "orders").where("o_orderdate BETWEEN TIMESTAMP '1994-01-01' AND TIMESTAMP '1997-12-31'")
+    ranged = review.summaries(t(spark, sf, "orders"), "o_orderdate", "o_custkey", "1994-01-01", "1997-12-31")
     after = (F.col("o_orderdate") < day) | ((F.col("o_orderdate") == day) & (F.col("o_orderkey") > 100))
     return review.keyset_page(ranged, [F.desc("o_orderdate"), F.col("o_orderkey")], after).select("o_orderkey", "o_custkey")
 
@@ -497,13 +491,11 @@ def keyset_page_summary(spark, sf):
 )
 def security_view(spark, sf):
     dated = F.when(F.col("o_orderkey") % 4 != 0, F.col("o_orderdate"))
-    orders = t(spark, sf, "orders").select("o_custkey", F.struct(dated.isNull().alias("undated"), dated.alias("day"), F.col("o_orderkey").alias("key")).alias("o"))
-    nested = orders.groupBy("o_custkey").agg(F.array_sort(F.collect_list("o")).alias("orders"))
-    keys = F.array_join(F.transform("orders", lambda o: o["key"].cast("string")), ",")
+    orders = t(spark, sf, "orders").select(F.col("o_custkey").alias("c_custkey"), dated.alias("day"), F.col("o_orderkey").cast("string").alias("key"), F.col("o_orderkey").alias("number"))
+    out = review.nested_view(t(spark, sf, "customer").select("c_custkey", "c_name"), "c_custkey", {"orders": (orders, [F.col("day").isNull(), F.col("day"), F.col("number")])})
+    keys = F.array_join(F.transform("orders", lambda o: o["key"]), ",")
     hidden = F.when(F.col("c_custkey") % 7 == 0, "").otherwise(F.coalesce(keys, F.lit("")))
-    return t(spark, sf, "customer").join(nested, F.col("c_custkey") == F.col("o_custkey"), "left").select(
-        "c_custkey", "c_name", F.coalesce(F.size("orders"), F.lit(0)).cast("bigint").alias("listings"), hidden.alias("order_keys")
-    )
+    return out.select("c_custkey", "c_name", F.col("n_orders").alias("listings"), hidden.alias("order_keys"))
 
 
 @query(
@@ -544,31 +536,36 @@ def retry_schedule(spark, sf):
 
 
 @query(
-    """SELECT event_id, concat_ws(',', CASE WHEN event_id % 5 = 0 THEN '/specversion INVALID_VALUE' END, CASE WHEN event_id % 3 = 0 THEN '/source REQUIRED' END, CASE WHEN event_id % 7 = 0 THEN '/data/run_id REQUIRED' END) AS faults FROM events"""
+    """SELECT event_id, concat_ws(',', CASE WHEN event_id % 5 = 0 THEN '/specversion INVALID_VALUE' END, CASE WHEN event_id % 3 = 0 THEN '/source REQUIRED' END, CASE WHEN event_id % 7 = 0 THEN '/data/run_id REQUIRED' END,
+    CASE WHEN event_id % 7 <> 0 AND event_id % 4 = 0 THEN '/key MISMATCH' END, CASE WHEN event_id % 11 = 0 THEN '/extra UNKNOWN_PROPERTY' END, CASE WHEN event_id % 13 = 0 THEN '/note UNKNOWN_PROPERTY' END) AS faults FROM events"""
 )
 def submission_validation(spark, sf):
     e = F.col("event_id")
+    names = F.array_compact(F.array(F.when(e % 13 == 0, "note"), F.lit("id"), F.when(e % 11 == 0, "extra"), F.lit("time")))
     found = admission.faults({
         "/specversion": F.when(e % 5 == 0, "0.9").otherwise("1.0"), "/id": e.cast("string"), "/source": F.when(e % 3 != 0, F.col("event_type")),
-        "/type": F.lit("submission"), "/data/run_id": F.when(e % 7 == 0, " ").otherwise("r"),
-    })
+        "/type": F.lit("submission"), "/data/run_id": F.when(e % 7 == 0, " ").otherwise("r"), "/key": F.when(e % 4 == 0, "other").otherwise("r"),
+    }, names=names, allowed=("id", "time"), equal=(("/data/run_id", "/key"),))
     return t(spark, sf, "events").select("event_id", F.array_join(F.transform(found, lambda f: F.concat_ws(" ", f["pointer"], f["code"])), ",").alias("faults"))
 
 
-_SUBMITTED = "event_id, CAST(user_id AS STRING) AS idempotency_key, concat('e', CAST(event_id % 50 AS STRING)) AS event_key, event_type AS payload_hash"
+_SUBMITTED = "event_id, CASE WHEN event_id % 101 <> 0 THEN concat('k', CAST(user_id AS STRING)) END AS idempotency_key, concat('e', CAST(event_id - event_id % 3 AS STRING)) AS event_key, event_type AS payload_hash"
 
 
 @query(
-    f"""WITH s AS (SELECT {_SUBMITTED} FROM events), r AS (SELECT * FROM s WHERE event_id % 40 = 1), i AS (SELECT * FROM s WHERE event_id % 40 <> 1),
-    k AS (SELECT idempotency_key, min(payload_hash) AS kh FROM r GROUP BY 1), e AS (SELECT event_key, min(payload_hash) AS eh FROM r GROUP BY 1)
-    SELECT event_id, CASE WHEN wk IS NULL AND we IS NULL THEN 'ACCEPTED' WHEN wk = payload_hash THEN 'REPLAY' ELSE 'CONFLICT' END AS outcome FROM (
-    SELECT i.*, coalesce(kh, CASE WHEN row_number() OVER (PARTITION BY i.idempotency_key ORDER BY event_id) > 1 THEN first_value(payload_hash) OVER (PARTITION BY i.idempotency_key ORDER BY event_id) END) AS wk,
-    coalesce(eh, CASE WHEN row_number() OVER (PARTITION BY i.event_key ORDER BY event_id) > 1 THEN first_value(payload_hash) OVER (PARTITION BY i.event_key ORDER BY event_id) END) AS we
-    FROM i LEFT JOIN k ON i.idempotency_key = k.idempotency_key LEFT JOIN e ON i.event_key = e.event_key)"""
+    f"""WITH RECURSIVE s AS (SELECT {_SUBMITTED} FROM events), r AS (SELECT * FROM s WHERE event_id IN (SELECT min(event_id) FROM s WHERE event_id % 40 = 1 AND idempotency_key IS NOT NULL GROUP BY idempotency_key)),
+    i AS (SELECT * FROM s WHERE event_id % 40 <> 1), o AS (SELECT row_number() OVER (ORDER BY min(event_id)) AS n, idempotency_key AS k, event_key AS e, min(event_id) AS first_id FROM i WHERE idempotency_key IS NOT NULL GROUP BY 2, 3),
+    g AS (SELECT CAST(0 AS BIGINT) AS n, (SELECT coalesce(list(idempotency_key), []) FROM r) AS ks, (SELECT coalesce(list(event_key), []) FROM r) AS es, CAST(-1 AS BIGINT) AS taken UNION ALL
+        SELECT o.n, CASE WHEN x THEN list_append(ks, k) ELSE ks END, CASE WHEN x THEN list_append(es, e) ELSE es END, CASE WHEN x THEN first_id ELSE -1 END
+        FROM (SELECT g.ks, g.es, o.*, NOT list_contains(g.ks, o.k) AND NOT list_contains(g.es, o.e) AS x FROM g JOIN o ON o.n = g.n + 1) AS o),
+    a AS (SELECT idempotency_key, event_key, payload_hash, false AS stored FROM i WHERE event_id IN (SELECT taken FROM g) UNION ALL SELECT idempotency_key, event_key, payload_hash, true FROM r)
+    SELECT event_id, CASE WHEN i.idempotency_key IS NULL THEN 'INVALID' WHEN event_id IN (SELECT taken FROM g) THEN 'ACCEPTED' WHEN a.payload_hash = i.payload_hash THEN 'REPLAY' ELSE 'CONFLICT' END AS outcome
+    FROM i LEFT JOIN a ON i.idempotency_key = a.idempotency_key AND i.event_key = a.event_key"""
 )
 def idempotent_admission(spark, sf):
-    rows = t(spark, sf, "events").selectExpr("event_id", "CAST(user_id AS STRING) AS idempotency_key", "concat('e', CAST(event_id % 50 AS STRING)) AS event_key", "event_type AS payload_hash")
-    return admission.admit(rows.where("event_id % 40 = 1"), rows.where("event_id % 40 <> 1"), "event_id").select("event_id", "outcome")
+    rows = t(spark, sf, "events").selectExpr(*(x.strip() for x in ("event_id", "CASE WHEN event_id % 101 <> 0 THEN concat('k', CAST(user_id AS STRING)) END AS idempotency_key", "concat('e', CAST(event_id - event_id % 3 AS STRING)) AS event_key", "event_type AS payload_hash")))
+    stored = merge.latest(rows.where("event_id % 40 = 1 AND idempotency_key IS NOT NULL"), ["idempotency_key"], F.col("event_id"))
+    return admission.admit(stored, rows.where("event_id % 40 <> 1"), "event_id").select("event_id", "outcome")
 
 
 @query(
@@ -592,19 +589,19 @@ def file_set_limits(spark, sf):
     return files.file_set_problems(listed, "manifest", limit=150).select("manifest", "total", "n", F.array_join("problems", ",").alias("problems"))
 
 
-@query("SELECT DISTINCT l_orderkey AS request, l_suppkey AS object FROM lineitem WHERE l_orderkey % 2 = 0 AND l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderkey % 4 = 0)")
+@query("SELECT DISTINCT l_orderkey AS request, l_suppkey AS object FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderkey % 4 = 0)")
 def record_source_files(spark, sf):
     stored = t(spark, sf, "orders").where("o_orderkey % 4 = 0").select(F.col("o_orderkey").alias("request"))
-    listed = t(spark, sf, "lineitem").where("l_orderkey % 2 = 0").select(F.col("l_orderkey").alias("request"), F.col("l_suppkey").alias("object"))
+    listed = t(spark, sf, "lineitem").select(F.col("l_orderkey").alias("request"), F.col("l_suppkey").alias("object"))
     return listed.join(stored, "request", "left_anti").distinct()
 
 
 AMOUNT = "CASE WHEN l_linenumber % 2 = 0 THEN concat(CAST(CAST(l_quantity AS BIGINT) AS STRING), '.00') ELSE CAST(CAST(l_quantity AS BIGINT) AS STRING) END"
 
 
-@query("SELECT l_partkey, l_returnflag, CAST(l_quantity AS BIGINT) AS amount, l_orderkey, l_linenumber FROM (SELECT *, row_number() OVER (PARTITION BY l_partkey, l_returnflag, l_quantity ORDER BY l_orderkey, l_linenumber) AS n FROM lineitem WHERE l_linenumber < 6) WHERE n = 1")
+@query("SELECT l_partkey, l_returnflag, CAST(l_quantity AS BIGINT) AS amount, l_orderkey, l_linenumber FROM (SELECT *, row_number() OVER (PARTITION BY l_partkey, l_returnflag, l_quantity ORDER BY l_orderkey, l_linenumber) AS n FROM lineitem) WHERE n = 1")
 def collection_distinct(spark, sf):
-    rows = t(spark, sf, "lineitem").withColumn("amount", rules.number(F.expr(AMOUNT))).where("l_linenumber < 6")
+    rows = t(spark, sf, "lineitem").withColumn("amount", rules.number(F.expr(AMOUNT)))
     first = merge.latest(rows, ["l_partkey", "l_returnflag", "amount"], F.col("l_orderkey"), F.col("l_linenumber"))
     return first.select("l_partkey", "l_returnflag", F.col("amount").cast("bigint").alias("amount"), "l_orderkey", "l_linenumber")
 
@@ -663,14 +660,9 @@ def issue_lookup(spark, sf):
     UNION ALL SELECT 'order_fk', count(*) FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders) UNION ALL SELECT 'part_fk', count(*) FROM lineitem WHERE l_partkey NOT IN (SELECT p_partkey FROM part WHERE p_partkey % 9 <> 0)"""
 )
 def constraint_audit(spark, sf):
-    lines = t(spark, sf, "lineitem")
     checks = {"quantity_range": F.col("l_quantity").between(2, 48), "flag_enum": F.col("l_returnflag").isin("A", "N")}
-    one = lines.agg(*(F.count_if(~c).alias(k) for k, c in checks.items())).select(F.posexplode(F.array(*checks)).alias("i", "violations"))
-    named = one.select(F.element_at(F.array(*map(F.lit, checks)), F.col("i") + 1).alias("rule"), "violations")
     keys = {"order_fk": ("l_orderkey", t(spark, sf, "orders").select(F.col("o_orderkey").alias("l_orderkey"))), "part_fk": ("l_partkey", t(spark, sf, "part").where("p_partkey % 9 <> 0").select(F.col("p_partkey").alias("l_partkey")))}
-    for rule, (key, known) in keys.items():
-        named = named.unionByName(lines.join(known, key, "left_anti").agg(F.count(F.lit(1)).alias("violations")).select(F.lit(rule).alias("rule"), "violations"))
-    return named
+    return review.audit(t(spark, sf, "lineitem"), checks, keys)
 
 
 @query(
@@ -690,3 +682,118 @@ def delivery_bookkeeping(spark, sf):
 def request_events(spark, sf):
     event = F.struct(F.col("o_orderkey").alias("id"), F.lit("details.requested").alias("type"), F.concat(F.lit("C"), F.col("o_custkey").cast("string")).alias("isin"), F.when(F.col("o_orderkey") % 2 == 0, F.col("o_orderstatus")).alias("note"))
     return t(spark, sf, "orders").select("o_orderkey", F.to_json(event, {"ignoreNullFields": "false"}).alias("payload"))
+
+
+_K = "c_custkey"
+_DOCUMENT = (
+    f"concat('{{\"isin\":\"C', CAST({_K} + CASE WHEN {_K} % 10 = 0 THEN 1 ELSE 0 END AS STRING), '\",\"issuerName\":', CASE WHEN {_K} % 7 = 0 THEN '5' WHEN {_K} % 7 = 1 THEN '\"-\"' "
+    f"ELSE concat('\"N', CAST(c_nationkey AS STRING), '\"') END, ',\"coupensVo\":{{\"couponDetails\":', CASE WHEN {_K} % 11 = 0 THEN '7' ELSE concat('{{\"couponRate\":\"', CAST({_K} % 9 + 1 AS STRING), '.5%\"}}') END, "
+    f"'}},\"listingDetails\":', CASE WHEN {_K} % 13 = 0 THEN '\"x\"' ELSE concat('[{{\"exchangeName\":\"E', CAST({_K} % 3 AS STRING), '\"}},{{\"exchangeName\":4}}]') END, CASE WHEN {_K} % 17 = 0 THEN '}} trailing' ELSE '}}' END)"
+)
+
+
+def _json_files(spark, sf):
+    """One JSON file about each customer, as a scan of files gives it."""
+    path = F.concat(F.lit("b/C"), F.col(_K).cast("string"), F.lit("_details.json"))
+    return t(spark, sf, "customer").select(path.alias("path"), F.lit("2026-01-01").cast("timestamp").alias("modificationTime"), F.expr(_DOCUMENT).cast("binary").alias("content"))
+
+
+@query(
+    """SELECT isin, row_number() OVER (PARTITION BY isin ORDER BY r, json_path) AS sequence, kind, json_path, code FROM (
+    SELECT concat('C', CAST(c_custkey AS STRING)) AS isin, unnest([{'r': 1, 'hit': c_custkey % 17 = 0, 'kind': 'FILE_SKIPPED', 'json_path': NULL, 'code': 'MALFORMED_JSON'},
+    {'r': 2, 'hit': c_custkey % 17 <> 0 AND c_custkey % 11 = 0, 'kind': 'SECTION_REJECTED', 'json_path': '$.coupensVo.couponDetails', 'code': 'INVALID_TYPE'},
+    {'r': 2, 'hit': c_custkey % 17 <> 0 AND c_custkey % 13 = 0, 'kind': 'SECTION_REJECTED', 'json_path': '$.listingDetails', 'code': 'INVALID_TYPE'},
+    {'r': 3, 'hit': c_custkey % 17 <> 0 AND c_custkey % 7 = 0, 'kind': 'FIELD_REJECTED', 'json_path': '$.issuerName', 'code': 'INVALID_TYPE'},
+    {'r': 4, 'hit': c_custkey % 17 <> 0 AND c_custkey % 13 <> 0, 'kind': 'ENTRY_SKIPPED', 'json_path': '$.listingDetails[1]', 'code': 'INVALID_TYPE'}], recursive := true) FROM customer) WHERE hit"""
+)
+def json_rejection_kinds(spark, sf):
+    return securities.run_json(_json_files(spark, sf))["rejections"].select("isin", "sequence", "kind", "json_path", "code")
+
+
+@query(
+    """SELECT concat('C', CAST(c_custkey AS STRING)) AS isin, concat('The payload ISIN C', CAST(c_custkey + 1 AS STRING), ' differs from the file name''s ISIN C', CAST(c_custkey AS STRING), '; the file name''s is used.') AS warning
+    FROM customer WHERE c_custkey % 10 = 0 AND c_custkey % 17 <> 0"""
+)
+def payload_isin_warnings(spark, sf):
+    return securities.warnings(securities.read(_json_files(spark, sf))).select("isin", "warning")
+
+
+@query(
+    """WITH i AS (SELECT * FROM (SELECT c_custkey AS k, CASE WHEN c_custkey % 7 > 1 THEN concat('N', CAST(c_nationkey AS STRING)) END AS n, CASE WHEN c_custkey % 11 <> 0 THEN concat(CAST(c_custkey % 9 + 1 AS STRING), '.5') END AS r FROM customer WHERE c_custkey % 17 <> 0) WHERE n IS NOT NULL OR r IS NOT NULL),
+    s AS (SELECT c_custkey AS k, 'N1' AS sn, CASE WHEN c_custkey % 6 <> 0 THEN '3.5' END AS sr, CASE WHEN c_custkey % 6 = 0 THEN NULL WHEN c_custkey % 4 = 0 THEN 'BSE' ELSE 'NSDL' END AS src FROM customer WHERE c_custkey % 2 = 0),
+    j AS (SELECT coalesce(s.k, i.k) AS k, s.k IS NULL AS fresh, n, r, sn, sr, src, n IS NOT NULL AND n IS DISTINCT FROM sn AS cn, r IS NOT NULL AND r IS DISTINCT FROM sr AND NOT (coalesce(src = 'BSE', false) AND sr IS NOT NULL) AS cr FROM s FULL JOIN i ON s.k = i.k)
+    SELECT concat('C', CAST(k AS STRING)) AS isin, CASE WHEN cn THEN n ELSE sn END AS issuer_name, CASE WHEN cr THEN r ELSE sr END AS coupon_rate, CASE WHEN cr THEN 'NSDL' ELSE src END AS coupon_rate_source, CAST(cn AS INTEGER) + CAST(cr AS INTEGER) AS fields_changed,
+    CASE WHEN fresh THEN 't1' ELSE 't0' END AS created_at, CASE WHEN cn OR cr THEN 't1' ELSE 't0' END AS updated_at, concat_ws(',', CASE WHEN cr THEN 'coupon_rate' END, CASE WHEN cn THEN 'issuer_name' END) AS sourced FROM j"""
+)
+def security_publication(spark, sf):
+    out = securities.run_json(_json_files(spark, sf))
+    incoming = out["security"].join(out["field_sources"], "isin")
+    kinds = {f: F.lit(None).cast("string") for f in securities.SCALARS} | {"issuer_name": F.lit("N1"), "coupon_rate": F.when(F.col(_K) % 6 != 0, "3.5")}
+    source = F.when(F.col(_K) % 6 == 0, None).when(F.col(_K) % 4 == 0, "BSE").otherwise("NSDL")
+    stored = t(spark, sf, "customer").where("c_custkey % 2 = 0").select(
+        F.concat(F.lit("C"), F.col(_K).cast("string")).alias("isin"), *(v.alias(f) for f, v in kinds.items()), source.alias("coupon_rate_source"),
+        F.expr("map()").cast(incoming.schema["field_sources"].dataType).alias("field_sources"), F.lit("t0").alias("created_at"), F.lit("t0").alias("updated_at"),
+    )
+    merged = securities.apply_changes(stored, incoming, incoming.limit(0), F.lit("t1"))
+    sourced = F.array_join(F.array_sort(F.map_keys("field_sources")), ",")
+    return merged.select("isin", "issuer_name", "coupon_rate", "coupon_rate_source", "fields_changed", "created_at", "updated_at", sourced.alias("sourced"))
+
+
+@query("SELECT concat('C', CAST(c_custkey AS STRING)) AS isin, concat('E', CAST(c_custkey % 3 AS STRING)) AS exchange_name FROM customer WHERE c_custkey % 13 <> 0 AND c_custkey % 17 <> 0 AND c_custkey % 6 <> 0")
+def collection_append(spark, sf):
+    listing = securities.run_json(_json_files(spark, sf))["listing"]
+    stored = t(spark, sf, "customer").where("c_custkey % 6 = 0").select(F.concat(F.lit("C"), F.col(_K).cast("string")).alias("isin"), F.lit("E0").alias("exchange_name"), F.lit(None).cast("string").alias("listing_date"))
+    return securities.append_entries({"listing": stored}, {"listing": listing})[0]["listing"].select("isin", "exchange_name")
+
+
+@query(
+    """SELECT o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN concat('{"sourceRecords":', CASE WHEN o_orderkey % 5 = 0 THEN 'null' ELSE CAST(o_orderkey AS STRING) END, ',"acceptedRows":null,"invalidRows":null,"supersededRows":null}')
+    WHEN 1 THEN concat('{"filesListed":', CASE WHEN o_orderkey % 5 = 0 THEN 'null' ELSE CAST(o_orderkey % 4 AS STRING) END, ',"filesProcessed":null,"filesSkipped":null,"scalarFieldsChanged":null,"collectionEntriesAppended":null,"fieldsRejected":null}') END AS counts FROM orders"""
+)
+def job_counts(spark, sf):
+    k = F.col("o_orderkey")
+    dataset = F.when(k % 3 == 0, "urn:bond-platform:dataset:bse-debt-trades").when(k % 3 == 1, "urn:bond-platform:dataset:nsdl-security").otherwise("other")
+    stored = F.when(k % 5 != 0, F.concat(F.lit('{"sourceRecords":'), k.cast("string"), F.lit(',"other":1,"filesListed":'), (k % 4).cast("string"), F.lit("}")))
+    return t(spark, sf, "orders").select("o_orderkey", review.job_counts(dataset, stored).alias("counts"))
+
+
+@query(
+    """SELECT o_orderkey AS run, concat_ws(',', CASE WHEN o_orderkey % 4 = 0 THEN 'subject' END, CASE WHEN o_orderkey % 9 = 0 THEN 'data.event_id' END, CASE WHEN o_orderkey % 6 = 0 THEN 'data.run_id' END, CASE WHEN o_orderkey % 5 = 0 THEN 'data.inputs' END) AS differs FROM orders"""
+)
+def manifest_attributes(spark, sf):
+    k = F.col("o_orderkey")
+    base = {n: F.concat(F.lit(n), k.cast("string")) for n in files.AGREED if n != "inputs"}
+    pairs = lambda a, b: F.map_from_arrays(F.array(F.lit(a[0]), F.lit(b[0])), F.array(a[1], b[1]))
+    day, name = ("tradeDate", F.lit("2026-01-01")), ("exchangeName", F.col("o_orderstatus"))
+    manifests = t(spark, sf, "orders").select(k.alias("run"), *(v.alias(n) for n, v in base.items()), pairs(day, name).alias("inputs"))
+    other = base | {"subject": F.when(k % 4 == 0, "x").otherwise(base["subject"]), "run_id": F.when(k % 6 == 0, None).otherwise(base["run_id"]), "event_id": F.when(k % 9 == 0, "").otherwise(base["event_id"])}
+    submitted = t(spark, sf, "orders").select(k.alias("run"), *(v.alias(n) for n, v in other.items()), pairs(name, ("tradeDate", F.when(k % 5 == 0, "2026-01-02").otherwise("2026-01-01"))).alias("inputs"))
+    return files.disagreements(manifests, submitted).select("run", F.array_join("differs", ",").alias("differs"))
+
+
+@query(
+    """SELECT l_orderkey AS manifest, CASE WHEN count(*) FILTER (l_suppkey % 9 = 0) > 0 OR count(DISTINCT l_partkey % 2) > 1 OR min(l_partkey % 2) <> l_orderkey % 2 THEN 'INVALID_SOURCE_FILENAME' END AS problem FROM lineitem GROUP BY l_orderkey"""
+)
+def json_name_agreement(spark, sf):
+    name = F.when(F.col("l_suppkey") % 9 == 0, "x.txt").otherwise(F.concat(F.lit("ine"), (F.col("l_partkey") % 2).cast("string"), F.lit("_details.json")))
+    wanted = F.map_from_arrays(F.array(F.lit("isin_code")), F.array(F.concat(F.lit(" INE"), (F.col("l_orderkey") % 2).cast("string"))))
+    listed = t(spark, sf, "lineitem").select(F.col("l_orderkey").alias("manifest"), F.concat(F.lit("k/"), name).alias("key"), wanted.alias("inputs"))
+    return files.json_name_problems(listed)
+
+
+@query("SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderdate < TIMESTAMP '1997-01-01' - INTERVAL 365 DAY)")
+def retention_cascade(spark, sf):
+    now = F.lit("1997-01-01").cast("timestamp")
+    _, children = review.retained(t(spark, sf, "orders").withColumnRenamed("o_orderkey", "l_orderkey"), {"lines": t(spark, sf, "lineitem")}, "l_orderkey", "o_orderdate", now, 365)
+    return children["lines"].select("l_orderkey", "l_linenumber")
+
+
+@query(
+    """SELECT o_orderkey AS job, 'FAILED' AS next_state, CASE WHEN o_orderkey % 2 = 0 THEN 'TEMPORARY_FAILURE' ELSE 'ENDED' END AS next_run_state, CASE WHEN o_orderkey % 2 = 0 THEN 'ATTEMPT_ABANDONED' END AS run_code
+    FROM orders WHERE o_orderdate < TIMESTAMP '1997-01-01' - INTERVAL 1 HOUR ORDER BY o_orderdate, o_orderkey LIMIT 100"""
+)
+def stuck_sweep(spark, sf):
+    state = F.when(F.col("o_orderkey") % 2 == 0, "RUNNING").otherwise("ENDED")
+    jobs = t(spark, sf, "orders").select(F.col("o_orderkey").alias("job"), F.struct("o_orderdate", "o_orderkey").alias("at"), "o_orderdate", state.alias("run_state"))
+    now = F.lit("1997-01-01").cast("timestamp")
+    return review.sweep(jobs, review.stuck(F.col("o_orderdate"), now, F.lit(None).cast("timestamp")), "at", now).select("job", "next_state", "next_run_state", "run_code")

@@ -6,7 +6,7 @@ precedence is a window per (isin, field), never a driver loop.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewright.functions import json_values, rules
@@ -30,6 +30,7 @@ SCALARS = {
     "coupon_type": ("$.coupensVo.couponDetails.couponType", "text"),
     "listing_status": ("$.listingStatus", "text"),
 }
+# The fields of collection entries, and where the collections stand.
 _FLOW = {"event_type": ("cashFlowsEvent", "text"), "record_date": ("recordDate", "date"), "due_date": ("dueDate", "date")}
 _PAID = {"payment_date": ("paymentDate", "date"), "new_face_value": ("newFaceVal", "decimal")}
 _RATING = {
@@ -52,6 +53,9 @@ COLLECTIONS = {
     "collateral_assets": ("$.instrumentsVo.assetCover.assetList", {"asset_type": ("assetType", "text"), "collateral_description": ("securityDetails", "text"), "remarks": ("remarks", "text")}, "collateral_asset", None),
 }
 COVERAGE = ("asset_coverage_basis", "asset_coverage")
+PAYLOAD_ISIN = "$.isin"
+# Kinds of rejected parts, in review order.
+REJECTIONS = ("FILE_SKIPPED", "SECTION_REJECTED", "FIELD_REJECTED", "ENTRY_FIELDS_REJECTED", "ENTRY_SKIPPED", "VALUE_IGNORED")
 
 
 def typed(df: DataFrame, kinds: dict[str, str]) -> DataFrame:
@@ -126,8 +130,9 @@ def run_json(files: DataFrame) -> dict[str, DataFrame]:
     tables: dict[str, DataFrame] = {}
     used = found.where("value is not null").select("isin", "path")
     rejected = found.where("code is not null").select("isin", "path")
+    parts = {name: entries(docs, name) for name in COLLECTIONS}
     for place, (name, (_, fields, target, _)) in enumerate(COLLECTIONS.items()):
-        rows = entries(docs, name)
+        rows = parts[name]
         if name == "collateral_assets":
             rows = rows.join(bare, "path", "left_anti").join(cleared, "isin", "left_anti")
         used = used.unionByName(rows.where("usable").select("isin", "path"))
@@ -145,6 +150,7 @@ def run_json(files: DataFrame) -> dict[str, DataFrame]:
         rejected.groupBy("isin").agg(F.count(F.lit(1)).alias("fields_rejected")), "isin", "left"
     )
     facts = facts.fillna(0, ["values", "fields_rejected"])
+    rejected_parts = rejections(docs, found, screened, parts)
     blocked = found.where("blocked is not null").select("path", "isin", F.col("blocked").alias("json_path")).dropDuplicates(["path", "json_path"])
     wrong = (F.col("skipped") > 0) | (F.col("fields_rejected") > 0)
     status = F.when(F.col("values") == 0, "FAILED").when(wrong, "COMPLETED_WITH_ERRORS").otherwise("COMPLETED")
@@ -153,12 +159,63 @@ def run_json(files: DataFrame) -> dict[str, DataFrame]:
         "field_sources": applied.groupBy("isin").agg(F.map_from_entries(F.collect_list(F.struct("field", F.struct("path", "json_path")))).alias("field_sources")),
         "conflicts": screened.where("conflict").select("path", "isin", "json_path", "value", F.lit(rules.CONFLICTING_COLLATERAL).alias("code")),
         "structure_issues": blocked,
+        "rejections": rejected_parts,
+        "rejected_records": rejected_parts.select("isin", "sequence", "path", "kind", F.to_json(F.struct("json_path", "field", "code", "value")).alias("record")),
+        "issues": rejected_parts.where("code is not null").select("isin", "sequence", "path", "field", "code"),
+        "warnings": warnings(docs),
         "jobs": facts.withColumn("status", status),
     }
 
 
+def rejections(docs: DataFrame, found: DataFrame, screened: DataFrame, parts: dict[str, DataFrame]) -> DataFrame:
+    """Rejected parts of all files, numbered per security in review order: by file, kind, place.
+
+    A skipped file has no other part. Sections of the wrong kind are told once a file; an entry with wrong
+    fields is skipped if no field of it has a value; values that an unsecured statement overrules are ignored.
+    """
+    none = F.lit(None).cast("string")
+
+    def part(rows: DataFrame, kind: Column | str, place: Column, path: Column, field: Column, code: Column, value: Column) -> DataFrame:
+        kind = F.lit(kind) if isinstance(kind, str) else kind
+        return rows.select("isin", "path", kind.alias("kind"), place.cast("int").alias("place"), path.alias("json_path"), field.alias("field"), code.alias("code"), value.alias("value"))
+
+    zero = F.lit(0)
+    out = part(docs.where("error is not null"), "FILE_SKIPPED", zero, none, none, F.col("error"), none)
+    sections = found.where("blocked is not null").select("isin", "path", F.col("blocked").alias("p"))
+    for _, (path, _, _, _) in COLLECTIONS.items():
+        value, blocked = json_values.scalar(F.col("document"), path)
+        kind = json_values.kind(value)
+        wrong = F.coalesce(blocked, F.when(kind.isNotNull() & ~kind.isin("ARRAY", "VOID"), path))
+        sections = sections.unionByName(docs.where("error is null").select("isin", "path", wrong.alias("p")).where("p is not null"))
+    sections = sections.dropDuplicates(["path", "p"])
+    out = out.unionByName(part(sections, "SECTION_REJECTED", zero, F.col("p"), none, F.lit(rules.INVALID_TYPE), none))
+    out = out.unionByName(part(found.where("code is not null"), "FIELD_REJECTED", F.col("place"), F.col("json_path"), F.col("field"), F.col("code"), F.col("value")))
+    for n, name in enumerate(COLLECTIONS):
+        wrong = parts[name].where("size(codes) > 0")
+        kind = F.when(F.col("usable"), "ENTRY_FIELDS_REJECTED").otherwise("ENTRY_SKIPPED")
+        out = out.unionByName(part(wrong, kind, F.lit(n * 1_000_000) + F.col("pos"), F.col("element_path"), none, F.array_join("codes", ","), none))
+    out = out.unionByName(part(screened.where("conflict"), "VALUE_IGNORED", F.col("place"), F.col("json_path"), F.col("field"), F.lit(rules.CONFLICTING_COLLATERAL), F.col("value")))
+    rank = F.array_position(F.array(*map(F.lit, REJECTIONS)), F.col("kind"))
+    rank = F.when(rank == 5, 4).otherwise(rank)  # both kinds of entries stand where they stand in the file
+    order = Window.partitionBy("isin").orderBy("path", rank, "place", "json_path")
+    return out.withColumn("sequence", F.row_number().over(order))
+
+
+def warnings(docs: DataFrame) -> DataFrame:
+    """Files whose payload names another ISIN than their name; the name's is used."""
+    text, _ = json_values.text_value(F.try_variant_get("document", PAYLOAD_ISIN, "variant"))
+    other = rules.identity_text(text)
+    told = F.concat(F.lit("The payload ISIN "), other, F.lit(" differs from the file name's ISIN "), F.col("isin"), F.lit("; the file name's is used."))
+    return docs.where("error is null").select("path", "isin", F.when(other != rules.identity_text(F.col("isin")), told).alias("warning")).where("warning is not null")
+
+
 def apply_changes(stored: DataFrame, incoming: DataFrame, cleared: DataFrame, now: Column) -> DataFrame:
-    """Merge incoming scalars into stored securities: a missing value keeps, a cleared one erases, updated_at follows real change."""
+    """Merge incoming scalars into stored securities: a missing value keeps, a cleared one erases.
+
+    A stored coupon rate of an exchange (coupon_rate_source, where there is such a column) is kept: the
+    files' rate is its backup. Where a value changes, updated_at is `now`; created_at is the first `now`.
+    field_sources, a map by field on both sides where there, follows the fields that change and loses those erased.
+    """
     gone = cleared.select("isin").distinct().withColumn("_gone", F.lit(True))
     joined = stored.alias("s").join(incoming.alias("i"), "isin", "full_outer").join(gone, "isin", "left")
     wiped = F.coalesce("_gone", F.lit(False))
@@ -168,6 +225,35 @@ def apply_changes(stored: DataFrame, incoming: DataFrame, cleared: DataFrame, no
         changed[f] = merge.scalar_change(old, new)
         if f in COVERAGE:
             changed[f] = (~wiped & changed[f]) | (wiped & old.isNotNull())
+        if f == "coupon_rate" and "coupon_rate_source" in stored.columns:
+            changed[f] = changed[f] & ~(F.coalesce(F.col("s.coupon_rate_source") == "BSE", F.lit(False)) & old.isNotNull())
     count = sum((c.cast("int") for c in changed.values()), F.lit(0))
     values = [F.when(changed[f], F.when(wiped, F.lit(None)).otherwise(F.col(f"i.{f}")) if f in COVERAGE else F.col(f"i.{f}")).otherwise(F.col(f"s.{f}")).alias(f) for f in SCALARS]
-    return joined.select("isin", *values, count.alias("fields_changed"), F.when(count > 0, now).otherwise(F.col("s.updated_at")).alias("updated_at"))
+    also = []
+    if "coupon_rate_source" in stored.columns:
+        also.append(F.when(changed["coupon_rate"], "NSDL").otherwise(F.col("s.coupon_rate_source")).alias("coupon_rate_source"))
+    if "created_at" in stored.columns:
+        also.append(F.coalesce("s.created_at", now).alias("created_at"))
+    if "field_sources" in stored.columns and "field_sources" in incoming.columns:
+        names = F.array_compact(F.array(*(F.when(c, f) for f, c in changed.items())))
+        erased = F.array_compact(F.array(*(F.when(changed[f] & wiped, f) for f in COVERAGE)))
+        none = F.expr("map()").cast(stored.schema["field_sources"].dataType)
+        kept = F.map_filter(F.coalesce("s.field_sources", none), lambda k, _: ~F.array_contains(names, k))
+        new = F.map_filter(F.coalesce(F.col("i.field_sources"), none), lambda k, _: F.array_contains(names, k) & ~F.array_contains(erased, k))
+        also.append(F.map_concat(kept, new).alias("field_sources"))
+    return joined.select("isin", *values, *also, count.alias("fields_changed"), F.when(count > 0, now).otherwise(F.col("s.updated_at")).alias("updated_at"))
+
+
+def append_entries(stored: dict[str, DataFrame], tables: dict[str, DataFrame]) -> tuple[dict[str, DataFrame], DataFrame]:
+    """(the entries of each collection table that are not stored yet, their number per security).
+
+    Identity is every value of the entry; ratings are told apart by their list too.
+    """
+    fresh, counted = {}, None
+    for target, rows in tables.items():
+        fields = next(f for _, f, t, _ in COLLECTIONS.values() if t == target)
+        identity = ["isin", *fields] + (["source_category"] if target == "rating" else [])
+        fresh[target] = merge.append_only(stored[target], rows, identity, [F.col("modified"), F.col("path"), F.col("pos")])
+        per = fresh[target].groupBy("isin").agg(F.count(F.lit(1)).alias("n"))
+        counted = per if counted is None else counted.unionByName(per)
+    return fresh, counted.groupBy("isin").agg(F.sum("n").alias("entries_appended"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import csv
 import io
+import tempfile
 from collections.abc import Iterator
 
 import pandas as pd
@@ -19,16 +20,37 @@ MANIFEST = (
     "specversion string, id string, source string, type string, dataschema string, subject string, data struct<schema_version:string,event_type:string,"
     f"event_id:string,run_id:string,inputs:map<string,string>,dataset_fingerprint:string,files:array<{FILE}>>"
 )
+# What a manifest must say of itself.
+CONSTANTS = {"specversion": "1.0", "source": "urn:bond-platform:service:data-fetch-service", "type": "com.bondplatform.dataset.manifest.v1"}
+AGREED = ("dataschema", "subject", "event_type", "event_id", "run_id", "inputs", "dataset_fingerprint")
 _RECORDS = "path string, record_number int, cells array<string>, error string"
 
 
+def cut(df: DataFrame) -> DataFrame:
+    """df without its lineage, kept in the checkpoint folder; a temporary one only in local mode without a setting."""
+    context = df.sparkSession.sparkContext
+    if not context.getCheckpointDir():
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-shared-"))
+    return df.checkpoint()
+
+
 def read_manifests(spark: SparkSession, path: str) -> DataFrame:
-    """Manifests with every problem listed: required text, digests, sizes, duplicate objects."""
+    """Manifests with every problem listed: required text, constants, digests, sizes, texts of inputs, duplicate objects."""
     raw = spark.read.option("wholetext", True).text(path).select(F.input_file_name().alias("manifest"), F.from_json("value", MANIFEST).alias("m"))
     out = raw.select("manifest", "m.*")
-    required = ["specversion", "id", "source", "type", "data.event_id", "data.run_id", "data.dataset_fingerprint"]
+    required = ["specversion", "id", "source", "type", "dataschema", "subject", "data.event_type", "data.event_id", "data.run_id", "data.dataset_fingerprint"]
     found = [F.when(F.coalesce(strip(F.col(c)), F.lit("")) == "", F.lit(f"{c} is required")) for c in required]
-    bad_digest = F.exists("data.files", lambda f: ~F.coalesce(f["sha256"].rlike("^[0-9a-f]{64}$"), F.lit(False)))
+    found += [F.when(F.col(c) != v, F.lit(f"{c} must be {v}")) for c, v in CONSTANTS.items()]
+    found += [
+        F.when(~F.coalesce(F.col("data.schema_version").try_cast("decimal(38,10)") == 1, F.lit(False)), "data.schema_version must be 1"),
+        F.when(F.col("data.inputs").isNull(), "data.inputs is required"),
+        F.when(F.exists(F.map_values("data.inputs"), lambda v: v.isNull()), "data.inputs must be texts"),
+        F.when(F.exists("data.files", lambda f: (F.coalesce(strip(f["bucket"]), F.lit("")) == "") | (F.coalesce(strip(f["key"]), F.lit("")) == "")), "files need a bucket and a key"),
+    ]
+    bad_digest = F.exists("data.files", lambda f: ~F.coalesce(f["sha256"].rlike("^(sha256:)?[0-9a-fA-F]{64}$"), F.lit(False)))
     bad_size = F.exists("data.files", lambda f: ~F.coalesce(f["size_bytes"] > 0, F.lit(False)))
     places = F.transform("data.files", lambda f: F.concat_ws("/", f["bucket"], f["key"]))
     found += [
@@ -57,16 +79,43 @@ def file_set_problems(files: DataFrame, group: str, format_: str = "CSV", limit:
     return g.withColumn("problems", F.array_distinct(F.array_compact(F.array(*checks))))
 
 
+def disagreements(manifests: DataFrame, submitted: DataFrame, key: str = "run") -> DataFrame:
+    """(key, differs): the agreed attributes in which a manifest and the submission of its key differ, in order; nulls agree with nulls.
+
+    Both have the columns AGREED (inputs as a map of texts); inputs are compared whatever their order.
+    """
+    m, s = manifests.alias("m"), submitted.alias("s")
+    sorted_map = lambda c: F.array_sort(F.map_entries(c))
+    side = lambda a, n: sorted_map(F.col(f"{a}.{n}")) if n == "inputs" else F.col(f"{a}.{n}")
+    names = [F.when(~side("m", n).eqNullSafe(side("s", n)), n if n in ("dataschema", "subject") else f"data.{n}") for n in AGREED]
+    return m.join(s, key).select(key, F.array_compact(F.array(*names)).alias("differs"))
+
+
+def json_name_problems(listed: DataFrame, group: str = "manifest") -> DataFrame:
+    """(group, problem): INVALID_SOURCE_FILENAME where a listed name holds no ISIN, several are named, or not the one asked for."""
+    isin = json_name(base_name(F.col("key")))
+    wanted = F.upper(strip(F.coalesce(F.col("inputs")["isin_code"], F.lit(""))))
+    out = listed.groupBy(group).agg(F.bool_or(isin.isNull()).alias("nameless"), F.min(isin).alias("low"), F.max(isin).alias("high"), F.first(wanted).alias("wanted"))
+    wrong = F.col("nameless") | (F.col("low") != F.col("high")) | (F.col("low") != F.col("wanted"))
+    return out.select(group, F.when(wrong, "INVALID_SOURCE_FILENAME").alias("problem"))
+
+
 def read_bytes(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", "modificationTime", "length", "content")
 
 
 def verify(files: DataFrame, listed: DataFrame) -> DataFrame:
-    """files joined to their listing by name; problem is CHECKSUM_MISMATCH where size or digest differ."""
-    have = files.withColumn("file_name", base_name(F.col("path")))
-    want = listed.select(base_name(F.col("key")).alias("file_name"), "sha256", "size_bytes", "run_id")
+    """files joined to their listing by bucket and key, the end of their path; problem is CHECKSUM_MISMATCH where size or digest differ.
+
+    One manifest lists an object once; an object that several runs list is verified for each.
+    """
+    names = F.split(F.col("path"), "/")
+    want = listed.select(F.concat_ws("/", "bucket", "key").alias("object"), F.lower(F.regexp_replace("sha256", "^sha256:", "")).alias("sha256"), "size_bytes", "run_id")
+    want = want.withColumn("parts", F.size(F.split("object", "/")))
+    lengths = [r.parts for r in want.select("parts").distinct().collect()]  # how deep keys go: a few numbers
+    have = files.withColumn("object", F.explode(F.array_distinct(F.array(*(F.array_join(F.slice(names, -n, n), "/") for n in lengths or [1])))))
     same = (F.col("length") == F.col("size_bytes")) & (F.sha2("content", 256) == F.col("sha256"))
-    return have.join(want, "file_name").withColumn("problem", F.when(~same, "CHECKSUM_MISMATCH"))
+    return have.join(want.drop("parts"), "object").withColumn("problem", F.when(~same, "CHECKSUM_MISMATCH"))
 
 
 def _csv_records(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -75,7 +124,7 @@ def _csv_records(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for path, content in zip(batch["path"], batch["content"], strict=True):
             rows, error = [], None
             try:
-                text = bytes(content).decode("utf-8").removeprefix("﻿")
+                text = bytes(content).decode("utf-8").removeprefix("\ufeff")
                 if "\0" in text:
                     raise csv.Error("NUL")
                 width = None

@@ -2,48 +2,93 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidewright.operators import review
+from tidewright.sources.files import cut
+
 #: What a submission must and may carry (JSON pointer, required pattern).
 REQUIRED = {"/specversion": r"^1\.0$", "/id": r".+", "/source": r".+", "/type": r".+", "/data/run_id": r".+", "/data/event_id": r".+"}
 
 
-def faults(checks: dict[str, Column], required: dict[str, str] = REQUIRED) -> Column:
-    """array<struct<pointer, code>> for text columns by pointer: REQUIRED or INVALID_VALUE."""
+def faults(checks: dict[str, Column], required: dict[str, str] = REQUIRED, names: Column | None = None, allowed: tuple[str, ...] = (), equal: tuple[tuple[str, str], ...] = ()) -> Column:
+    """array<struct<pointer, code>> for text columns by pointer: REQUIRED, INVALID_VALUE, UNKNOWN_PROPERTY and MISMATCH.
+
+    `names` are the property names a submission carries, of which only `allowed` are known; `equal` names
+    pairs of pointers whose texts must agree (a fault of the second, where both are present).
+    """
+    fault = lambda pointer, code: F.struct(pointer.alias("pointer"), F.lit(code).alias("code"))
+    blank = lambda p: F.coalesce(F.trim(checks[p]), F.lit("")) == ""
     found = [
-        F.when(F.coalesce(F.trim(checks[p]), F.lit("")) == "", F.struct(F.lit(p).alias("pointer"), F.lit("REQUIRED").alias("code")))
-        .when(~checks[p].rlike(pattern), F.struct(F.lit(p).alias("pointer"), F.lit("INVALID_VALUE").alias("code")))
+        F.when(blank(p), fault(F.lit(p), "REQUIRED")).when(~checks[p].rlike(pattern), fault(F.lit(p), "INVALID_VALUE"))
         for p, pattern in required.items()
         if p in checks
     ]
-    return F.array_compact(F.array(*found))
+    found += [F.when(~blank(a) & ~blank(b) & (checks[a] != checks[b]), fault(F.lit(b), "MISMATCH")) for a, b in equal]
+    out = F.array_compact(F.array(*found))
+    if names is None:
+        return out
+    unknown = F.array_sort(F.array_except(F.coalesce(names, F.array().cast("array<string>")), F.array(*map(F.lit, allowed))))
+    return F.concat(out, F.transform(unknown, lambda n: fault(F.concat(F.lit("/"), n), "UNKNOWN_PROPERTY")))
 
 
 def admit(requests: DataFrame, submissions: DataFrame, order: str = "sequence") -> DataFrame:
-    """outcome ACCEPTED, REPLAY or CONFLICT of each submission.
+    """outcome ACCEPTED, REPLAY, CONFLICT or INVALID of each submission, as if they came one by one by `order`.
 
-    Both have idempotency_key, event_key and payload_hash; the earliest submission of a key or event in
-    the batch stands for it. Stored requests are matched by either key in two equi-joins.
+    Both sides have idempotency_key, event_key and payload_hash; order is unique. A submission is accepted
+    if no stored request and no accepted earlier submission shares its key or event; it is a replay if the
+    one that does has its key, event and hash. Rejected submissions are not stored, so they block nothing.
+    Only the first submission of each (key, event) can be accepted. Of these, whichever is the first both
+    of its key and of its event is; those that share a key or event with it are not; the rest goes to the
+    next round. Rounds are few, for each settles at least every key and event whose first is the same.
+    A null key or event is INVALID, and nobody's neighbour.
     """
-    old = requests.select("idempotency_key", "event_key", "payload_hash")
-    by_key = old.groupBy("idempotency_key").agg(F.min("payload_hash").alias("key_hash"))
-    by_event = old.groupBy("event_key").agg(F.min("payload_hash").alias("event_hash"))
-
-    def first(key: str) -> Column:
-        return F.first("payload_hash").over(Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow))
-
-    out = submissions.join(by_key, "idempotency_key", "left").join(by_event, "event_key", "left")
-    out = out.withColumns({"_k": first("idempotency_key"), "_e": first("event_key"),
-                           "_n": F.row_number().over(Window.partitionBy("idempotency_key").orderBy(order)),
-                           "_m": F.row_number().over(Window.partitionBy("event_key").orderBy(order))})
-    known_key, known_event = F.coalesce("key_hash", F.when(F.col("_n") > 1, F.col("_k"))), F.coalesce("event_hash", F.when(F.col("_m") > 1, F.col("_e")))
+    pair = ["idempotency_key", "event_key"]
+    known = F.col(pair[0]).isNotNull() & F.col(pair[1]).isNotNull()
+    old = requests.where(known).select(*pair, F.col("payload_hash").alias("_old")).dropDuplicates(pair)
+    firsts = submissions.where(known).groupBy(*pair).agg(F.min(order).alias("_first"), F.min_by("payload_hash", order).alias("_hash"))
+    free, accepted = firsts, None
+    for key in pair:
+        free = free.join(old.select(key).distinct(), key, "left_anti")
+    free = cut(free)
+    while not free.isEmpty():
+        new = free
+        for key in pair:
+            new = new.join(free.groupBy(key).agg(F.min("_first").alias(f"_{key}")), key).where(F.col(f"_{key}") == F.col("_first")).drop(f"_{key}")
+        new = cut(new.select(*firsts.columns))
+        accepted = new if accepted is None else accepted.unionByName(new)
+        for key in pair:
+            free = free.join(new.select(key), key, "left_anti")
+        free = cut(free)
+    accepted = accepted if accepted is not None else firsts.limit(0)
+    out = submissions.join(old, pair, "left").join(accepted, pair, "left")
+    same = F.coalesce("_old", "_hash").eqNullSafe(F.col("payload_hash"))
     outcome = (
-        F.when(known_key.isNull() & known_event.isNull(), "ACCEPTED")
-        .when(known_key == F.col("payload_hash"), "REPLAY")
+        F.when(~known, "INVALID")
+        .when(F.col("_old").isNull() & (F.col(order) == F.col("_first")), "ACCEPTED")
+        .when((F.col("_old").isNotNull() | F.col("_first").isNotNull()) & same, "REPLAY")
         .otherwise("CONFLICT")
     )
-    return out.withColumn("outcome", outcome).drop("_k", "_e", "_n", "_m", "key_hash", "event_hash")
+    return out.withColumn("outcome", outcome).select(*submissions.columns, "outcome")
+
+
+def apply_in_order(events: DataFrame, group: list[str], order: str, apply, batch_rows: int = 500) -> int:
+    """Apply pending events group by group in order: each round hands `apply` the oldest event of every group.
+
+    Groups go side by side, events of a group one after another; returns the rounds. `apply` gets a
+    DataFrame of at most one event a group and returns the (group, order) rows it could apply; a group
+    with an event that was not applied waits, later events of it too. batch_rows bounds a round's events.
+    """
+    pending, rounds = cut(events), 0
+    while True:
+        heads = cut(review.group_heads(pending, group, order, F.lit(True)).orderBy(order).limit(batch_rows))
+        if heads.isEmpty():
+            return rounds
+        rounds += 1
+        done = cut(apply(heads).select(*group, order))
+        failed = heads.join(done, [*group, order], "left_anti").select(*group).distinct()
+        pending = cut(pending.join(done, [*group, order], "left_anti").join(failed, group, "left_anti"))
 
 
 def run_stream(stream: DataFrame, read_requests, append_accepted, checkpoint: str):
