@@ -53,7 +53,7 @@ SHARD = 1 << 17
 GROUP_BYTES = 1 << 20
 HOT_BYTES = 1 << 18
 HOT_ROWS = 20_000
-BLOCK = 1 << 20
+BLOCK = 1 << 17
 BROADCAST_ROWS = 1_000_000
 _TABLE = np.random.default_rng(12345).integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
 _STEP = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3)]
