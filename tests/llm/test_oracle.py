@@ -7,7 +7,8 @@ from tidewright.llm import queries
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
 def test_sql_says_the_same(spark, sf_dir, name):
     con = duckdb.connect()
-    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{sf_dir}/documents.parquet'")
+    for view in ("documents", "conversations"):
+        con.execute(f"CREATE VIEW {view} AS SELECT * FROM '{sf_dir}/{view}.parquet'")
     found = con.execute(queries.oracle_sql()[name])
     columns = [c[0] for c in found.description]
     frame = queries.queries()[name](spark, sf_dir)

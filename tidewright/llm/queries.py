@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewright.llm import ann, decontaminate, html, langid, oracle, packing, quality, secrets, simhash, substrings, wavelet
+from tidewright.llm import ann, bpe, decontaminate, divergence, html, langid, oracle, packing, quality, secrets, simhash, substrings, trie, wavelet
 from tidewright.llm.common import table
 
 
@@ -51,9 +51,21 @@ def op10_wavelet_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wavelet.read_documents(wavelet.write_shards(table(spark, sf_dir, "documents")))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
+def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.digest(bpe.decode(bpe.encode(table(spark, sf_dir, "documents"))))
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_benchmark_decontamination, op2_repeated_substrings, op3_best_fit_packing, op4_simhash_near_dedup, op5_language_mixture, op6_main_text, op7_nearest_neighbours, op8_quality_classifier, op9_secret_scan, op10_wavelet_shards)}
+    return {f.__name__: f for f in (op1_benchmark_decontamination, op2_repeated_substrings, op3_best_fit_packing, op4_simhash_near_dedup, op5_language_mixture, op6_main_text, op7_nearest_neighbours, op8_quality_classifier, op9_secret_scan, op10_wavelet_shards, op11_prefix_trie, op12_byte_bpe, op13_source_divergence)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_repeated_substrings": oracle.repeated_substrings(), "op9_secret_scan": oracle.secret_scan()}
+    return {"op2_repeated_substrings": oracle.repeated_substrings(), "op9_secret_scan": oracle.secret_scan(), "op11_prefix_trie": oracle.prefix_trie(), "op13_source_divergence": oracle.source_divergence()}

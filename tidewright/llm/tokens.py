@@ -30,7 +30,7 @@ _BYTE_SPLIT = re.compile(rf" ?[{_LETTERS}]+|'(?:s|t|re|ve|m|ll|d)| ?[0-9]+| ?(?:
 _SPACES_AFTER = [f"{c} " for c in "\t\n\x0b\x0c\r "]  # a run of white space that such a pair ends is not cut at its spaces
 
 
-def _byte_alphabet() -> list[str]:
+def byte_alphabet() -> list[str]:
     """Byte-level vocabularies write bytes without a visible Latin-1 form as U+0100 onwards, in order."""
     visible = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
     hidden = {b: chr(0x100 + i) for i, b in enumerate(b for b in range(256) if b not in visible)}
@@ -42,7 +42,7 @@ class _Parts(dict):
 
     def __init__(self, tokenize, code: str):
         super().__init__()
-        self.tokenize, self.code, self.visible = tokenize, code, _byte_alphabet().__getitem__
+        self.tokenize, self.code, self.visible = tokenize, code, byte_alphabet().__getitem__
         self.space = self.visible(32)
 
     def __missing__(self, part: str) -> bytes:
