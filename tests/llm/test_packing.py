@@ -52,7 +52,6 @@ def test_bound_is_sound_and_packing_valid(sizes):
 
 def check(rows, texts, capacity):
     encode = Tokenizer.from_file(public_tokenizers.path(tokens.WORD))
-    encode.encode_special_tokens = True
     want = []
     for i, t in texts:
         ids = np.array(encode.encode(t or "", add_special_tokens=False).ids + [1], "<u4")
@@ -112,3 +111,12 @@ def test_mid_sized_items_stay_in_bounded_groups(spark, monkeypatch):
         bins[r.sequence_id] += r.length
     bound = packing.lower_bound(np.array(lengths), 4096)
     assert len(rows) == 6000 and max(bins.values()) <= 4096 and len(bins) <= 1.06 * bound and all(r.gap >= 0 for r in rows)
+
+
+def test_special_strings():
+    """The library gives the string of a special token its one id, wherever it stands."""
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "x<|startoftext|>y", "<|ENDOFTEXT|>", "<|endoftext |>", "<|endof", "\x00<|endoftext|>"]
+    for name in (tokens.WORD, tokens.BYTE):
+        plain = Tokenizer.from_file(public_tokenizers.path(name))
+        for t in texts:
+            assert tokens.encoder(name).encode(t).tolist() == plain.encode(t, add_special_tokens=False).ids, (name, t)

@@ -41,7 +41,6 @@ def test_queries_over_many_directory_entries():
 
 def brute(rows):
     encode = Tokenizer.from_file(public_tokenizers.path(tokens.BYTE))
-    encode.encode_special_tokens = True
     out, start = [], 0
     for i, t in sorted(rows, key=lambda r: (r[0] is not None, r[0])):
         ids = np.array(encode.encode(t or "", add_special_tokens=False).ids + [2], "<u4")
@@ -54,7 +53,7 @@ def got(frame):
     return sorted(((r.doc_id, r.start, r.n_tokens, r.ids_crc32, r.n_end_ids) for r in frame.collect()), key=lambda r: r[1])
 
 
-ROWS = [(7, "seven  x\n\ny # #"), (-3, "minus"), (1, None), (2, ""), (40, "日本 é " * 50), (None, "no id"), (9, "a b c " * 400), (9, "a b c " * 400)]
+ROWS = [(7, "seven  x\n\ny # #"), (-3, "minus"), (1, None), (2, ""), (40, "日本 é " * 50), (None, "no id"), (9, "a b c " * 400), (9, "a b c " * 400), (50, "a <|endoftext|> b<|startoftext|>"), (51, "<|endoftext|>"), (52, "w " * 150_000)]
 
 
 def test_round_trip(spark):

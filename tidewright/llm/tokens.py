@@ -4,7 +4,8 @@ Both vocabularies split a text before merging and no merge crosses a split, so t
 the ids of its parts in order. A worker keeps the ids of up to KEPT_PIECES space-delimited pieces and
 KEPT_PARTS pre-split parts; anything not kept is merged anew, so the bounds change no result. Texts of
 plain Latin letters, digits and punctuation go to the vocabulary's merge model part by part; any other
-text goes through the full encoder. Strings of special tokens in a text are ordinary text.
+text, and any that holds the string of a special token, goes through the full encoder, which gives such a string
+its one id.
 """
 
 from __future__ import annotations
@@ -23,11 +24,11 @@ WORD = "word_bpe_49k.json"
 BYTE = "byte_bpe_50k.json"
 
 # Plain text, and how the two vocabularies split it before merging.
-_PLAIN = re.compile("[\t-\r\x20-\x7e\xa1-\xb1\xb4-\xb8\xba\xbb\xbf-į]*")
+PLAIN = re.compile("[\t-\r\x20-\x7e\xa1-\xb1\xb4-\xb8\xba\xbb\xbf-į]*")
 _LETTERS = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-į"
 _WORD_SPLIT = re.compile(rf"[{_LETTERS}]+|[0-9]|'(?:s|t|re|ve|m|ll|d)|(?:[^\w\s]|_)+")
-_BYTE_SPLIT = re.compile(rf" ?[{_LETTERS}]+|'(?:s|t|re|ve|m|ll|d)| ?[0-9]+| ?(?:[^\w\s]|_)+|\s+(?!\S)|\s+")
-_SPACES_AFTER = [f"{c} " for c in "\t\n\x0b\x0c\r "]  # a run of white space that such a pair ends is not cut at its spaces
+BYTE_SPLIT = re.compile(rf" ?[{_LETTERS}]+|'(?:s|t|re|ve|m|ll|d)| ?[0-9]+| ?(?:[^\w\s]|_)+|\s+(?!\S)|\s+")
+SPACES_AFTER = [f"{c} " for c in "\t\n\x0b\x0c\r "]  # a run of white space that such a pair ends is not cut at its spaces
 
 
 def byte_alphabet() -> list[str]:
@@ -37,7 +38,7 @@ def byte_alphabet() -> list[str]:
     return [hidden.get(b, chr(b)) for b in range(256)]
 
 
-class _Parts(dict):
+class Parts(dict):
     """Pre-split part -> ids as bytes of the encoder's width."""
 
     def __init__(self, tokenize, code: str):
@@ -53,10 +54,10 @@ class _Parts(dict):
         return found
 
 
-class _Pieces(dict):
+class Pieces(dict):
     """Space-delimited piece -> ids as bytes; lead is put before a piece that is split."""
 
-    def __init__(self, parts: _Parts, split: re.Pattern, lead: str):
+    def __init__(self, parts: Parts, split: re.Pattern, lead: str):
         super().__init__()
         self.part, self.findall, self.lead = parts.__getitem__, split.findall, lead
 
@@ -72,25 +73,26 @@ class Encoder:
 
     def __init__(self, path: str):
         self.full = Tokenizer.from_file(path)
-        self.full.encode_special_tokens = True
+        special = [t.content for t in self.full.get_added_tokens_decoder().values()]
+        self.special = re.compile("|".join(map(re.escape, special)) or "(?!)", re.IGNORECASE)
         self.words = path.endswith(WORD)
         self.fast = self.words or path.endswith(BYTE)
         code = "H" if self.full.get_vocab_size() <= 65536 else "I"
         self.dtype = np.dtype("<u2" if code == "H" else "<u4")
-        self.split = _WORD_SPLIT if self.words else _BYTE_SPLIT
-        self.parts = _Parts(self.full.model.tokenize, code)
-        self.pieces = _Pieces(self.parts, self.split, "" if self.words else " ")
+        self.split = _WORD_SPLIT if self.words else BYTE_SPLIT
+        self.parts = Parts(self.full.model.tokenize, code)
+        self.pieces = Pieces(self.parts, self.split, "" if self.words else " ")
 
     def whole(self, text: str) -> np.ndarray:
         """The full encoder's own answer."""
         return np.asarray(self.full.encode(text, add_special_tokens=False).ids, dtype=self.dtype)
 
     def encode(self, text: str) -> np.ndarray:
-        if not self.fast or not _PLAIN.fullmatch(text):
+        if not self.fast or not PLAIN.fullmatch(text) or self.special.search(text):
             return self.whole(text)
         if self.words:
             found = map(self.pieces.__getitem__, text.lower().split())
-        elif any(pair in text for pair in _SPACES_AFTER):
+        elif any(pair in text for pair in SPACES_AFTER):
             found = map(self.parts.__getitem__, self.split.findall(text))
         else:
             first, *rest = text.split(" ")
