@@ -8,7 +8,7 @@ import tiktoken
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from tidewright.llm import bpe
+from tidewright.llm import bpe, tokens
 
 SCHEMA = "doc_id long, text string"
 
@@ -31,16 +31,23 @@ def test_any_text(reference, model, text):
     assert model.decode(ids) == text.encode()
 
 
+@settings(max_examples=400, deadline=None)
+@given(st.lists(st.sampled_from(["Wort", "don't", " ", "  ", "\n", "\t", "\r", "12", "3.5", "--", "_x", "É", "ß", "\xa0", "l'été", "'s", "²"]), max_size=12).map("".join))
+def test_plain_text(reference, model, text):
+    assert model.encode(text).tolist() == reference.encode_ordinary(text)
+
+
 def test_every_token_and_kept_bound(reference, model, monkeypatch):
     """Each token that is text encodes to itself alone; with nothing kept the ids are the same."""
-    for rank, data in enumerate(model.bytes_of):
+    for rank, data in model.bytes_of.items():
         text = data.decode(errors="ignore")
         if text.encode() == data:
             assert model.encode(text).tolist() == reference.encode_ordinary(text), rank
     monkeypatch.setattr(bpe, "KEPT", 0)
+    monkeypatch.setattr(tokens, "KEPT_PIECES", 0)
     bare = bpe.ByteBpe(bpe.read_ranks(bpe.MULTI), public_tokenizers.PATTERN)
     assert bare.encode("Hello there, großer Wörterberg 12345").tolist() == reference.encode_ordinary("Hello there, großer Wörterberg 12345")
-    assert not bare.kept
+    assert not bare.kept and not bare.pieces
 
 
 def test_other_vocabulary(reference):
