@@ -72,7 +72,7 @@ def test_a_task_passes_on_what_it_holds(spark, monkeypatch):
         for lang, source, term, n, docs in out:
             whole[lang, source, term] += docs if term is None else n
     assert sum(v for (_, _, t), v in whole.items() if t is None) == 200
-    assert sum(v for (_, _, t), v in whole.items() if t) == sum(len(divergence._TERM.findall(t.lower())) for *_, t in rows)
+    assert sum(v for (_, _, t), v in whole.items() if t) == sum(len(divergence.terms_of(t)) for *_, t in rows)
 
 
 def test_no_kept_terms_one_source_and_repeats(spark):
@@ -84,6 +84,11 @@ def test_no_kept_terms_one_source_and_repeats(spark):
     assert ("aa", "s1", "pair", "s2", 0, 1) in got
 
 
+def test_terms_of():
+    every = "".join(map(chr, [*range(0x180), 0x2028, 0x1F642])) + "ABC\x7fÀÉ d\x00e"
+    assert [t.decode() for t in divergence.terms_of(every)] == re.findall("[^\x00-\x40\x5b-\x60\x7b-\x7f]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in every))
+
+
 def test_numbers_beyond_64_bits(spark):
     from pyspark.sql import functions as F
 
