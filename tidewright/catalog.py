@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from tidewright.plans import events
 from tidewright.plans.queries import QUERIES, SQL
 
+#: Modules that register queries when they are imported.
+REGISTERED = (events,)
+
 
 def queries() -> dict:
     return dict(QUERIES)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewright.operators import review
@@ -11,6 +11,8 @@ from tidewright.sources.files import cut
 #: What a submission must and may carry (JSON pointer, required pattern).
 REQUIRED = {"/specversion": r"^1\.0$", "/id": r".+", "/source": r".+", "/type": r".+", "/data/run_id": r".+", "/data/event_id": r".+"}
 
+HOPS = 2  # doublings of the chains' links in one step, before they are cut
+
 
 def faults(checks: dict[str, Column], required: dict[str, str] = REQUIRED, names: Column | None = None, allowed: tuple[str, ...] = (), equal: tuple[tuple[str, str], ...] = ()) -> Column:
     """array<struct<pointer, code>> for text columns by pointer: REQUIRED, INVALID_VALUE, UNKNOWN_PROPERTY and MISMATCH.
@@ -39,10 +41,11 @@ def admit(requests: DataFrame, submissions: DataFrame, order: str = "sequence")
     Both sides have idempotency_key, event_key and payload_hash; order is unique. A submission is accepted
     if no stored request and no accepted earlier submission shares its key or event; it is a replay if the
     one that does has its key, event and hash. Rejected submissions are not stored, so they block nothing.
-    Only the first submission of each (key, event) can be accepted. Of these, whichever is the first both
-    of its key and of its event is; those that share a key or event with it are not; the rest goes to the
-    next round. Rounds are few, for each settles at least every key and event whose first is the same.
-    A null key or event is INVALID, and nobody's neighbour.
+    Only the first submission of each (key, event) can be accepted. Of these, one without an earlier neighbour, which is
+    one that shares its key or its event, is accepted. One with a single earlier neighbour is accepted if that one is
+    not: such links make chains, which are followed by pointer jumping, HOPS times doubled a step, so a chain of n takes
+    about log n / HOPS steps. Whoever shares a key or event with an accepted one is not accepted; those who are
+    neither, behind several neighbours, go to the next round. A null key or event is INVALID, and nobody's neighbour.
     """
     pair = ["idempotency_key", "event_key"]
     known = F.col(pair[0]).isNotNull() & F.col(pair[1]).isNotNull()
@@ -53,10 +56,7 @@ def admit(requests: DataFrame, submissions: DataFrame, order: str = "sequence")
         free = free.join(old.select(key).distinct(), key, "left_anti")
     free = cut(free)
     while not free.isEmpty():
-        new = free
-        for key in pair:
-            new = new.join(free.groupBy(key).agg(F.min("_first").alias(f"_{key}")), key).where(F.col(f"_{key}") == F.col("_first")).drop(f"_{key}")
-        new = cut(new.select(*firsts.columns))
+        new = cut(_settled(free, pair).select(*firsts.columns))
         accepted = new if accepted is None else accepted.unionByName(new)
         for key in pair:
             free = free.join(new.select(key), key, "left_anti")
@@ -73,6 +73,27 @@ def admit(requests: DataFrame, submissions: DataFrame, order: str = "sequence")
     return out.withColumn("outcome", outcome).select(*submissions.columns, "outcome")
 
 
+def _settled(free: DataFrame, pair: list[str]) -> DataFrame:
+    """The submissions of `free` that are surely accepted: those without an earlier neighbour, and every second of the chains behind them."""
+    near = free
+    for key in pair:
+        two = free.withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy("_first"))).where(F.col("_n") <= 2)
+        near = near.join(two.groupBy(key).agg(F.min("_first").alias(f"_a_{key}"), F.max("_first").alias(f"_b_{key}")), key)
+    # earlier neighbours by a key: none, the smallest alone, or more
+    count = lambda key: F.when(F.col("_first") == F.col(f"_a_{key}"), 0).when(F.col("_first") == F.col(f"_b_{key}"), 1).otherwise(2)
+    single = F.when(count(pair[0]) == 1, F.col(f"_a_{pair[0]}")).otherwise(F.col(f"_a_{pair[1]}"))
+    near = cut(near.withColumn("_earlier", count(pair[0]) + count(pair[1])).withColumn("_to", single).drop(*(f"_{x}_{key}" for x in "ab" for key in pair)))
+    free_of_all = near.where("_earlier = 0")
+    links = cut(near.where("_earlier = 1").select(F.col("_first").alias("_from"), "_to", F.lit(True).alias("_odd")))
+    while not links.join(links.select(F.col("_from").alias("_to")), "_to", "left_semi").isEmpty():
+        for _ in range(HOPS):
+            step = links.select(F.col("_from").alias("_to"), F.col("_to").alias("_next"), F.col("_odd").alias("_also"))
+            links = links.join(step, "_to", "left").select("_from", F.coalesce("_next", "_to").alias("_to"), (F.col("_odd") != F.coalesce("_also", F.lit(False))).alias("_odd"))
+        links = cut(links)
+    even = links.where("NOT _odd").join(free_of_all.select(F.col("_first").alias("_to")), "_to", "left_semi").select(F.col("_from").alias("_first"))
+    return free_of_all.unionByName(near.join(even, "_first", "left_semi").select(*near.columns))
+
+
 def apply_in_order(events: DataFrame, group: list[str], order: str, apply, batch_rows: int = 500) -> int:
     """Apply pending events group by group in order: each round hands `apply` the oldest event of every group.
 
