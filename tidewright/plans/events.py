@@ -9,7 +9,7 @@ from tidewright.streaming import admission, fold
 
 # A security's coupon events: half of all rows are of one security, dates go up and down, every fifth rate is from the details.
 _COUPONS = (
-    "SELECT CASE WHEN o_orderkey % 2 = 0 THEN 0 ELSE o_custkey END AS isin, o_orderkey AS sequence, CAST(o_totalprice AS BIGINT) % 4 AS rate, "
+    "SELECT CASE WHEN o_orderkey % 2 = 0 THEN 0 ELSE o_custkey END AS isin, o_orderkey AS sequence, (o_orderkey % 89 + o_custkey) % 4 AS rate, "
     "CASE WHEN o_orderkey % 5 <> 0 THEN CAST(o_orderdate AS DATE) END AS trade_date, CASE WHEN o_orderkey % 5 = 0 THEN 'NSDL' ELSE 'BSE_BHAVCOPY' END AS source FROM {orders}"
 )
 _STORED = (
