@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidewright.operators import scan
-from tidewright.streaming import admission, fold
+from tidewright.streaming import admission, fold, state
 
 EVENTS = "isin string, sequence long, rate long, trade_date date, source string"
 STORED = "isin string, rate long, trade_date date, source string"
@@ -155,3 +155,19 @@ def test_admission_of_a_long_chain(spark, monkeypatch, shuffled):
             events.add(e)
     assert got == want
     assert len(cuts) < 40
+
+
+def test_coupons_in_a_stream(spark, tmp_path):
+    """Three runs with restarts between them, events late and in any order: the coupons of one pass in order."""
+    roll = random.Random(4)
+    day = date(2024, 1, 1)
+    rows = [(roll.choice("ABC"), i, roll.choice([None, 1, 2]), roll.choice([None, day, day + timedelta(1), day + timedelta(2)]), roll.choice([fold.EXCHANGE, fold.DETAILS])) for i in range(90)]
+    roll.shuffle(rows)
+    coupons = {}
+    for run in range(3):
+        spark.createDataFrame(rows[run * 30 : run * 30 + 30], EVENTS).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        events = spark.readStream.schema(EVENTS).parquet(str(tmp_path / "in"))
+        write = lambda df, n: coupons.update({r.isin: (r.rate, r.trade_date, r.source) for r in df.collect()})  # noqa: E731, ARG005
+        state.stream_coupons(events, write, str(tmp_path / "state")).awaitTermination()
+        _, want = one_by_one([], rows[: run * 30 + 30])
+        assert coupons == {k: (str(r), d if s == fold.EXCHANGE else None, s) for k, (r, d, s, _) in want.items()}

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
+from tidewright.operators import merge
 from tidewright.plans.queries import query, t
-from tidewright.streaming import admission, fold
+from tidewright.sources.files import shared_folder
+from tidewright.streaming import admission, fold, state
 
 # A security's coupon events: half of all rows are of one security, dates go up and down, every fifth rate is from the details.
 _COUPONS = (
@@ -83,3 +87,22 @@ def admission_chain(spark, sf):
     n = t(spark, sf, "customer").count()
     again = once.withColumn("payload_hash", F.when(F.col("sequence") % 3 == 0, "other").otherwise("h")).withColumn("sequence", F.col("sequence") + n)
     return admission.admit(once.limit(0), once.unionByName(again)).select("sequence", "outcome")
+
+
+@query(
+    f"""{_STEPS.replace(_STORED.format(part="part"), _STORED.format(part="part") + " AND false")} SELECT isin, CAST(rate AS STRING) AS rate, strftime(trade_date, '%Y-%m-%d') AS trade_date, source FROM r
+    QUALIFY row_number() OVER (PARTITION BY isin ORDER BY n DESC) = 1"""
+)
+def coupon_stream(spark, sf):
+    """Two runs of one stream, a third of the events late, in the second: every coupon by its last change."""
+    folder = f"{shared_folder(spark)}/coupon-stream-{uuid.uuid4().hex}"
+    orders = t(spark, sf, "orders")
+    events = spark.sql(_COUPONS.format(orders="{orders}"), orders=orders)
+    for late in (False, True):
+        events.where((F.col("sequence") % 3 == 0) == late).write.mode("append").parquet(f"{folder}/events")
+        stream = spark.readStream.schema(events.schema).parquet(f"{folder}/events")
+        write = lambda df, n: df.withColumn("batch", F.lit(n).cast("long")).write.mode("overwrite").parquet(f"{folder}/changes/part={n}")
+        state.stream_coupons(stream, write, f"{folder}/checkpoint").awaitTermination()
+    changes = spark.read.parquet(f"{folder}/changes")
+    last = merge.latest(changes, ["isin"], F.desc("batch"))
+    return last.select("isin", "rate", F.date_format("trade_date", "yyyy-MM-dd").alias("trade_date"), "source")

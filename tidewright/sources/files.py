@@ -26,14 +26,20 @@ AGREED = ("dataschema", "subject", "event_type", "event_id", "run_id", "inputs",
 _RECORDS = "path string, record_number int, cells array<string>, error string"
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df without its lineage, kept in the checkpoint folder; a temporary one only in local mode without a setting."""
-    context = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors reach: spark.checkpoint.dir; a temporary one only in local mode without a setting."""
+    context = spark.sparkContext
     if not context.getCheckpointDir():
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        folder = spark.conf.get("spark.checkpoint.dir", None)
         if not folder and not context.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-shared-"))
+    return context.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df without its lineage, kept in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
