@@ -11,6 +11,8 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tidewright.functions import exact
+
 Step = tuple[Column, Column]
 
 # Error codes of fields and rows.
@@ -87,10 +89,11 @@ NORMALIZERS: dict[str, Callable[[Column], Step]] = {
 
 
 def non_negative(number: Column) -> Column:
-    """NEGATIVE_VALUE or null; the number itself is kept by the caller."""
-    return F.when(number < 0, NEGATIVE_VALUE)
+    """NEGATIVE_VALUE or null for an exact number's text; the number itself is kept by the caller."""
+    return F.when(exact.is_negative(number), NEGATIVE_VALUE)
 
 
+#: Validators read the exact text of a parsed number, of any length.
 VALIDATORS: dict[str, Callable[[Column], Column]] = {"nonNegative": non_negative}
 
 
@@ -171,7 +174,7 @@ PARSERS: dict[str, Callable[[Column], Step]] = {"TEXT": as_text, "DECIMAL": exac
 
 
 def number(text: Column) -> Column:
-    """Parsed text as decimal(38,10); text that does not fit is null (Spark decimals end at 38 digits)."""
+    """Parsed text as decimal(38,10) for sums; text that does not fit is null. Rules compare the text itself (exact)."""
     return text.try_cast("decimal(38,10)")
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewright.functions import rules
+from tidewright.functions import exact, rules
 from tidewright.plans.contracts import FieldSpec, MappingContract, RowRule, SourceContract
 
 
@@ -30,7 +30,7 @@ def validate_fields(records: DataFrame, fields: tuple[FieldSpec, ...]) -> DataFr
         missing = F.when(F.col(v(f)).isNull() & F.col(c(f)).isNull(), rules.REQUIRED_VALUE_MISSING) if f.required else rules.none()
         step |= {f"_p_{f.name}": parsed, f"_e_{f.name}": F.array_compact(F.array(missing, F.coalesce(F.col(c(f)), code)))}
     out = out.withColumns(step)
-    out = out.withColumns({f"_e_{f.name}": F.concat(f"_e_{f.name}", rules.validate(rules.number(F.col(f"_p_{f.name}")), f.validators)) for f in fields})
+    out = out.withColumns({f"_e_{f.name}": F.concat(f"_e_{f.name}", rules.validate(F.col(f"_p_{f.name}"), f.validators)) for f in fields})
     structs = {}
     for f in fields:
         status = F.when(F.size(f"_e_{f.name}") == 0, "PASSED").otherwise("IGNORED" if f.ignore_invalid else "FAILED")
@@ -41,9 +41,9 @@ def validate_fields(records: DataFrame, fields: tuple[FieldSpec, ...]) -> DataFr
 
 
 def _rule_error(rule: RowRule) -> Column:
-    left, right = (rules.number(F.col(f"{side}.parsed")) for side in (rule.left, rule.right))
+    left, right = (F.col(f"{side}.parsed") for side in (rule.left, rule.right))
     both = (F.col(f"{rule.left}.status") == "PASSED") & (F.col(f"{rule.right}.status") == "PASSED") & left.isNotNull() & right.isNotNull()
-    return F.when(both & ((left < right) if rule.op == ">=" else (left > right)), rules.PRICE_INCONSISTENT)
+    return F.when(both & (exact.less(left, right) if rule.op == ">=" else exact.less(right, left)), rules.PRICE_INCONSISTENT)
 
 
 def validate_rows(records: DataFrame, contract: SourceContract) -> DataFrame:

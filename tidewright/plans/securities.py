@@ -76,7 +76,7 @@ def typed(df: DataFrame, kinds: dict[str, str]) -> DataFrame:
         value, code = parse[k](F.nullif(F.col(f"t_{n}"), F.lit("")))
         step |= {f"p_{n}": value, f"{n}_code": F.coalesce(F.col(f"{n}_code"), code)}
     out = out.withColumns(step)
-    negative = {n: rules.non_negative(rules.number(F.col(f"p_{n}"))) if k == "percent" else rules.none() for n, k in kinds.items()}
+    negative = {n: rules.non_negative(F.col(f"p_{n}")) if k == "percent" else rules.none() for n, k in kinds.items()}
     out = out.withColumns({n: F.when(negative[n].isNull(), F.col(f"p_{n}")) for n in kinds} | {f"{n}_code": F.coalesce(F.col(f"{n}_code"), negative[n]) for n in kinds})
     return out.drop(*(f"{x}_{n}" for n in kinds for x in "vktp"))
 
