@@ -46,7 +46,7 @@ def test_collections(out):
 
 
 def test_review_rows(out):
-    assert {r.json_path for r in out["conflicts"].collect()} == {"$.instrumentsVo.assetCover.assetCvge", "$.instrumentsVo.assetCover.assetCvrPercent"}
+    assert {r.json_path for r in out["conflicts"].collect()} == {"$.instrumentsVo.assetCover.assetCvge", "$.instrumentsVo.assetCover.assetCvrPercent", "$.instrumentsVo.assetCover.assetList[0]"}
     assert [(r.path[-11:], r.json_path) for r in out["structure_issues"].collect()] == [("INE1_e.json", "$.instrumentsVo")]
     jobs = {r.isin: (r.listed, r.skipped, r.status) for r in out["jobs"].collect()}
     assert jobs == {"INE1": (5, 0, "COMPLETED_WITH_ERRORS"), "INE2": (2, 1, "COMPLETED_WITH_ERRORS"), "INE3": (1, 0, "FAILED")}
@@ -67,7 +67,7 @@ def test_rejected_parts(out):
     cover = "$.instrumentsVo.assetCover."
     assert [n for *_, n in rows] == list(range(1, len(rows) + 1))
     assert kinds == [
-        ("INE1_b.json", "VALUE_IGNORED", f"{cover}assetCvge"), ("INE1_b.json", "VALUE_IGNORED", f"{cover}assetCvrPercent"),
+        ("INE1_b.json", "VALUE_IGNORED", f"{cover}assetCvge"), ("INE1_b.json", "VALUE_IGNORED", f"{cover}assetCvrPercent"), ("INE1_b.json", "VALUE_IGNORED", f"{cover}assetList[0]"),
         ("INE1_c.json", "FIELD_REJECTED", "$.coupensVo.couponDetails.couponType"),
         ("INE1_c.json", "ENTRY_FIELDS_REJECTED", "$.coupensVo.cashFlowScheduleDetails.cashFlowSchedule[2]"),
         ("INE1_d.json", "SECTION_REJECTED", "$.listingDetails"), ("INE1_e.json", "SECTION_REJECTED", "$.instrumentsVo"),
@@ -108,3 +108,59 @@ def test_events_are_applied_in_order(spark):
 
     assert admission.apply_in_order(events, ["g"], "n", apply) == 3
     assert sorted(seen) == [("a", 1), ("a", 2), ("a", 4), ("b", 3), ("c", 6)] and [n for g, n in seen if g == "a"] == [1, 2, 4]
+
+
+def test_every_error_counts_and_keeps_its_value(spark, tmp_path):
+    """A conflict, a wrong section, a skipped file and a lost date each make COMPLETED_WITH_ERRORS; values stay as read."""
+    from tidewright.functions import numerals
+
+    bodies = {
+        "INA_x.json": '{"instrumentsVo":{"assetCover":{"securedFlag":"UNSECURED","assetList":[{"assetType":"land"},{"assetType":"-"},{"assetType":7,"remarks":"r"}]}}}',
+        "INB_x.json": '{"issuerName":"B","coupensVo":"none"}',
+        "INC_x.json": '{"issuerName":"C","instrumentsVo":{"instruments":{"allotmentDate":"99-99-2020","redemptionDate":20.50,"issuePrice":-0.50,"totalIssueSize":1234567890123456789012345678901234567890.50}}}',
+        "IND_x.json": '{"issuerName":"D"}',
+        "INE_x.json": '{"issuerName":"E","coupensVo":{"couponDetails":{"couponRate":1e2}},"listingDetails":[{"exchangeName":4,"listingDate":[1.50]}]}',
+        "INF_x.json": '{"isin":"other"',
+        "ING_x.json": '{"coupensVo":{"couponDetails":{"couponRate":"%"}}}',
+    }
+    for name, body in bodies.items():
+        (tmp_path / name).write_text(body)
+    out = securities.run_json(sources.read_bytes(spark, str(tmp_path)))
+    jobs = {r.isin: (r.listed, r.processed, r.skipped, r.fields_rejected, r.errors, r.status) for r in out["jobs"].collect()}
+    some, all_well, failed = "COMPLETED_WITH_ERRORS", "COMPLETED", "FAILED"
+    assert jobs == {
+        "INA": (1, 1, 0, 1, 3, some), "INB": (1, 1, 0, 2, 1, some), "INC": (1, 1, 0, 3, 3, some), "IND": (1, 1, 0, 0, 0, all_well),
+        "INE": (1, 1, 0, 2, 2, some), "INF": (1, 0, 1, 0, 1, failed), "ING": (1, 1, 0, 1, 1, failed),
+    }
+    told = [tuple(r) for r in out["issues"].orderBy("isin", "sequence").select("isin", "sequence", "kind", "json_path", "field", "code", "value").collect()]
+    inst, cover = "$.instrumentsVo.instruments.", "$.instrumentsVo.assetCover.assetList"
+    conflict = "CONFLICTING_COLLATERAL_DATA"
+    assert told == [
+        ("INA", 1, "ENTRY_FIELDS_REJECTED", f"{cover}[2].assetType", "asset_type", "INVALID_TYPE", "7"),
+        ("INA", 2, "VALUE_IGNORED", f"{cover}[0]", None, conflict, '{"asset_type":"land"}'),
+        ("INA", 3, "VALUE_IGNORED", f"{cover}[2]", None, conflict, '{"remarks":"r"}'),
+        ("INB", 1, "SECTION_REJECTED", "$.coupensVo", None, "INVALID_TYPE", None),
+        ("INC", 1, "FIELD_REJECTED", f"{inst}allotmentDate", "allotment_date", "INVALID_DATE", '"99-99-2020"'),
+        ("INC", 2, "FIELD_REJECTED", f"{inst}redemptionDate", "redemption_date", "INVALID_TYPE", "20.50"),
+        ("INC", 3, "FIELD_REJECTED", f"{inst}issuePrice", "original_face_value", "NEGATIVE_VALUE", "-0.50"),
+        ("INE", 1, "ENTRY_SKIPPED", "$.listingDetails[0].exchangeName", "exchange_name", "INVALID_TYPE", "4"),
+        ("INE", 2, "ENTRY_SKIPPED", "$.listingDetails[0].listingDate", "listing_date", "INVALID_TYPE", "[1.50]"),
+        ("INF", 1, "FILE_SKIPPED", "$", None, "MALFORMED_JSON", None),
+        ("ING", 1, "FIELD_REJECTED", "$.coupensVo.couponDetails.couponRate", "coupon_rate", "INVALID_DECIMAL", '"%"'),
+    ]
+    values = {r.isin: (r.total_issue_size, r.coupon_rate) for r in out["security"].collect()}
+    assert values["INC"][0] == "1234567890123456789012345678901234567890.50" and values["INE"][1] == "100"
+    assert [r.isin for r in out["cleared"].collect()] == ["INA"] and out["collateral_asset"].count() == 0
+    counts = securities.outcomes(out["jobs"], out["jobs"].selectExpr("isin", "2 AS fields_changed"), out["jobs"].selectExpr("isin", "3 AS entries_appended").where("isin = 'INA'"))
+    assert json.loads(counts.where("isin = 'INA'").first().counts) == {"filesListed": 1, "filesProcessed": 1, "filesSkipped": 0, "scalarFieldsChanged": 2, "collectionEntriesAppended": 3, "fieldsRejected": 1}
+    assert numerals.canonical_json('{"b": 2.50, "a": [-0, 1e5, "\\u00e9\\n"]}') == '{"a":[0,1E+5,"é\\n"],"b":2.50}'
+
+
+def test_canonical_texts():
+    from tidewright.functions.numerals import canonical_json
+
+    assert canonical_json('{"a":2.50}') != canonical_json('{"a":2.5}')
+    assert canonical_json("[" + "1" * 40 + ".0]") == "[" + "1" * 40 + ".0]"
+    assert canonical_json('{"\U0001f642":1,"\uffee":2}') == '{"\U0001f642":1,"\uffee":2}'  # by UTF-16 units
+    assert [canonical_json(t) for t in (None, "", "{", '{"a":1,"a":2}', "[1] 2", "NaN", "[01]", "[" * 100_000)] == [None] * 8
+    assert canonical_json('"\\u0001\\t\\"/"') == '"\\u0001\\t\\"/"'

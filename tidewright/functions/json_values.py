@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidewright.functions import numerals
 from tidewright.functions.rules import INVALID_TYPE, none, strip
 
 #: Texts that mean "no update".
@@ -25,13 +26,17 @@ def depth(text: Column) -> Column:
     return F.aggregate(F.filter(F.split(marks, ""), lambda m: m != ""), start, step, lambda acc: acc["most"])
 
 
-def strict_document(text: Column) -> Column:
-    """The variant of a strict JSON document, null if malformed: trailing content, duplicate names, NUL and too deep nesting fail."""
+def strict_document(text: Column, keep_numerals: bool = False) -> Column:
+    """The variant of a strict JSON document, null if malformed: trailing content, duplicate names, NUL and too deep nesting fail.
+
+    With keep_numerals each number is a marked string (numerals.MARK) of the numeral as it was written.
+    """
     clean = F.regexp_replace(text, "^\ufeff", "")
     wrapped = F.try_parse_json(F.concat(F.lit("["), clean, F.lit(f',"{_END}"]')))
     complete = (F.try_variant_get(wrapped, "$[1]", "string") == _END) & F.try_variant_get(wrapped, "$[2]", "string").isNull()
     shallow = (F.length(F.regexp_replace(clean, r"[^\[{]", "")) <= MAX_DEPTH) | (depth(clean) <= MAX_DEPTH)
-    return F.when(complete & ~clean.rlike(_NUL) & ~clean.contains("\0") & shallow, F.try_parse_json(clean))
+    strict = complete & ~clean.rlike(_NUL) & ~clean.contains("\0") & shallow
+    return F.when(strict, F.try_parse_json(numerals.keep(clean) if keep_numerals else clean))
 
 
 def kind(value: Column) -> Column:
@@ -79,8 +84,8 @@ def collection(df: DataFrame, document: str, path: str) -> DataFrame:
 
 
 def canonical_text(text: Column) -> Column:
-    """JSON with sorted property names and no spacing."""
-    return F.to_json(F.parse_json(text))
+    """JSON with sorted property names and no spacing, numerals as they were written."""
+    return numerals.canonical(text)
 
 
 def canonical_hash(text: Column) -> Column:

@@ -5,6 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewright.functions import exact
+
+#: Where a coupon rate can come from.
+EXCHANGE, DETAILS = "BSE_BHAVCOPY", "NSDL"
+
 
 def insert_missing(stored: DataFrame, incoming: DataFrame, keys: list[str]) -> DataFrame:
     """The incoming rows whose key is not stored: the created set."""
@@ -59,7 +64,7 @@ def coupon_change(stored_rate: Column, stored_date: Column, stored_source: Colum
     )
 
 
-def coupon_disagrees(stored_rate: Column, stored_source: Column, rate: Column, exchange: str = "BSE") -> Column:
+def coupon_disagrees(stored_rate: Column, stored_source: Column, rate: Column, exchange: str = EXCHANGE) -> Column:
     """True where an exchange's rate is stored and a backup's rate differs; the exchange's stays."""
     return (stored_source == exchange) & stored_rate.isNotNull() & rate.isNotNull() & (stored_rate != rate)
 
@@ -69,6 +74,11 @@ def scalar_change(stored: Column, new: Column) -> Column:
     return new.isNotNull() & ~new.eqNullSafe(stored)
 
 
+def number_change(stored: Column, new: Column) -> Column:
+    """True where an exact number arrives and differs as a number; a missing value never erases."""
+    return new.isNotNull() & ~F.coalesce(exact.same(stored, new), F.lit(False))
+
+
 def requests_again(created: Column, missing: Column, count: Column, last: Column, now: Column) -> Column:
     """Ask for details of new securities, or again while details are missing, at most three times, a day apart."""
     waited = last.isNull() | (last <= now - F.expr("interval 1 day"))

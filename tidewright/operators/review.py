@@ -113,18 +113,19 @@ def summaries(rows: DataFrame, dated: str, key: str, start: str | None = None, e
     return out if end is None else out.where(day <= F.lit(end).cast("date"))
 
 
-def nested_view(entities: DataFrame, key: str, lists: dict[str, tuple[DataFrame, list[Column]]], limit: int = 1000) -> DataFrame:
-    """entities with one sorted array per list table: at most `limit` rows a key, and n_<list> tells of all.
+def nested_view(entities: DataFrame, key: str, lists: dict[str, tuple[DataFrame, list[Column]]], limit: int | None = None) -> DataFrame:
+    """entities with one sorted array per list table, of all its rows or `limit` a key; n_<list> tells of all.
 
-    Each list is (rows with the key, sort columns); a bound keeps one frequent key from filling a task.
+    Each list is (rows with the key, sort columns). A view of a key is one row, so its lists must fit in one.
     """
     out = entities
     for name, (rows, order) in lists.items():
         values = [c for c in rows.columns if c != key]
-        ranked = rows.withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy(*order)))
-        kept = ranked.where(F.col("_n") <= limit).groupBy(key).agg(F.array_sort(F.collect_list(F.struct("_n", *values))).alias(name))
-        n = rows.groupBy(key).agg(F.count(F.lit(1)).alias(f"n_{name}"))
-        out = out.join(kept, key, "left").join(n, key, "left")
+        own = Window.partitionBy(key)
+        ranked = rows.withColumns({"_n": F.row_number().over(own.orderBy(*order)), "_of": F.count(F.lit(1)).over(own)})
+        kept = ranked if limit is None else ranked.where(F.col("_n") <= limit)
+        kept = kept.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("_n", *values))).alias(name), F.max("_of").alias(f"n_{name}"))
+        out = out.join(kept, key, "left")
         out = out.withColumn(name, F.transform(name, lambda x: F.struct(*(x[v].alias(v) for v in values)))).withColumn(f"n_{name}", F.coalesce(f"n_{name}", F.lit(0)))
     return out
 
@@ -133,15 +134,22 @@ def sweep(jobs: DataFrame, is_stuck: Column, order: str, now: Column, limit: int
     """The oldest stuck jobs, at most `limit`, with the state they go to: FAILED; a run still running ends as abandoned."""
     running = F.col("run_state") == "RUNNING"
     return jobs.where(is_stuck).orderBy(order).limit(limit).select(
-        *jobs.columns, F.lit("FAILED").alias("next_state"), F.when(running, "TEMPORARY_FAILURE").otherwise(F.col("run_state")).alias("next_run_state"),
+        *jobs.columns, F.lit("FAILED").alias("next_state"), F.when(running, "FAILED_TEMPORARY").otherwise(F.col("run_state")).alias("next_run_state"),
         F.when(running, "ATTEMPT_ABANDONED").alias("run_code"), now.alias("failed_at"),
     )
 
 
-def retained(requests: DataFrame, children: dict[str, DataFrame], key: str, finished: str, now: Column, days: int) -> tuple[DataFrame, dict[str, DataFrame]]:
-    """(requests, children) without the requests that finished over `days` ago; their children go with them."""
-    old = requests.where(F.col(finished) < now - F.make_interval(days=F.lit(days))).select(key)
-    return requests.join(old, key, "left_anti"), {name: rows.join(old, key, "left_anti") for name, rows in children.items()}
+def retained(issues: DataFrame, records: DataFrame, events: DataFrame, now: Column, record_key: str = "record_id") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(issues, rejected records, events) that are kept: review rows for one calendar year from created_at, delivered events for 30 days.
+
+    An issue goes with the record it belongs to (record_key, null for none). Requests are never deleted, undelivered
+    events neither, however old. Deletion and reading are of one moment, `now`.
+    """
+    since = now - F.expr("interval 1 year")
+    old = records.where(F.col("created_at") < since).select(record_key)
+    kept = issues.where(~F.coalesce(F.col("created_at") < since, F.lit(False))).join(old, record_key, "left_anti")
+    gone = (F.col("status") == "DELIVERED") & (F.col("delivered_at") < now - F.expr("interval 30 days"))
+    return kept, records.where(~F.coalesce(F.col("created_at") < since, F.lit(False))), events.where(~F.coalesce(gone, F.lit(False)))
 
 
 def delivered(events: DataFrame, ok: Column, error: Column, now: Column, limit: int = 1000) -> DataFrame:

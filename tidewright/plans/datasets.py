@@ -9,7 +9,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewright.operators import csv_stage
+from tidewright.operators import csv_stage, merge
 from tidewright.plans import securities
 from tidewright.plans.contracts import DAILY_COUPON, DAILY_CSV, DAILY_SUMMARY, MappingContract, SourceContract
 from tidewright.sources import files as sources
@@ -36,7 +36,8 @@ def run_dataset(spark: SparkSession, root: str, manifests: str, source: SourceCo
     """All files that the manifests list under root, through the pipeline of their data set: a source contract's, or the JSON one (None).
 
     Manifests with problems, file sets that break the format's limits and JSON names of other securities are
-    left out and listed in `rejected_manifests`; files whose bytes differ from their listing in `unverified`.
+    left out and listed in `rejected_manifests`, and so are those that list an object which is not there; files whose
+    bytes differ from their listing are in `unverified`, and a JSON one is a skipped file of its security besides.
     """
     read = sources.read_manifests(spark, manifests)
     listed = sources.listed_files(read.where(F.size("problems") == 0))
@@ -47,9 +48,13 @@ def run_dataset(spark: SparkSession, root: str, manifests: str, source: SourceCo
         bad = bad.unionByName(sources.json_name_problems(listed).where(F.col("problem").isNotNull()))
     listed = listed.join(bad.select("manifest").distinct(), "manifest", "left_anti")
     checked = sources.verify(sources.read_bytes(spark, root), listed)
-    good = checked.where(F.col("problem").isNull()).dropDuplicates(["path"])
+    lost = checked.where(F.col("problem") == "SOURCE_NOT_FOUND").select("run_id").distinct()
+    bad = bad.unionByName(listed.join(lost, "run_id", "left_semi").select("manifest").distinct().withColumn("problem", F.lit("SOURCE_NOT_FOUND")))
+    there = checked.join(lost, "run_id", "left_anti")
+    # a file that several runs list is read once, for the first of them
+    good = merge.latest(there.where(F.col("problem").isNull()) if source is not None else there, ["path"], F.col("problem").asc_nulls_first(), F.col("run_id"))
     out = securities.run_json(good) if source is None else run_csv(good, source, summary)
-    return out | {"rejected_manifests": bad, "unverified": checked.where(F.col("problem").isNotNull()).select("path", "run_id", "problem")}
+    return out | {"rejected_manifests": bad, "unverified": checked.where(F.col("problem").isNotNull()).select("object", "path", "run_id", "problem")}
 
 
 def rejected_records(canonical: DataFrame, source: SourceContract = DAILY_CSV) -> DataFrame:

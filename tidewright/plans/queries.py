@@ -589,11 +589,16 @@ def file_set_limits(spark, sf):
     return files.file_set_problems(listed, "manifest", limit=150).select("manifest", "total", "n", F.array_join("problems", ",").alias("problems"))
 
 
-@query("SELECT DISTINCT l_orderkey AS request, l_suppkey AS object FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderkey % 4 = 0)")
+@query(
+    """SELECT DISTINCT l_orderkey AS request, concat('b', CAST(l_linenumber % 2 AS STRING)) AS bucket, l_suppkey AS object_key FROM lineitem AS l WHERE NOT EXISTS
+    (SELECT 1 FROM orders WHERE o_orderkey % 4 = 0 AND o_orderkey = l.l_orderkey AND l.l_linenumber % 2 = 0 AND o_custkey % 10 = l.l_suppkey % 10)"""
+)
 def record_source_files(spark, sf):
-    stored = t(spark, sf, "orders").where("o_orderkey % 4 = 0").select(F.col("o_orderkey").alias("request"))
-    listed = t(spark, sf, "lineitem").select(F.col("l_orderkey").alias("request"), F.col("l_suppkey").alias("object"))
-    return listed.join(stored, "request", "left_anti").distinct()
+    lines, bucket = t(spark, sf, "lineitem"), F.concat(F.lit("b"), (F.col("l_linenumber") % 2).cast("string"))
+    listed = lines.select(F.col("l_orderkey").alias("request"), bucket.alias("bucket"), F.col("l_suppkey").alias("object_key"))
+    orders = t(spark, sf, "orders").where("o_orderkey % 4 = 0").select(F.col("o_orderkey").alias("request"), (F.col("o_custkey") % 10).alias("digit"))
+    stored = listed.where("bucket = 'b0'").join(orders, "request").where(F.col("object_key") % 10 == F.col("digit"))
+    return files.record_once(stored, listed)
 
 
 AMOUNT = "CASE WHEN l_linenumber % 2 = 0 THEN concat(CAST(CAST(l_quantity AS BIGINT) AS STRING), '.00') ELSE CAST(CAST(l_quantity AS BIGINT) AS STRING) END"
@@ -700,7 +705,7 @@ def _json_files(spark, sf):
 
 @query(
     """SELECT isin, row_number() OVER (PARTITION BY isin ORDER BY r, json_path) AS sequence, kind, json_path, code FROM (
-    SELECT concat('C', CAST(c_custkey AS STRING)) AS isin, unnest([{'r': 1, 'hit': c_custkey % 17 = 0, 'kind': 'FILE_SKIPPED', 'json_path': NULL, 'code': 'MALFORMED_JSON'},
+    SELECT concat('C', CAST(c_custkey AS STRING)) AS isin, unnest([{'r': 1, 'hit': c_custkey % 17 = 0, 'kind': 'FILE_SKIPPED', 'json_path': '$', 'code': 'MALFORMED_JSON'},
     {'r': 2, 'hit': c_custkey % 17 <> 0 AND c_custkey % 11 = 0, 'kind': 'SECTION_REJECTED', 'json_path': '$.coupensVo.couponDetails', 'code': 'INVALID_TYPE'},
     {'r': 2, 'hit': c_custkey % 17 <> 0 AND c_custkey % 13 = 0, 'kind': 'SECTION_REJECTED', 'json_path': '$.listingDetails', 'code': 'INVALID_TYPE'},
     {'r': 3, 'hit': c_custkey % 17 <> 0 AND c_custkey % 7 = 0, 'kind': 'FIELD_REJECTED', 'json_path': '$.issuerName', 'code': 'INVALID_TYPE'},
@@ -720,8 +725,8 @@ def payload_isin_warnings(spark, sf):
 
 @query(
     """WITH i AS (SELECT * FROM (SELECT c_custkey AS k, CASE WHEN c_custkey % 7 > 1 THEN concat('N', CAST(c_nationkey AS STRING)) END AS n, CASE WHEN c_custkey % 11 <> 0 THEN concat(CAST(c_custkey % 9 + 1 AS STRING), '.5') END AS r FROM customer WHERE c_custkey % 17 <> 0) WHERE n IS NOT NULL OR r IS NOT NULL),
-    s AS (SELECT c_custkey AS k, 'N1' AS sn, CASE WHEN c_custkey % 6 <> 0 THEN '3.5' END AS sr, CASE WHEN c_custkey % 6 = 0 THEN NULL WHEN c_custkey % 4 = 0 THEN 'BSE' ELSE 'NSDL' END AS src FROM customer WHERE c_custkey % 2 = 0),
-    j AS (SELECT coalesce(s.k, i.k) AS k, s.k IS NULL AS fresh, n, r, sn, sr, src, n IS NOT NULL AND n IS DISTINCT FROM sn AS cn, r IS NOT NULL AND r IS DISTINCT FROM sr AND NOT (coalesce(src = 'BSE', false) AND sr IS NOT NULL) AS cr FROM s FULL JOIN i ON s.k = i.k)
+    s AS (SELECT c_custkey AS k, 'N1' AS sn, CASE WHEN c_custkey % 6 <> 0 THEN '3.5' END AS sr, CASE WHEN c_custkey % 6 = 0 THEN NULL WHEN c_custkey % 4 = 0 THEN 'BSE_BHAVCOPY' ELSE 'NSDL' END AS src FROM customer WHERE c_custkey % 2 = 0),
+    j AS (SELECT coalesce(s.k, i.k) AS k, s.k IS NULL AS fresh, n, r, sn, sr, src, n IS NOT NULL AND n IS DISTINCT FROM sn AS cn, r IS NOT NULL AND r IS DISTINCT FROM sr AND NOT coalesce(src = 'BSE_BHAVCOPY', false) AS cr FROM s FULL JOIN i ON s.k = i.k)
     SELECT concat('C', CAST(k AS STRING)) AS isin, CASE WHEN cn THEN n ELSE sn END AS issuer_name, CASE WHEN cr THEN r ELSE sr END AS coupon_rate, CASE WHEN cr THEN 'NSDL' ELSE src END AS coupon_rate_source, CAST(cn AS INTEGER) + CAST(cr AS INTEGER) AS fields_changed,
     CASE WHEN fresh THEN 't1' ELSE 't0' END AS created_at, CASE WHEN cn OR cr THEN 't1' ELSE 't0' END AS updated_at, concat_ws(',', CASE WHEN cr THEN 'coupon_rate' END, CASE WHEN cn THEN 'issuer_name' END) AS sourced FROM j"""
 )
@@ -729,7 +734,7 @@ def security_publication(spark, sf):
     out = securities.run_json(_json_files(spark, sf))
     incoming = out["security"].join(out["field_sources"], "isin")
     kinds = {f: F.lit(None).cast("string") for f in securities.SCALARS} | {"issuer_name": F.lit("N1"), "coupon_rate": F.when(F.col(_K) % 6 != 0, "3.5")}
-    source = F.when(F.col(_K) % 6 == 0, None).when(F.col(_K) % 4 == 0, "BSE").otherwise("NSDL")
+    source = F.when(F.col(_K) % 6 == 0, None).when(F.col(_K) % 4 == 0, merge.EXCHANGE).otherwise(merge.DETAILS)
     stored = t(spark, sf, "customer").where("c_custkey % 2 = 0").select(
         F.concat(F.lit("C"), F.col(_K).cast("string")).alias("isin"), *(v.alias(f) for f, v in kinds.items()), source.alias("coupon_rate_source"),
         F.expr("map()").cast(incoming.schema["field_sources"].dataType).alias("field_sources"), F.lit("t0").alias("created_at"), F.lit("t0").alias("updated_at"),
@@ -781,15 +786,27 @@ def json_name_agreement(spark, sf):
     return files.json_name_problems(listed)
 
 
-@query("SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderdate < TIMESTAMP '1997-01-01' - INTERVAL 365 DAY)")
+_YEAR = "TIMESTAMP '1999-06-01' - INTERVAL 1 YEAR"
+
+
+@query(
+    f"""SELECT 'issue' AS kind, l_orderkey AS id, l_linenumber AS part FROM lineitem WHERE l_shipdate >= {_YEAR} AND l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderdate < {_YEAR}) UNION ALL
+    SELECT 'record', o_orderkey, 0 FROM orders WHERE o_orderdate >= {_YEAR} UNION ALL
+    SELECT 'event', event_id, 0 FROM events WHERE NOT (event_id % 3 = 0 AND ts < (SELECT max(ts) FROM events) - INTERVAL 30 DAY)"""
+)
 def retention_cascade(spark, sf):
-    now = F.lit("1997-01-01").cast("timestamp")
-    _, children = review.retained(t(spark, sf, "orders").withColumnRenamed("o_orderkey", "l_orderkey"), {"lines": t(spark, sf, "lineitem")}, "l_orderkey", "o_orderdate", now, 365)
-    return children["lines"].select("l_orderkey", "l_linenumber")
+    issues = t(spark, sf, "lineitem").select(F.col("l_orderkey").alias("id"), F.col("l_linenumber").alias("part"), F.col("l_shipdate").alias("created_at"))
+    records = t(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), F.lit(0).alias("part"), F.col("o_orderdate").alias("created_at"))
+    events = t(spark, sf, "events")
+    moment = F.lit(events.agg(F.max("ts")).first()[0])
+    events = events.select(F.col("event_id").alias("id"), F.lit(0).alias("part"), F.col("ts").alias("delivered_at"), F.when(F.col("event_id") % 3 == 0, "DELIVERED").otherwise("PENDING").alias("status"))
+    kept = review.retained(issues, records, events.limit(0), F.lit("1999-06-01").cast("timestamp"), "id")[:2] + review.retained(issues.limit(0), records.limit(0), events, moment, "id")[2:]
+    rows = [rows.select(F.lit(kind).alias("kind"), "id", F.col("part").cast("long").alias("part")) for rows, kind in zip(kept, ("issue", "record", "event"), strict=True)]
+    return rows[0].unionByName(rows[1]).unionByName(rows[2])
 
 
 @query(
-    """SELECT o_orderkey AS job, 'FAILED' AS next_state, CASE WHEN o_orderkey % 2 = 0 THEN 'TEMPORARY_FAILURE' ELSE 'ENDED' END AS next_run_state, CASE WHEN o_orderkey % 2 = 0 THEN 'ATTEMPT_ABANDONED' END AS run_code
+    """SELECT o_orderkey AS job, 'FAILED' AS next_state, CASE WHEN o_orderkey % 2 = 0 THEN 'FAILED_TEMPORARY' ELSE 'ENDED' END AS next_run_state, CASE WHEN o_orderkey % 2 = 0 THEN 'ATTEMPT_ABANDONED' END AS run_code
     FROM orders WHERE o_orderdate < TIMESTAMP '1997-01-01' - INTERVAL 1 HOUR ORDER BY o_orderdate, o_orderkey LIMIT 100"""
 )
 def stuck_sweep(spark, sf):

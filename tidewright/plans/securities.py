@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewright.functions import json_values, rules
+from tidewright.functions import exact, json_values, numerals, rules
 from tidewright.operators import merge
 from tidewright.sources import files as sources
 
@@ -59,26 +59,40 @@ REJECTIONS = ("FILE_SKIPPED", "SECTION_REJECTED", "FIELD_REJECTED", "ENTRY_FIELD
 
 
 def typed(df: DataFrame, kinds: dict[str, str]) -> DataFrame:
-    """Columns v_<name> (JSON values) become <name> (exact text) and <name>_code, in one projection a step."""
-    number = {n: F.col(f"k_{n}").isin("BIGINT", "DECIMAL", "DOUBLE", "INT") & F.lit(k in ("decimal", "percent")) for n, k in kinds.items()}
+    """Columns v_<name> (JSON values) become <name> (exact text), <name>_code and <name>_raw (JSON as read), in one projection a step.
+
+    Numbers are numerals as written, of at most 1,000 characters, percents of at most 30 digits on each side, and not
+    negative; a numeral with an exponent is read in 38 digits.
+    """
     out = df.withColumns({f"k_{n}": json_values.kind(F.col(f"v_{n}")) for n in kinds})
-    out = out.withColumns({
-        f"t_{n}": F.when(F.col(f"k_{n}") == "STRING", F.try_variant_get(f"v_{n}", "$", "string")).when(number[n], F.try_variant_get(f"v_{n}", "$", "decimal(38,10)").cast("string"))
-        for n in kinds
-    })
-    wrong = {n: F.col(f"k_{n}").isNotNull() & ~F.col(f"k_{n}").isin("STRING", "VOID") & ~number[n] for n in kinds}
-    out = out.withColumns({f"{n}_code": F.when(w, rules.INVALID_TYPE) for n, w in wrong.items()})
+    out = out.withColumns({f"t_{n}": F.when(F.col(f"k_{n}") == "STRING", F.try_variant_get(f"v_{n}", "$", "string")) for n in kinds})
+    numeral = {n: F.coalesce(numerals.marked(F.col(f"t_{n}")), F.lit(False)) for n in kinds}
+    wrong = {n: F.col(f"k_{n}").isNotNull() & ~F.col(f"k_{n}").isin("STRING", "VOID") | (numeral[n] & F.lit(k in ("text", "date"))) for n, k in kinds.items()}
+    out = out.withColumns(
+        {f"{n}_code": F.when(w, rules.INVALID_TYPE) for n, w in wrong.items()}
+        | {f"{n}_raw": numerals.json_text(F.col(f"v_{n}")) for n in kinds}
+        | {f"t_{n}": F.when(~numeral[n], F.col(f"t_{n}")).when(F.lit(k not in ("text", "date")), _number_text(numerals.written(F.col(f"t_{n}")))) for n, k in kinds.items()}
+    )
     shape = {"text": lambda c: c, "date": rules.strip, "decimal": rules.strip, "percent": lambda c: rules.keep_before_first_percent(c)[0]}
     out = out.withColumns({f"t_{n}": F.when(~rules.strip(F.col(f"t_{n}")).isin(*json_values.PLACEHOLDERS), shape[k](F.col(f"t_{n}"))) for n, k in kinds.items()})
     parse = {"text": rules.as_text, "date": rules.strict_date, "decimal": rules.normalize_grouped_number, "percent": rules.normalize_grouped_number}
-    step: dict[str, Column] = {}
-    for n, k in kinds.items():
-        value, code = parse[k](F.nullif(F.col(f"t_{n}"), F.lit("")))
-        step |= {f"p_{n}": value, f"{n}_code": F.coalesce(F.col(f"{n}_code"), code)}
-    out = out.withColumns(step)
-    negative = {n: rules.non_negative(F.col(f"p_{n}")) if k == "percent" else rules.none() for n, k in kinds.items()}
-    out = out.withColumns({n: F.when(negative[n].isNull(), F.col(f"p_{n}")) for n in kinds} | {f"{n}_code": F.coalesce(F.col(f"{n}_code"), negative[n]) for n in kinds})
-    return out.drop(*(f"{x}_{n}" for n in kinds for x in "vktp"))
+    bound = {"decimal": rules.exact_decimal, "percent": rules.percent}
+    for rule in (parse, bound):
+        step: dict[str, Column] = {}
+        for n, k in kinds.items():
+            if k in rule:
+                value, code = rule[k](F.col(f"t_{n}"))
+                step |= {f"t_{n}": value, f"{n}_code": F.coalesce(F.col(f"{n}_code"), code)}
+        out = out.withColumns(step) if step else out
+    step = {n: F.when(exact.is_negative(F.col(f"t_{n}")), rules.NEGATIVE_VALUE) if k in bound else rules.none() for n, k in kinds.items()}
+    out = out.withColumns({n: F.when(step[n].isNull(), F.col(f"t_{n}")) for n in kinds} | {f"{n}_code": F.coalesce(F.col(f"{n}_code"), step[n]) for n in kinds})
+    return out.drop(*(f"{x}_{n}" for n in kinds for x in "vkt"))
+
+
+def _number_text(numeral: Column) -> Column:
+    """A JSON numeral in plain digits."""
+    wide = exact.plain(numeral.try_cast("decimal(38,10)").cast("string"))
+    return F.when(numeral.rlike("[eE]"), F.coalesce(wide, numeral)).otherwise(numeral)
 
 
 def read(files: DataFrame) -> DataFrame:
@@ -93,7 +107,7 @@ def scalars(docs: DataFrame) -> DataFrame:
     rows = docs.where(F.col("error").isNull()).select("path", "isin", "modified", *(v.alias(f"v_{n}") for n, (v, _) in found.items()), *(b.alias(f"b_{n}") for n, (_, b) in found.items()))
     rows = typed(rows, {n: kind for n, (_, kind) in SCALARS.items()})
     cells = [
-        F.struct(F.lit(i).alias("place"), F.lit(n).alias("field"), F.lit(path).alias("json_path"), F.col(n).alias("value"), F.col(f"{n}_code").alias("code"), F.col(f"b_{n}").alias("blocked"))
+        F.struct(F.lit(i).alias("place"), F.lit(n).alias("field"), F.lit(path).alias("json_path"), F.col(n).alias("value"), F.col(f"{n}_code").alias("code"), F.col(f"b_{n}").alias("blocked"), F.col(f"{n}_raw").alias("raw"))
         for i, (n, (path, _)) in enumerate(SCALARS.items())
     ]
     out = rows.select("path", "isin", "modified", F.explode(F.array(*cells)).alias("c")).select("path", "isin", "modified", "c.*")
@@ -107,8 +121,13 @@ def entries(docs: DataFrame, name: str) -> DataFrame:
     rows = json_values.collection(good, "document", path)
     rows = rows.select("path", "isin", "modified", "pos", "element_path", *(F.try_variant_get("value", f"$.{key}", "variant").alias(f"v_{f}") for f, (key, _) in fields.items()))
     rows = typed(rows, {f: kind for f, (_, kind) in fields.items()})
-    codes = F.array_compact(F.array(*(F.col(f"{f}_code") for f in fields)))
-    out = rows.select("path", "isin", "modified", "pos", "element_path", *fields, codes.alias("codes"))
+    def error(place: int, field: str, key: str) -> Column:
+        told = F.struct(F.lit(place).alias("place"), F.lit(field).alias("field"), F.concat("element_path", F.lit(f".{key}")).alias("json_path"), F.col(f"{field}_code").alias("code"), F.col(f"{field}_raw").alias("value"))
+        return F.when(F.col(f"{field}_code").isNotNull(), told)
+
+    errors = F.array_compact(F.array(*(error(i, f, key) for i, (f, (key, _)) in enumerate(fields.items()))))
+    raw = F.to_json(F.struct(*(F.col(f) for f in fields)))
+    out = rows.select("path", "isin", "modified", "pos", "element_path", *fields, errors.alias("errors"), raw.alias("selected"))
     usable = F.coalesce(*(F.col(f) for f in fields)).isNotNull()
     return out.withColumn("usable", usable).withColumn("source_category", F.lit(category).cast("string"))
 
@@ -118,69 +137,97 @@ def unsecured(field: Column, value: Column) -> Column:
 
 
 def run_json(files: DataFrame) -> dict[str, DataFrame]:
-    """security, field_sources, the four collection tables, conflicts, structure issues and job status per security."""
-    docs = read(files)
-    found = scalars(docs)
+    """security, field_sources, the four collection tables, cleared, conflicts, rejections and their issues, and the outcome per security.
+
+    A file's values beside its own Unsecured (coverage and assets) are conflicts: told, and not used. Every issue
+    counts as an error of the job, warnings do not.
+    """
+    # every output reads these: parsed and typed once, kept in the shared folder
+    docs = sources.cut(read(files))
+    found = sources.cut(scalars(docs))
     covers = F.col("field").isin(*COVERAGE) & F.col("value").isNotNull()
     screened = merge.screen_conflicts(found, ["path"], unsecured(F.col("field"), F.col("value")), covers)
-    bare = found.where(unsecured(F.col("field"), F.col("value"))).select("path").distinct()
+    bare = found.where(unsecured(F.col("field"), F.col("value"))).select("path").distinct().withColumn("conflict", F.lit(True))
     winners = merge.latest(screened.where("value is not null and not conflict"), ["isin", "field"], F.desc("modified"), F.desc("path"))
-    cleared = winners.where(unsecured(F.col("field"), F.col("value"))).select("isin").distinct().withColumn("_cleared", F.lit(True))
-    applied = winners.join(cleared, "isin", "left").where(~(F.coalesce("_cleared", F.lit(False)) & F.col("field").isin(*COVERAGE)))
+    cleared = winners.where(unsecured(F.col("field"), F.col("value"))).select("isin").distinct()
+    wiped = cleared.withColumn("_cleared", F.lit(True))
+    applied = winners.join(wiped, "isin", "left").where(~(F.coalesce("_cleared", F.lit(False)) & F.col("field").isin(*COVERAGE)))
     tables: dict[str, DataFrame] = {}
-    used = found.where("value is not null").select("isin", "path")
-    rejected = found.where("code is not null").select("isin", "path")
-    parts = {name: entries(docs, name) for name in COLLECTIONS}
+    used = screened.where("value is not null and not conflict").select("isin")
+    rejected = found.where("code is not null or blocked is not null").select("isin", F.lit(1).alias("n"))
+    parts = {name: sources.cut(entries(docs, name)) for name in COLLECTIONS}
+    assets = parts["collateral_assets"].join(bare, "path", "left").withColumn("conflict", F.coalesce("conflict", F.lit(False)) & F.col("usable"))
     for place, (name, (_, fields, target, _)) in enumerate(COLLECTIONS.items()):
-        rows = parts[name]
-        if name == "collateral_assets":
-            rows = rows.join(bare, "path", "left_anti").join(cleared, "isin", "left_anti")
-        used = used.unionByName(rows.where("usable").select("isin", "path"))
-        rejected = rejected.unionByName(rows.where("size(codes) > 0").select("isin", "path"))
+        rows = assets.where("not conflict") if name == "collateral_assets" else parts[name]
+        used = used.unionByName(rows.where("usable").select("isin"))
+        rejected = rejected.unionByName(parts[name].select("isin", F.size("errors").alias("n")).where("n > 0"))
+        rows = rows.join(cleared, "isin", "left_anti") if name == "collateral_assets" else rows
         kept = rows.where("usable").select("isin", "source_category", *fields, F.lit(place).alias("list"), "modified", "path", "pos", "element_path")
         tables[target] = tables[target].unionByName(kept) if target in tables else kept
     for target, rows in tables.items():
         fields = next(f for _, f, t, _ in COLLECTIONS.values() if t == target)
-        numbers = {f: rules.number(F.col(f)) for f, (_, kind) in fields.items() if kind == "decimal"}
+        numbers = {f: exact.plain(F.col(f)) for f, (_, kind) in fields.items() if kind == "decimal"}
         # Stored cash flows are the same whatever list named them; ratings are told apart by it.
         identity = ["isin", *fields] + (["source_category"] if target == "rating" else [])
         tables[target] = merge.latest(rows.withColumns(numbers), identity, F.col("list"), F.col("modified"), F.col("path"), F.col("pos")).drop("list")
-    per_job = docs.groupBy("isin").agg(F.count(F.lit(1)).alias("listed"), F.count_if(F.col("error").isNotNull()).alias("skipped"))
-    facts = per_job.join(used.groupBy("isin").agg(F.count(F.lit(1)).alias("values")), "isin", "left").join(
-        rejected.groupBy("isin").agg(F.count(F.lit(1)).alias("fields_rejected")), "isin", "left"
-    )
-    facts = facts.fillna(0, ["values", "fields_rejected"])
-    rejected_parts = rejections(docs, found, screened, parts)
     blocked = found.where("blocked is not null").select("path", "isin", F.col("blocked").alias("json_path")).dropDuplicates(["path", "json_path"])
-    wrong = (F.col("skipped") > 0) | (F.col("fields_rejected") > 0)
-    status = F.when(F.col("values") == 0, "FAILED").when(wrong, "COMPLETED_WITH_ERRORS").otherwise("COMPLETED")
+    ignored = screened.where("conflict").select("isin", "path", F.lit(0).alias("list"), "place", "json_path", F.col("raw").alias("value"), F.lit("Ignored the supplied coverage.").alias("action"))
+    ignored = ignored.unionByName(assets.where("conflict").select("isin", "path", F.lit(1).alias("list"), F.col("pos").alias("place"), F.col("element_path").alias("json_path"), F.col("selected").alias("value"), F.lit("Did not record the supplied asset.").alias("action")))
+    rejected_parts = rejections(docs, found, ignored, parts)
+    told = issues(rejected_parts)
     return tables | {
         "security": applied.groupBy("isin").pivot("field", list(SCALARS)).agg(F.first("value")),
         "field_sources": applied.groupBy("isin").agg(F.map_from_entries(F.collect_list(F.struct("field", F.struct("path", "json_path")))).alias("field_sources")),
-        "conflicts": screened.where("conflict").select("path", "isin", "json_path", "value", F.lit(rules.CONFLICTING_COLLATERAL).alias("code")),
+        "cleared": cleared,
+        "conflicts": ignored.select("path", "isin", "json_path", "value", F.lit(rules.CONFLICTING_COLLATERAL).alias("code"), "action"),
         "structure_issues": blocked,
         "rejections": rejected_parts,
-        "rejected_records": rejected_parts.select("isin", "sequence", "path", "kind", F.to_json(F.struct("json_path", "field", "code", "value")).alias("record")),
-        "issues": rejected_parts.where("code is not null").select("isin", "sequence", "path", "field", "code"),
+        "rejected_records": rejected_parts.select("isin", "sequence", "path", "kind", F.to_json(F.struct("json_path", "issues"), {"ignoreNullFields": "false"}).alias("record")),
+        "issues": told,
         "warnings": warnings(docs),
-        "jobs": facts.withColumn("status", status),
+        "jobs": jobs(docs, used, rejected, told),
     }
 
 
-def rejections(docs: DataFrame, found: DataFrame, screened: DataFrame, parts: dict[str, DataFrame]) -> DataFrame:
-    """Rejected parts of all files, numbered per security in review order: by file, kind, place.
+def jobs(docs: DataFrame, used: DataFrame, rejected: DataFrame, told: DataFrame) -> DataFrame:
+    """Per security: files listed, processed and skipped, fields rejected (those behind a wrong section too), errors and status.
+
+    No usable value in any file is FAILED; else any issue at all is COMPLETED_WITH_ERRORS.
+    """
+    per = docs.groupBy("isin").agg(F.count(F.lit(1)).alias("listed"), F.count_if(F.col("error").isNull()).alias("processed"), F.count_if(F.col("error").isNotNull()).alias("skipped"))
+    for rows, name in ((used.groupBy("isin").agg(F.count(F.lit(1)).alias("values")), "values"), (rejected.groupBy("isin").agg(F.sum("n").alias("fields_rejected")), "fields_rejected"), (told.groupBy("isin").agg(F.count(F.lit(1)).alias("errors")), "errors")):
+        per = per.join(rows, "isin", "left").withColumn(name, F.coalesce(name, F.lit(0)))
+    return per.withColumn("status", F.when(F.col("values") == 0, "FAILED").when(F.col("errors") > 0, "COMPLETED_WITH_ERRORS").otherwise("COMPLETED"))
+
+
+def outcomes(jobs: DataFrame, changed: DataFrame, appended: DataFrame) -> DataFrame:
+    """isin, status, errors and the six agreed counts as JSON, once the changes (fields_changed) and appended entries are known."""
+    out = jobs.join(changed.select("isin", "fields_changed"), "isin", "left").join(appended.select("isin", "entries_appended"), "isin", "left")
+    names = {"filesListed": "listed", "filesProcessed": "processed", "filesSkipped": "skipped", "scalarFieldsChanged": "fields_changed", "collectionEntriesAppended": "entries_appended", "fieldsRejected": "fields_rejected"}
+    return out.select("isin", "status", "errors", F.to_json(F.struct(*(F.coalesce(c, F.lit(0)).cast("long").alias(n) for n, c in names.items()))).alias("counts"))
+
+
+_ISSUE = "array<struct<field:string,json_path:string,code:string,value:string,action:string>>"
 
-    A skipped file has no other part. Sections of the wrong kind are told once a file; an entry with wrong
-    fields is skipped if no field of it has a value; values that an unsecured statement overrules are ignored.
+
+def rejections(docs: DataFrame, found: DataFrame, ignored: DataFrame, parts: dict[str, DataFrame]) -> DataFrame:
+    """Rejected parts of all files, numbered per security in review order: by file, kind, list, place; each with its issues.
+
+    A skipped file has no other part. Sections of the wrong kind are told once a file; an entry with wrong fields is
+    skipped if no field of it has a value; values that an unsecured statement overrules are ignored. An issue keeps the
+    value as read, as JSON with its type. code, field and value are those of the first issue.
     """
-    none = F.lit(None).cast("string")
+    none, zero = F.lit(None).cast("string"), F.lit(0)
+
+    def issue(field: Column, path: Column, code: Column, value: Column, action: Column = none) -> Column:
+        return F.array(F.struct(field.alias("field"), path.alias("json_path"), code.alias("code"), value.alias("value"), action.alias("action"))).cast(_ISSUE)
 
-    def part(rows: DataFrame, kind: Column | str, place: Column, path: Column, field: Column, code: Column, value: Column) -> DataFrame:
+    def part(rows: DataFrame, kind: Column | str, place: Column, path: Column, told: Column, group: Column = zero) -> DataFrame:
         kind = F.lit(kind) if isinstance(kind, str) else kind
-        return rows.select("isin", "path", kind.alias("kind"), place.cast("int").alias("place"), path.alias("json_path"), field.alias("field"), code.alias("code"), value.alias("value"))
+        return rows.select("isin", "path", kind.alias("kind"), group.cast("int").alias("list"), place.cast("int").alias("place"), path.alias("json_path"), told.alias("issues"))
 
-    zero = F.lit(0)
-    out = part(docs.where("error is not null"), "FILE_SKIPPED", zero, none, none, F.col("error"), none)
+    whole = F.lit("$")
+    out = part(docs.where("error is not null"), "FILE_SKIPPED", zero, whole, issue(none, whole, F.col("error"), none))
     sections = found.where("blocked is not null").select("isin", "path", F.col("blocked").alias("p"))
     for _, (path, _, _, _) in COLLECTIONS.items():
         value, blocked = json_values.scalar(F.col("document"), path)
@@ -188,17 +235,27 @@ def rejections(docs: DataFrame, found: DataFrame, screened: DataFrame, parts: di
         wrong = F.coalesce(blocked, F.when(kind.isNotNull() & ~kind.isin("ARRAY", "VOID"), path))
         sections = sections.unionByName(docs.where("error is null").select("isin", "path", wrong.alias("p")).where("p is not null"))
     sections = sections.dropDuplicates(["path", "p"])
-    out = out.unionByName(part(sections, "SECTION_REJECTED", zero, F.col("p"), none, F.lit(rules.INVALID_TYPE), none))
-    out = out.unionByName(part(found.where("code is not null"), "FIELD_REJECTED", F.col("place"), F.col("json_path"), F.col("field"), F.col("code"), F.col("value")))
+    out = out.unionByName(part(sections, "SECTION_REJECTED", zero, F.col("p"), issue(none, F.col("p"), F.lit(rules.INVALID_TYPE), none)))
+    out = out.unionByName(part(found.where("code is not null"), "FIELD_REJECTED", F.col("place"), F.col("json_path"), issue(F.col("field"), F.col("json_path"), F.col("code"), F.col("raw"))))
     for n, name in enumerate(COLLECTIONS):
-        wrong = parts[name].where("size(codes) > 0")
+        wrong = parts[name].where("size(errors) > 0")
         kind = F.when(F.col("usable"), "ENTRY_FIELDS_REJECTED").otherwise("ENTRY_SKIPPED")
-        out = out.unionByName(part(wrong, kind, F.lit(n * 1_000_000) + F.col("pos"), F.col("element_path"), none, F.array_join("codes", ","), none))
-    out = out.unionByName(part(screened.where("conflict"), "VALUE_IGNORED", F.col("place"), F.col("json_path"), F.col("field"), F.lit(rules.CONFLICTING_COLLATERAL), F.col("value")))
+        told = F.transform("errors", lambda e: F.struct(e["field"].alias("field"), e["json_path"].alias("json_path"), e["code"].alias("code"), e["value"].alias("value"), none.alias("action"))).cast(_ISSUE)
+        out = out.unionByName(part(wrong, kind, F.col("pos"), F.col("element_path"), told, F.lit(n)))
+    code = F.lit(rules.CONFLICTING_COLLATERAL)
+    out = out.unionByName(part(ignored, "VALUE_IGNORED", F.col("place"), F.col("json_path"), issue(none, F.col("json_path"), code, F.col("value"), F.col("action")), F.col("list")))
     rank = F.array_position(F.array(*map(F.lit, REJECTIONS)), F.col("kind"))
     rank = F.when(rank == 5, 4).otherwise(rank)  # both kinds of entries stand where they stand in the file
-    order = Window.partitionBy("isin").orderBy("path", rank, "place", "json_path")
-    return out.withColumn("sequence", F.row_number().over(order))
+    order = Window.partitionBy("isin").orderBy("path", rank, "list", "place", "json_path")
+    first = F.element_at("issues", 1)
+    return out.withColumn("sequence", F.row_number().over(order)).withColumns({c: first[c] for c in ("field", "code", "value")})
+
+
+def issues(rejections: DataFrame) -> DataFrame:
+    """One row per error of the rejected parts, numbered per security through all parts."""
+    rows = rejections.select("isin", "path", "kind", F.col("sequence").alias("part"), F.posexplode("issues").alias("pos", "i"))
+    order = Window.partitionBy("isin").orderBy("part", "pos")
+    return rows.select("isin", F.row_number().over(order).alias("sequence"), "part", "path", "kind", "i.*")
 
 
 def warnings(docs: DataFrame) -> DataFrame:
@@ -212,8 +269,8 @@ def warnings(docs: DataFrame) -> DataFrame:
 def apply_changes(stored: DataFrame, incoming: DataFrame, cleared: DataFrame, now: Column) -> DataFrame:
     """Merge incoming scalars into stored securities: a missing value keeps, a cleared one erases.
 
-    A stored coupon rate of an exchange (coupon_rate_source, where there is such a column) is kept: the
-    files' rate is its backup. Where a value changes, updated_at is `now`; created_at is the first `now`.
+    A stored coupon of an exchange (coupon_rate_source, where there is such a column) is kept, even one without a rate:
+    the files' rate is its backup. Where a value changes, updated_at is `now`; created_at is the first `now`.
     field_sources, a map by field on both sides where there, follows the fields that change and loses those erased.
     """
     gone = cleared.select("isin").distinct().withColumn("_gone", F.lit(True))
@@ -222,16 +279,16 @@ def apply_changes(stored: DataFrame, incoming: DataFrame, cleared: DataFrame, no
     changed = {}
     for f in SCALARS:
         old, new = F.col(f"s.{f}"), F.col(f"i.{f}")
-        changed[f] = merge.scalar_change(old, new)
+        changed[f] = merge.number_change(old, new) if SCALARS[f][1] in ("decimal", "percent") else merge.scalar_change(old, new)
         if f in COVERAGE:
             changed[f] = (~wiped & changed[f]) | (wiped & old.isNotNull())
         if f == "coupon_rate" and "coupon_rate_source" in stored.columns:
-            changed[f] = changed[f] & ~(F.coalesce(F.col("s.coupon_rate_source") == "BSE", F.lit(False)) & old.isNotNull())
+            changed[f] = changed[f] & ~(F.col("s.coupon_rate_source").eqNullSafe(F.lit(merge.EXCHANGE)))
     count = sum((c.cast("int") for c in changed.values()), F.lit(0))
     values = [F.when(changed[f], F.when(wiped, F.lit(None)).otherwise(F.col(f"i.{f}")) if f in COVERAGE else F.col(f"i.{f}")).otherwise(F.col(f"s.{f}")).alias(f) for f in SCALARS]
     also = []
     if "coupon_rate_source" in stored.columns:
-        also.append(F.when(changed["coupon_rate"], "NSDL").otherwise(F.col("s.coupon_rate_source")).alias("coupon_rate_source"))
+        also.append(F.when(changed["coupon_rate"], merge.DETAILS).otherwise(F.col("s.coupon_rate_source")).alias("coupon_rate_source"))
     if "created_at" in stored.columns:
         also.append(F.coalesce("s.created_at", now).alias("created_at"))
     if "field_sources" in stored.columns and "field_sources" in incoming.columns:

@@ -111,9 +111,10 @@ def read_bytes(spark: SparkSession, path: str) -> DataFrame:
 
 
 def verify(files: DataFrame, listed: DataFrame) -> DataFrame:
-    """files joined to their listing by bucket and key, the end of their path; problem is CHECKSUM_MISMATCH where size or digest differ.
+    """Every listed object with its file: problem is SOURCE_NOT_FOUND where there is none, CHECKSUM_MISMATCH where size or digest differ.
 
-    One manifest lists an object once; an object that several runs list is verified for each.
+    Files meet their listing by bucket and key, the end of their path. One manifest lists an object once; an object
+    that several runs list is verified for each. Files that nobody lists are left out.
     """
     names = F.split(F.col("path"), "/")
     want = listed.select(F.concat_ws("/", "bucket", "key").alias("object"), F.lower(F.regexp_replace("sha256", "^sha256:", "")).alias("sha256"), "size_bytes", "run_id")
@@ -121,7 +122,13 @@ def verify(files: DataFrame, listed: DataFrame) -> DataFrame:
     lengths = [r.parts for r in want.select("parts").distinct().collect()]  # how deep keys go: a few numbers
     have = files.withColumn("object", F.explode(F.array_distinct(F.array(*(F.array_join(F.slice(names, -n, n), "/") for n in lengths or [1])))))
     same = (F.col("length") == F.col("size_bytes")) & (F.sha2("content", 256) == F.col("sha256"))
-    return have.join(want.drop("parts"), "object").withColumn("problem", F.when(~same, "CHECKSUM_MISMATCH"))
+    out = want.drop("parts").join(have, "object", "left")
+    return out.withColumn("problem", F.when(F.col("path").isNull(), "SOURCE_NOT_FOUND").when(~same, "CHECKSUM_MISMATCH"))
+
+
+def record_once(stored: DataFrame, listed: DataFrame, key: tuple[str, ...] = ("request", "bucket", "object_key")) -> DataFrame:
+    """Listed files that are not recorded yet, each (request, bucket, object) once; another request may record the same object."""
+    return listed.join(stored.select(*key).distinct(), [*key], "left_anti").dropDuplicates([*key])
 
 
 def _csv_records(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -172,10 +179,14 @@ def resolve_headers(records: DataFrame, contract: SourceContract) -> tuple[DataF
 
 
 def json_documents(files: DataFrame) -> DataFrame:
-    """(path, document variant, error): strict UTF-8 and strict JSON, else MALFORMED_JSON."""
+    """(path, modificationTime, document variant, error): strict UTF-8 and strict JSON, else MALFORMED_JSON; numerals are kept as written.
+
+    A file that its listing disowns (column problem, where there is one) is not read: the problem is its error.
+    """
     text = F.when(F.is_valid_utf8(F.col("content").cast("string")), F.col("content").cast("string"))
-    out = files.select("path", "modificationTime", strict_document(text).alias("document"))
-    return out.withColumn("error", F.when(F.col("document").isNull(), "MALFORMED_JSON"))
+    known = F.col("problem") if "problem" in files.columns else F.lit(None).cast("string")
+    out = files.select("path", "modificationTime", F.when(known.isNull(), strict_document(text, True)).alias("document"), known.alias("_known"))
+    return out.withColumn("error", F.coalesce("_known", F.when(F.col("document").isNull(), "MALFORMED_JSON"))).drop("_known")
 
 
 def csv_name(name: Column) -> tuple[Column, Column]:

@@ -13,8 +13,7 @@ from pyspark.sql import functions as F
 from tidewright.operators import merge
 from tidewright.operators.scan import running
 
-#: Where a coupon rate can come from.
-EXCHANGE, DETAILS = "BSE_BHAVCOPY", "NSDL"
+EXCHANGE, DETAILS = merge.EXCHANGE, merge.DETAILS
 _FIRST = -1  # the place of what is stored before all events
 
 
