@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from tidewright.plans import events, numbers
+from tidewright.plans import events, numbers, reviews
 from tidewright.plans.queries import QUERIES, SQL
 
 #: Modules that register queries when they are imported.
-REGISTERED = (events, numbers)
+REGISTERED = (events, numbers, reviews)
 
 
 def queries() -> dict:
