@@ -85,7 +85,7 @@ def test_repeats_inside_articles_go(spark):
     rows = [(i, f"https://a.example/{i}", page.format(i, i * 7)) for i in range(4)] + [(9, "https://b.example/9", page.format(9, 63))]
     out = {r.page_id: r.text.split("\n") for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     for i in range(4):
-        assert out[i] == [f"Title {i}", f"story {i} is told here for the {i * 7} readers of page {i} and others of {i * 7}", "this is the way we say things", f"so ends story {i}"]
+        assert out[i] == [f"Title {i}", f"story {i} is told here for the {i * 7} readers of page {i} and others of {i * 7}", "this is the way we say things", f"so ends story {i}", short]
     assert len(out[9]) == 6
 
 
@@ -185,3 +185,64 @@ def test_table(spark, sf_dir):
     rows = html.extract(pages).collect()
     assert len(rows) == pages.count() and all(r.text for r in rows)
     assert not any("<" in r.text or "©" in r.text for r in rows)
+
+
+def brute_extract(rows):
+    """Kept text of pages whose contents all differ much: blocks covered by DEPTH-token strings of most pages of their host, three at least, go."""
+    streams = {}
+    for page, url, page_html in rows:
+        found = html.blocks(page_html)
+        wanted = html.KEEP if any(s == html.KEEP for _, s in found) else html.OPEN
+        streams[page] = ((url or "").split("/")[2] if "//" in (url or "") else "", [t for t, s in found if s == wanted])
+    hosts = Counter(host for host, texts in streams.values() if texts)
+    seen = Counter()
+    windows = {}
+    for page, (host, texts) in streams.items():
+        tokens = " ".join(texts).split(" ") if texts else []
+        windows[page] = [(host, *tokens[i : i + html.DEPTH]) for i in range(len(tokens) - html.DEPTH + 1)]
+        seen.update(set(windows[page]))
+    out = {}
+    for page, (host, texts) in streams.items():
+        hit = {i + j for i, w in enumerate(windows[page]) if seen[w] >= html.FEWEST and 2 * seen[w] > hosts[host] for j in range(html.DEPTH)}
+        kept, at = [], 0
+        for text in texts:
+            n = text.count(" ") + 1
+            if not hit.issuperset(range(at, at + n)):
+                kept.append(text)
+            at += n
+        out[page] = "\n".join(kept)
+    return out
+
+
+def test_passages_that_some_stories_share_stay(spark):
+    """A line of two of five stories stays in both, one of four of five goes; headings and short lines stay."""
+    rng = random.Random(12)
+    words = [f"w{i}" for i in range(900)]
+    say = lambda n: " ".join(rng.choices(words, k=n))
+    quoted, notice, line = say(30), say(16), say(9)
+    rows = []
+    for i in range(5):
+        parts = [f"<h1>{say(4)}</h1>", f"<p>{line}</p>", f"<p>{say(60)}</p>", f"<p>{quoted}</p>" if i < 2 else "", f"<p>{notice}</p>" if i else "", f"<p>{say(50)}</p>"]
+        rows.append((i, f"https://a.example/{i}", "<article>" + "".join(parts) + "</article>"))
+    rows += [(i, f"https://b.example/{i}", f"<article><p>{notice}</p><p>{say(60)}</p></article>") for i in (10, 11)]
+    out = {r.page_id: r.text for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert out == brute_extract(rows)
+    assert all(quoted in out[i] for i in (0, 1)) and all(line in out[i] for i in range(5)) and not any(notice in out[i] for i in range(5)) and notice in out[10]
+
+
+def test_no_text_of_the_documents_is_lost(spark):
+    """On all pages: what goes of an article is what brute force says, and no line of the documents."""
+    sf = "/root/testdata/sf0.01"
+    rows = [tuple(r) for r in table(spark, sf, "pages").select("page_id", "url", "html").collect()]
+    lines = {" ".join(line.split()) for r in table(spark, sf, "documents").select("text").collect() for line in (r.text or "").split("\n")}
+    out = {r.page_id: r.text.split("\n") for r in html.extract(table(spark, sf, "pages")).collect()}
+    lost = [(page, t) for page, _, page_html in rows for t, s in html.blocks(page_html) if s == html.KEEP and t not in out[page]]
+    assert not [x for x in lost if x[1] in lines]
+    want = brute_extract(rows)
+    assert all(set(out[page]) >= set(want[page].split("\n")) for page, *_ in rows)
+
+
+def test_very_long_page(spark):
+    text = " ".join(f"t{i}" for i in range(120_000))
+    rows = [(1, "https://a.example/1", f"<article><h1>Long</h1><p>{text}</p></article>"), (1, "https://a.example/1", f"<article><h1>Long</h1><p>{text}</p></article>")]
+    assert [r.text for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()] == [f"Long\n{text}"] * 2

@@ -4,10 +4,10 @@ A page becomes blocks in page order. Blocks inside menus, headers, footers, side
 notices, comments and the like are dropped, as the markup says. The others are candidates: those inside
 article or main where a page has such blocks, else all. The candidates of a page are a token stream of
 its host, and every page's stream, with article or without, is held against the others of the host:
-suffixes of all streams that agree on their first DEPTH tokens (prefix doubling) form a run, and a run
-that spans distinct stories is a repeated substring; overlapping ones join to maximal runs, each at least
-DEPTH tokens long. A candidate goes if such runs cover all its tokens, or if it has SHORT tokens or more,
-too few for a run, and recurs as a whole block.
+suffixes of all streams that agree on their first DEPTH tokens (prefix doubling) form a run; overlapping ones
+join to maximal runs, each at least DEPTH tokens long. A run is boilerplate if it stands in most stories of its
+host, and in FEWEST of them at least: a passage that some stories share is text of each of them. A candidate goes
+if boilerplate covers all its tokens.
 
 Pages of one host are one story if their candidates are equal or nearly so: they agree in ALIKE or more
 of SKETCH least hashes of their GRAM-token names (two pages that share five eighths of all their names
@@ -15,10 +15,10 @@ mostly do), in one of the pairs of them by which they meet. Chains of such pages
 A copy or a reprint under another address so counts once and stays whole; a host whose pages without
 article differ in less than that keeps its boilerplate, for it cannot be told from copies.
 
-Runs are grouped by (host, name) in Spark. To move few rows, the first pass groups only anchors: the
+Runs are grouped by (host, name) in Spark, and their stories counted. To move few rows, the first pass groups only anchors: the
 least of the GRAM-token names within each DEPTH-token prefix, which equal prefixes share. Only
 prefixes with a repeated anchor are grouped in the second pass, so nothing that repeats is lost. Of a
-run only the first and last story moves, so the largest host is as cheap to merge as any other.
+run's anchors only the first and last story moves, of a prefix each story once.
 
 Defined cases: null html is empty and gives an empty text; null urls form a host of their own; pages
 that repeat a page_id are extracted each, and count as one story; an empty table gives
@@ -43,7 +43,7 @@ from tidewright.llm.common import arrow_rows, map_rows, materialize, ship
 from tidewright.llm.components import connected_components
 
 DEPTH = 12
-SHORT = 8
+FEWEST = 3
 GRAM = 5
 SKETCH = 16
 ALIKE = 10
@@ -262,19 +262,8 @@ def _host_names(hosts: list[str]) -> np.ndarray:
     return np.fromiter((xxhash.xxh64_intdigest(h, 1) for h in hosts), np.uint64, len(hosts))
 
 
-def _short_blocks(pages: list[list[str]], hosts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(page, -1 - i, name) of each block i that is too short for a run."""
-    found = [
-        (n, -1 - i, xxhash.xxh64_intdigest(f"{host}\n{text}", 2) - (1 << 63))
-        for n, (texts, host) in enumerate(zip(pages, hosts, strict=True))
-        for i, text in enumerate(texts)
-        if SHORT <= text.count(" ") + 1 < DEPTH
-    ]
-    return tuple(np.array(x, np.int64) for x in zip(*found, strict=True)) if found else (np.empty(0, np.int64),) * 3
-
-
 def anchor_names(pages: list[list[str]], hosts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(page, place, name) of the anchors and short blocks of some pages, in order of pages.
+    """(page, place, name) of the anchors of some pages, in order of pages.
 
     An anchor is a GRAM-token name that is the least within some DEPTH-token prefix.
     """
@@ -288,18 +277,15 @@ def anchor_names(pages: list[list[str]], hosts: list[str]) -> tuple[np.ndarray,
         at = np.flatnonzero(view(np.concatenate((pad, least, pad)), SPAN).max(axis=1) == names)
     page = owner[at]
     place = at - np.searchsorted(owner, page)
-    named = (names[at] ^ _host_names(hosts)[page]).view(np.int64) if len(at) else at
-    page, place, named = (np.concatenate(x) for x in zip((page, place, named), _short_blocks(pages, hosts), strict=True))
-    order = np.argsort(page, kind="stable")
-    return page[order], place[order], named[order]
+    return page, place, (names[at] ^ _host_names(hosts)[page]).view(np.int64) if len(at) else at
 
 
 def prefix_names(pages: list[list[str]], hosts: list[str], places: list[list[int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(page, place, name) of the DEPTH-token prefixes with an anchor among the page's places, and of its short blocks there."""
+    """(page, place, name) of the DEPTH-token prefixes with an anchor among the page's places."""
     tokens, owner = token_names([" ".join(texts) for texts in pages])
     names = window_names(tokens, GRAM)
     first = np.searchsorted(owner, np.arange(len(pages)))
-    wanted = np.array([first[n] + p for n, ps in enumerate(places) for p in ps if p >= 0], np.int64)
+    wanted = np.array([first[n] + p for n, ps in enumerate(places) for p in ps], np.int64)
     at = np.empty(0, np.int64)
     if len(names) >= SPAN:
         known = np.zeros(len(names), bool)
@@ -309,12 +295,7 @@ def prefix_names(pages: list[list[str]], hosts: list[str], places: list[list[int
         at = np.flatnonzero((view(known, SPAN) & (windows == windows.min(axis=1)[:, None])).any(axis=1) & _whole(owner, DEPTH))
     page = owner[at]
     named = (window_names(tokens, DEPTH)[at] ^ _host_names(hosts)[page]).view(np.int64) if len(at) else at
-    of, block, short = _short_blocks(pages, hosts)
-    asked = {(n, p) for n, ps in enumerate(places) for p in ps if p < 0}
-    hit = np.array([x in asked for x in zip(of.tolist(), block.tolist(), strict=True)], bool)
-    page, place, named = (np.concatenate(x) for x in zip((page, at - first[page] if len(at) else at, named), (of[hit], block[hit], short[hit]), strict=True))
-    order = np.argsort(page, kind="stable")
-    return page[order], place[order], named[order]
+    return page, at - first[page] if len(at) else at, named
 
 
 def sketches(pages: list[list[str]], hosts: list[str]) -> list[tuple[int, list[int]]]:
@@ -355,7 +336,7 @@ def _record(*columns: tuple[str, np.ndarray]) -> pa.RecordBatch:
 
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The runs of a batch's anchors and short blocks."""
+    """The runs of a batch's anchors."""
     for batch in batches:
         host, story, texts = (c.to_pylist() for c in batch.columns)
         page, _, names = anchor_names(texts, host)
@@ -377,7 +358,7 @@ def _prefixes(batches: Iterator[list[tuple]]) -> Iterator[list[tuple]]:
         row, host, story, texts, places = zip(*batch, strict=True)
         page, at, names = prefix_names(list(texts), list(host), list(places))
         edges = np.searchsorted(page, np.arange(1, len(row)))
-        yield list(zip(row, story, (x.tolist() for x in np.split(at, edges)), (x.tolist() for x in np.split(names, edges)), strict=True))
+        yield list(zip(row, host, story, (x.tolist() for x in np.split(at, edges)), (x.tolist() for x in np.split(names, edges)), strict=True))
 
 
 def _assemble(batches: Iterator[list[tuple]]) -> Iterator[list[tuple]]:
@@ -389,10 +370,7 @@ def _assemble(batches: Iterator[list[tuple]]) -> Iterator[list[tuple]]:
                 ends = np.cumsum(sizes)
                 hit = np.zeros(int(ends[-1]), bool)
                 for at in covered:
-                    if at >= 0:
-                        hit[at : at + DEPTH] = True
-                    else:
-                        hit[ends[-1 - at] - sizes[-1 - at] : ends[-1 - at]] = True
+                    hit[at : at + DEPTH] = True
                 texts = [text for text, end, size in zip(texts, ends, sizes, strict=True) if not hit[end - size : end].all()]
             text = "\n".join(texts)
             rows.append((page_id, url, text, len(text)))
@@ -411,6 +389,14 @@ def _repeats(names: DataFrame, tag: str) -> DataFrame:
     return _few(found, found.count())
 
 
+def _common(prefixes: DataFrame, streams: DataFrame, tag: str) -> DataFrame:
+    """The names of prefixes that stand in most stories of their host, and in FEWEST at least."""
+    hosts = streams.select("host", "story").distinct().groupBy("host").agg(F.count("*").alias("stories"))
+    seen = prefixes.select("name", "host", "story").distinct().groupBy("name", "host").agg(F.count("*").alias("n")).where(F.col("n") >= FEWEST)
+    found = materialize(seen.join(_few(hosts, hosts.count()), "host").where(2 * F.col("n") > F.col("stories")).select("name").distinct(), tag, "zstd")
+    return _few(found, found.count())
+
+
 def _per_row(places: DataFrame, names: DataFrame, tag: str) -> DataFrame:
     """(row, places): the places of each row whose name is among `names`."""
     found = places.join(names, "name", "left_semi").groupBy("row").agg(F.collect_list("at").alias("places"))
@@ -455,10 +441,10 @@ def extract(pages: DataFrame) -> DataFrame:
     runs = streams.select("host", "story", "texts").mapInArrow(_runs, "name long, low long, high long")
     places = streams.select("row", "host", "texts").mapInArrow(_places, "row long, at long, name long")
     anchored = _per_row(places, _repeats(runs, "html-anchors"), "html-anchored")
-    prefixes = map_rows(streams.join(anchored, "row").select("row", "host", "story", "texts", "places"), "row long, story long, at array<long>, names array<long>", _prefixes)
+    prefixes = map_rows(streams.join(anchored, "row").select("row", "host", "story", "texts", "places"), "row long, host string, story long, at array<long>, names array<long>", _prefixes)
     prefixes = materialize(prefixes, "html-prefixes", "zstd")
-    found = prefixes.select("row", "story", F.explode(F.arrays_zip("at", "names")).alias("x")).select("row", "story", "x.at", F.col("x.names").alias("name"))
-    repeated = _repeats(found.select("name", F.col("story").alias("low"), F.col("story").alias("high")), "html-repeats")
+    found = prefixes.select("row", "host", "story", F.explode(F.arrays_zip("at", "names")).alias("x")).select("row", "host", "story", "x.at", F.col("x.names").alias("name"))
+    repeated = _common(found, streams, "html-repeats")
     covered = _per_row(found.select("row", "at", "name"), repeated, "html-covered")
     out = parsed.join(covered, "row", "left").select("page_id", "url", "texts", "places")
     return map_rows(out, "page_id long, url string, text string, n_chars long", _assemble)
