@@ -1,8 +1,9 @@
 """Coupons kept in a stream: one keyed state a security, in the state store, so that late events and restarts change nothing.
 
 The state is what the events so far leave, in a form that no order of arrival alters: the exchange's rate of the
-latest (trade date, sequence) and the details' rate of the latest sequence. A batch's events of a security are
-gone through once, none is held.
+latest (trade date, sequence) and the details' rate of the latest sequence. Before a batch's events are shuffled, each
+task keeps only those that could win among its own, two a security and Arrow batch, so a security with a large part of all
+events sends few rows to the task of its state. What arrives there is gone through once, none is held.
 """
 
 from __future__ import annotations
@@ -10,6 +11,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 from datetime import date
 
+import pandas as pd
 from pyspark.sql import DataFrame, Row
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
@@ -55,6 +57,15 @@ def _shown(day: date | None, given_at: int | None, given: str | None, detail_at:
     return detail, None, None if detail_at is None else DETAILS
 
 
+def _leaders(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Of each batch the events that no other of it outdoes: of a security the exchange's latest and the details' latest."""
+    for batch in batches:
+        known = batch[batch["rate"].notna()]
+        exchange = known["source"] == EXCHANGE
+        dated = known[exchange & known["trade_date"].notna()].sort_values(["trade_date", "sequence"]).drop_duplicates("isin", keep="last")
+        yield pd.concat([dated, known[~exchange].sort_values("sequence").drop_duplicates("isin", keep="last")])
+
+
 def stream_coupons(events: DataFrame, write: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:
     """Keep the coupons of a stream of events (isin, sequence, rate, trade_date, source) in the state store.
 
@@ -65,5 +76,6 @@ def stream_coupons(events: DataFrame, write: Callable[[DataFrame, int], None], c
     events.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     typed = events.selectExpr("isin", "CAST(sequence AS BIGINT) AS sequence", "CAST(rate AS STRING) AS rate", "trade_date", "source")
     out = f"isin {events.schema['isin'].dataType.simpleString()}, rate string, trade_date date, source string, change string"
+    typed = typed.mapInPandas(_leaders, typed.schema)
     changed = typed.groupBy("isin").transformWithState(CouponState(), out, "Update", "None")
     return changed.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
