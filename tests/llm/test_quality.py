@@ -1,3 +1,4 @@
+import math
 import random
 
 import numpy as np
@@ -63,6 +64,67 @@ def test_shrinkage_orders_sites(spark):
     assert by[0].host_quality > by[401].host_quality > by[200].host_quality
 
 
+def _given(spark, monkeypatch, rows):
+    """classify over given (host, path, evidence of quality, of toxicity)."""
+    scored = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "doc_id long, host string, path string, quality_evidence double, toxic_evidence double")
+    docs = spark.createDataFrame([(i, "x", r[0], r[1]) for i, r in enumerate(rows)], "doc_id long, text string, source string, lang string")
+    monkeypatch.setattr(quality, "score", lambda *_: scored)
+    return {r.doc_id: r for r in quality.classify(docs, quality.Model([], [])).collect()}
+
+
+def _by_hand(rows, target):
+    """Scores document by document, with the strengths from plain sums over every document."""
+    p = [1 / (1 + math.exp(-r[2 + target])) for r in rows]
+    mean = sum(p) / len(p)
+    hosts, paths = {}, {}
+    for i, r in enumerate(rows):
+        hosts.setdefault(r[0], []).append(i)
+        paths.setdefault(r[:2], []).append(i)
+    avg = lambda ids: sum(p[i] for i in ids) / len(ids)
+    inside = sum((p[i] - avg(ids)) ** 2 for ids in paths.values() for i in ids) / (len(p) - len(paths))
+    among = sum(len(ids) * (avg(ids) - avg(hosts[h])) ** 2 for (h, _), ids in paths.items())
+    shared = sum(len(ids) ** 2 / len(hosts[h]) for (h, _), ids in paths.items())
+    path = (among - (len(paths) - len(hosts)) * inside) / (len(p) - shared)
+    between = sum(len(ids) * (avg(ids) - mean) ** 2 for ids in hosts.values())
+    extra = max(0, path) * (shared - sum(len(ids) ** 2 for ids in paths.values()) / len(p))
+    host = (between - (len(hosts) - 1) * inside - extra) / (len(p) - sum(len(ids) ** 2 for ids in hosts.values()) / len(p))
+    a, b = (min(1e6, inside / x) if x > 0 else 1e6 for x in (host, path))
+    logit = lambda x: math.log(min(max(x, 1e-6), 1 - 1e-6) / (1 - min(max(x, 1e-6), 1 - 1e-6)))
+    out = []
+    for i, r in enumerate(rows):
+        other = lambda ids: [p[j] for j in ids if j != i]  # noqa: B023, E731
+        h, q = other(hosts[r[0]]), other(paths[r[:2]])
+        of_host = (sum(h) + a * mean) / (len(h) + a)
+        of_path = (sum(q) + b * of_host) / (len(q) + b)
+        out.append(1 / (1 + math.exp(-(r[2 + target] + logit(of_path) - logit(mean)))))
+    return out
+
+
+@pytest.mark.parametrize("broadcast", [quality.BROADCAST_SITES, 0])
+def test_posteriors_by_hand(spark, monkeypatch, broadcast):
+    """Every score equals one computed document by document; null sites, sites of one and a hot site among them; by broadcast and by shuffle."""
+    rng = random.Random(8)
+    monkeypatch.setattr(quality, "BROADCAST_SITES", broadcast)
+    monkeypatch.setattr(quality, "HOT", 4)
+    mood = {h: rng.gauss(0, 1.5) for h in (None, "a", "b", "c", "d", "hot")}
+    turn = {(h, q): rng.gauss(0, 1) for h in mood for q in (None, "x", "y")}
+    sites = [("hot", "x")] * 200 + [rng.choice(list(turn)) for _ in range(150)] + [("lone", "z")]
+    rows = [(*s, mood.get(s[0], 0) + turn.get(s, 0) + rng.gauss(0, 1), rng.gauss(-2, 1)) for s in sites]
+    out = _given(spark, monkeypatch, rows)
+    assert len(out) == len(rows)
+    for target, name in enumerate(("quality_score", "toxic_score")):
+        for i, want in enumerate(_by_hand(rows, target)):
+            assert abs(out[i][name] - want) < 1e-6
+
+
+def test_own_evidence_counts_once(spark, monkeypatch):
+    """A document alone on its host is moved by nothing; equal documents get equal scores."""
+    rows = [("a", "x", 1.0, 0.0)] * 5 + [("b", "x", -1.0, 0.0)] * 5 + [("one", "x", 4.0, 0.0)]
+    out = _given(spark, monkeypatch, rows)
+    assert abs(out[10].quality_score - 1 / (1 + math.exp(-4))) < 1e-9
+    assert len({round(out[i].quality_score, 12) for i in range(5)}) == 1
+
+
 def test_degenerate(small):
     docs, labels = small
     model = quality.fit(docs, labels.limit(0))

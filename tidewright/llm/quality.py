@@ -7,9 +7,9 @@ labelled rows, chosen by a hash of the id; everything else covers all documents.
 
 Site posteriors. Every document is scored; grouped sums per host and per (host, path) give each site
 its mean evidence. A host's mean is shrunk toward the global mean and a path's toward its host's, by
-prior strengths estimated from the spread between sites (method of moments), so sparse sites stay
-near their priors. A document's final log-odds are its own evidence plus how far its site stands from
-the global mean. Only sums per site move; a host with a third of all rows is summed where it lies.
+prior strengths estimated from the spread of hosts around the global mean and of paths around their host's
+(method of moments of the nested grouping), so sparse sites stay near their priors. A document's final log-odds are
+its own evidence plus how far its site, without this document, stands from the global mean. Only sums per site move; a host with a third of all rows is summed where it lies.
 
 Defined cases: null text is empty text; null hosts and paths are sites of their own; null ids are
 scored, and cannot be trained on; repeated rows count as often as they occur; with no labels, or one
@@ -24,7 +24,7 @@ from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from tidewright.llm.common import arrow_rows, map_rows, materialize, ship, text_rows
@@ -37,6 +37,9 @@ RIDGE = 0.3
 KEPT_WORDS = 300_000
 #: Sites are joined to documents by broadcast up to this many, by a shuffle beyond.
 BROADCAST_SITES = 500_000
+#: Beyond that, sites with more than this share of all rows are still broadcast; there are fewer of them than that.
+HOT = 10_000
+TARGETS = ("quality", "toxic")
 _EDGE = "%#*$&|!.,;:?()[]\"'"
 _SHAPES = 13
 
@@ -214,49 +217,67 @@ def _logit(p: Column) -> Column:
     return F.log(p / (F.lit(1.0) - p))
 
 
-def _strength(sites: DataFrame, mean: float, inside: float) -> float:
-    """Prior strength in documents: variance within sites over variance between their means, by moments."""
-    k, n, between, squares = sites.agg(
-        F.count(F.lit(1)), F.sum("n"), F.sum(F.col("n") * F.pow(F.col("s") / F.col("n") - mean, 2)), F.sum(F.col("n") * F.col("n"))
-    ).first()
-    if not k or k < 2:
-        return 1e6
-    spread = (between - (k - 1) * inside) / max(1e-9, n - squares / n)
-    return min(1e6, inside / spread) if spread > 0 else 1e6
+def _strength(inside: float, spread: float) -> float:
+    """Prior strength in documents: the variance inside paths over the variance between sites."""
+    return min(1e6, max(inside, 1e-9) / spread) if spread > 0 else 1e6
+
+
+def strengths(m: Row, target: str) -> tuple[float, float]:
+    """(of hosts around the global mean, of paths around their host), by moments of the nested grouping."""
+    inside = (m[f"ss_{target}"] - m[f"paths_{target}"]) / max(1.0, m["n"] - m["k"])
+    within = m["n"] - m["same_path"]
+    path = (m[f"paths_{target}"] - m[f"hosts_{target}"] - (m["k"] - m["hosts"]) * inside) / within if within > 1e-6 else 0.0
+    across = m["n"] - m["same_host"] / m["n"]
+    host = m[f"hosts_{target}"] - m[f"s_{target}"] ** 2 / m["n"] - (m["hosts"] - 1) * inside - max(0.0, path) * (m["same_path"] - m["squares"] / m["n"])
+    return _strength(inside, host / across if across > 1e-6 else 0.0), _strength(inside, path)
+
+
+def _site_rows(scored: DataFrame) -> DataFrame:
+    """One row a path: its documents and sums of each target, and those of its host."""
+    p = {t: _sigmoid(F.col(f"{t}_evidence")) for t in TARGETS}
+    sums = [x for t in TARGETS for x in (F.sum(p[t]).alias(f"s_{t}"), F.sum(p[t] * p[t]).alias(f"ss_{t}"))]
+    paths = materialize(scored.groupBy("host", "path").agg(F.count(F.lit(1)).alias("n"), *sums), "quality-paths")
+    hosts = paths.groupBy(F.col("host").alias("host_key")).agg(F.sum("n").alias("host_n"), *(F.sum(f"s_{t}").alias(f"host_s_{t}") for t in TARGETS))
+    joined = paths.join(hosts, F.col("host").eqNullSafe(F.col("host_key"))).drop("host_key")
+    return materialize(joined.withColumnsRenamed({"host": "site_host", "path": "site_path"}), "quality-sites")
+
+
+def _with_sites(scored: DataFrame, sites: DataFrame, paths: int, rows: int) -> DataFrame:
+    """scored with its site's columns: by broadcast up to BROADCAST_SITES paths; beyond, only of paths with more than a HOT-th of all rows (fewer than HOT)."""
+    at = F.col("host").eqNullSafe(F.col("site_host")) & F.col("path").eqNullSafe(F.col("site_path"))
+    if paths <= BROADCAST_SITES:
+        return scored.join(F.broadcast(sites), at)
+    large = F.col("n") > rows / HOT
+    hot = F.broadcast(sites.where(large))
+    return scored.join(hot, at).unionByName(scored.join(hot, at, "left_anti").join(sites.where(~large), at))
 
 
 def classify(docs: DataFrame, model: Model, host: str = "source", path: str = "lang") -> DataFrame:
     """doc_id, quality_score, toxic_score, host_quality, path_quality, keep for every row.
 
+    A host's share of good documents is drawn toward the global one and a path's toward its host's, the stronger the fewer
+    documents it has; a document's score is its own evidence moved by what the others of its site say, itself left out.
     keep: good quality and no toxicity, each at posterior one half.
     """
     scored = materialize(score(docs, model, host, path), "quality-scores")
-    out = scored
-    for target in ("quality", "toxic"):
-        p = _sigmoid(F.col(f"{target}_evidence"))
-        paths = scored.groupBy("host", "path").agg(F.count(F.lit(1)).alias("n"), F.sum(p).alias("s"), F.sum(p * p).alias("ss"))
-        paths = materialize(paths, "quality-paths")
-        few = paths.count() <= BROADCAST_SITES
-        hosts = paths.groupBy("host").agg(F.sum("n").alias("n"), F.sum("s").alias("s"))
-        n, s, ss = paths.agg(F.sum("n"), F.sum("s"), F.sum("ss")).first()
-        if not n:
-            out = out.withColumns({f"{target}_score": F.lit(0.5), f"host_{target}": F.lit(0.5), f"path_{target}": F.lit(0.5)})
-            continue
-        mean = s / n
-        inside = max(1e-9, ss / n - mean * mean)
-        a, b = _strength(hosts, mean, inside), _strength(paths, mean, inside)
-        shrunk = hosts.select(F.col("host").alias("host_key"), ((F.col("s") + a * mean) / (F.col("n") + a)).alias(f"host_{target}"))
-        sites = (
-            paths.join(shrunk, F.col("host").eqNullSafe(F.col("host_key")))
-            .select(
-                F.col("host").alias("site_host"), F.col("path").alias("site_path"), f"host_{target}",
-                ((F.col("s") + b * F.col(f"host_{target}")) / (F.col("n") + b)).alias(f"path_{target}"),
-            )
-        )
-        at = F.col("host").eqNullSafe(F.col("site_host")) & F.col("path").eqNullSafe(F.col("site_path"))
-        out = out.join(F.broadcast(sites) if few else sites, at, "left").drop("site_host", "site_path")
-        shift = _logit(F.col(f"path_{target}")) - _logit(F.lit(mean))
-        out = out.withColumn(f"{target}_score", _sigmoid(F.col(f"{target}_evidence") + shift))
+    sites = _site_rows(scored)
+    n, host_n = F.col("n"), F.col("host_n")
+    moments = [F.count(F.lit(1)).alias("k"), F.sum(n).alias("n"), F.sum(n * n.cast("double")).alias("squares"), F.sum(n / host_n).alias("hosts"),
+               F.sum(n * n.cast("double") / host_n).alias("same_path"), F.sum(n * host_n.cast("double")).alias("same_host")]
+    for t in TARGETS:
+        s, host_s = F.col(f"s_{t}"), F.col(f"host_s_{t}")
+        moments += [F.sum(s).alias(f"s_{t}"), F.sum(f"ss_{t}").alias(f"ss_{t}"), F.sum(s * s / n).alias(f"paths_{t}"), F.sum(n / host_n * host_s * host_s / host_n).alias(f"hosts_{t}")]
+    m = sites.agg(*moments).first()
+    out = _with_sites(scored, sites, m["k"], m["n"] or 0)
+    for t in TARGETS:
+        mean = m[f"s_{t}"] / m["n"] if m["n"] else 0.5
+        a, b = strengths(m, t) if m["n"] else (1.0, 1.0)
+        own = _sigmoid(F.col(f"{t}_evidence"))
+        of_host = lambda less, one: (F.col(f"host_s_{t}") - less + a * mean) / (host_n - one + a)  # noqa: B023, E731
+        of_path = lambda less, one: (F.col(f"s_{t}") - less + b * of_host(less, one)) / (n - one + b)  # noqa: B023, E731
+        shift = _logit(of_path(own, 1)) - _logit(F.lit(mean))
+        none = F.lit(0.0)
+        out = out.withColumns({f"{t}_score": _sigmoid(F.col(f"{t}_evidence") + shift), f"host_{t}": of_host(none, 0), f"path_{t}": of_path(none, 0)})
     keep = (F.col("quality_score") >= 0.5) & (F.col("toxic_score") < 0.5)
     return out.select("doc_id", "quality_score", "toxic_score", "host_quality", "path_quality", keep.alias("keep"))
 
