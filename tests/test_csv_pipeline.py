@@ -132,3 +132,40 @@ def test_run_dataset(spark, tmp_path):
     assert out["canonical"].select("path").distinct().count() == 1 and out["summaries"].first().isin == "INE001A07AB1"
     assert [r.problem for r in out["rejected_manifests"].collect()] == ["INVALID_MANIFEST"]
     assert [(r.path[-19:], r.problem) for r in out["unverified"].collect()] == [("BSE_two02012026.csv", "CHECKSUM_MISMATCH")]
+
+
+def test_names_of_csv_files(spark):
+    names = ["bse_x01012026.CSV", "Börse 1 _x_31122025.csv", "_x01012026.csv", " _x01012026.csv", "BSE_x31022026.csv", "BSE_x0101202.csv", "BSE01012026.csv", "A_1_01012026.csv.csv", None]
+    exchange, day = sources.csv_name(F.col("n"))
+    found = [(r.e, r.d) for r in spark.createDataFrame([(i, n) for i, n in enumerate(names)], "i int, n string").orderBy("i").select(exchange.alias("e"), day.cast("string").alias("d")).collect()]
+    assert found[:2] == [("BSE", "2026-01-01"), ("BÖRSE 1", "2025-12-31")] and found[2:] == [(None, None)] * 7
+
+
+def test_csv_names_agree_with_inputs(spark):
+    rows = [
+        ("ok", "a/BSE_01012026.csv", {"exchangeName": " bse ", "tradeDate": "2026-01-01"}), ("day", "BSE_02012026.csv", {"exchangeName": "BSE", "tradeDate": "2026-01-01"}),
+        ("exchange", "NSE_01012026.csv", {"exchangeName": "BSE", "tradeDate": "2026-01-01"}), ("none", "BSE_01012026.csv", {}), ("name", "x.csv", {}),
+    ]
+    found = dict(sources.csv_name_problems(spark.createDataFrame(rows, "manifest string, key string, inputs map<string,string>")).collect())
+    assert found == {"ok": None, "day": "TRADE_DATE_MISMATCH", "exchange": "TRADE_DATE_MISMATCH", "none": "TRADE_DATE_MISMATCH", "name": "INVALID_SOURCE_FILENAME"}
+
+
+def test_run_dataset_holds_manifests_against_submissions(spark, tmp_path):
+    import hashlib
+
+    (tmp_path / "in" / "b").mkdir(parents=True)
+    header = ",".join(f.header for f in datasets.DAILY_CSV.fields)
+    agreed, runs = [], {"good": "01", "subject": "02", "late": "03", "unknown": "04"}
+    for run, day in runs.items():
+        body = header + "\n" + ",".join("INE001A07AB1" if f.name == "isin" else "" for f in datasets.DAILY_CSV.fields) + "\n"
+        (tmp_path / "in" / "b" / f"BSE_{day}012026.csv").write_text(body)
+        file = {"bucket": "b", "key": f"BSE_{day}012026.csv", "format": "CSV", "sha256": hashlib.sha256(body.encode()).hexdigest(), "size_bytes": len(body)}
+        inputs = {"exchangeName": "BSE", "tradeDate": "2026-01-09" if run == "late" else f"2026-01-{day}"}
+        data = {"schema_version": 1, "event_type": "x", "event_id": "e", "run_id": run, "dataset_fingerprint": "f", "inputs": inputs, "files": [file]}
+        (tmp_path / f"m-{run}.json").write_text(json.dumps({**sources.CONSTANTS, "id": "1", "dataschema": "d", "subject": "s", "data": data}))
+        agreed += [] if run == "unknown" else [(run, "d", "other" if run == "subject" else "s", "x", "e", run, inputs, "f")]
+    submitted = spark.createDataFrame(agreed, "run string, dataschema string, subject string, event_type string, event_id string, run_id string, inputs map<string,string>, dataset_fingerprint string")
+    out = datasets.run_dataset(spark, str(tmp_path / "in" / "b"), str(tmp_path / "m-*.json"), submitted=submitted)
+    found = {r.manifest.rsplit("m-", 1)[1]: r.problem for r in out["rejected_manifests"].collect()}
+    assert found == {"subject.json": "INVALID_MANIFEST: subject", "unknown.json": "INVALID_MANIFEST: no submission", "late.json": "TRADE_DATE_MISMATCH"}
+    assert [r.path[-16:] for r in out["canonical"].select("path").distinct().collect()] == ["BSE_01012026.csv"]

@@ -32,12 +32,15 @@ def run_csv(files: DataFrame, source: SourceContract = DAILY_CSV, summary: Mappi
     }
 
 
-def run_dataset(spark: SparkSession, root: str, manifests: str, source: SourceContract | None = DAILY_CSV, summary: MappingContract = DAILY_SUMMARY) -> dict[str, DataFrame]:
+def run_dataset(spark: SparkSession, root: str, manifests: str, source: SourceContract | None = DAILY_CSV, summary: MappingContract = DAILY_SUMMARY,
+                submitted: DataFrame | None = None) -> dict[str, DataFrame]:
     """All files that the manifests list under root, through the pipeline of their data set: a source contract's, or the JSON one (None).
 
     Manifests with problems, file sets that break the format's limits and JSON names of other securities are
     left out and listed in `rejected_manifests`, and so are those that list an object which is not there; files whose
     bytes differ from their listing are in `unverified`, and a JSON one is a skipped file of its security besides.
+    With `submitted` (run and the agreed attributes) a manifest must say what its run's submission said, and the
+    name of a CSV file must agree with the inputs, which admission has validated.
     """
     read = sources.read_manifests(spark, manifests)
     listed = sources.listed_files(read.where(F.size("problems") == 0))
@@ -46,6 +49,11 @@ def run_dataset(spark: SparkSession, root: str, manifests: str, source: SourceCo
     bad = bad.unionByName(sets.where(F.size("problems") > 0).select("manifest", F.array_join("problems", "; ").alias("problem")))
     if source is None:
         bad = bad.unionByName(sources.json_name_problems(listed).where(F.col("problem").isNotNull()))
+    if submitted is not None:
+        bad = bad.unionByName(sources.submission_problems(read.where(F.size("problems") == 0), submitted))
+        if source is not None:
+            named = sources.csv_name_problems(listed).where(F.col("problem").isNotNull())
+            bad = bad.unionByName(named.join(bad.select("manifest"), "manifest", "left_anti").distinct())
     listed = listed.join(bad.select("manifest").distinct(), "manifest", "left_anti")
     checked = sources.verify(sources.read_bytes(spark, root), listed)
     lost = checked.where(F.col("problem") == "SOURCE_NOT_FOUND").select("run_id").distinct()

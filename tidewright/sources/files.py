@@ -190,9 +190,33 @@ def json_documents(files: DataFrame) -> DataFrame:
 
 
 def csv_name(name: Column) -> tuple[Column, Column]:
-    """(exchange, trade date) of {exchange}_...{DDMMYYYY}.csv."""
-    pattern = r"(?i)^([A-Za-z]+)_.*?([0-9]{8})\.csv$"
-    return F.upper(F.nullif(F.regexp_extract(name, pattern, 1), F.lit(""))), F.try_to_date(F.nullif(F.regexp_extract(name, pattern, 2), F.lit("")), "ddMMyyyy")
+    """(exchange, trade date) of {exchange}_...{DDMMYYYY}.csv, both or neither: any text before the first underscore, a day of the calendar in the last eight digits."""
+    pattern = r"(?s)^([^_]*)_.*?([0-9]{8})(?i:\.csv)$"
+    digits = F.nullif(F.regexp_extract(name, pattern, 2), F.lit(""))
+    exchange, day = F.upper(F.nullif(strip(F.regexp_extract(name, pattern, 1)), F.lit(""))), F.try_to_date(digits, "ddMMyyyy")
+    return F.when(day.isNotNull(), exchange), F.when(exchange.isNotNull(), day)
+
+
+def csv_name_problems(listed: DataFrame, group: str = "manifest") -> DataFrame:
+    """(group, problem) of every listed CSV file: INVALID_SOURCE_FILENAME where its name holds no exchange or no day, TRADE_DATE_MISMATCH where either is not the inputs'."""
+    exchange, day = csv_name(base_name(F.col("key")))
+    wanted = F.upper(strip(F.coalesce(F.col("inputs")["exchangeName"], F.lit(""))))
+    asked = F.col("inputs")["tradeDate"]
+    same = (exchange == wanted) & F.coalesce(F.date_format(day, "yyyy-MM-dd") == asked, F.lit(False))
+    return listed.select(group, F.when(exchange.isNull() | day.isNull(), "INVALID_SOURCE_FILENAME").when(~same, "TRADE_DATE_MISMATCH").alias("problem"))
+
+
+def submission_problems(manifests: DataFrame, submitted: DataFrame) -> DataFrame:
+    """(manifest, problem): INVALID_MANIFEST where a manifest's attributes are not those of its run's submission, or nobody submitted the run.
+
+    `submitted` has run (the run's id) and the columns AGREED. A manifest is named with the attributes that differ.
+    """
+    said = manifests.select("manifest", "dataschema", "subject", *(F.col(f"data.{n}").alias(n) for n in AGREED if n not in ("dataschema", "subject")))
+    runs = said.withColumn("run", F.col("run_id"))
+    differ = disagreements(runs.withColumnRenamed("manifest", "_manifest"), submitted, "run").where(F.size("differs") > 0)
+    told = runs.select("manifest", "run").join(differ, "run").select("manifest", F.concat(F.lit("INVALID_MANIFEST: "), F.array_join("differs", ", ")).alias("problem"))
+    unknown = runs.join(submitted.select("run"), "run", "left_anti").select("manifest", F.lit("INVALID_MANIFEST: no submission").alias("problem"))
+    return told.unionByName(unknown)
 
 
 def json_name(name: Column) -> Column:
