@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from tidewright.plans import events, maintained, numbers, reviews
+from tidewright.plans import events, maintained, numbers, reviews, stored
 from tidewright.plans.queries import QUERIES, SQL
 
 #: Modules that register queries when they are imported.
-REGISTERED = (events, maintained, numbers, reviews)
+REGISTERED = (events, maintained, numbers, reviews, stored)
 
 
 def queries() -> dict:

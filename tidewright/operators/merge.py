@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,6 +13,11 @@ from tidewright.functions import exact
 EXCHANGE, DETAILS = "BSE_BHAVCOPY", "NSDL"
 
 
+def unused(df: DataFrame) -> str:
+    """How no column of df begins: underscores, more than its longest name has letters."""
+    return "_" * (1 + max(map(len, df.columns), default=0))
+
+
 def insert_missing(stored: DataFrame, incoming: DataFrame, keys: list[str]) -> DataFrame:
     """The incoming rows whose key is not stored: the created set."""
     return incoming.join(stored.select(*keys), keys, "left_anti").dropDuplicates(keys)
@@ -19,16 +26,17 @@ def insert_missing(stored: DataFrame, incoming: DataFrame, keys: list[str]) -> D
 def append_only(stored: DataFrame, incoming: DataFrame, identity: list[str], order: list[Column]) -> DataFrame:
     """Incoming rows new by null-safe identity; within the batch the first by `order` wins.
 
-    Incoming rows come down to one per identity first. Both sides meet by a hash of the identity, read in the
-    stored types, that takes nulls as values; the stored table is narrowed to the batch's hashes first, so it
-    is neither sorted nor moved while Spark can broadcast those.
+    The stored table comes down to rows whose hash the batch knows before it is compared, so it is neither sorted nor moved
+    while Spark can broadcast those hashes; what is left is compared value by value, in the stored types, nulls with nulls.
     """
-    first = incoming.withColumn("_n", F.row_number().over(Window.partitionBy(*identity).orderBy(*order))).where("_n = 1").drop("_n")
-    typed = [F.col(c).cast(stored.schema[c].dataType).cast("string") for c in identity]
-    name = F.sha2(F.concat_ws(",", *(F.coalesce(F.concat(F.length(c).cast("string"), F.lit(":"), c), F.lit("-")) for c in typed)), 256)
-    first = first.withColumn("_name", name)
-    hits = stored.select(name.alias("_name")).join(first.select("_name"), "_name", "left_semi")
-    return first.join(hits, "_name", "left_anti").drop("_name")
+    typed = [F.col(c).cast(stored.schema[c].dataType) for c in identity]
+    own = unused(incoming)
+    hashed = F.xxhash64(*typed).alias(f"{own}hash")
+    known = stored.select(hashed, *(x.alias(f"{own}{i}") for i, x in enumerate(typed)))
+    hits = known.join(incoming.select(hashed), f"{own}hash", "left_semi")
+    first = latest(incoming, identity, *order)
+    same = (x.eqNullSafe(F.col(f"{own}{i}")) for i, x in enumerate(typed))
+    return first.join(hits.drop(f"{own}hash"), reduce(Column.__and__, same), "left_anti")
 
 
 def upsert(stored: DataFrame, incoming: DataFrame, keys: list[str], values: list[str], now: Column) -> DataFrame:
@@ -46,7 +54,8 @@ def upsert(stored: DataFrame, incoming: DataFrame, keys: list[str], values: list
 
 def latest(df: DataFrame, keys: list[str], *order: Column) -> DataFrame:
     """One row per key: the first by `order`."""
-    return df.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("_n = 1").drop("_n")
+    n = f"{unused(df)}n"
+    return df.withColumn(n, F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col(n) == 1).drop(n)
 
 
 def coupon_change(stored_rate: Column, stored_date: Column, stored_source: Column, rate: Column, date: Column, source: str) -> Column:

@@ -2,14 +2,10 @@
 
 from __future__ import annotations
 
-import json
-import time
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewright.operators import csv_stage, merge
+from tidewright.operators import csv_stage, merge, snapshots
 from tidewright.plans import securities
 from tidewright.plans.contracts import DAILY_COUPON, DAILY_CSV, DAILY_SUMMARY, MappingContract, SourceContract
 from tidewright.sources import files as sources
@@ -77,25 +73,14 @@ def evidence(canonical: DataFrame) -> DataFrame:
     return canonical.select("path", F.to_json(F.struct(*canonical.columns), {"ignoreNullFields": "false"}).alias("value"))
 
 
-def publish(spark: SparkSession, root: str, tables: dict[str, DataFrame]) -> str:
-    """All tables of a batch or none: write a new snapshot of each, then one new pointer row.
-
-    Pointers are only ever added: a crash before the last write leaves the earlier batch current, and a
-    reader always finds one whole pointer, for Spark shows a file once it is committed.
-    """
-    version = f"{time.time_ns():020d}-{uuid.uuid4().hex}"
-    for name, df in tables.items():
-        df.write.parquet(f"{root}/{name}/{version}")
-    pointer = spark.createDataFrame([(version, json.dumps(sorted(tables)))], "version string, tables string")
-    pointer.coalesce(1).write.mode("append").parquet(f"{root}/pointers")
-    return version
+def publish(spark: SparkSession, root: str, tables: dict[str, DataFrame], base: int | None = None) -> int:
+    """All tables of a batch or none, as commit `snapshots.commit` makes it; its number. A batch that another writer overtook is refused."""
+    return snapshots.commit(spark, root, tables, base)
 
 
 def current(spark: SparkSession, root: str, name: str) -> DataFrame:
     """The newest published snapshot that holds the table."""
-    pointers = spark.read.schema("version string, tables string").parquet(f"{root}/pointers")
-    version = pointers.where(F.array_contains(F.from_json("tables", "array<string>"), name)).agg(F.max("version")).first()[0]
-    return spark.read.parquet(f"{root}/{name}/{version}")
+    return snapshots.read(spark, root, name)
 
 
 def repair(df: DataFrame, **fixes: Column) -> DataFrame:
