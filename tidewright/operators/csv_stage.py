@@ -9,6 +9,15 @@ from tidewright.functions import exact, rules
 from tidewright.plans.contracts import FieldSpec, MappingContract, RowRule, SourceContract
 
 
+def _settled(c: Column) -> Column:
+    """The same value, which no later filter takes apart.
+
+    A filter (or the one that an explode implies) that Spark moves below the projections is written anew in terms of
+    the raw text, with every rule in it once for each mention of its result. What depends on the task's number is not moved.
+    """
+    return F.when(F.spark_partition_id() >= 0, c)
+
+
 def validate_fields(records: DataFrame, fields: tuple[FieldSpec, ...]) -> DataFrame:
     """Replace each field's text by struct(raw, normalized, parsed, status, errors).
 
@@ -37,6 +46,7 @@ def validate_fields(records: DataFrame, fields: tuple[FieldSpec, ...]) -> DataFr
         structs[f.name] = F.struct(
             F.col(f.name).alias("raw"), F.col(v(f)).alias("normalized"), F.col(f"_p_{f.name}").alias("parsed"), status.alias("status"), F.col(f"_e_{f.name}").alias("errors")
         )
+        structs[f.name] = _settled(structs[f.name])
     return out.withColumns(structs).drop(*(f"_{x}_{f.name}" for f in fields for x in "vcpe"))
 
 
@@ -55,7 +65,7 @@ def validate_rows(records: DataFrame, contract: SourceContract) -> DataFrame:
     bad = F.size("row_errors") > 0
     for f in failed:
         bad = bad | f
-    return out.withColumn("valid", ~bad)
+    return out.withColumn("valid", _settled(~bad))
 
 
 def dispositions(rows: DataFrame, group: str | list[str], key: Column, record: str = "record_number", valid: str = "valid") -> DataFrame:
