@@ -17,3 +17,7 @@ def test_a_filter_does_not_repeat_the_rules(spark, sf_dir):
         assert len(re.findall("RLIKE", optimized(queries.QUERIES[name](spark, sf_dir)))) < 40, name
     rows = queries._lines(spark, sf_dir)
     assert len(re.findall("RLIKE", optimized(rows.where(F.col("valid") & (F.col("price.status") == "PASSED"))))) < 40
+
+
+def test_lists_of_one_reading(spark, sf_dir):
+    assert len(re.findall("Relation", optimized(queries.QUERIES["coupon_projection"](spark, sf_dir)))) == 1

@@ -112,7 +112,17 @@ def _issue(place: int, name: str | None):
     return lambda code: _named(place, name, code)
 
 
+def _mapped(mapping: MappingContract) -> list[Column]:
+    values = [F.when(F.col(f"{s}.status") != "IGNORED", F.col(f"{s}.parsed")).alias(t) for t, s in mapping.columns.items()]
+    return [*values, *(F.lit(v).alias(k) for k, v in mapping.constants.items())]
+
+
 def project(rows: DataFrame, mapping: MappingContract, *also: str) -> DataFrame:
     """Accepted rows renamed by the mapping; ignored fields become null; constants are added."""
-    values = [F.when(F.col(f"{s}.status") != "IGNORED", F.col(f"{s}.parsed")).alias(t) for t, s in mapping.columns.items()]
-    return rows.where(F.col("disposition") == "ACCEPTED").select(*also, *values, *(F.lit(v).alias(k) for k, v in mapping.constants.items()))
+    return rows.where(F.col("disposition") == "ACCEPTED").select(*also, *_mapped(mapping))
+
+
+def project_each(rows: DataFrame, mappings: list[MappingContract], *also: str) -> DataFrame:
+    """A row per accepted row and mapping, all from one reading of the rows; the mappings name the same columns in one order."""
+    lists = F.array(*(F.struct(*_mapped(m)) for m in mappings))
+    return rows.where(F.col("disposition") == "ACCEPTED").select(*also, F.explode(lists).alias("_row")).select(*also, "_row.*")

@@ -258,9 +258,9 @@ def mapping_projection(spark, sf):
 
 @query(f"SELECT l_orderkey AS job, l_linenumber AS record_number, 'VOLUME' AS source_category, whole AS value FROM ({VOLUME_SQL}) WHERE code IS NULL AND whole IS NOT NULL UNION ALL SELECT l_orderkey, l_linenumber, 'PRICE', parsed FROM ({VOLUME_SQL}) WHERE code IS NULL AND parsed IS NOT NULL")
 def coupon_projection(spark, sf):
-    rows = _lines(spark, sf)
-    lists = [csv_stage.project(rows, MappingContract("c", {"value": f}, {"source_category": f.upper()}), "job", "record_number") for f in ("volume", "price")]
-    return lists[0].unionByName(lists[1]).where("value is not null").select("job", "record_number", "source_category", "value")
+    lists = [MappingContract("c", {"value": f}, {"source_category": f.upper()}) for f in ("volume", "price")]
+    rows = csv_stage.project_each(_lines(spark, sf), lists, "job", "record_number")
+    return rows.where("value is not null").select("job", "record_number", "source_category", "value")
 
 
 @query("SELECT user_id, event_type, event_id AS winner, CAST(round(value * 100) AS BIGINT) AS cents FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) AS n FROM events) WHERE n = 1")
