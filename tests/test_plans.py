@@ -4,7 +4,8 @@ import re
 
 from pyspark.sql import functions as F
 
-from tidewright.plans import queries
+from tidewright.plans import queries, securities
+from tidewright.sources import files as sources
 
 
 def optimized(frame):
@@ -21,3 +22,22 @@ def test_a_filter_does_not_repeat_the_rules(spark, sf_dir):
 
 def test_lists_of_one_reading(spark, sf_dir):
     assert len(re.findall("Relation", optimized(queries.QUERIES["coupon_projection"](spark, sf_dir)))) == 1
+
+
+def test_documents_are_dealt_out_and_read_once(spark, sf_dir):
+    """One small table of files is read by as many tasks as a shuffle has, and each file once."""
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            read.add(len(batch))
+            yield batch
+
+    files = queries._json_files(spark, sf_dir).limit(20).coalesce(1)
+    files = files.mapInPandas(counted, files.schema)
+    docs = securities.read(files)
+    kept = sources.kept(docs)
+    assert kept.count() == 20 and kept.where("document is not null").count() > 0
+    assert read.value == 20
+    # asked last: under adaptive execution this runs the shuffle
+    assert docs.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -143,8 +143,8 @@ def run_json(files: DataFrame) -> dict[str, DataFrame]:
     counts as an error of the job, warnings do not.
     """
     # every output reads these: parsed and typed once, kept in the shared folder
-    docs = sources.cut(read(files))
-    found = sources.cut(scalars(docs))
+    docs = sources.kept(read(files))
+    found = sources.kept(scalars(docs))
     covers = F.col("field").isin(*COVERAGE) & F.col("value").isNotNull()
     screened = merge.screen_conflicts(found, ["path"], unsecured(F.col("field"), F.col("value")), covers)
     bare = found.where(unsecured(F.col("field"), F.col("value"))).select("path").distinct().withColumn("conflict", F.lit(True))
@@ -155,7 +155,7 @@ def run_json(files: DataFrame) -> dict[str, DataFrame]:
     tables: dict[str, DataFrame] = {}
     used = screened.where("value is not null and not conflict").select("isin")
     rejected = found.where("code is not null or blocked is not null").select("isin", F.lit(1).alias("n"))
-    parts = {name: sources.cut(entries(docs, name)) for name in COLLECTIONS}
+    parts = {name: sources.kept(entries(docs, name)) for name in COLLECTIONS}
     assets = parts["collateral_assets"].join(bare, "path", "left").withColumn("conflict", F.coalesce("conflict", F.lit(False)) & F.col("usable"))
     for place, (name, (_, fields, target, _)) in enumerate(COLLECTIONS.items()):
         rows = assets.where("not conflict") if name == "collateral_assets" else parts[name]

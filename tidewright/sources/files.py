@@ -5,6 +5,7 @@ from __future__ import annotations
 import csv
 import io
 import tempfile
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -43,6 +44,18 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def kept(df: DataFrame) -> DataFrame:
+    """df as a Parquet table in the shared folder: computed once, where a checkpoint computes its rows to count them and again to write them."""
+    path = f"{shared_folder(df.sparkSession)}/kept-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def shuffled(spark: SparkSession) -> int:
+    """Partitions of a shuffle of this session."""
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 def read_manifests(spark: SparkSession, path: str) -> DataFrame:
     """Manifests with every problem listed: required text, constants, digests, sizes, texts of inputs, duplicate objects."""
     raw = spark.read.option("wholetext", True).text(path).select(F.input_file_name().alias("manifest"), F.from_json("value", MANIFEST).alias("m"))
@@ -182,7 +195,9 @@ def json_documents(files: DataFrame) -> DataFrame:
     """(path, modificationTime, document variant, error): strict UTF-8 and strict JSON, else MALFORMED_JSON; numerals are kept as written.
 
     A file that its listing disowns (column problem, where there is one) is not read: the problem is its error.
+    Files are dealt out before they are read: small ones, or rows of one small table, would all come to a task or two.
     """
+    files = files.repartition(shuffled(files.sparkSession), "path")
     text = F.when(F.is_valid_utf8(F.col("content").cast("string")), F.col("content").cast("string"))
     known = F.col("problem") if "problem" in files.columns else F.lit(None).cast("string")
     out = files.select("path", "modificationTime", F.when(known.isNull(), strict_document(text, True)).alias("document"), known.alias("_known"))
