@@ -41,3 +41,13 @@ def test_documents_are_dealt_out_and_read_once(spark, sf_dir):
     assert read.value == 20
     # asked last: under adaptive execution this runs the shuffle
     assert docs.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_listed_files_are_compared_by_as_many_tasks_as_they_need(spark, monkeypatch):
+    monkeypatch.setattr(sources, "ROWS_A_TASK", 10, raising=False)
+    listed = spark.range(100).selectExpr("id % 50 AS request", "'b' AS bucket", "id % 25 AS object_key")
+    fresh = sources.record_once(listed.where("request < 20"), listed)
+    # as planned: adaptive execution may put very small partitions together
+    plan = fresh._jdf.queryExecution().executedPlan().toString()
+    assert "10" in re.findall(r"hashpartitioning\(.*, (\d+)\)", plan)
+    assert sorted(r.request for r in fresh.collect()) == list(range(20, 50))

@@ -24,6 +24,8 @@ MANIFEST = (
 # What a manifest must say of itself.
 CONSTANTS = {"specversion": "1.0", "source": "urn:bond-platform:service:data-fetch-service", "type": "com.bondplatform.dataset.manifest.v1"}
 AGREED = ("dataschema", "subject", "event_type", "event_id", "run_id", "inputs", "dataset_fingerprint")
+#: Listed rows that one task compares.
+ROWS_A_TASK = 200_000
 _RECORDS = "path string, record_number int, cells array<string>, error string"
 
 
@@ -140,8 +142,13 @@ def verify(files: DataFrame, listed: DataFrame) -> DataFrame:
 
 
 def record_once(stored: DataFrame, listed: DataFrame, key: tuple[str, ...] = ("request", "bucket", "object_key")) -> DataFrame:
-    """Listed files that are not recorded yet, each (request, bucket, object) once; another request may record the same object."""
-    return listed.join(stored.select(*key).distinct(), [*key], "left_anti").dropDuplicates([*key])
+    """Listed files that are not recorded yet, each (request, bucket, object) once; another request may record the same object.
+
+    Both sides are dealt out by key to tasks of about ROWS_A_TASK listed rows, as many tasks as that takes.
+    """
+    n = max(shuffled(listed.sparkSession), -(-listed.count() // ROWS_A_TASK))
+    once = listed.repartition(n, *key).dropDuplicates([*key])
+    return once.join(stored.select(*key).repartition(n, *key), [*key], "left_anti")
 
 
 def _csv_records(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
