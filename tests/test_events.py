@@ -171,3 +171,37 @@ def test_coupons_in_a_stream(spark, tmp_path):
         state.stream_coupons(events, write, str(tmp_path / "state")).awaitTermination()
         _, want = one_by_one([], rows[: run * 30 + 30])
         assert coupons == {k: (str(r), d if s == fold.EXCHANGE else None, s) for k, (r, d, s, _) in want.items()}
+
+
+def test_states_of_a_stream(spark, tmp_path, monkeypatch):
+    """800 securities and a null one in three runs: no more keyed states are visited than there are buckets, changes are those of each run."""
+    roll = random.Random(8)
+    day = date(2024, 1, 1)
+    names = [*(f"S{i}" for i in range(800)), None]
+    rows = [(names[i % 801], i, roll.choice([None, 1, 2]), roll.choice([None, day, day + timedelta(1)]), roll.choice([fold.EXCHANGE, fold.DETAILS])) for i in range(2403)]
+    roll.shuffle(rows)
+    visits = str(tmp_path / "visits")
+
+    class Counted(state.CouponState):
+        def handleInputRows(self, key, rows, timerValues):  # noqa: N802, N803
+            with open(visits, "a") as f:
+                f.write("x")
+            yield from super().handleInputRows(key, rows, timerValues)
+
+    monkeypatch.setattr(state, "CouponState", Counted)
+    monkeypatch.setattr(state, "BUCKETS", 7, raising=False)
+    before = {}
+    for run in range(3):
+        spark.createDataFrame(rows[run * 801 : run * 801 + 801], EVENTS).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        changes = []
+        write = lambda df, n: changes.extend(df.collect())  # noqa: E731, ARG005, B023
+        state.stream_coupons(spark.readStream.schema(EVENTS).parquet(str(tmp_path / "in")), write, str(tmp_path / "state")).awaitTermination()
+        _, after = one_by_one([], rows[: run * 801 + 801])
+        after = {k: (str(r), d if s == fold.EXCHANGE else None, s) for k, (r, d, s, _) in after.items()}
+        got = {r.isin: (r.rate, r.trade_date, r.source) for r in changes}
+        assert got == {k: v for k, v in after.items() if before.get(k) != v} and len(got) == len(changes)
+        for r in changes:
+            old = before.get(r.isin)
+            assert (r.change == "ADVANCE_TRADE_DATE") == (old is not None and (old[0], old[2]) == (r.rate, r.source))
+        before = after
+    assert len(open(visits).read()) <= 3 * 7
